@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
 from .line_dedup import dedup_lines
 from .near_dedup import near_duplicates
+from .piece_viterbi import piece_digests
+from .token_orc import encode_to_orc, token_digests
+
+#: Files of public tokenizers; each query takes another path as a parameter.
+TOKENIZER, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,16 +25,30 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op4_token_orc(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> DataFrame:
+    return token_digests(encode_to_orc(table(spark, sf_dir, "documents"), tokenizer))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_pieces(spark: SparkSession, sf_dir: str, model: str = PIECES) -> DataFrame:
+    return piece_digests(table(spark, sf_dir, "documents"), model)
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
-QUERIES = {"op2_decontaminate": op2_decontaminate, "op6_line_dedup": op6_line_dedup, "op10_near_dedup": op10_near_dedup}
+QUERIES = {
+    "op2_decontaminate": op2_decontaminate,
+    "op4_token_orc": op4_token_orc,
+    "op6_line_dedup": op6_line_dedup,
+    "op8_pieces": op8_pieces,
+    "op10_near_dedup": op10_near_dedup,
+}
 
 WORDS_SQL = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
