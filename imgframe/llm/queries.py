@@ -11,6 +11,7 @@ from .line_dedup import dedup_lines
 from .near_dedup import near_duplicates
 from .piece_viterbi import piece_digests
 from .token_orc import encode_to_orc, token_digests
+from .toxicity import fit_on_documents, held_out, score_toxicity
 
 #: Files of public tokenizers; each query takes another path as a parameter.
 TOKENIZER, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -41,12 +42,18 @@ def op8_pieces(spark: SparkSession, sf_dir: str, model: str = PIECES) -> DataFra
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_on_documents(docs, table(spark, sf_dir, "labels"))
+    return score_toxicity(docs, model).select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
+
 
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op4_token_orc": op4_token_orc,
     "op6_line_dedup": op6_line_dedup,
     "op8_pieces": op8_pieces,
+    "op9_toxicity": op9_toxicity,
     "op10_near_dedup": op10_near_dedup,
 }
 
