@@ -12,6 +12,7 @@ from .near_dedup import near_duplicates
 from .piece_viterbi import piece_digests
 from .token_orc import encode_to_orc, token_digests
 from .toxicity import fit_on_documents, held_out, score_toxicity
+from .vptree import nearest
 
 #: Files of public tokenizers; each query takes another path as a parameter.
 TOKENIZER, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -47,10 +48,14 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit_on_documents(docs, table(spark, sf_dir, "labels"))
     return score_toxicity(docs, model).select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
 
+def op5_vptree(spark: SparkSession, sf_dir: str, factor: float = 1.0) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), every=20, k=20, factor=factor)
+
 
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op4_token_orc": op4_token_orc,
+    "op5_vptree": op5_vptree,
     "op6_line_dedup": op6_line_dedup,
     "op8_pieces": op8_pieces,
     "op9_toxicity": op9_toxicity,
