@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import re
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat_template import BODY, CONTROL_STRINGS, END, TURN, conversation_digests, format_conversations
 from .decontaminate import decontaminate
+from .html_text import extract_main_text
 from .line_dedup import dedup_lines
 from .near_dedup import near_duplicates
 from .piece_viterbi import piece_digests
 from .token_orc import encode_to_orc, token_digests
 from .toxicity import fit_on_documents, held_out, score_toxicity
+from .url_reputation import STRONGEST, TWO_LABEL_SUFFIXES, WEAKEST, judge_urls, page_outcomes
 from .vptree import nearest
 
 #: Files of public tokenizers; each query takes another path as a parameter.
@@ -22,41 +27,69 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+#: A conversation of control strings alone, put beside those of the table.
+PLANTED_TEXT = "</s>[INST] ok [/INST]"
+
+
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PLANTED_TEXT).alias("text"))
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    return conversation_digests(format_conversations(rows.unionByName(planted)))
+
+
 def op4_token_orc(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> DataFrame:
     return token_digests(encode_to_orc(table(spark, sf_dir, "documents"), tokenizer))
 
 
+def op5_vptree(spark: SparkSession, sf_dir: str, factor: float = 1.0) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), every=20, k=20, factor=factor)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+#: (verdict, host, path) of the rules that come before reputations.
+URL_RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
+
+
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_urls(table(spark, sf_dir, "pages"), page_outcomes(table(spark, sf_dir, "labels")), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op8_pieces(spark: SparkSession, sf_dir: str, model: str = PIECES) -> DataFrame:
     return piece_digests(table(spark, sf_dir, "documents"), model)
 
 
-def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
-
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_on_documents(docs, table(spark, sf_dir, "labels"))
     return score_toxicity(docs, model).select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
 
-def op5_vptree(spark: SparkSession, sf_dir: str, factor: float = 1.0) -> DataFrame:
-    return nearest(table(spark, sf_dir, "embeddings"), every=20, k=20, factor=factor)
+
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
 QUERIES = {
+    "op1_html_text": op1_html_text,
     "op2_decontaminate": op2_decontaminate,
+    "op3_chat": op3_chat,
     "op4_token_orc": op4_token_orc,
     "op5_vptree": op5_vptree,
     "op6_line_dedup": op6_line_dedup,
+    "op7_urls": op7_urls,
     "op8_pieces": op8_pieces,
     "op9_toxicity": op9_toxicity,
     "op10_near_dedup": op10_near_dedup,
@@ -99,4 +132,56 @@ r AS (SELECT doc_id AS node, doc_id AS reached FROM d UNION SELECT e.b, r.reache
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, m AS component_id, doc_id = m AS kept
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT node AS doc_id, min(reached) AS m FROM r GROUP BY node) USING (doc_id)"""
 
-ORACLE_SQL = {"op2_decontaminate": OP2_SQL, "op6_line_dedup": OP6_SQL, "op10_near_dedup": OP10_SQL}
+SPECIAL_SQL = "'" + "|".join([r"\\", *(re.sub(r"([][|/<>])", r"\\\1", c) for c in sorted(CONTROL_STRINGS, key=len, reverse=True))]) + "'"
+ESCAPED_SQL = f"(length({{0}}) + len(regexp_extract_all({{0}}, {SPECIAL_SQL})))"
+
+OP3_SQL = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-1, 0, 'user', '{PLANTED_TEXT}'), (-1, 1, 'assistant', '{PLANTED_TEXT}'))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum({len(TURN + BODY + END)} + {ESCAPED_SQL.format("role")} + {ESCAPED_SQL.format("text")}) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id"""
+
+OP5_SQL = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.x, v.x) AS score FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 20"""
+
+
+def strength_sql(name: str, level: str, above: str, parent: str) -> str:
+    """Two CTEs that give the prior strength of a level as ``name.s``; see ``url_reputation.strength``."""
+    return f"""
+{name}_by AS (SELECT a.{parent}, sum(l.n * pow(l.k / l.n - a.k / a.n, 2)) AS x, count(*) - 1 AS free, sum(l.n * l.n) AS q, any_value(a.n) AS up, any_value(a.k / a.n) AS p
+              FROM {level} l JOIN {above} a USING ({parent}) WHERE l.n > 0 GROUP BY a.{parent}),
+{name} AS (SELECT CASE WHEN coalesce(scale, 0) <= 0 OR over_ <= 0 THEN {STRONGEST} ELSE least({STRONGEST}, greatest({WEAKEST}, scale / over_ - 1)) END AS s
+           FROM (SELECT sum(x - p * (1 - p) * free) AS over_, sum(p * (1 - p) * (up - q / up - free)) AS scale FROM {name}_by))"""
+
+
+OP7_SQL = rf"""
+WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+o AS (SELECT host, CAST(coalesce(quality = 0, false) OR coalesce(toxic = 1, false) AS INTEGER) AS bad FROM u JOIN labels ON doc_id = page_id WHERE quality IS NOT NULL OR toxic IS NOT NULL),
+h0 AS (SELECT DISTINCT host, string_split(regexp_replace(host, ':\d*$', ''), '.') AS w FROM u),
+h1 AS (SELECT host, CASE WHEN array_to_string(w[-2:], '.') IN {TWO_LABEL_SUFFIXES} THEN 2 ELSE 1 END AS c, w FROM h0),
+h2 AS (SELECT host, array_to_string(w[-c:], '.') AS suffix, array_to_string(w[-(c + 1):], '.') AS domain FROM h1),
+h AS (SELECT h2.host, suffix, domain, CAST(count(bad) AS DOUBLE) AS n, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS k FROM h2 LEFT JOIN o USING (host) GROUP BY ALL),
+t AS (SELECT 0 AS one, sum(n) AS n, sum(k) AS k FROM h),
+s AS (SELECT 0 AS one, suffix, sum(n) AS n, sum(k) AS k FROM h GROUP BY suffix),
+d AS (SELECT suffix, domain, sum(n) AS n, sum(k) AS k FROM h GROUP BY suffix, domain),
+{strength_sql("s1", "s", "t", "one")},
+{strength_sql("s2", "d", "s", "suffix")},
+{strength_sql("s3", "h", "d", "domain")},
+m1 AS (SELECT suffix, (s.k + s1.s * (t.k + 1) / (t.n + 2)) / (s.n + s1.s) AS m FROM s, s1, t),
+m2 AS (SELECT domain, (d.k + s2.s * m1.m) / (d.n + s2.s) AS m FROM d JOIN m1 USING (suffix), s2),
+p AS (SELECT host, h.k + s3.s * m2.m AS a, h.n - h.k + s3.s * (1 - m2.m) AS b FROM h JOIN m2 USING (domain), s3),
+r AS (SELECT * FROM (VALUES {", ".join(map(str, URL_RULES))}) AS r(verdict, rule_host, rule_path)),
+f AS (SELECT page_id, host, path, first(rule_host || rule_path ORDER BY length(rule_host || rule_path) DESC) AS rule, first(verdict ORDER BY length(rule_host || rule_path) DESC) AS own
+      FROM u JOIN r ON (host = rule_host OR suffix(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY ALL)
+SELECT page_id, host, path, rule, coalesce(own, CASE WHEN a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM u LEFT JOIN f USING (page_id, host, path) JOIN p USING (host)"""
+
+ORACLE_SQL = {"op2_decontaminate": OP2_SQL, "op3_chat": OP3_SQL, "op5_vptree": OP5_SQL, "op6_line_dedup": OP6_SQL, "op7_urls": OP7_SQL, "op10_near_dedup": OP10_SQL}
