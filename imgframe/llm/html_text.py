@@ -155,7 +155,7 @@ def page_lines(page: str) -> tuple[list[tuple[int, str, int]], list[Element]]:
             if not anchors:
                 loose += len(content.strip())
             continue
-        if name in INLINE:
+        if name in INLINE or name in RAW:  # neither ends a line
             if name == "a":
                 anchors = 1 if kind == "<" else 0
             continue
@@ -167,7 +167,7 @@ def page_lines(page: str) -> tuple[list[tuple[int, str, int]], list[Element]]:
         else:
             flush()
         anchors = 0
-        if name in VOID or name in RAW and kind == "/":
+        if name in VOID:
             continue
         if kind == "<":
             if name in ENDS_P:
@@ -188,9 +188,6 @@ def page_lines(page: str) -> tuple[list[tuple[int, str, int]], list[Element]]:
             elif name not in ("p", "li", "dt", "dd", "tr", "td", "th") and name not in HEADINGS:
                 place += 1
             element = Element(name, why, place, stack[-1] if stack else None)
-            if name in RAW:
-                close(element, True)
-                continue
             stack.append(element)
             if why:
                 marked.append(element)
