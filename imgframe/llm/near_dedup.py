@@ -6,10 +6,10 @@
 2. ``BANDS`` bands of ``ROWS`` bins each give buckets. A bucket's members are joined to its smallest member
    only: a star, so candidates grow with the members and not with their square.
 3. Candidates are confirmed on the full sets, and confirmed links joined up to components.
-4. A star misses links between members that its centre is not linked with. So buckets that still hold several
-   components are worked off exactly: a member whose set has too many shingles that no other open member has
-   cannot reach the threshold with anyone, and among the rest only pairs of different components that pass the
-   same bound and the length bound are confirmed. No bucket is capped.
+4. A star misses links between members that its centre is not linked with. So the members of buckets that still
+   hold several components go through an exact prefix join, from rare shingles to common ones and with bounds on
+   sizes and places, which gives the pairs of different components that may still be linked; these are confirmed
+   too. No bucket is capped.
 
 At the similarities confirmed here a pair shares no bucket with probability under 1e-6.
 """
@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ascii_words, materialize, steps
@@ -177,21 +177,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 
 def remaining_pairs(members: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs that share a bucket, are in different components and may still reach the threshold."""
-
-    def open_buckets(rows: DataFrame) -> DataFrame:
-        several = rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-        return rows.join(several, "bucket")
-
-    rows = members.select("bucket", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    rows = materialize(open_buckets(rows.select("bucket", "rep", F.coalesce("component", "rep").alias("component"))), "near-open")
-    held = sets.join(rows.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    single = held.select("doc_id", F.explode("shingles").alias("x")).groupBy("x").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")).where("doc_id = last")
-    own = single.groupBy("doc_id").agg(F.count("*").alias("n_own"))
-    # shared: at most so many shingles of a set are in any other open set.
-    bound = held.select("doc_id", "n").join(own, "doc_id", "left").select(F.col("doc_id").alias("rep"), "n", (F.col("n") - F.coalesce("n_own", F.lit(0))).alias("shared"))
-    rows = open_buckets(rows.join(bound.where(F.col("shared") * 100 >= F.col("n") * percent), "rep"))
-    a, b = (rows.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "component", "n", "shared"))) for s in "ab")
-    fits = F.least("shared_a", "shared_b") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
-    pairs = a.join(b, "bucket").where((F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b")) & fits)
-    return pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+    """(a, b): pairs of different components, each in a bucket that holds several, that may still reach the threshold.
+
+    A prefix join with positions: a set's shingles are put in order from rare to common among these sets. Two sets
+    that reach the threshold share one of the first ``n - percent / 100 * n + 1`` shingles of each, and at the first
+    that they share, what is left of either must hold the rest of the intersection that the threshold asks for.
+    Where a shingle is common, the members of its largest component are joined with those of others only.
+    """
+    rows = members.select("bucket", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
+    several = rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+    still_open = materialize(rows.join(several, "bucket").select("rep", "component").distinct(), "near-open")
+    sizes = still_open.groupBy("component").agg(F.count("*").alias("size"))
+    nodes = still_open.join(sizes, "component").select(F.col("rep").alias("doc_id"), F.struct("size", "component").alias("part"))
+
+    shingles = materialize(sets.join(nodes, "doc_id").select("doc_id", "n", "part", F.explode("shingles").alias("x")), "near-open-shingles")
+    counts = shingles.groupBy("x").agg(F.count("*").alias("df"), F.max("part").alias("largest"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "x")) - 1
+    placed = shingles.join(counts, "x").withColumn("place", place).where((F.col("df") > 1) & (F.col("n") - F.col("place") >= F.ceil(F.col("n") * percent / 100)))
+    placed = materialize(placed, "near-prefixes")
+    a, b = (placed.select("x", "largest", *(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "part", "place"))) for s in "ab")
+    left = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
+    fits = left * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
+    pairs = a.where(F.col("part_a") != F.col("largest")).drop("largest").join(b.drop("largest"), "x").where((F.col("part_a") < F.col("part_b")) & fits)
+    return pairs.select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct()
