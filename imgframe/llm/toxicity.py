@@ -1,8 +1,8 @@
 """Toxicity: a counterfactual-regularised classifier.
 
 Features of a text are its distinct words, and their beginnings of 4 to 7 letters for inflected forms, folded to
-lower case. Counts of every feature over all labelled training rows choose the features: those that stand out most
-among toxic or clean texts. A logistic model is then fitted on a bounded sample of the training rows. Each
+lower case. A bounded sample of the labelled rows is learnt from. Counts over it choose the features: those that
+stand out most among toxic or clean texts. A logistic model is then fitted. Each
 training text that names a group is paired with the same text in which identity terms are swapped for those of
 other groups, and the squared change of its score is penalised, so a neutral mention of a group moves no score.
 """
@@ -95,13 +95,12 @@ def choose_features(rows: DataFrame, limit: int, least: int) -> list[str]:
     return [r.feature for r in best.collect()]
 
 
-def fit_toxicity(rows: DataFrame, sample_rows: int = 20_000, n_features: int = 4_000, least: int = 5, l2: float = 1.0, fairness: float = 1.0, rounds: int = 300) -> ToxicityModel:
-    """A model from labelled rows (text, toxic 0 or 1).
+def fit_toxicity(rows: DataFrame, n_features: int = 4_000, least: int = 5, l2: float = 1.0, fairness: float = 1.0, rounds: int = 300) -> ToxicityModel:
+    """A model from labelled rows (text, toxic 0 or 1), of which there must be a bounded number.
 
-    sample_rows: the weights are fitted on at most so many rows, those with the least hashes of their text; only
-    their chosen features reach the driver. Feature counts cover all rows. n_features: so many features at most,
-    each in ``least`` texts. fairness: the weight of the squared score change under swapped identity terms.
-    Rows whose label is null are left out. Without both labels the model is the smoothed share of toxic rows.
+    Texts stay on the executors; the chosen features of each reach the driver. n_features: so many features at most,
+    each in ``least`` texts. fairness: the weight of the squared score change under swapped identity terms. Rows
+    whose label is null are left out. Without both labels the model is the smoothed share of toxic rows.
     """
     rows = materialize(rows.where("toxic IS NOT NULL").select(F.col("text").cast("string").alias("text"), F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic")), "toxicity-rows")
     names = choose_features(rows, n_features, least)
@@ -121,8 +120,7 @@ def fit_toxicity(rows: DataFrame, sample_rows: int = 20_000, n_features: int = 4
             kind = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(own, kind), pa.array(other, kind)], ["toxic", "own", "other"])
 
-    sample = rows.orderBy(F.xxhash64("text"), "toxic").limit(sample_rows)
-    data = sample.mapInArrow(run, "toxic int, own array<int>, other array<int>").toArrow()
+    data = rows.mapInArrow(run, "toxic int, own array<int>, other array<int>").toArrow()
     y = data.column("toxic").to_numpy().astype(float)
     own, other = (data.column(c).to_pylist() for c in ("own", "other"))
     w, b = fit_weights(own, other, y, len(names), l2, fairness, rounds)
@@ -181,7 +179,14 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 5 == 0
 
 
-def fit_on_documents(docs: DataFrame, labels: DataFrame, **parameters) -> ToxicityModel:
-    """A model from the labels of documents that are not held out. Labels without doc_id are left out; where a doc_id has several, the highest counts."""
-    own = labels.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return fit_toxicity(docs.select("doc_id", "text").join(own, "doc_id").select("text", "toxic"), **parameters)
+def fit_on_documents(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, **parameters) -> ToxicityModel:
+    """A model from the labels of documents that are not held out.
+
+    sample_rows: it is fitted on at most so many labelled documents, those with the least hashes of their doc_id.
+    They are chosen from the labels alone, so only their texts are moved. Labels without doc_id or toxic are left
+    out; where a doc_id has several, the highest counts; of rows that repeat a doc_id one is taken.
+    """
+    own = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return fit_toxicity(rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic"), **parameters)
