@@ -1,6 +1,6 @@
 """Registered queries, with the SQL they are held against."""
 
-from . import attributes, lookups, temporal
+from . import attributes, imaging, lookups, temporal
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "attributes", "lookups", "temporal"]
+__all__ = ["ORACLE_SQL", "QUERIES", "attributes", "imaging", "lookups", "temporal"]
