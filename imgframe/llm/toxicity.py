@@ -2,9 +2,9 @@
 
 Features of a text are its distinct words, and their beginnings of 4 to 7 letters for inflected forms, folded to
 lower case. A bounded sample of the labelled rows is learnt from. Counts over it choose the features: those that
-stand out most among toxic or clean texts. A logistic model is then fitted. Each
-training text that names a group is paired with the same text in which identity terms are swapped for those of
-other groups, and the squared change of its score is penalised, so a neutral mention of a group moves no score.
+stand out most among toxic or clean texts. A logistic model is then fitted. Each training text that names a group
+is paired with the same text in which identity terms are swapped for those of other groups, and the squared change
+of its score is penalised, so a neutral mention of a group moves no score.
 """
 
 from __future__ import annotations
@@ -51,7 +51,7 @@ def features_of(words: set[str]) -> set[str]:
 def swapped(words: set[str], shift: int) -> set[str]:
     """The words with each identity term replaced by the ``shift``-th next one of its kind."""
     place = {t: (kind, i) for kind in IDENTITY_TERMS for i, t in enumerate(kind)}
-    return {kind[(i + shift) % len(kind)] if (found := place.get(w)) and (kind := found[0]) and (i := found[1]) is not None else w for w in words}
+    return {place[w][0][(place[w][1] + shift) % len(place[w][0])] if w in place else w for w in words}
 
 
 @dataclass
@@ -135,24 +135,35 @@ def fit_weights(own: list[list[int]], other: list[list[int] | None], y: np.ndarr
     pairs = [(set(a), set(b)) for a, b in zip(own, other, strict=True) if b is not None]
     moved = [(k, i, s) for k, (a, b) in enumerate(pairs) for i, s in [*((i, 1.0) for i in a - b), *((i, -1.0) for i in b - a)]]
     mrow, mcol, msign = (np.array([m[j] for m in moved]) for j in range(3)) if moved else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-    # Steps are scaled by each weight's curvature, with a bound from the number of features in a text.
+    # Steps are scaled by each weight's curvature, with a guess of how features go together; too long ones are taken back.
     width = max(1.0, np.bincount(row, minlength=n).max(initial=1) ** 0.5)
     curve = np.bincount(col, minlength=n_features) / (4 * n) * width + l2 / n
     if len(pairs):
         curve += 2 * fairness * np.bincount(mcol.astype(int), minlength=n_features) / len(pairs) * width
+
+    def linear(v: np.ndarray, c: float) -> tuple[np.ndarray, np.ndarray]:
+        return np.bincount(row, v[col], n) + c, np.bincount(mrow, msign * v[mcol], len(pairs)) if len(pairs) else np.zeros(0)
+
+    def loss(v: np.ndarray, c: float) -> float:
+        z, change = linear(v, c)
+        return float(np.mean(np.logaddexp(0, z) - y * z) + l2 * (v @ v) / (2 * n) + (fairness * np.mean(change**2) if len(pairs) else 0))
+
     w, b = np.zeros(n_features), float(np.log((y.sum() + 1) / (n - y.sum() + 1)))
-    last, lastb = w, b
-    for step in range(rounds):
+    last, lastb, step, scale, reached = w, b, 0, 1.0, loss(w, b)
+    for _ in range(rounds):
         pull = step / (step + 3)
         v, c = w + pull * (w - last), b + pull * (b - lastb)
-        z = np.bincount(row, v[col], n) + c
+        z, change = linear(v, c)
         error = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) / n
         grad = np.bincount(col, error[row], n_features) + l2 * v / n
         if len(pairs):
-            change = np.bincount(mrow, msign * v[mcol], len(pairs))
             grad += 2 * fairness / len(pairs) * np.bincount(mcol, msign * change[mrow], n_features)
-        last, lastb = w, b
-        w, b = v - grad / curve, c - error.sum() / (0.25 * width)
+        nextw, nextb = v - grad / (curve * scale), c - error.sum() / (0.25 * width * scale)
+        now = loss(nextw, nextb)
+        if now > reached:  # begin again from here, without momentum; and if it had none, with shorter steps
+            last, lastb, scale, step = w, b, scale * (1 if step else 2), 0
+            continue
+        last, lastb, w, b, reached, step = w, b, nextw, nextb, now, step + 1
     return w, b
 
 
