@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 TAG_TEXT = r"^(\([0-9A-Fa-f]{4},[0-9A-Fa-f]{4}\)|[0-9A-Fa-f]{4},[0-9A-Fa-f]{4}|[0-9A-Fa-f]{8})$"
 STEP = r"^([^\[\]]+)(?:\[(\d+)\])?$"
 
@@ -63,16 +65,9 @@ def parse_selector(text: Column, aliases: Mapping[str, int]) -> Column:
 
     NULL if any step is not valid.
     """
-    steps = F.split(text, r"\.")
-    parsed = F.transform(
-        steps,
-        lambda s: F.struct(
-            F.when(s.rlike(STEP), tag_of(F.regexp_extract(s, STEP, 1), aliases)).alias("tag"),
-            F.coalesce(F.nullif(F.regexp_extract(s, STEP, 2), F.lit("")).cast("int"), F.lit(0)).alias("item"),
-        ),
-    )
-    good = F.forall(parsed, lambda p: p.tag.isNotNull()) & ~F.element_at(steps, -1).contains("[")
-    return F.when(good, parsed)
+    step = lambda s: F.struct(tag_of(F.nullif(F.regexp_extract(s, STEP, 1), F.lit("")), aliases).alias("tag"), F.coalesce(F.nullif(F.regexp_extract(s, STEP, 2), F.lit("")).cast("int"), F.lit(0)).alias("item"))
+    parsed = F.transform(F.split(text, r"\."), step)
+    return let(parsed, lambda p: F.when(F.forall(p, lambda x: x.tag.isNotNull()) & ~text.endswith("]"), p))
 
 
 def format_selector(steps: Column) -> Column:

@@ -6,21 +6,17 @@ are NULL. A time of day is a LONG of microseconds, so that second 60 survives. W
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column
+import datetime
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from .binding import let
+
 DAY_US = 86_400_000_000
 DATE = "struct<y:int,m:int,d:int>"
 TIME = "struct<h:int,mi:int,s:int,frac:int,prec:int>"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is worked out once, however often the body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _digits(text: Column, start: int, n: int) -> Column:
     """INT of ``n`` characters if all are digits, else NULL."""
     part = F.substring(text, start, n)
@@ -192,6 +188,29 @@ def combine_ranges(dates: Column, times: Column) -> Column:
     return let(F.struct(dates.alias("d"), times.alias("t")), combined)
 
 
+def fixed_bounds(bounds: Column) -> tuple | None:
+    """(lo, hi) of a struct<lo, hi> of constants, worked out here and now, so that a scan gets plain comparisons; None if not valid."""
+    row = SparkSession.active().sql("SELECT 1").select(bounds.alias("r")).first()
+    return None if row.r is None else (row.r.lo, row.r.hi)
+
+
+def within(value: Column, bounds: tuple | None) -> Column:
+    """Whether a value is within (lo, hi), of which one may be None."""
+    if bounds is None:
+        return F.lit(False)
+    lo, hi = bounds
+    return (value >= F.lit(lo) if lo is not None else F.lit(True)) & (value <= F.lit(hi) if hi is not None else F.lit(True)) & value.isNotNull()
+
+
+def day_within(value: Column, bounds: tuple | None) -> Column:
+    """Whether a DATE or timestamp is on one of the days from lo to hi."""
+    if bounds is None:
+        return F.lit(False)
+    lo, hi = bounds
+    midnight = lambda day: F.lit(datetime.datetime.combine(day, datetime.time())).cast("timestamp_ntz")
+    return (value >= midnight(lo) if lo is not None else F.lit(True)) & (value < midnight(hi + datetime.timedelta(days=1)) if hi is not None else F.lit(True)) & value.isNotNull()
+
+
 def in_range(value: Column, bounds: Column) -> Column:
     """Whether ``value`` is within struct<lo, hi>; a NULL bound is open."""
     return value.isNotNull() & F.coalesce(let(bounds, lambda b: b.isNotNull() & F.coalesce(value >= b.lo, F.lit(True)) & F.coalesce(value <= b.hi, F.lit(True))), F.lit(False))

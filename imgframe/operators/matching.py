@@ -65,13 +65,13 @@ def predicate(column: Column, vr: str, value: str) -> Column:
     """
     if value == "":
         return F.lit(True)
+    text = F.lit(value if "-" in value else f"{value}-{value}")
     if vr == "DA":
-        text = value if "-" in value else f"{value}-{value}"
-        return temporal.in_range(column.cast("date"), temporal.date_range(F.lit(text)))
+        return temporal.day_within(column, temporal.fixed_bounds(temporal.date_range(text)))
     if vr == "TM":
-        return temporal.in_range(column, temporal.time_range(F.lit(value if "-" in value else f"{value}-{value}")))
+        return temporal.within(column, temporal.fixed_bounds(temporal.time_range(text)))
     if vr == "DT":
-        return temporal.in_range(column, temporal.datetime_range(F.lit(value if "-" in value else f"{value}-{value}")))
+        return temporal.within(column, temporal.fixed_bounds(temporal.datetime_range(text)))
     if vr in TEXT_VRS or vr == "LO":
         options = value.split("\\")
         plain = [v for v in options if not re.search(r"[*?]", v) or vr == "UI"]

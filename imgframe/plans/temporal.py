@@ -6,21 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import temporal as T
+from ..functions.binding import let
 from .registry import query, table
 
 
 @query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1995-06-01' AND DATE '1997-12-31'")
 def date_range_filter(spark: SparkSession, sf_dir: str, term: str = "199506-1997") -> DataFrame:
     """Orders in a date range of partial dates. The bounds fold to constants, so the filter reaches the scan."""
-    orders = table(spark, sf_dir, "orders")
-    bounds = T.date_range(F.lit(term))
-    lo, hi = spark.range(1).select(bounds.lo, bounds.hi).first()
-    day = F.col("o_orderdate")
-    if lo is not None:
-        orders = orders.where(day >= F.lit(lo).cast("timestamp_ntz"))
-    if hi is not None:
-        orders = orders.where(day < F.date_add(F.lit(hi), 1).cast("timestamp_ntz"))
-    return orders.select("o_orderkey", "o_custkey", "o_totalprice")
+    bounds = T.fixed_bounds(T.date_range(F.lit(term)))
+    return table(spark, sf_dir, "orders").where(T.day_within(F.col("o_orderdate"), bounds)).select("o_orderkey", "o_custkey", "o_totalprice")
 
 
 @query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE CAST(o_orderdate AS DATE) <= DATE '1996-02-29'")
@@ -78,13 +72,13 @@ def micros_of_day(ts):
 @query("SELECT event_id, user_id FROM events WHERE CAST(strftime(ts, '%H%M') AS INT) BETWEEN 930 AND 1700")
 def time_range_filter(spark, sf_dir):
     """Events from 09:30 to the end of the minute 17:00."""
-    return table(spark, sf_dir, "events").where(T.in_range(micros_of_day(F.col("ts")), T.time_range(F.lit("0930-1700")))).select("event_id", "user_id")
+    return table(spark, sf_dir, "events").where(T.within(micros_of_day(F.col("ts")), T.fixed_bounds(T.time_range(F.lit("0930-1700"))))).select("event_id", "user_id")
 
 
 @query("SELECT event_id, ts FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05 06:00:00' AND TIMESTAMP '2024-01-20 18:29:59.999999'")
 def datetime_range_combine(spark, sf_dir):
-    bounds = T.combine_ranges(T.date_range(F.lit("20240105-20240120")), T.time_range(F.lit("06-1829")))
-    return table(spark, sf_dir, "events").where(T.in_range(F.col("ts"), bounds)).select("event_id", "ts")
+    bounds = T.fixed_bounds(T.combine_ranges(T.date_range(F.lit("20240105-20240120")), T.time_range(F.lit("06-1829"))))
+    return table(spark, sf_dir, "events").where(T.within(F.col("ts"), bounds)).select("event_id", "ts")
 
 
 @query("""WITH p AS (SELECT event_id, ts, CASE event_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 330 ELSE -300 END AS m FROM events)
@@ -94,7 +88,7 @@ def datetime_tz_policy(spark, sf_dir):
     stamp = F.date_format("ts", "yyyyMMddHHmmss.SSSSSS")
     text = F.concat(stamp, F.element_at(F.array(*map(F.lit, ("", "+0530", "-0500"))), (F.col("event_id") % 3 + 1).cast("int")))
     hour = T.partial_datetime(F.date_format("ts", "yyyyMMddHH"))
-    return table(spark, sf_dir, "events").select("event_id", T.let(T.partial_datetime(text), T.datetime_earliest).alias("lo"), T.let(hour, lambda p: T.datetime_latest(p, 60)).alias("hi_local"))
+    return table(spark, sf_dir, "events").select("event_id", let(T.partial_datetime(text), T.datetime_earliest).alias("lo"), let(hour, lambda p: T.datetime_latest(p, 60)).alias("hi_local"))
 
 
 @query("""SELECT event_id, strftime(ts, '%Y%m%d') || '-0500-' || strftime(ts + INTERVAL 1 DAY, '%Y%m%d') AS t,
