@@ -25,7 +25,7 @@ from .common import steps
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Distinct cuts whose pieces a task remembers; then it forgets all and starts anew. Longer cuts than this many characters are not kept.
-MEMO_CUTS, MEMO_CHARS = 400_000, 64
+MEMO_CUTS, MEMO_CHARS = 100_000, 64
 
 
 class PieceModel:
@@ -57,13 +57,14 @@ class PieceModel:
         byte_of = {i: bytes([b]) for b, i in self.bytes_ids.items()}
         #: The bytes that each id stands for; control pieces stand for none.
         self.spelt = [byte_of[i] if i in byte_of else b"" if model.is_control(i) else self.pieces[i].replace(SPACE, " ").encode() for i in range(size)]
-        self.memo: dict[str, np.ndarray] = {}
+        self.memo: dict[str, list[int]] = {}
 
     def viterbi(self, text: str) -> list[int]:
         """The piece ids of the best segmentation; of equal ones that whose last piece is longest."""
         n, lost = len(text), float("-inf")
         best, back, piece = [0.0] + [lost] * n, [0] * (n + 1), [0] * (n + 1)
-        done = 0  # places up to here have been offered the unknown character
+        covered = self.single.issuperset(text)  # then no place needs the unknown character
+        done = 0  # places up to here have been offered it
 
         def unknowns(upto: int) -> None:
             for i in range(done, upto):
@@ -71,13 +72,15 @@ class PieceModel:
                     best[i + 1], back[i + 1], piece[i + 1] = best[i] + self.unknown, i, -1
 
         for end, (length, i, score) in self.automaton.iter(text):
-            if end > done:
+            if end > done and not covered:
                 unknowns(end)
                 done = end
             start = end + 1 - length
-            if best[start] + score > best[end + 1]:
-                best[end + 1], back[end + 1], piece[end + 1] = best[start] + score, start, i
-        unknowns(n)
+            score += best[start]
+            if score > best[end + 1]:
+                best[end + 1], back[end + 1], piece[end + 1] = score, start, i
+        if not covered:
+            unknowns(n)
         ids: list[int] = []
         while n:
             ids += [piece[n]] if piece[n] >= 0 else [self.bytes_ids[b] for b in reversed(text[back[n] : n].encode("utf-8", "surrogatepass"))]
@@ -92,20 +95,20 @@ class PieceModel:
         """
         if not text:
             return np.zeros(0, np.int32)
-        out = []
+        out: list[int] = []
         if len(self.memo) > MEMO_CUTS:
             self.memo.clear()
         for k, part in enumerate(text.split(SPACE)):
             if k:
-                out.append(np.array([self.bytes_ids[b] for b in SPACE.encode()], np.int32))
+                out += [self.bytes_ids[b] for b in SPACE.encode()]
             for cut in self.cut.findall((SPACE if k == 0 else "") + part.replace(" ", SPACE)):
                 ids = self.memo.get(cut)
                 if ids is None:
-                    ids = np.array(self.viterbi(cut), np.int32)
+                    ids = self.viterbi(cut)
                     if len(cut) <= MEMO_CHARS:
                         self.memo[cut] = ids
-                out.append(ids)
-        return np.concatenate(out)
+                out += ids
+        return np.array(out, np.int32)
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids of ``encode``; control pieces give nothing."""
@@ -143,7 +146,9 @@ def decode_pieces(encoded: DataFrame, model: str, to: str = "decoded") -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = piece_model(model).decode
         for batch in batches:
-            texts = [None if ids is None else decode(ids) for ids in batch.column("ids").to_pylist()]
+            lists = batch.column("ids")
+            ids, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            texts = [decode(ids[a:b].tolist()) if there else None for a, b, there in zip(ends[:-1].tolist(), ends[1:].tolist(), lists.is_valid().to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, to])
 
     return encoded.mapInArrow(run, f"{schema}, `{to}` string")
