@@ -9,12 +9,14 @@ files, stripes and row groups by their statistics and Bloom filters before any i
 from __future__ import annotations
 
 import functools
+import json
 import os
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import ascii_words, new_path, steps
 
 END_ID = 1
-#: Distinct words whose ids a task remembers; then it forgets all and starts anew.
-MEMO_WORDS = 200_000
+#: Bytes of text whose distinct words are encoded together.
+STEP_BYTES = 16 << 20
 
 ORC_OPTIONS = {
     "compression": "zstd",
@@ -36,53 +38,82 @@ ORC_OPTIONS = {
 
 
 class WordEncoder:
-    """Encodes whole texts by their distinct words.
+    """Encodes whole texts by their distinct words, with a BPE file of word ends that lower-cases and drops white space.
 
-    Right for tokenizers that drop white space and never join across it (the caller chooses one); then the ids of
-    a text are those of its words, in order, and each distinct word is encoded once.
+    White space separates words wherever it stands, and a letter from sentence marks after it, so the ids of a text
+    are those of its words in order. Distinct words are encoded together: words of ASCII letters, whose ids end with
+    a word end, by the model alone, and all others through the whole tokenizer with ``MARK`` between them.
     """
 
-    def __init__(self, encode_words: Callable[[list[str]], list[list[int]]]):
-        self.encode_words, self.memo = encode_words, {}
+    MARK = "\x01"
+    BEFORE_SENTENCE_MARKS = (r"([A-Za-z])([,.;:!?]+)(\s|$)", r"\1 \2\3")
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.letters.normalizer, self.letters.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+        suffix = json.loads(self.whole.to_str())["model"]["end_of_word_suffix"]
+        vocabulary = self.whole.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        (self.mark,) = self.whole.encode(self.MARK, add_special_tokens=False).ids
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's ids begin and the end)."""
-        codes, ends, distinct = ascii_words(texts)
-        words = distinct.to_pylist()
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        new = [w for w in words if w not in self.memo]
-        for w, ids in zip(new, self.encode_words(new), strict=True):
-            self.memo[w] = np.array(ids, np.uint32)
-        own = [self.memo[w] for w in words]
-        lengths = np.fromiter(map(len, own), np.int64, len(own))
-        flat = np.concatenate([*own, np.zeros(0, np.uint32)])
+        texts = pc.replace_substring_regex(pc.fill_null(texts, "").cast(pa.large_string()), *self.BEFORE_SENTENCE_MARKS)
+        codes, ends, words = ascii_words(texts)
+        letters = pc.match_substring_regex(words, "^[A-Za-z]+$").to_numpy(zero_copy_only=False)
+        parts = [self._of_letters(pc.ascii_lower(words.filter(pa.array(letters))).to_pylist()), self._of_any(words.filter(pa.array(~letters)).to_pylist())]
+        lengths = np.zeros(len(words), np.int64)
+        lengths[letters], lengths[~letters] = parts[0][1], parts[1][1]
+        first = np.zeros(len(words), np.int64)
+        first[letters] = np.cumsum(parts[0][1]) - parts[0][1]
+        first[~letters] = len(parts[0][0]) + np.cumsum(parts[1][1]) - parts[1][1]
+        flat = np.concatenate([parts[0][0], parts[1][0]])
         n = lengths[codes]
         place = np.concatenate([[0], np.cumsum(n)])
-        starts = (np.cumsum(lengths) - lengths)[codes]
-        return flat[np.repeat(starts - place[:-1], n) + np.arange(place[-1])], place[ends]
+        return flat[np.repeat(first[codes] - place[:-1], n) + np.arange(place[-1])], place[ends]
+
+    def _of_letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, number of ids of each)."""
+        flat = self._joined(self.letters, words, " ")
+        lengths = np.diff(np.flatnonzero(self.ends[flat]), prepend=-1)
+        assert len(lengths) == len(words)
+        return flat, lengths
+
+    def _of_any(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if any(self.MARK in w for w in words):
+            ids = [np.array(e.ids, np.uint32) for e in self.whole.encode_batch(words, add_special_tokens=False)]
+            return np.concatenate(ids), np.array([len(x) for x in ids])
+        flat = self._joined(self.whole, [f"{w} {self.MARK}" for w in words], " ")
+        marks = flat == self.mark
+        lengths = np.diff(np.flatnonzero(marks), prepend=-1) - 1
+        assert len(lengths) == len(words)
+        return flat[~marks], lengths
+
+    @staticmethod
+    def _joined(tokenizer, words: list[str], by: str) -> np.ndarray:
+        groups = [by.join(words[i : i + 2000]) for i in range(0, len(words), 2000)]
+        return np.concatenate([np.zeros(0, np.uint32), *(np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(groups, add_special_tokens=False))])
 
 
 @functools.cache
 def word_encoder(path: str) -> WordEncoder:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    return WordEncoder(lambda words: [e.ids for e in tokenizer.encode_batch(words, add_special_tokens=False)])
+    return WordEncoder(path)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
     """Writes (doc_id, file, local_start, ids) as ORC under ``path``, in ascending doc_id order over the files.
 
-    ``tokenizer`` is the file of a tokenizer of the tokenizers library that drops white space. ``end_id`` ends
-    each document. A null text counts as empty; rows that repeat a doc_id follow each other in the order of their
+    ``tokenizer`` is a file of the tokenizers library as ``WordEncoder`` wants it. ``end_id`` ends each document. A null text counts as empty; rows that repeat a doc_id follow each other in the order of their
     texts' hashes; rows without doc_id come first; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, file, start = word_encoder(tokenizer), TaskContext.get().partitionId(), 0
-        for batch in steps(batches, "text"):
+        for batch in steps(batches, "text", STEP_BYTES):
             flat, place = encode(batch.column("text"))
             n = np.diff(place) + 1
             ends = np.cumsum(n)
