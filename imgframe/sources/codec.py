@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import tags
@@ -26,6 +26,13 @@ VRS = LONG_VRS | frozenset("AE AS AT CS DA DS DT FD FL IS LO LT PN SH SL SS ST T
 NUMBERS = {"US": "H", "SS": "h", "UL": "I", "SL": "i", "UV": "Q", "SV": "q", "FL": "f", "FD": "d"}
 BYTES = frozenset("OB OD OF OL OV OW UN".split())
 MAGIC = b"DICM"
+PIXEL_DATA, CHARSET, TRANSFER_SYNTAX = 0x7FE00010, 0x00080005, 0x00020010
+IMPLICIT, DEFLATED = "1.2.840.10008.1.2", "1.2.840.10008.1.2.1.99"
+
+#: Python's names of character sets, by the number in ``ISO_IR n`` and ``ISO 2022 IR n`` or by name.
+CHARSETS = {"6": "ascii", "13": "shift_jis", "58": "gb2312", "87": "iso2022_jp", "100": "latin_1", "101": "iso8859_2", "109": "iso8859_3", "110": "iso8859_4", "126": "iso8859_7", "127": "iso8859_6", "138": "iso8859_8", "144": "iso8859_5", "148": "iso8859_9", "149": "euc_kr", "166": "cp874", "192": "utf_8", "GB18030": "gb18030", "GBK": "gbk"}
+#: Text of these is never in the declared character set.
+PLAIN_TEXT = frozenset("AE AS CS DA DS DT IS TM UI UR".split())
 KNOWN_VRS = {tag: vr for tag, _, _, vr in SEED if vr in VRS}
 
 
@@ -33,7 +40,12 @@ class DecodeError(ValueError):
     """The bytes are no data set."""
 
 
-def _values(vr: str, data: bytes) -> list[str]:
+def charset_of(name: str) -> str | None:
+    """Python's name of a declared character set; None for an unknown one."""
+    return CHARSETS.get(name.strip().removeprefix("ISO_IR ").removeprefix("ISO 2022 IR "))
+
+
+def _values(vr: str, data: bytes, charset: str) -> list[str]:
     if not data:
         return []
     if vr in NUMBERS:
@@ -44,7 +56,7 @@ def _values(vr: str, data: bytes) -> list[str]:
         return [f"({g:04X},{e:04X})" for g, e in struct.iter_unpack("<HH", data[: len(data) // 4 * 4])]
     if vr in BYTES:
         return [data.hex()]
-    text = data.decode("utf-8", "replace").rstrip("\0 ")
+    text = data.decode("utf_8" if vr in PLAIN_TEXT else charset, "replace").rstrip("\0 ")
     return [text] if vr in ("LT", "ST", "UT", "UR") else text.split("\\")
 
 
@@ -58,12 +70,24 @@ def _bytes(vr: str, values: list[str]) -> bytes:
     return data + (b"\0" if vr == "UI" or vr in BYTES else b" ") * (len(data) % 2)
 
 
-def decode(data: bytes, explicit: bool = True, until: int | None = None) -> Iterator[tuple[str, int, str, list[str]]]:
+def decode(data: bytes, explicit: bool | None = True, until: int | None = None, odd: str = "accept") -> Iterator[tuple[str, int, str, list[str]]]:
     """(path, tag, vr, values) in order. Stops before the first root tag from ``until`` on.
 
-    A preamble and magic are skipped if they are there. Values of sequences are read as elements of their items.
+    explicit: None finds out: after magic, a meta table in explicit form says the form of the rest, which may be
+    deflated; without, the first element shows it. odd: what to do about odd lengths: accept, next_even or fail.
+    A preamble and magic are skipped if they are there. The first declared character set counts for what follows;
+    an unknown one changes nothing. Encapsulated pixel data has the offset table as its first value, then fragments.
     """
     at = 132 if data[128:132] == MAGIC else 4 if data[:4] == MAGIC else 0
+    charset, in_meta = "utf_8", explicit is None and at > 0
+    if explicit is None:
+        explicit = at > 0 or data[4:6].decode("ascii", "replace") in VRS
+    syntax = ""
+
+    def even(length: int, path: str) -> int:
+        if length % 2 and odd == "fail":
+            raise DecodeError(f"{path} has an odd length")
+        return length + (length % 2 if odd == "next_even" else 0)
 
     def header(at: int) -> tuple[int, str, int, int]:
         """(tag, vr, length, where the value begins)."""
@@ -81,21 +105,49 @@ def decode(data: bytes, explicit: bool = True, until: int | None = None) -> Iter
             return tag, vr, struct.unpack_from("<I", data, at + 8)[0], at + 12
         return tag, vr, struct.unpack_from("<H", data, at + 6)[0], at + 8
 
+    def fragments(at: int) -> tuple[list[str], int]:
+        """(hex of each item, where the sequence ends)."""
+        found = []
+        while True:
+            tag, _, length, start = header(at)
+            if tag == SEQUENCE_END:
+                return found, start
+            if tag != ITEM or start + length > len(data):
+                raise DecodeError("no fragment")
+            found.append(data[start : start + length].hex())
+            at = start + length
+
     def elements(at: int, end: int, prefix: str) -> Iterator[tuple]:
+        nonlocal charset, data, explicit, in_meta, syntax
         while at < end:
+            if in_meta and not prefix and struct.unpack_from("<H", data, at)[0] != 2:
+                in_meta, explicit = False, syntax != IMPLICIT
+                if syntax == DEFLATED:
+                    data = data[:at] + inflate(data[at:])
+                    end = len(data)
             tag, vr, length, start = header(at)
             if tag in (ITEM_END, SEQUENCE_END):
                 return start
             if not prefix and until is not None and tag >= until:
                 return end
             path = f"{prefix}({tag >> 16:04X},{tag & 0xFFFF:04X})"
+            if tag == PIXEL_DATA and length == UNDEFINED:
+                values, at = fragments(start)
+                yield path, tag, "OB", values
+                continue
             if vr == "SQ" or length == UNDEFINED:
                 yield path, tag, "SQ", []
                 at = yield from items(start, start + length if length != UNDEFINED else end, path)
                 continue
+            length = even(length, path)
             if start + length > end:
                 raise DecodeError(f"{path} runs over the end")
-            yield path, tag, vr, _values(vr, data[start : start + length])
+            values = _values(vr, data[start : start + length], charset)
+            yield path, tag, vr, values
+            if tag == CHARSET and values:
+                charset = charset_of(values[0]) or charset
+            if tag == TRANSFER_SYNTAX and values:
+                syntax = values[0]
             at = start + length
         return at
 
@@ -130,8 +182,9 @@ def encode(rows: list[tuple[str, int, str, list[str]]], explicit: bool = True) -
             held[2].setdefault(int(head[head.index("[") + 1 : -1]), []).append((rest, tag, vr, values))
     for tag in sorted(roots):
         vr, values, nested = roots[tag]
-        body = b"" if vr == "SQ" else _bytes(vr, values)
-        length = UNDEFINED if vr == "SQ" else len(body)
+        encapsulated = tag == PIXEL_DATA and len(values) > 1
+        body = b"" if vr == "SQ" or encapsulated else _bytes(vr, values)
+        length = UNDEFINED if vr == "SQ" or encapsulated else len(body)
         out += struct.pack("<HH", tag >> 16, tag & 0xFFFF)
         if not explicit:
             out += struct.pack("<I", length)
@@ -140,6 +193,11 @@ def encode(rows: list[tuple[str, int, str, list[str]]], explicit: bool = True) -
         else:
             out += vr.encode() + struct.pack("<H", length)
         out += body
+        if encapsulated:
+            for fragment in map(bytes.fromhex, values):
+                padded = fragment + b"\0" * (len(fragment) % 2)
+                out += struct.pack("<HHI", 0xFFFE, 0xE000, len(padded)) + padded
+            out += struct.pack("<HHI", 0xFFFE, 0xE0DD, 0)
         if vr == "SQ":
             for n in sorted(nested):
                 out += struct.pack("<HHI", 0xFFFE, 0xE000, UNDEFINED) + encode(nested[n], explicit) + struct.pack("<HHI", 0xFFFE, 0xE00D, 0)
@@ -147,7 +205,7 @@ def encode(rows: list[tuple[str, int, str, list[str]]], explicit: bool = True) -
     return bytes(out)
 
 
-def decode_datasets(rows: DataFrame, instance: str, column: str, explicit: bool = True, until: int | None = None) -> DataFrame:
+def decode_datasets(rows: DataFrame, instance: str, column: str, explicit: bool | None = True, until: int | None = None, odd: str = "accept") -> DataFrame:
     """Elements of the data sets in a binary column. Bytes that are no data set give one row with a NULL path."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,8 +213,8 @@ def decode_datasets(rows: DataFrame, instance: str, column: str, explicit: bool
             out: list[tuple] = []
             for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
-                    out += [(key, *e) for e in decode(data or b"", explicit, until)]
-                except (DecodeError, struct.error):
+                    out += [(key, *e) for e in decode(data or b"", explicit, until, odd)]
+                except (DecodeError, struct.error, zlib.error):
                     out.append((key, None, None, None, None))
             columns = zip(*out, strict=True) if out else [()] * 5
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.list_(pa.string()))
@@ -165,6 +223,23 @@ def decode_datasets(rows: DataFrame, instance: str, column: str, explicit: bool
     return rows.select(F.col(instance).cast("long"), F.col(column)).mapInArrow(run, ELEMENTS)
 
 
+def read_files(spark: SparkSession, path: str, until: int | None = None, odd: str = "accept") -> DataFrame:
+    """(file, path, tag, vr, values) of all files under a folder, in any form; a file that is no data set has one row with a NULL path.
+
+    Files are dealt to tasks whole, by Spark's own reader; elements from ``until`` on are not decoded.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.xxhash64("path").alias("instance"), F.col("path").alias("file"), "content")
+    names = files.select("instance", "file")
+    return decode_datasets(files, "instance", "content", None, until, odd).join(names, "instance").select("file", "path", "tag", "vr", "values")
+
+
+def write_file(elements: list[tuple[str, int, str, list[str]]], explicit: bool = True) -> bytes:
+    """A file's bytes: preamble, magic, meta table and data set."""
+    syntax = "1.2.840.10008.1.2.1" if explicit else IMPLICIT
+    meta = encode([("(0002,0010)", TRANSFER_SYNTAX, "UI", [syntax])])
+    return b"\0" * 128 + MAGIC + encode([("(0002,0000)", 0x00020000, "UL", [str(len(meta))])]) + meta + encode(elements, explicit)
+
+
 def encode_datasets(elements: DataFrame, explicit: bool = True) -> DataFrame:
     """(instance, data): a data set's elements meet in one row, and rows are encoded in Arrow batches."""
     grouped = elements.groupBy("instance").agg(F.array_sort(F.collect_list(F.struct("path", "tag", "vr", "values"))).alias("e"))

@@ -29,6 +29,36 @@ def test_nested_round_trip():
     assert [b[0] for b in codec.decode(b"\0" * 128 + b"DICM" + codec.encode(NESTED), until=0x00280010)] == ["(0008,0060)", "(0010,0010)"]
 
 
+def test_forms():
+    """A file says its own form; pixel fragments stay apart; text follows the declared character set."""
+    pixels = [("(7FE0,0010)", 0x7FE00010, "OB", ["", "aabb", "cc00"])]
+    for explicit in (True, False):
+        back = list(codec.decode(codec.write_file(NESTED[:2] + pixels, explicit), None))
+        assert [b[0] for b in back] == ["(0002,0000)", "(0002,0010)", "(0008,0060)", "(0010,0010)", "(7FE0,0010)"]
+        assert back[-1][3] == ["", "aabb", "cc00"]
+    assert list(codec.decode(codec.encode(NESTED[:2], False), None)) == NESTED[:2]
+    latin = codec.encode([("(0008,0005)", 0x00080005, "CS", ["ISO_IR 100"])]) + b"\x10\x00\x10\x00PN\x04\x00J\xf6rg"
+    assert list(codec.decode(latin))[-1][3] == ["Jörg"]
+
+
+def test_odd_lengths():
+    data = b"\x08\x00\x60\x00CS\x03\x00CTx" + codec.encode(NESTED[1:2])
+    assert [e[0] for e in codec.decode(data)] == ["(0008,0060)", "(0010,0010)"]
+    with pytest.raises(codec.DecodeError):
+        list(codec.decode(data, odd="fail"))
+
+
+def test_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "a").write_bytes(codec.write_file(NESTED))
+    (tmp_path / "in" / "b").write_bytes(codec.write_file(NESTED[:2], False))
+    (tmp_path / "c.txt").write_bytes(b"no data set at all, just text of some length" * 9)
+    rows = codec.read_files(spark, f"file://{tmp_path}", until=0x00280010).collect()
+    assert sorted((r.file[-1], r.path) for r in rows) == [(f, p) for f in "ab" for p in ("(0002,0000)", "(0002,0010)", "(0008,0060)", "(0010,0010)")]
+    broken = codec.read_files(spark, f"file://{tmp_path}").where("path IS NULL").collect()
+    assert [r.file[-5:] for r in broken] == ["c.txt"]
+
+
 def test_frames_of_data_sets(spark):
     rows = [(1, *n) for n in NESTED] + [(2, "(0010,0010)", 0x00100010, "PN", [])]
     data = codec.encode_datasets(spark.createDataFrame(rows, ELEMENTS))
