@@ -12,7 +12,7 @@ from imgframe.llm.common import shared_folder
 from imgframe.llm.decontaminate import decontaminate
 from imgframe.llm.line_dedup import dedup_lines
 from imgframe.llm.near_dedup import near_duplicates
-from imgframe.llm.piece_viterbi import decode_pieces, encode_pieces
+from imgframe.llm.piece_viterbi import encode_pieces
 from imgframe.llm.toxicity import fit_on_documents, score_toxicity
 
 #: File of a public tokenizer.
@@ -53,8 +53,7 @@ def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with the piece ids of their texts, their number, and whether decoding gives the text back."""
-    both = decode_pieces(encode_pieces(docs.select(*COLUMNS), PIECES), PIECES)
-    return both.select("doc_id", "lang", "source", "n_chars", "n_pieces", "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"))
+    return encode_pieces(docs.select(*COLUMNS), PIECES, verify=True).select("doc_id", "lang", "source", "n_chars", "n_pieces", "ids", "exact")
 
 
 STAGES = [

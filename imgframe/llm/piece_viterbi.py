@@ -18,7 +18,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import steps
 
@@ -120,22 +119,28 @@ def piece_model(path: str) -> PieceModel:
     return PieceModel(path)
 
 
-def encode_pieces(docs: DataFrame, model: str, column: str = "text") -> DataFrame:
+def encode_pieces(docs: DataFrame, model: str, column: str = "text", verify: bool = False) -> DataFrame:
     """``docs`` with ids array<int> and n_pieces long of the whole text in ``column``.
 
-    Defined cases: a null or empty text has no pieces (ids is an empty array); existing ids or n_pieces columns
-    are replaced; all other columns and repeated rows are passed on; no rows in, no rows out.
+    verify: also exact boolean, whether decoding the ids gives the text back, worked out in the same task.
+
+    Defined cases: a null or empty text has no pieces (ids is an empty array); existing ids, n_pieces and, to
+    verify, exact columns are replaced; all other columns and repeated rows are passed on; no rows in, no rows out.
     """
-    docs = docs.drop("ids", "n_pieces")
+    docs = docs.drop("ids", "n_pieces", *["exact"] * verify)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = piece_model(model).encode
+        held = piece_model(model)
         for batch in steps(batches, column):
-            ids = [encode(text) for text in batch.column(column).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64())], [*batch.schema.names, "ids", "n_pieces"])
+            texts = batch.column(column).to_pylist()
+            ids = [held.encode(text) for text in texts]
+            new = {"ids": pa.array(ids, pa.list_(pa.int32())), "n_pieces": pa.array(map(len, ids), pa.int64())}
+            if verify:
+                new["exact"] = pa.array([held.decode(own.tolist()) == (text or "") for own, text in zip(ids, texts, strict=True)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new.values()], [*batch.schema.names, *new])
 
-    return docs.mapInArrow(run, f"{schema}, ids array<int>, n_pieces long")
+    return docs.mapInArrow(run, f"{schema}, ids array<int>, n_pieces long" + ", exact boolean" * verify)
 
 
 def decode_pieces(encoded: DataFrame, model: str, to: str = "decoded") -> DataFrame:
@@ -155,6 +160,5 @@ def decode_pieces(encoded: DataFrame, model: str, to: str = "decoded") -> DataFr
 
 
 def piece_digests(docs: DataFrame, model: str) -> DataFrame:
-    """(doc_id, n_pieces, ids, exact): encoded, decoded again, and whether the text came back."""
-    both = decode_pieces(encode_pieces(docs.select("doc_id", "text"), model), model)
-    return both.select("doc_id", "n_pieces", "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"))
+    """(doc_id, n_pieces, ids, exact): encoded, and whether decoding gave the text back."""
+    return encode_pieces(docs.select("doc_id", "text"), model, verify=True).select("doc_id", "n_pieces", "ids", "exact")
