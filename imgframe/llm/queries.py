@@ -64,7 +64,8 @@ URL_RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allo
 
 
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = judge_urls(table(spark, sf_dir, "pages"), page_outcomes(table(spark, sf_dir, "labels")), URL_RULES)
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    judged = judge_urls(pages, page_outcomes(pages, table(spark, sf_dir, "labels")), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 

@@ -122,7 +122,17 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule], thr
     return joined.select("page_id", "host", "path", F.concat(rule.host, rule.path).alias("rule"), verdict.alias("verdict"), "bound")
 
 
-def page_outcomes(labels: DataFrame) -> DataFrame:
-    """(page_id, bad) from labels (doc_id, quality, toxic), the doc_id being the page's: bad if of low quality or toxic; unlabelled in both is left out."""
+def doc_of(url: Column) -> Column:
+    """The number of the document that a url's path ends in, as ``/en/7``, ``/en/7/`` or ``/en/7.html``; null for any other path."""
+    return F.regexp_extract(path_of(url), r"^/[^/]+/([0-9]{1,18})(?:\.[A-Za-z]+)?/?$", 1).try_cast("long")
+
+
+def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """(page_id, bad) of ``pages`` (page_id, url) from labels (doc_id, quality, toxic) of the document in a page's url: bad if of low quality or toxic.
+
+    Pages without a document, and labels that are null in both, have no outcome; a repeated row counts as one page.
+    """
     bad = (F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))).cast("int")
-    return labels.where("quality IS NOT NULL OR toxic IS NOT NULL").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
+    known = labels.where("quality IS NOT NULL OR toxic IS NOT NULL").select("doc_id", bad.alias("bad"))
+    documents = pages.select("page_id", doc_of(F.col("url")).alias("doc_id")).where("page_id IS NOT NULL AND doc_id IS NOT NULL").distinct()
+    return documents.join(known, "doc_id").select("page_id", "bad")

@@ -1,6 +1,7 @@
 import math
 
-from imgframe.llm.url_reputation import judge_urls
+from imgframe.llm.queries import op7_urls
+from imgframe.llm.url_reputation import judge_urls, page_outcomes
 
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "spam.org", ""))
 
@@ -54,3 +55,20 @@ def test_shrinking(spark):
 
 def test_no_rows(spark):
     assert judged(spark, [], [(1, 1)]) == {}
+
+
+def test_outcomes_are_of_the_document_in_the_url(spark):
+    urls = ["https://a.net/en/70?x=1", "https://a.net/en/71.html", "https://a.net/en/72/#top", "https://a.net/en/73", "https://a.net/about", "https://a.net/en/70/more", None]
+    pages = spark.createDataFrame([*enumerate(urls), (0, urls[0])], "page_id long, url string")
+    labels = spark.createDataFrame([(70, 0, None), (71, 1, 1), (72, 1, 0), (73, None, None), (4, 0, 1), (5, 0, 1), (6, 0, 1)], "doc_id long, quality int, toxic int")
+    assert sorted(tuple(r) for r in page_outcomes(pages, labels).collect()) == [(0, 1), (1, 1), (2, 0)]
+
+
+def test_labels_that_differ_by_host_block_it(spark, tmp_path):
+    """All documents of one host are bad, those of the others good; by page_id the labels would be of unrelated documents."""
+    pages = [(i, f"https://{'www.bad.net' if i % 5 == 0 else f'www.good{i % 5}.net'}/en/{1000 - i}") for i in range(200)]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    labels = [(1000 - i, int(i % 5 > 0), 0) for i in range(200)] + [(i, int(i % 5 != 1), 0) for i in range(200)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    verdicts = {(r.host, r.verdict) for r in op7_urls(spark, str(tmp_path)).collect()}
+    assert verdicts == {("www.bad.net", "block"), *((f"www.good{i}.net", "allow") for i in range(1, 5))}
