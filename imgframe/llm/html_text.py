@@ -5,12 +5,14 @@
    begin or end, blank lines are left; the bounds of an article leave a whole window of them.
 2. A line weighs as many characters as it has outside links. The weights of ``WINDOW`` lines from each line on are
    summed.
-3. A surge is where the sum rises to ``SURGE``; a dive is where it falls to nothing again. Text between a surge and
-   its dive is kept whole, short lines too. Runs that never surge are dropped, unless no run does; then the
-   heaviest is kept.
-
-Where a page marks its article (``article``, ``main`` or the same by role), surge and dive are looked for inside of
-it, and any text surges there.
+3. A surge is the first line from which the sum reaches ``SURGE``, without lines of links alone; headings right before
+   it, and short lines with no bound of a container between, belong to it. A dive is the last line before the sum falls to nothing. Text between a surge and its dive is kept
+   whole, short lines too; other text is dropped, unless nothing surges; then the heaviest run of lines is kept.
+
+Where a page marks its article (``article``, ``main`` or the same by role), the marks replace surge and dive: all of
+its lines are kept, as short articles never surge and a sum can't tell their lines from others.
+A form that holds most of the weight of a page without such marks goes round the page and is kept; so is any other
+container that does, if nothing beside it surges.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import html
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -125,12 +128,15 @@ def reason(name: str, attributes: str) -> str:
     return ""
 
 
-def page_lines(page: str) -> tuple[list[tuple[int, str, int]], list[Element]]:
-    """Lines (place, text, weight) of all of a page, and the elements that may be skipped or kept.
+Line = tuple[int, str, int, bool]
+
+
+def page_lines(page: str) -> tuple[list[Line], list[Element]]:
+    """Lines (place, text, weight, whether of a heading) of all of a page, and the elements that may be skipped or kept.
 
     A place is a line or a blank line; elements have the places of their content, first to last.
     """
-    lines: list[tuple[int, str, int]] = []
+    lines: list[Line] = []
     marked: list[Element] = []
     stack: list[Element] = []
     text: list[str] = []
@@ -141,7 +147,7 @@ def page_lines(page: str) -> tuple[list[tuple[int, str, int]], list[Element]]:
         if text:
             whole = " ".join(html.unescape("".join(text)).split())
             if whole:
-                lines.append((place, whole, min(loose, len(whole))))
+                lines.append((place, whole, min(loose, len(whole)), any(e.name in HEADINGS for e in stack[-3:])))
                 place += 1
             text.clear()
         loose = 0
@@ -209,32 +215,48 @@ def page_lines(page: str) -> tuple[list[tuple[int, str, int]], list[Element]]:
     return lines, marked
 
 
-def surges(lines: list[tuple[int, str, int]], surge: int) -> list[tuple[int, str, int]]:
-    """The lines between a surge and its dive; those of the heaviest run if none surges.
-
-    A run dives where a whole window of places has no line. It has surged if the weights of a window in it reach
-    ``surge``.
-    """
-    runs: list[list[tuple[int, str, int]]] = []
+def surges(lines: list[Line], surge: int) -> list[Line]:
+    """The lines from each surge to its dive; none if none surges."""
+    sums, high = [], 0
+    total = 0
+    for place, _, weight, _ in lines:
+        while high < len(lines) and lines[high][0] < place + WINDOW:
+            total += lines[high][2]
+            high += 1
+        sums.append(total)
+        total -= weight
+    kept: list[Line] = []
+    i = done = 0
+    while i < len(lines):
+        if sums[i] < surge:
+            i += 1
+            continue
+        while not lines[i][2]:
+            i += 1
+        first = last = i
+        while first > done:
+            place, _, weight, heading = lines[first - 1]
+            if lines[first][0] - place > (WINDOW if heading else 1 if weight else 0):
+                break
+            first -= 1
+        # The sum from the place after a line is nothing where the next line with weight is over a window away.
+        while i < len(lines) and lines[i][0] - lines[last][0] <= WINDOW:
+            if lines[i][2]:
+                last = i
+            i += 1
+        kept += lines[first : last + 1]
+        i = done = last + 1
+    return kept
+
+
+def heaviest_run(lines: list[Line]) -> list[Line]:
+    """The heaviest of the runs of lines between whole windows of places without a line."""
+    runs: list[list[Line]] = []
     for line in lines:
         if not runs or line[0] - runs[-1][-1][0] > WINDOW:
             runs.append([])
         runs[-1].append(line)
-
-    def peak(run: list[tuple[int, str, int]]) -> int:
-        highest = total = low = 0
-        for place, _, weight in run:
-            total += weight
-            while run[low][0] <= place - WINDOW:
-                total -= run[low][2]
-                low += 1
-            highest = max(highest, total)
-        return highest
-
-    kept = [run for run in runs if peak(run) >= surge]
-    if runs and not kept:
-        kept = [max(runs, key=lambda run: sum(weight for *_, weight in run))]
-    return [line for run in kept for line in run]
+    return max(runs, key=lambda run: sum(x[2] for x in run), default=[])
 
 
 def main_text(page: str | None) -> str:
@@ -261,18 +283,26 @@ def main_text(page: str | None) -> str:
         if e.why == "header" and inside(e, ("main",)):
             own_headers.append(e)
             continue
-        gone.append((e.first, e.last))
-    skip = [False] * len(lines)
-    for first, last in gone:
-        for i in range(bisect_right(at, first - 1), bisect_right(at, last)):
-            skip[i] = True
-    for e in own_headers:
-        # An article's own header keeps its first line, the title, and loses bylines and the like.
-        for i in range(bisect_right(at, e.first - 1) + 1, bisect_right(at, e.last)):
-            skip[i] = True
-
-    def of(e: Element) -> list[tuple[int, str, int]]:
-        return [lines[i] for i in range(bisect_right(at, e.first - 1), bisect_right(at, e.last)) if not skip[i]]
+        gone.append(e)
+
+    def held(e: Element) -> range:
+        return range(bisect_right(at, e.first - 1), bisect_right(at, e.last))
+
+    def skipped(elements: list[Element]) -> list[bool]:
+        skip = [False] * len(lines)
+        for e in elements:
+            for i in held(e):
+                skip[i] = True
+        for e in own_headers:
+            # An article's own header keeps its first line, the title, and loses bylines and the like.
+            for i in held(e)[1:]:
+                skip[i] = True
+        return skip
+
+    skip = skipped(gone)
+
+    def of(e: Element) -> list[Line]:
+        return [lines[i] for i in held(e) if not skip[i]]
 
     candidates = [e for e in mains if not inside(e, ("comment",))]
     if candidates:
@@ -281,19 +311,32 @@ def main_text(page: str | None) -> str:
         best = max(candidates, key=lambda e: (weight[id(e)], -e.first))
         inner = [e for e in candidates if e is not best and any(p is best for p in ancestors(e)) and 2 * weight[id(e)] > weight[id(best)]]
         best = min([best, *inner], key=lambda e: (weight[id(e)], e.first)) if inner else best
-        if own := of(best):  # marked as the article: any run in it counts as one that surges
-            return "\n\n".join(x[1] for x in surges(own, 0))
-    # Places that what was skipped took, its bounds too, are closed up: an advert is no dive of the text around it.
-    left, closed_up, past, ranges = [], 0, -1, sorted(gone)
-    for line, s in zip(lines, skip, strict=True):
-        while ranges and ranges[0][1] < line[0]:
-            first, last = ranges.pop(0)
-            if last > past:
-                closed_up += last - max(first, past + 1) + 1 + (2 if first > past else 0)
-                past = last
-        if not s:
-            left.append((line[0] - closed_up, *line[1:]))
-    return "\n\n".join(x[1] for x in surges(left, SURGE))
+        if own := of(best):
+            return "\n\n".join(x[1] for x in own)
+
+    def left(elements: list[Element]) -> list[Line]:
+        # Places that what was skipped took, its bounds too, are closed up: an advert is no dive of the text around it.
+        out, closed_up, past, ranges = [], 0, -1, sorted((e.first, e.last) for e in elements)
+        for line, s in zip(lines, skipped(elements), strict=True):
+            while ranges and ranges[0][1] < line[0]:
+                first, last = ranges.pop(0)
+                if last > past:
+                    closed_up += last - max(first, past + 1) + 1 + (2 if first > past else 0)
+                    past = last
+            if not s:
+                out.append((line[0] - closed_up, *line[1:]))
+        return out
+
+    # Hidden text and comments are no part of a page's weight.
+    unseen = skipped([e for e in gone if e.why in ("hidden", "comment")])
+    shown = [0, *accumulate(0 if u else x[2] for x, u in zip(lines, unseen, strict=True))]
+    most = {id(e) for e in gone if e.why in ("tag", "name") and 2 * (shown[held(e).stop] - shown[held(e).start]) > shown[-1]}
+    narrow = [e for e in gone if not (id(e) in most and e.name == "form")]
+    kept = surges(left(narrow), SURGE)
+    if not kept:
+        narrow = [e for e in gone if not (id(e) in most and (e.name == "form" or e.why == "name"))]
+        kept = surges(left(narrow), SURGE) or heaviest_run(left(narrow))
+    return "\n\n".join(x[1] for x in kept)
 
 
 def ancestors(e: Element) -> Iterator[Element]:

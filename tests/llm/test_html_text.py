@@ -60,6 +60,32 @@ def test_links_weigh_nothing():
     assert main_text(f"<div><ul>{links}</ul></div><div></div><div><div><p>{LONG}</p></div></div>") == LONG
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        # A notice and a menu right before, and links right after, are outside of surge and dive; a title is not.
+        (f"<div>We use biscuits.</div><div><h1>T</h1></div><div><p>{LONG}</p><p>End.</p></div>", f"T\n\n{LONG}\n\nEnd."),
+        (f"<ul><li><a>One</a><li><a>Two</a><li><a>Three</a></ul><h1><a>T</a></h1><p>{LONG}<ul><li><a>Four</a><li><a>Five</a></ul>", f"T\n\n{LONG}"),
+        # Short lines of the same container belong to the article.
+        (f"<div>Home</div><div><p>a</p><p>b</p><p>c</p><p>d</p><p>{LONG}</p></div>", f"a\n\nb\n\nc\n\nd\n\n{LONG}"),
+        # A form around all of a page, and a container that a class names like a widget, hold the article.
+        (f"<form><nav><a>Menu</a></nav><div><h1>T</h1><p>{LONG}</p></div><footer>c</footer></form>", f"T\n\n{LONG}"),
+        (f"<div class='widget'><p>{LONG}</p></div><footer>c</footer>", LONG),
+        # But neither where the article is beside them.
+        (f"<form><p>Mail address</p></form><div><p>{LONG}</p></div>", LONG),
+        (f"<div class='cookie'><p>{LONG} {LONG} {LONG}</p></div><div><p>{LONG}</p></div>", LONG),
+    ],
+)
+def test_pages_without_marks(page, text):
+    assert main_text(page) == text
+
+
+def test_short_articles_that_are_marked_are_whole():
+    """Below any surge, and with links that would be a dive: the marks decide."""
+    links = "".join("<li><a>x</a></li>" for _ in range(5))
+    assert main_text(f"<p>{LONG}</p><article><p>a</p><ul>{links}</ul><p>b</p></article>") == "\n\n".join("a" + "x" * 5 + "b")
+
+
 def test_frames(spark):
     rows = [(1, None, "own", "x"), (1, None, "own", "x"), (2, "", "own", "x"), (None, "<p>" + "word " * 200_000, "own", "x")]
     out = extract_main_text(spark.createDataFrame(rows, "page_id long, html string, text string, other string"))
