@@ -75,6 +75,20 @@ def value_to_str(spark, sf_dir):
     return _words(spark, sf_dir).select("doc_id", values.to_str(w).alias("joined"), F.size(values.to_multi_str(F.col("w"))).cast("long").alias("n"))
 
 
+WHOLE_WORDS_SQL = "string_split(replace(text, chr(10), ' '), ' ')"
+
+
+def _whole_words(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.split(F.translate("text", "\n", " "), " ").alias("w"))
+
+
+@query(f"""SELECT doc_id, array_to_string({WHOLE_WORDS_SQL}, chr(92)) AS joined, len(string_split(array_to_string({WHOLE_WORDS_SQL}, chr(92)), chr(92))) AS n FROM documents""")
+def value_to_str_whole(spark, sf_dir):
+    """``value_to_str`` over whole texts."""
+    w = F.transform("w", lambda x: F.concat(x, F.lit("  \u0000")))
+    return _whole_words(spark, sf_dir).select("doc_id", values.to_str(w).alias("joined"), F.size(values.to_multi_str(F.col("w"))).cast("long").alias("n"))
+
+
 @query("SELECT p_partkey, p_brand, p_partkey % 3 <> 2 AS same FROM part")
 def value_eq(spark, sf_dir):
     other = F.when(F.col("p_partkey") % 3 == 0, F.concat("p_brand", F.lit(" "))).when(F.col("p_partkey") % 3 == 1, F.concat("p_brand", F.lit("\u0000"))).otherwise(F.concat(F.lit(" "), "p_brand"))
@@ -113,6 +127,12 @@ def value_bytelen(spark, sf_dir):
     return _words(spark, sf_dir).select("doc_id", values.multiplicity(F.col("w")).alias("vm"), values.text_byte_length(F.col("w")).alias("n_bytes"))
 
 
+@query(f"""SELECT doc_id, CAST(len({WHOLE_WORDS_SQL}) AS BIGINT) AS vm, CAST((strlen(array_to_string({WHOLE_WORDS_SQL}, chr(92))) + 1) // 2 * 2 AS BIGINT) AS n_bytes FROM documents""")
+def value_bytelen_whole(spark, sf_dir):
+    """``value_bytelen`` over whole texts."""
+    return _whole_words(spark, sf_dir).select("doc_id", values.multiplicity(F.col("w")).alias("vm"), values.text_byte_length(F.col("w")).alias("n_bytes"))
+
+
 @query("SELECT vec_id, CAST(len(embedding) AS BIGINT) AS vm, CAST(len(embedding) * 4 AS BIGINT) AS n_bytes, 16 AS n_first, len(embedding) + 2 AS n_more FROM embeddings")
 def value_truncate_extend(spark, sf_dir):
     e = F.col("embedding")
