@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tags
@@ -93,11 +93,14 @@ def _apply(elements: DataFrame, op: Operation) -> DataFrame:
     return changed.unionByName(new)
 
 
-def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
-    """All elements of both, those of ``new`` in place of the same of ``old``."""
+def upsert(old: DataFrame, new: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+    """All elements of both, those of ``new`` in place of the same of ``old``.
+
+    Of several of one instance and path on the same side, the last by the columns ``order`` of both stands; of equal
+    ones, the largest by tag, representation and values.
+    """
     rows = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    rank = F.row_number().over(Window.partitionBy("instance", "path").orderBy(F.desc("_new")))
-    return rows.withColumn("_rank", rank).where("_rank = 1").drop("_rank", "_new")
+    return latest(rows, ["instance", "path"], ["_new", *order, "tag", "vr", "values"]).drop("_new", *order)
 
 
 def latest(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import tags
 from ..operators import elements as E
 from ..operators import negotiation as N
 from ..operators.dictionary import TRANSFER_SYNTAXES, transfer_syntaxes
@@ -53,6 +54,19 @@ def upsert_extend(spark, sf_dir):
     return _texts(E.upsert(rows(ids, "old"), rows(ids.where("instance < 25"), "new"))).drop("vr")
 
 
+@query("""SELECT user_id AS instance, path, 'DS' AS vr, printf('%.2f', value) AS text
+FROM (SELECT *, '(001' || CAST(regexp_extract(props, '[0-9]+') AS BIGINT) // 25 * 2 || ',' || lpad(CAST(ascii(event_type) AS VARCHAR), 4, '0') || ')' AS path FROM events)
+QUALIFY row_number() OVER (PARTITION BY user_id, path ORDER BY event_id % 10 = 0 DESC, ts DESC, event_id DESC) = 1""")
+def upsert_events(spark, sf_dir):
+    """Each event is an element of its user; every tenth is new. The last new one of a path stands, else the last old one."""
+    group = F.floor(F.regexp_extract("props", "[0-9]+", 0).cast("long") / 25) * 2
+    path = F.concat(F.lit("(001"), group, F.lit(","), F.lpad(F.ascii("event_type"), 4, "0"), F.lit(")"))
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("instance"), path.alias("path"), F.lit("DS").alias("vr"), F.array(F.format_string("%.2f", "value")).alias("values"), "ts", "event_id")
+    rows = rows.withColumn("tag", tags.parse_tag(F.col("path")))
+    new = F.col("event_id") % 10 == 0
+    return _texts(E.upsert(rows.where(~new), rows.where(new), ["ts", "event_id"]))
+
+
 @query("SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def store_last_write_wins(spark, sf_dir):
     return E.latest(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", "value"), ["user_id"], ["ts", "event_id"]).drop("ts")
