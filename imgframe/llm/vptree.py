@@ -1,11 +1,18 @@
 """Nearest neighbours by largest inner product: vantage-point trees per shard.
 
-Inner products become distances by one more component: with M the largest norm, (x, sqrt(M^2 - |x|^2)) and (q, 0)
-are at the squared distance |q|^2 + M^2 - 2 q.x, so nearest in distance is largest in inner product. Vectors are
-dealt into shards by id, each shard's tree is a row of a table, and blocks of queries stream past one tree at a
-time. A subtree is skipped where the triangle inequality says that it is further than the k-th best so far:
-``distance to the vantage point - outer bound > k-th best / factor`` or the same inwards. Factor one searches
-exactly; a larger factor skips more.
+Inner products become distances by one more component: with M a shard's largest norm, (x, sqrt(M^2 - |x|^2)) and
+(q, 0) are at the squared distance |q|^2 + M^2 - 2 q.x, so nearest in distance is largest in inner product. What is
+further than the k-th best so far by the triangle inequality is skipped: a subtree, or a whole shard. Factor one
+searches exactly; a larger factor skips more.
+
+Shards: vectors of one length and of norms within a power of two go together, so that a long vector sets no scale but
+its own, and are dealt by vantage points of a bounded sample to leaves of near ones; a leaf with many rows, as copies
+of one vector, is split by id. A query is searched in its own shard first; what it finds there tells which of the
+other shards, each known by a centre, a radius and its largest norm, may hold better ones, and only to these it goes.
+
+Distances only decide what is skipped, with a margin for their rounding; what is kept is compared by inner products,
+added up component by component in double precision. Vectors are scaled by powers of two, which changes no digit, so
+that no square overflows.
 """
 
 from __future__ import annotations
@@ -21,24 +28,45 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 LEAF = 256
-#: Vectors of a shard, about; with 64 components a tree has some 10 MB.
+#: Vectors of a shard, at most; with 64 components a tree has some 10 MB.
 SHARD_ROWS = 16_384
+#: Vectors that choose the vantage points of shards, at most; every vector is put in a shard.
+SAMPLE_ROWS = 8_192
+#: Shards whose centres are broadcast, at most (one vector each); beyond, every query goes to every shard of its length.
+BROADCAST_SHARDS = 50_000
+
+ROUNDING = 16 * np.finfo(float).eps
+
+
+def scaled(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows divided by powers of two so that the largest component of each is in [0.5, 1), and the exponents."""
+    exponents = np.frexp(np.abs(vectors).max(axis=1))[1]
+    return np.ldexp(vectors, -exponents[:, None]), exponents
+
+
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The inner product of each row of one with that of the other, added up component by component as others do."""
+    return np.cumsum(a * b, axis=1)[:, -1]
 
 
 class VPTree:
-    """A vantage-point tree over rows of ``points``; leaves hold up to ``LEAF`` rows.
+    """A vantage-point tree; leaves hold up to ``LEAF`` rows.
 
-    nodes: (vantage row, first row, end row, inner radius bounds, left, right) with rows in tree order.
+    nodes: (vantage point, first row, end row, least and largest distance on the inner and the outer side, left,
+    right) with rows in tree order. Lengths are in units of 2 ** exponent.
     """
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, largest: float):
-        self.largest = largest
-        norms = np.einsum("ij,ij->i", vectors, vectors)
-        points = np.concatenate([vectors, np.sqrt(np.maximum(largest**2 - norms, 0))[:, None]], axis=1)
-        order, self.nodes = np.arange(len(ids)), []
-        random = np.random.default_rng(len(ids))
-        self._grow(points, order, 0, len(ids), random)
-        self.ids, self.vectors, self.points = ids[order], vectors[order], points[order]
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        self.exponent = int(np.frexp(np.abs(vectors).max())[1])
+        unit = np.ldexp(vectors, -self.exponent)
+        norms = np.einsum("ij,ij->i", unit, unit)
+        self.largest = float(np.sqrt(norms.max()) * (1 + ROUNDING * unit.shape[1]))
+        points = np.concatenate([unit, np.sqrt(np.maximum(self.largest**2 - norms, 0))[:, None]], axis=1)
+        order, self.nodes, self.compared = np.arange(len(ids)), [], 0
+        self.centre = points.mean(axis=0)
+        self.radius = float(np.sqrt(((points - self.centre) ** 2).sum(axis=1).max()))
+        self._grow(points, order, 0, len(ids), np.random.default_rng(len(ids)))
+        self.ids, self.vectors = ids[order], unit[order]
 
     def _grow(self, points: np.ndarray, order: np.ndarray, a: int, b: int, random) -> int:
         place = len(self.nodes)
@@ -47,7 +75,7 @@ class VPTree:
             self.nodes[place] = (None, a, b, 0.0, 0.0, 0.0, 0.0, -1, -1)
             return place
         vantage = points[order[random.integers(a, b)]].copy()
-        far = np.sqrt(np.maximum(((points[order[a:b]] - vantage) ** 2).sum(axis=1), 0))
+        far = np.sqrt(((points[order[a:b]] - vantage) ** 2).sum(axis=1))
         by = np.argsort(far, kind="stable")
         order[a:b], far = order[a:b][by], far[by]
         m = (b - a) // 2
@@ -56,116 +84,241 @@ class VPTree:
         self.nodes[place] = (vantage, a, b, far[0], far[m - 1], far[m], far[-1], left, right)
         return place
 
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query position, vec_id, score) of the up to ``k`` nearest of each query, the query's own id left out."""
-        n, wanted = len(queries), k + 1  # one more: the query's own row may be among them
-        q = np.concatenate([queries, np.zeros((n, 1))], axis=1)
-        norms = np.einsum("ij,ij->i", queries, queries)
-        best = np.full((n, wanted), np.inf)
-        rows = np.full((n, wanted), -1)
-        slack = 1e-9 * (1 + norms + self.largest**2)
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query position, vec_id, score) of the up to ``k`` nearest of each query with a score of its ``floor`` at least.
+
+        Rows with the query's own id are left out. ``compared`` counts the rows that a query's product was worked out for.
+        """
+        n = len(queries)
+        own, exponents = scaled(queries)
+        lift = exponents + self.exponent  # products in units of 2 ** lift
+        norms = np.einsum("ij,ij->i", own, own)
+        lengths = np.sqrt(norms)
+        margin = ROUNDING * (own.shape[1] + 2) * (lengths + self.largest)
+        slack = margin * (lengths + self.largest)
+        q = np.concatenate([own, np.zeros((n, 1))], axis=1)
+        worst = np.full(n, -np.inf) if floor is None else np.ldexp(np.minimum(floor, np.finfo(float).max), -lift)
+        best = np.full((n, k), -np.inf)
+        rows = np.full((n, k), -1)
+        last_id = np.iinfo(np.int64).max
 
         def leaf(a: int, b: int, who: np.ndarray) -> None:
-            squared = norms[who, None] + self.largest**2 - 2 * queries[who] @ self.vectors[a:b].T
-            near = np.concatenate([best[who], np.maximum(squared, 0)], axis=1)
-            at = np.concatenate([rows[who], np.broadcast_to(np.arange(a, b), squared.shape)], axis=1)
-            # By rounded distance, then id: equal vectors must tie, and ties go to smaller ids.
-            ids = np.where(at >= 0, self.ids[at], np.iinfo(np.int64).max)
-            first = np.lexsort((ids, np.round(near / slack[who, None])), axis=1)[:, :wanted] if near.shape[1] > wanted else np.argsort(near, axis=1)
-            best[who], rows[who] = np.take_along_axis(near, first, 1), np.take_along_axis(at, first, 1)
+            self.compared += len(who) * (b - a)
+            near = own[who] @ self.vectors[a:b].T >= (worst[who] - slack[who])[:, None]
+            near &= self.ids[a:b] != query_ids[who, None]
+            at, row = np.nonzero(near)
+            score = products(own[who[at]], self.vectors[a + row])
+            real = score >= worst[who[at]]
+            at, row, score = at[real], row[real] + a, score[real]
+            hit = np.unique(at)
+            if not len(hit):
+                return
+            held = who[hit]
+            at = np.concatenate([np.searchsorted(hit, at), np.repeat(np.arange(len(hit)), k)])
+            row, score = np.concatenate([row, rows[held].ravel()]), np.concatenate([score, best[held].ravel()])
+            ids = np.where(row >= 0, self.ids[row], last_id)
+            by = np.lexsort((ids, -score, at))
+            starts = np.searchsorted(at[by], np.arange(len(hit)))
+            first = by[starts[:, None] + np.arange(k)]
+            rows[held], best[held] = row[first], score[first]
+            worst[held] = np.maximum(worst[held], best[held, -1])
 
         def visit(place: int, who: np.ndarray) -> None:
             vantage, a, b, near, inner, outer, far, left, right = self.nodes[place]
             if vantage is None:
                 leaf(a, b, who)
                 return
-            d = np.sqrt(np.maximum(((q[who] - vantage) ** 2).sum(axis=1), 0))
+            d = np.sqrt(((q[who] - vantage) ** 2).sum(axis=1))
             inward = d <= (inner + outer) / 2
             for turn in (True, False):  # each query takes the side it is on first
                 for side, low, high, to in ((True, near, inner, left), (False, outer, far, right)):
-                    mine = who[inward == (turn == side)]
-                    dist = d[inward == (turn == side)]
-                    gap = np.maximum(np.maximum(low - dist, dist - high), 0)
-                    mine = mine[gap**2 * factor**2 <= best[mine, -1] + 2 * slack[mine]]
+                    chosen = inward == (turn == side)
+                    mine = who[chosen]
+                    gap = np.maximum(np.maximum(low - d[chosen], d[chosen] - high) - margin[mine], 0)
+                    mine = mine[(gap * factor) ** 2 <= norms[mine] + self.largest**2 - 2 * worst[mine] + slack[mine]]
                     if len(mine):
                         visit(to, mine)
 
         visit(0, np.arange(n))
         who, slot = np.nonzero(rows >= 0)
-        found = rows[who, slot]
-        keep = self.ids[found] != query_ids[who]
-        who, found = who[keep], found[keep]
-        scores = np.cumsum(queries[who] * self.vectors[found], axis=1)[:, -1]  # component by component, as others add it up
-        return who, self.ids[found], scores
+        return who, self.ids[rows[who, slot]], np.ldexp(best[who, slot], lift[who])
 
 
 def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
-    """(vec_id, vector array<double>) of rows that take part: with an id, and not null, zero or holding null or non-finite components."""
+    """(vec_id, vector array<double>, length, size) of what takes part: one row for each vec_id.
+
+    Rows without vec_id take no part, nor vectors that are null, zero, or hold null or non-finite components. Of
+    several different vectors of one vec_id the largest in array order stands. size: the exponent of the norm.
+    """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col(column).cast("array<double>").alias("vector"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return rows.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists("vector", lambda x: x != 0))
+    rows = rows.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists("vector", lambda x: x != 0))
+    top = F.array_max(F.transform("vector", F.abs))
+    norm = F.log2(top) + F.log2(F.aggregate("vector", F.lit(0.0), lambda s, x: s + (x / top) * (x / top))) / 2
+    return rows.groupBy("vec_id").agg(F.max("vector").alias("vector")).select("vec_id", "vector", F.size("vector").alias("length"), F.floor(norm).cast("int").alias("size"))
+
+
+def matrix_of(column: pa.Array, length: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, length)
+
+
+def runs(*columns: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(start, end) of the runs of rows that agree in all columns."""
+    change = np.zeros(max(0, len(columns[0]) - 1), bool)
+    for c in columns:
+        change |= c[1:] != c[:-1]
+    cuts = [0, *(np.flatnonzero(change) + 1).tolist(), len(columns[0])]
+    return ((a, b) for a, b in zip(cuts, cuts[1:], strict=False) if b > a)
+
+
+def _split(vectors: np.ndarray, leaf_rows: float, random, nodes: list) -> int:
+    """A tree of vantage points and distances over a sample: (vantage, distance, left, right), or (leaf,)."""
+    place = len(nodes)
+    nodes.append((place,))
+    if len(vectors) > max(leaf_rows, 1):
+        vantage = vectors[random.integers(len(vectors))]
+        far = np.sqrt(((vectors - vantage) ** 2).sum(axis=1))
+        middle = np.median(far)
+        if (far < middle).any():
+            nodes[place] = (vantage, middle, _split(vectors[far < middle], leaf_rows, random, nodes), _split(vectors[far >= middle], leaf_rows, random, nodes))
+    return place
 
 
-def build_trees(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(shard, tree): every row of ``vectors`` (vec_id, vector) is in the tree of its shard.
+def deal(rows: DataFrame, shard_rows: int = SHARD_ROWS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """``rows`` of ``usable`` with leaf and part: (length, size, leaf, part) is the shard, of about ``shard_rows`` at most.
 
-    The number of shards follows the number of rows, so that a shard has about ``shard_rows``. A distinct vector
-    keeps the ids of all its rows in the shard; ids that repeat with the same vector count once.
+    At most ``sample_rows`` vectors, those with the least hashes of their ids, choose the vantage points.
     """
-    total = vectors.agg(F.count("*").alias("n"), F.max(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)).alias("m")).first()
-    shards, largest = max(1, -(-total.n // shard_rows)), float(np.sqrt(total.m or 0.0)) * (1 + 1e-12)
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("vector", "length", "size").collect()
+    share = shard_rows * len(sample) / max(1, rows.count())
+    groups: dict[tuple[int, int], list] = {}
+    for r in sample:
+        groups.setdefault((r["length"], r["size"]), []).append(r["vector"])
+    trees: dict[tuple[int, int], list] = {}
+    for key, held in groups.items():
+        _split(scaled(np.array(held))[0], share, np.random.default_rng(key[0]), trees.setdefault(key, []))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths, sizes = batch.column("length").to_numpy(), batch.column("size").to_numpy()
+            leaves = np.zeros(batch.num_rows, np.int32)
+            for length, size in set(zip(lengths.tolist(), sizes.tolist(), strict=True)):
+                nodes = trees.get((length, size), [(0,)])
+                at = np.flatnonzero((lengths == length) & (sizes == size))
+                vectors = scaled(matrix_of(batch.column("vector").take(pa.array(at)), length))[0]
+                stack = [(0, np.arange(len(at)))]
+                while stack:
+                    place, who = stack.pop()
+                    if len(nodes[place]) == 1:
+                        leaves[at[who]] = place
+                        continue
+                    vantage, middle, left, right = nodes[place]
+                    near = np.sqrt(((vectors[who] - vantage) ** 2).sum(axis=1)) < middle
+                    stack += [(left, who[near]), (right, who[~near])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaves)], [*batch.schema.names, "leaf"])
+
+    dealt = materialize(rows.mapInArrow(run, "vec_id long, vector array<double>, length int, size int, leaf int"), "vptree-dealt")
+    shard = ["length", "size", "leaf"]
+    parts = dealt.groupBy(*shard).agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("parts"))
+    return dealt.join(parts, shard).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).drop("parts")
+
+
+SHARD = ["length", "size", "leaf", "part"]
+
+
+def build_trees(dealt: DataFrame) -> DataFrame:
+    """(length, size, leaf, part, tree, exponent, largest, centre, radius): every row is in the tree of its shard."""
 
     def run(key, rows):
         import pandas as pd
 
         order = np.argsort(rows["vec_id"].to_numpy(), kind="stable")
-        tree = VPTree(rows["vec_id"].to_numpy()[order], np.stack(rows["vector"].to_numpy())[order], largest)
-        return pd.DataFrame({"shard": [key[0]], "tree": [pickle.dumps(tree, protocol=5)]})
+        tree = VPTree(rows["vec_id"].to_numpy()[order], np.stack(rows["vector"].to_numpy())[order])
+        return pd.DataFrame({**{c: [x] for c, x in zip(SHARD, key, strict=True)}, "tree": [pickle.dumps(tree, protocol=5)], "exponent": [tree.exponent], "largest": [tree.largest], "centre": [tree.centre], "radius": [tree.radius]})
 
-    dealt = vectors.dropDuplicates(["vec_id", "vector"]).withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    return dealt.groupBy("shard").applyInPandas(run, "shard int, tree binary")
+    return dealt.groupBy(*SHARD).applyInPandas(run, "length int, size int, leaf int, part int, tree binary, exponent int, largest double, centre array<double>, radius double")
 
 
-def search_trees(trees: DataFrame, queries: DataFrame, k: int, factor: float, shards: int) -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``k`` nearest over all shards for each row of ``queries`` (vec_id, vector).
+def search_trees(trees: DataFrame, queries: DataFrame, k: int, factor: float, blocks: int) -> DataFrame:
+    """(vec_id of the query as query_id, vec_id, score): up to ``k`` of each shard for each row of ``queries`` (its shard, vec_id, vector, floor).
 
-    Every query meets every shard once: queries are dealt to shards in blocks and stream past the shard's tree,
-    which comes first in the sort; a task holds one tree and one batch of queries.
+    Queries are dealt to shards in blocks and stream past the shard's tree, which comes first in the sort; a task
+    holds one tree and one batch of queries.
     """
-    blocks = 4
     block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
-    left = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), block.alias("block"), F.lit(None).cast("binary").alias("tree"), "vec_id", "vector")
-    right = trees.select("shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "tree", F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("array<double>").alias("vector"))
+    left = queries.select(*SHARD, block.alias("block"), F.lit(None).cast("binary").alias("tree"), "vec_id", "vector", "floor")
+    right = trees.select(*SHARD, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "tree", F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("array<double>").alias("vector"), F.lit(None).cast("double").alias("floor"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, tree = None, None
         for batch in batches:
             held = batch.column("tree").is_valid().to_numpy(zero_copy_only=False)
-            shards_ = batch.column("shard").to_numpy()
-            cuts = sorted({0, batch.num_rows, *np.flatnonzero(held).tolist(), *(np.flatnonzero(held) + 1).tolist(), *(np.flatnonzero(np.diff(shards_)) + 1).tolist()})
-            for a, b in zip(cuts, cuts[1:], strict=False):
+            keys = [batch.column(c).to_numpy() for c in SHARD]
+            for a, b in runs(held.astype(int) * np.arange(1, batch.num_rows + 1), *keys):
+                here = tuple(int(x[a]) for x in keys)
                 if held[a]:
-                    shard, tree = shards_[a], pickle.loads(batch.column("tree")[a].as_py())
-                elif tree is not None and shard == shards_[a]:
+                    shard, tree = here, pickle.loads(batch.column("tree")[a].as_py())
+                elif shard == here:
                     ids = batch.column("vec_id").slice(a, b - a).to_numpy()
-                    vectors = batch.column("vector").slice(a, b - a)
-                    matrix = vectors.flatten().to_numpy(zero_copy_only=False).reshape(b - a, -1)
-                    who, found, scores = tree.search(ids, matrix, k, factor)
+                    vectors = matrix_of(batch.column("vector").slice(a, b - a), here[0])
+                    who, found, scores = tree.search(ids, vectors, k, factor, batch.column("floor").slice(a, b - a).to_numpy())
                     yield pa.RecordBatch.from_arrays([pa.array(ids[who]), pa.array(found), pa.array(scores)], ["query_id", "vec_id", "score"])
 
-    rows = left.unionByName(right).repartition("shard", "block").sortWithinPartitions("shard", "block", F.col("tree").isNull())
-    found = rows.mapInArrow(run, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rows = left.unionByName(right).repartition(*SHARD, "block").sortWithinPartitions(*SHARD, "block", F.col("tree").isNull())
+    return rows.mapInArrow(run, "query_id long, vec_id long, score double")
+
+
+def other_shards(queries: DataFrame, trees: DataFrame, factor: float) -> DataFrame:
+    """``queries`` (own shard, vec_id, vector, floor) once for each other shard of their length that may hold a score of ``floor`` or more."""
+    if trees.count() > BROADCAST_SHARDS:
+        every = trees.select(*[F.col(c).alias(f"to_{c}") for c in SHARD])
+        same = queries.join(every, queries["length"] == every["to_length"]).where(" OR ".join(f"{c} <> to_{c}" for c in SHARD))
+        return same.select(*[F.col(f"to_{c}").alias(c) for c in SHARD], "vec_id", "vector", "floor")
+    by_length: dict[int, list] = {}
+    for r in trees.select(*SHARD, "exponent", "largest", "centre", "radius").collect():
+        by_length.setdefault(r["length"], []).append(r)
+    known = {n: (np.array([[r[c] for c in SHARD] for r in rows]), *(np.array([r[c] for r in rows]) for c in ("exponent", "largest", "centre", "radius"))) for n, rows in by_length.items()}
+    held = queries.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mine = np.stack([batch.column(c).to_numpy() for c in SHARD], axis=1)
+            floors = batch.column("floor").to_numpy()
+            for length in np.unique(mine[:, 0]):
+                shards, exponent, largest, centre, radius = held.value[int(length)]
+                at = np.flatnonzero(mine[:, 0] == length)
+                own, exponents = scaled(matrix_of(batch.column("vector").take(pa.array(at)), int(length)))
+                norms = np.einsum("ij,ij->i", own, own)
+                for s in range(len(shards)):
+                    margin = ROUNDING * (int(length) + 2) * (np.sqrt(norms) + largest[s])
+                    away = np.sqrt(((own - centre[s, :-1]) ** 2).sum(axis=1) + centre[s, -1] ** 2)
+                    gap = np.maximum(np.maximum(away - radius[s] * (1 + ROUNDING * length), np.abs(np.sqrt(norms) - largest[s])) - 2 * margin, 0)
+                    floor = np.ldexp(floors[at], -(exponents + exponent[s]))
+                    open_ = ((gap * factor) ** 2 <= norms + largest[s] ** 2 - 2 * floor + margin * (np.sqrt(norms) + largest[s])) & (mine[at] != shards[s]).any(axis=1)
+                    out = batch.select(["vec_id", "vector", "floor"]).take(pa.array(at[open_]))
+                    if out.num_rows:
+                        yield pa.RecordBatch.from_arrays([*(pa.array(np.full(out.num_rows, x, np.int32)) for x in shards[s]), *out.columns], [*SHARD, "vec_id", "vector", "floor"])
+
+    return queries.select(*SHARD, "vec_id", "vector", "floor").mapInArrow(run, "length int, size int, leaf int, part int, vec_id long, vector array<double>, floor double")
 
 
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20, factor: float = 1.0, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """The ``k`` nearest by inner product for each row whose vec_id is divisible by ``every``, among all other rows.
+    """(query_id, rank, vec_id, score): the ``k`` nearest by inner product for each vec_id divisible by ``every``, among all others.
 
-    Defined cases: vectors that are null, zero, or hold null or non-finite components are neither query nor
-    candidate, nor are rows without vec_id; all vectors that take part must have the same length; fewer than ``k``
-    other rows give as many as there are; ties go to the smaller vec_id; other columns are ignored.
+    Defined cases: vectors that are null, empty, zero, or hold null or non-finite components are neither query nor
+    candidate, nor are rows without vec_id; a vec_id counts once, and of its different vectors the largest in array
+    order stands; vectors of different lengths have no inner product, so a query's candidates are those of its own
+    length; fewer than ``k`` of these give as many as there are; ties go to the smaller vec_id; a product beyond
+    the double range is infinite; other columns are ignored; no rows in, no rows out.
     """
     rows = materialize(usable(vectors), "vptree-vectors")
-    trees = materialize(build_trees(rows, shard_rows), "vptree-trees")
-    return search_trees(trees, rows.where(F.col("vec_id") % every == 0), k, factor, max(1, trees.count()))
+    dealt = materialize(deal(rows, shard_rows), "vptree-shards")
+    trees = materialize(build_trees(dealt), "vptree-trees")
+    queries = dealt.where(F.col("vec_id") % every == 0)
+    blocks = max(1, -(-2 * vectors.sparkSession.sparkContext.defaultParallelism // max(1, trees.count())))
+    home = materialize(search_trees(trees, queries.withColumn("floor", F.lit(float("-inf"))), k, factor, blocks), "vptree-home")
+    floors = home.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") >= k).select(F.col("query_id").alias("vec_id"), "least")
+    queries = queries.join(floors, "vec_id", "left").withColumn("floor", F.coalesce("least", F.lit(float("-inf"))))
+    away = search_trees(trees, other_shards(queries, trees, factor), k, factor, blocks)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return home.unionByName(away).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
-from imgframe.llm.vptree import nearest
+from imgframe.llm.vptree import VPTree, build_trees, deal, nearest, other_shards, usable
+from pyspark.sql import functions as F
 
 
 def table(spark, vectors):
@@ -47,3 +48,65 @@ def test_cases(spark):
 def test_many_copies(spark):
     vectors = [(i, [0.5, 0.5, 0.1]) for i in range(700)] + [(i, [0.1 * (i % 7), 0.2, 0.3]) for i in range(700, 900)]
     assert found(nearest(table(spark, vectors), 20, 20, 1.0, 300)) == brute(vectors, 20, 20)
+
+
+def wide_table(spark, vectors):
+    return spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+
+
+def plain(vectors, every, k):
+    """As ``brute``, of doubles: one vector for each id, candidates of the query's own length."""
+    own = {}
+    for i, v in vectors:
+        if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v):
+            own[i] = max(own.get(i, v), v)
+    out = []
+    for i, q in own.items():
+        if i % every == 0:
+            near = sorted((-float(np.cumsum(np.array(q) * np.array(v))[-1]), j) for j, v in own.items() if j != i and len(v) == len(q))[:k]
+            out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(near)]
+    return sorted(out)
+
+
+def rows_of(frame):
+    return sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in frame.collect())
+
+
+@pytest.mark.parametrize("times", [1e3, 1e5, 1e8, 1e150, 1e-150])
+def test_one_long_vector(spark, times):
+    """A vector of another scale changes no other's neighbours: exactly those of brute force, scores to the last digit."""
+    rng = np.random.default_rng(5)
+    vectors = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(1500, 16)))]
+    vectors[40] = (40, [x * times for x in vectors[40][1]])
+    assert rows_of(nearest(wide_table(spark, vectors), 20, 20, 1.0, 400)) == plain(vectors, 20, 20)
+
+
+def test_odd_rows(spark):
+    """Repeated rows and ids, unequal lengths, an empty vector, components near the end of the range."""
+    vectors = [(20, [1.0, 2.0]), (20, [1.0, 2.0]), (40, [1.0]), (41, [2.0]), (42, [2.0]), (42, [3.0]), (60, []), (61, [1.5e308, 1e308]), (80, [1e-300, 0.0]), (81, [1.0, 2.0, 3.0]), (100, [0.0, -1.0]), (0, [-1.0, 0.25])]
+    found = rows_of(nearest(wide_table(spark, vectors), 20, 5))
+    assert found == plain(vectors, 20, 5)
+    assert {q for q, *_ in found} == {0, 20, 40, 80, 100}
+
+
+def test_repeated_table(spark):
+    rng = np.random.default_rng(6)
+    vectors = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 4)))]
+    assert rows_of(nearest(wide_table(spark, vectors * 3), 20, 20, 1.0, 50)) == plain(vectors, 20, 20)
+
+
+def test_pruning_within_and_between_shards(spark):
+    """Groups of near vectors: most rows are not compared within a tree, and most shards not visited."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(24, 8))
+    points = np.repeat(centres / np.linalg.norm(centres, axis=1)[:, None] * 3, 400, axis=0) + rng.normal(scale=0.02, size=(9600, 8))
+    tree = VPTree(np.arange(len(points)), points)
+    who, found, _ = tree.search(np.arange(0, 9600, 40), points[::40], 20, 1.0)
+    assert len(who) == 240 * 20
+    assert tree.compared < 0.4 * 240 * 9600
+    rows = usable(wide_table(spark, [(i, v.tolist()) for i, v in enumerate(points[rng.permutation(9600)])])).cache()
+    dealt = deal(rows, 500).cache()
+    trees = build_trees(dealt).cache()
+    queries = dealt.where("vec_id % 40 = 0").withColumn("floor", F.lit(8.0))
+    assert dealt.count() == 9600 and trees.count() > 15
+    assert other_shards(queries, trees, 1.0).count() < 0.5 * 240 * trees.count()
