@@ -145,17 +145,21 @@ class VPTree:
 
 
 def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
-    """(vec_id, vector array<double>, length, size) of what takes part: one row for each vec_id.
+    """(vec_id, vector array<double>, length) of what takes part: one row for each vec_id.
 
     Rows without vec_id take no part, nor vectors that are null, zero, or hold null or non-finite components. Of
-    several different vectors of one vec_id the largest in array order stands. size: the exponent of the norm.
+    several different vectors of one vec_id the largest in array order stands.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col(column).cast("array<double>").alias("vector"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists("vector", lambda x: x != 0))
-    top = F.array_max(F.transform("vector", F.abs))
-    norm = F.log2(top) + F.log2(F.aggregate("vector", F.lit(0.0), lambda s, x: s + (x / top) * (x / top))) / 2
-    return rows.groupBy("vec_id").agg(F.max("vector").alias("vector")).select("vec_id", "vector", F.size("vector").alias("length"), F.floor(norm).cast("int").alias("size"))
+    return rows.groupBy("vec_id").agg(F.max("vector").alias("vector")).select("vec_id", "vector", F.size("vector").alias("length"))
+
+
+def sizes_of(vectors: np.ndarray) -> np.ndarray:
+    """The exponents of the norms of rows."""
+    unit, exponents = scaled(vectors)
+    return np.frexp(np.sqrt(np.einsum("ij,ij->i", unit, unit)))[1] + exponents
 
 
 def matrix_of(column: pa.Array, length: int) -> np.ndarray:
@@ -185,37 +189,42 @@ def _split(vectors: np.ndarray, leaf_rows: float, random, nodes: list) -> int:
 
 
 def deal(rows: DataFrame, shard_rows: int = SHARD_ROWS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``rows`` of ``usable`` with leaf and part: (length, size, leaf, part) is the shard, of about ``shard_rows`` at most.
+    """``rows`` of ``usable`` with size (the exponent of the norm), leaf and part: (length, size, leaf, part) is the shard, of about ``shard_rows`` at most.
 
     At most ``sample_rows`` vectors, those with the least hashes of their ids, choose the vantage points.
     """
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("vector", "length", "size").collect()
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("vector", "length").collect()
     share = shard_rows * len(sample) / max(1, rows.count())
     groups: dict[tuple[int, int], list] = {}
     for r in sample:
-        groups.setdefault((r["length"], r["size"]), []).append(r["vector"])
+        vector = np.array(r["vector"])
+        groups.setdefault((r["length"], int(sizes_of(vector[None])[0])), []).append(vector)
     trees: dict[tuple[int, int], list] = {}
     for key, held in groups.items():
         _split(scaled(np.array(held))[0], share, np.random.default_rng(key[0]), trees.setdefault(key, []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lengths, sizes = batch.column("length").to_numpy(), batch.column("size").to_numpy()
-            leaves = np.zeros(batch.num_rows, np.int32)
-            for length, size in set(zip(lengths.tolist(), sizes.tolist(), strict=True)):
-                nodes = trees.get((length, size), [(0,)])
-                at = np.flatnonzero((lengths == length) & (sizes == size))
-                vectors = scaled(matrix_of(batch.column("vector").take(pa.array(at)), length))[0]
-                stack = [(0, np.arange(len(at)))]
-                while stack:
-                    place, who = stack.pop()
-                    if len(nodes[place]) == 1:
-                        leaves[at[who]] = place
-                        continue
-                    vantage, middle, left, right = nodes[place]
-                    near = np.sqrt(((vectors[who] - vantage) ** 2).sum(axis=1)) < middle
-                    stack += [(left, who[near]), (right, who[~near])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaves)], [*batch.schema.names, "leaf"])
+            lengths = batch.column("length").to_numpy()
+            sizes, leaves = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows, np.int32)
+            for length in np.unique(lengths).tolist():
+                of_length = np.flatnonzero(lengths == length)
+                matrix = matrix_of(batch.column("vector").take(pa.array(of_length)), length)
+                sizes[of_length] = sizes_of(matrix)
+                unit = scaled(matrix)[0]
+                for size in np.unique(sizes[of_length]).tolist():
+                    chosen = sizes[of_length] == size
+                    nodes, at, vectors = trees.get((length, size), [(0,)]), of_length[chosen], unit[chosen]
+                    stack = [(0, np.arange(len(at)))]
+                    while stack:
+                        place, who = stack.pop()
+                        if len(nodes[place]) == 1:
+                            leaves[at[who]] = place
+                            continue
+                        vantage, middle, left, right = nodes[place]
+                        near = np.sqrt(((vectors[who] - vantage) ** 2).sum(axis=1)) < middle
+                        stack += [(left, who[near]), (right, who[~near])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes), pa.array(leaves)], [*batch.schema.names, "size", "leaf"])
 
     dealt = materialize(rows.mapInArrow(run, "vec_id long, vector array<double>, length int, size int, leaf int"), "vptree-dealt")
     shard = ["length", "size", "leaf"]
