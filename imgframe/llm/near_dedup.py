@@ -2,14 +2,16 @@
 
 1. Every text is sketched in one pass: a word-shingle set is hashed once, each of ``BINS`` ranges of the hash
    keeps its least value, and an empty bin borrows from a bin that its own random order of bins reaches first
-   (optimal densification). Equal sets make one class, whose smallest doc_id stands for it.
+   (optimal densification). Equal sets make one class, known by the fingerprint of its set.
 2. ``BANDS`` bands of ``ROWS`` bins each give buckets. A bucket's members are joined to its smallest member
    only: a star, so candidates grow with the members and not with their square.
 3. Candidates are confirmed on the full sets, and confirmed links joined up to components.
 4. A star misses links between members that its centre is not linked with. So the members of buckets that still
-   hold several components go through an exact prefix join, from rare shingles to common ones and with bounds on
-   sizes and places, which gives the pairs of different components that may still be linked; these are confirmed
-   too. No bucket is capped.
+   hold several components go through an exact prefix join, from rare shingles to common ones, with bounds on sizes
+   and places, and on the bits in which two sets must differ (each shingle flips one bit of a short row of bits). Only
+   pairs of different components that pass all bounds are written; these are confirmed too. So of a family of pages
+   from one template that are just not similar enough, next to no pair is written. No bucket is capped, and the rows
+   of a common shingle are compared in blocks.
 
 At the similarities confirmed here a pair shares no bucket with probability under 1e-6.
 """
@@ -23,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ascii_words, materialize, steps
@@ -33,6 +35,11 @@ BINS = BANDS * ROWS
 #: For each bin, the order in which it looks for a bin to borrow from.
 BORROW = np.stack([np.random.default_rng([7, i]).permutation(BINS) for i in range(BINS)])
 
+#: Bits of a set's row of bits, at most.
+FLIP_BITS = 4_096
+#: Rows of a common shingle that are compared in one block, about.
+BLOCK_ROWS = 2_048
+
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
@@ -79,15 +86,32 @@ def bands_of(shingles: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def fingerprint(own: np.ndarray, doc_id: int) -> bytes:
+    """Of a set; an empty one is a class of its own for each doc_id."""
+    return hashlib.blake2b(own.tobytes() if len(own) else b"%d" % doc_id, digest_size=16).digest()
+
+
+def flips_of(shingles: np.ndarray) -> np.ndarray:
+    """A row of bits, of which each shingle flips one: int64 words, 16 bits a shingle or more, but at most ``FLIP_BITS``.
+
+    Two sets differ in at least as many shingles as their rows in bits.
+    """
+    bits = 256
+    while bits < min(16 * len(shingles), FLIP_BITS):
+        bits *= 2
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view("<i8")
+
+
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, fp, bands): set size, fingerprint of the set, buckets. An empty set is a class of its own."""
+    """(doc_id, n, fp, bands): set size, fingerprint of the set, buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text"):
             n, fps, bands = [], [], []
             for doc_id, own in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text"), k), strict=True):
                 n.append(len(own))
-                fps.append(hashlib.blake2b(own.tobytes() if len(own) else b"%d" % doc_id, digest_size=16).digest())
+                fps.append(fingerprint(own, doc_id))
                 bands.append(bands_of(own) if len(own) else None)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(fps, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n", "fp", "bands"])
 
@@ -95,19 +119,21 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, shingles): the whole sets."""
+    """(fp, n, shingles, flips): the whole sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text"):
-            sets = [x.view(np.int64) for x in shingle_sets(batch.column("text"), k)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "n", "shingles"])
+            sets = list(shingle_sets(batch.column("text"), k))
+            fps = [fingerprint(x, d) for x, d in zip(sets, batch.column("doc_id").to_pylist(), strict=True)]
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(fps, pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], longs), pa.array([flips_of(x) for x in sets], longs)], ["fp", "n", "shingles", "flips"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, shingles array<long>")
+    return docs.mapInArrow(run, "fp binary, n long, shingles array<long>, flips array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets have 100 * intersection >= percent * union."""
-    side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("shingles").alias(f"s_{c}"))
+    side = lambda c: sets.select(F.col("fp").alias(c), F.col("n").alias(f"n_{c}"), F.col("shingles").alias(f"s_{c}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
     shared = F.size(F.array_intersect("s_a", "s_b")).cast("long")
     return both.select("a", "b", "n_a", "n_b", shared.alias("shared")).where(F.col("shared") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent).select("a", "b")
@@ -146,27 +172,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     Defined cases: a null or blank text has an empty set and is linked with nothing; a row without doc_id is
     linked with nothing, has a null component_id and is kept; rows that repeat a doc_id are judged each by its own
-    text; other columns are ignored; no rows in, no rows out.
+    text, also where their texts differ; other columns are ignored; no rows in, no rows out.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = docs.where("doc_id IS NOT NULL")
     sketch = materialize(sketches(known, k), "near-sketches")
-    classes = materialize(sketch.groupBy("fp").agg(F.min("doc_id").alias("rep")), "near-classes")
-    nodes = sketch.join(classes, (sketch.fp == classes.fp) & (sketch.doc_id == classes.rep)).select("rep", F.explode("bands").alias("bucket"))
-    nodes = materialize(nodes, "near-buckets")
-    centres = nodes.groupBy("bucket").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).where("centre < last").drop("last")
-    members = materialize(nodes.join(centres, "bucket"), "near-members")
-    sets = materialize(full_sets(known.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), k), "near-sets")
-
-    stars = members.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
+    classes, members, sets = candidates(sketch, known, k)
+
+    stars = members.where("fp <> centre").select(F.col("centre").alias("a"), F.col("fp").alias("b")).distinct()
     linked = components(confirmed(stars, sets, percent))
     found = materialize(linked, "near-components")
-    rest = materialize(remaining_pairs(members, found, sets, percent), "near-rest")
-    more = confirmed(rest, sets, percent).unionByName(found.select(F.col("component").alias("a"), F.col("node").alias("b")))
-    final = components(more)
-
-    classes = classes.join(final, classes.rep == final.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    out = sketch.join(classes, "fp").select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    more, _ = remaining_links(members, found, sets, percent)
+    final = classes.join(components(more), classes.fp == F.col("node"), "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
+    final = materialize(final, "near-final")
+    least = final.groupBy("component").agg(F.min("rep").alias("component_id"))
+    out = sketch.join(final.join(least, "component").select("fp", "component_id"), "fp")
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
     def lone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text"):
@@ -176,27 +197,80 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return out.unionByName(docs.where("doc_id IS NULL").mapInArrow(lone, "doc_id long, n_shingles long, component_id long, kept boolean"))
 
 
-def remaining_pairs(members: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of different components, each in a bucket that holds several, that may still reach the threshold.
+def candidates(sketch: DataFrame, known: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Classes (fp, rep) of equal sets; members (fp, bucket, centre) of buckets that hold several; the whole sets of these."""
+    classes = materialize(sketch.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "near-classes")
+    nodes = materialize(classes.select("fp", "rep", F.explode("bands").alias("bucket")), "near-buckets")
+    centres = nodes.groupBy("bucket").agg(F.min(F.struct("rep", "fp")).alias("centre"), F.max(F.struct("rep", "fp")).alias("last")).where("centre < last").select("bucket", F.col("centre.fp").alias("centre"))
+    members = materialize(nodes.join(centres, "bucket").drop("rep"), "near-members")
+    held = classes.join(members.select("fp").distinct(), "fp", "left_semi").select("fp", F.col("rep").alias("doc_id"))
+    sets = full_sets(known.join(held.select("doc_id").distinct(), "doc_id", "left_semi"), k).join(held.select("fp"), "fp", "left_semi")
+    if sketch.groupBy("fp", "doc_id").count().where("count > 1").limit(1).count():  # rows that repeat both doc_id and text
+        sets = sets.groupBy("fp").agg(*[F.first(c).alias(c) for c in ("n", "shingles", "flips")])
+    return classes, members, materialize(sets, "near-sets")
 
-    A prefix join with positions: a set's shingles are put in order from rare to common among these sets. Two sets
-    that reach the threshold share one of the first ``n - percent / 100 * n + 1`` shingles of each, and at the first
-    that they share, what is left of either must hold the rest of the intersection that the threshold asks for.
-    Where a shingle is common, the members of its largest component are joined with those of others only.
-    """
-    rows = members.select("bucket", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
+
+def differing_bits(a: Column, b: Column) -> Column:
+    """In how many bits two rows of bits differ, the longer one folded to the length of the shorter."""
+    words = F.least(F.size(a), F.size(b))
+    fold = lambda z: F.when(F.size(z) == words, z).otherwise(F.aggregate(F.sequence(F.lit(1), (F.size(z) / words).cast("int") - 1), F.slice(z, F.lit(1), words), lambda s, i: F.zip_with(s, F.slice(z, i * words + 1, words), lambda x, y: x.bitwiseXOR(y))))
+    return F.aggregate(F.zip_with(fold(a), fold(b), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
+def open_classes(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(fp, part): the classes in buckets that hold several components; part is struct<size, component> of its own."""
+    rows = members.select("bucket", "fp").join(found.withColumnRenamed("node", "fp"), "fp", "left").select("bucket", "fp", F.coalesce("component", "fp").alias("component"))
     several = rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    still_open = materialize(rows.join(several, "bucket").select("rep", "component").distinct(), "near-open")
+    still_open = materialize(rows.join(several, "bucket").select("fp", "component").distinct(), "near-open")
     sizes = still_open.groupBy("component").agg(F.count("*").alias("size"))
-    nodes = still_open.join(sizes, "component").select(F.col("rep").alias("doc_id"), F.struct("size", "component").alias("part"))
+    return materialize(still_open.join(sizes, "component").select("fp", F.struct("size", "component").alias("part")), "near-parts")
+
+
+def prefixes(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(fp, n, x, place, df, flips): the shingles of each of the open ``classes`` that may be the first shared with a set over the threshold.
 
-    shingles = materialize(sets.join(nodes, "doc_id").select("doc_id", "n", "part", F.explode("shingles").alias("x")), "near-open-shingles")
-    counts = shingles.groupBy("x").agg(F.count("*").alias("df"), F.max("part").alias("largest"))
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "x")) - 1
+    A set's shingles are put in order from rare to common among these sets. Two sets that reach the threshold share
+    one of the first ``n - percent / 100 * n + 1`` shingles of each.
+    """
+    shingles = materialize(sets.join(classes.select("fp"), "fp", "left_semi").select("fp", "n", F.explode("shingles").alias("x")), "near-open-shingles")
+    counts = shingles.groupBy("x").agg(F.count("*").alias("df"))
+    place = F.row_number().over(Window.partitionBy("fp").orderBy("df", "x")) - 1
     placed = shingles.join(counts, "x").withColumn("place", place).where((F.col("df") > 1) & (F.col("n") - F.col("place") >= F.ceil(F.col("n") * percent / 100)))
-    placed = materialize(placed, "near-prefixes")
-    a, b = (placed.select("x", "largest", *(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "part", "place"))) for s in "ab")
+    return materialize(placed.join(sets.select("fp", "flips"), "fp"), "near-prefixes")
+
+
+def open_pairs(placed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of ``classes`` in different components that may still reach the threshold, from ``prefixes``.
+
+    At the first shingle that two sets share, what is left of either must hold the rest of the intersection that the
+    threshold asks for; and their rows of bits may differ in no more bits than the sets in shingles. Where a shingle
+    is common, the members of its largest component are joined with those of others only, and rows are dealt to
+    blocks, each of which meets each once.
+    """
+    rows = placed.join(classes, "fp")
+    largest = rows.groupBy("x").agg(F.max("part").alias("largest"), F.min("part").alias("least")).where("least < largest").drop("least")
+    rows = rows.join(largest, "x").withColumn("blocks", F.ceil(F.col("df") / BLOCK_ROWS).cast("int"))
+    rows = materialize(rows.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")), "near-placed")
+    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    a, b = (rows.select("x", "largest", F.col("block").alias(own), each.alias(other), *(F.col(c).alias(f"{c}_{s}") for c in ("fp", "n", "part", "place", "flips"))) for s, own, other in (("a", "i", "j"), ("b", "j", "i")))
     left = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
-    fits = left * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
-    pairs = a.where(F.col("part_a") != F.col("largest")).drop("largest").join(b.drop("largest"), "x").where((F.col("part_a") < F.col("part_b")) & fits)
-    return pairs.select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct()
+    both = F.col("n_a") + F.col("n_b")
+    fits = (left * (100 + percent) >= both * percent) & (differing_bits(F.col("flips_a"), F.col("flips_b")) * (100 + percent) <= both * (100 - percent))
+    pairs = a.where(F.col("part_a") != F.col("largest")).drop("largest").join(b.drop("largest"), ["x", "i", "j"]).where((F.col("part_a") < F.col("part_b")) & fits)
+    return pairs.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
+
+
+def remaining_links(members: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) that stars leave open, and all pairs that were written to find them.
+
+    First each class is tried with one of those that it may be linked with; that joins most of what is to be joined.
+    Then all pairs that may still be linked across components are tried.
+    """
+    classes = open_classes(members, found)
+    placed = prefixes(sets, classes, percent)
+    links = found.select(F.col("component").alias("a"), F.col("node").alias("b"))
+    first = materialize(open_pairs(placed, classes, percent).groupBy("a").agg(F.min("b").alias("b")), "near-first")
+    links = materialize(links.unionByName(confirmed(first, sets, percent)), "near-links")
+    classes = open_classes(members, materialize(components(links), "near-components"))
+    rest = materialize(open_pairs(placed, classes, percent).distinct(), "near-rest")
+    return links.unionByName(confirmed(rest, sets, percent)), first.unionByName(rest)

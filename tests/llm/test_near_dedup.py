@@ -2,6 +2,7 @@ import random
 from itertools import combinations
 
 import pytest
+from imgframe.llm import near_dedup as N
 from imgframe.llm.near_dedup import components, near_duplicates
 
 
@@ -71,3 +72,45 @@ def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 500), (700, 600)], "a long, b long")
     found = {r.node: r.component for r in components(links).collect()}
     assert found == {**dict.fromkeys(range(201), 0), 600: 600, 700: 600}
+
+
+def test_different_texts_of_one_id(spark):
+    """Each row is linked by its own text: copies of B, which stands under 5 as A does, get no link to A's."""
+    a, b = "a1 a2 a3 a4 a5 a6", "b1 b2 b3 b4 b5 b6"
+    rows = [(5, a), (5, b), (5, b), (7, a), (9, b), (3, "c1 c2 c3 c4"), (4, b + " b7"), (2, "b1 b2 b3 b4 b5 b6 b7")]
+    out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 75).collect()
+    assert sorted((r.doc_id, r.component_id) for r in out) == [(2, 2), (3, 3), (4, 2), (5, 2), (5, 2), (5, 5), (7, 5), (9, 2)]
+
+
+def family(n, seed):
+    """Documents of one template, each with two of its 110 words changed: nearly all pairs are just under 0.85."""
+    rng = random.Random(seed)
+    base = [f"t{i}" for i in range(110)]
+    return [(i, " ".join(f"u{i}-{j}" if j in own else w for j, w in enumerate(base))) for i in range(n) for own in [rng.sample(range(110), 2)]]
+
+
+def test_a_family_under_the_threshold(spark):
+    """About as many pairs are written as there are documents, of all those just under the threshold, and no link is lost."""
+    written = {}
+    for n in (300, 600, 1200):
+        rows = family(n, n)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        sketch = N.sketches(docs, 3).cache()
+        _, members, sets = N.candidates(sketch, docs, 3)
+        found = components(N.confirmed(members.where("fp <> centre").select(N.F.col("centre").alias("a"), N.F.col("fp").alias("b")).distinct(), sets, 85)).cache()
+        written[n] = N.remaining_links(members, found, sets, 85)[1].count()
+        if n < 1200:
+            assert got(near_duplicates(docs, 3, 85)) == plain(rows, 3, 85)
+    assert all(pairs < 2 * n for n, pairs in written.items()), written
+
+
+@pytest.mark.parametrize(("n", "m"), [(30, 30), (900, 1000), (3, 4000), (40, 90)])
+def test_bits_bound_the_difference(spark, n, m):
+    """Rows of bits never differ in more bits than the sets in shingles, of whatever lengths."""
+    rng = N.np.random.default_rng(n)
+    pool = rng.integers(0, 2**63, n + m).astype(N.np.uint64)
+    a, b = N.np.unique(pool[:n]), N.np.unique(pool[n // 2 : n // 2 + m])
+    row = spark.createDataFrame([(N.flips_of(a).tolist(), N.flips_of(b).tolist())], "a array<long>, b array<long>")
+    differ = row.select(N.differing_bits(N.F.col("a"), N.F.col("b"))).first()[0]
+    assert 0 < differ <= len(set(a.tolist()) ^ set(b.tolist()))
+    assert row.select(N.differing_bits(N.F.col("a"), N.F.col("a"))).first()[0] == 0
