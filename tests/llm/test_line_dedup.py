@@ -1,3 +1,4 @@
+import random
 from collections import defaultdict
 
 from hypothesis import given, settings
@@ -56,11 +57,60 @@ def test_deletion_undoes_insertion(spark):
 def test_cuckoo_filter(values, capacity):
     """Nothing that was added is missed, however full; what is removed is gone but for shared fingerprints."""
     filt = CuckooFilter(capacity)
-    for v in values:
-        filt.add(v)
+    if capacity % 2:
+        filt.add_all(np.array(values, np.uint64))
+    else:
+        for v in values:
+            filt.add(v)
     filt = CuckooFilter.load(filt.dump())
     assert filt.contains(np.array(values, np.uint64)).all()
     gone, stay = values[::2], values[1::2]
     assert all(filt.remove(v) for v in gone)
     assert filt.contains(np.array(stay, np.uint64)).all()
-    assert (filt.table > 0).sum() + len(filt.overflow) == len(stay)
+    assert (filt.table > 0).sum() + filt.overflow.total() == len(stay)
+
+
+def test_ten_changes_from_a_small_build(spark):
+    """Insertions and deletions in a row, more keys than the first filters had room for, against the definition."""
+    rng = random.Random(11)
+    line = lambda n: f"This is the shared line of number {n:05d}, said word for word."
+    text = lambda: "\n".join(line(rng.randrange(400)) for _ in range(30))
+    rows = {i: text() for i in range(12)}
+    index = LineIndex.build(spark.createDataFrame(list(rows.items()), "doc_id long, text string"), shards=3)
+    for turn in range(10):
+        if turn % 3 == 2:
+            gone = rng.sample(sorted(rows), len(rows) // 3)
+            index = index.delete(spark.createDataFrame([(i,) for i in [*gone, 9999]], "doc_id long"))
+            rows = {i: t for i, t in rows.items() if i not in gone}
+        else:
+            new = {rng.randrange(1000): text() for _ in range(8 + 4 * turn)}
+            index = index.insert(spark.createDataFrame(list(new.items()), "doc_id long, text string"))
+            rows = new | rows  # a document that is there stays as it is
+        if turn in (1, 2, 5, 9):
+            docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+            assert kept(index.apply(docs)) == brute(list(rows.items()))
+            assert index.held_filters().where("n > capacity").count() == 0
+    again = index.compact()
+    assert len(again.refs) == 1 and kept(again.apply(docs)) == brute(list(rows.items()))
+
+
+def test_an_increment_writes_what_it_touches(spark):
+    """One document more of a hundred: its references, its keys' counts, filters of the shards where a key became common."""
+    docs = [(i, "\n".join(f"Line {j} of the documents that leave {i % 20} as a remainder." for j in range(20))) for i in range(100)]
+    index = LineIndex.build(spark.createDataFrame(docs, "doc_id long, text string"), min_docs=6, shards=32)
+    more = index.insert(spark.createDataFrame([(100, docs[3][1] + "\n" + docs[4][1][:90])], "doc_id long, text string"))
+    rows = lambda layers: [df.count() for _, df in layers]
+    assert rows(index.counts) == [0] and rows(index.refs) == [2000]
+    touched = rows(more.refs)[-1]
+    assert 20 <= touched <= 22 and rows(more.counts)[-1] == touched
+    shards = more.refs[-1][1].select("shard").distinct().count()
+    assert rows(more.filters)[-1] == shards < 32
+    assert len(more.refs[-1][1].inputFiles()) <= touched
+    back = more.delete(spark.createDataFrame([(100,)], "doc_id long"))
+    assert rows(back.gone)[-1] == touched and back.common().count() == 0 and back.held_filters().agg({"n": "sum"}).first()[0] == 0
+
+
+def test_clashing_column(spark):
+    rows = [(i, LINE, "own") for i in range(6)]
+    out = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, _drop_keys string")).collect()
+    assert {(r.doc_id, r.text, r._drop_keys) for r in out} == {(i, LINE if i == 5 else "", "own") for i in range(6)}
