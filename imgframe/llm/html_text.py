@@ -2,17 +2,19 @@
 
 1. Markup is stripped: a page becomes lines, one for each block of text. Elements that never hold the article
    (scripts, menus, forms, adverts, comments and the like, by tag, role or class) give no line. Where containers
-   begin or end, blank lines are left; the bounds of an article leave a whole window of them.
-2. A line weighs as many characters as it has outside links. The weights of ``WINDOW`` lines from each line on are
-   summed.
+   begin or end, blank lines are left; the bounds of a marked article leave a whole window of them.
+2. A line weighs as many characters as it has outside links, and ``SURGE`` more within the article that a page marks
+   (``article``, ``main`` or the same by role; of several the heaviest, or a closer one in it). The weights of
+   ``WINDOW`` lines from each line on are summed.
 3. A surge is the first line from which the sum reaches ``SURGE``, without lines of links alone; headings right before
-   it, and short lines with no bound of a container between, belong to it. A dive is the last line before the sum falls to nothing. Text between a surge and its dive is kept
-   whole, short lines too; other text is dropped, unless nothing surges; then the heaviest run of lines is kept.
-
-Where a page marks its article (``article``, ``main`` or the same by role), the marks replace surge and dive: all of
-its lines are kept, as short articles never surge and a sum can't tell their lines from others.
-A form that holds most of the weight of a page without such marks goes round the page and is kept; so is any other
-container that does, if nothing beside it surges.
+   it, and short lines with no bound of a container between, belong to it. A dive is the last line before the sum
+   falls to nothing. Text between a surge and its dive is a run and kept whole, short lines too.
+4. Marked lines of the runs are the article; without marks all lines of runs are, and a surge must not be far lighter
+   than the page's heaviest sum, as an advert or a notice is. Other text is dropped, unless nothing surges; then the heaviest run of
+   lines is kept.
+
+A form that holds most of the weight of a page without marks goes round the page and is kept; so is any other
+container that does, if nothing beside it surges. A page is read in one pass, however deep its elements are nested.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
 import pyarrow as pa
@@ -29,6 +31,8 @@ from pyspark.sql import DataFrame
 from .common import steps
 
 WINDOW, SURGE = 3, 80
+#: So many times lighter than the heaviest sum a surge may be, where no article is marked.
+FAR_LIGHTER = 8
 
 #: Elements whose content is text up to their end tag, and is no text of the page.
 RAW = frozenset("script style textarea title noscript template iframe svg math xmp noembed noframes object audio video canvas select datalist".split())
@@ -39,7 +43,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 ENDS_SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: Elements that end an implied end's search.
-SCOPES = frozenset("ul ol dl table tbody thead tfoot body html article main section div td th nav aside form header footer".split())
+SCOPES = tuple("ul ol dl table tbody thead tfoot body html article main section div td th nav aside form header footer".split())
 
 #: What is not the article, by tag, role and word of a class or id.
 SKIP_TAGS = frozenset("nav header footer aside form dialog button menu head".split())
@@ -96,10 +100,15 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
 
 
 class Element:
-    __slots__ = ("closed", "first", "last", "name", "parent", "why")
+    """An element that may be skipped or kept. begin and end count tags, so an element inside has begin and end between."""
+
+    __slots__ = ("begin", "end", "first", "in_comment", "in_main", "last", "name", "why", "holds_main", "parent")
 
-    def __init__(self, name: str, why: str, first: int, parent: Element | None):
-        self.name, self.why, self.first, self.last, self.closed, self.parent = name, why, first, -1, False, parent
+    def __init__(self, name: str, why: str, first: int, begin: int, parent: Element | None):
+        self.name, self.why, self.first, self.last, self.begin, self.end, self.parent = name, why, first, -1, begin, begin, parent
+        self.in_main = parent is not None and (parent.in_main or parent.why == "main")
+        self.in_comment = parent is not None and (parent.in_comment or parent.why == "comment")
+        self.holds_main = False
 
 
 def reason(name: str, attributes: str) -> str:
@@ -128,7 +137,7 @@ def reason(name: str, attributes: str) -> str:
     return ""
 
 
-Line = tuple[int, str, int, bool]
+Line = tuple  # (place, text, weight, whether of a heading, ...)
 
 
 def page_lines(page: str) -> tuple[list[Line], list[Element]]:
@@ -139,8 +148,9 @@ def page_lines(page: str) -> tuple[list[Line], list[Element]]:
     lines: list[Line] = []
     marked: list[Element] = []
     stack: list[Element] = []
+    open_at: dict[str, list[int]] = {}  # by name, where in the stack its open elements are
     text: list[str] = []
-    loose = place = anchors = 0
+    loose = place = anchors = n_tags = 0
 
     def flush() -> None:
         nonlocal loose, place
@@ -152,10 +162,17 @@ def page_lines(page: str) -> tuple[list[Line], list[Element]]:
             text.clear()
         loose = 0
 
-    def close(element: Element, explicit: bool) -> None:
-        element.last, element.closed = place - 1, explicit
+    def last_open(names: Iterable[str]) -> int:
+        return max((open_at[n][-1] for n in names if open_at.get(n)), default=-1)
+
+    def close(down_to: int) -> None:
+        while len(stack) > down_to:
+            element = stack.pop()
+            open_at[element.name].pop()
+            element.last, element.end = place - 1, n_tags
 
     for kind, name, content in tokens(page):
+        n_tags += 1
         if not kind:
             text.append(content)
             if not anchors:
@@ -175,57 +192,53 @@ def page_lines(page: str) -> tuple[list[Line], list[Element]]:
         anchors = 0
         if name in VOID:
             continue
+        quiet = name in ("p", "li", "dt", "dd", "tr", "td", "th") or name in HEADINGS  # leaves no blank line
         if kind == "<":
             if name in ENDS_P:
                 while stack and stack[-1].name == "p":
-                    close(stack.pop(), False)
+                    close(len(stack) - 1)
             if name in ENDS_SAME:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i].name in ENDS_SAME[name]:
-                        for x in stack[i:]:
-                            close(x, False)
-                        del stack[i:]
-                        break
-                    if stack[i].name in SCOPES - {"td", "th"} or stack[i].name in ("td", "th") and name != "tr":
-                        break
+                same = last_open(ENDS_SAME[name])
+                if same > last_open(n for n in SCOPES if n not in ENDS_SAME[name]):
+                    close(same)
             why = reason(name, content)
-            if why == "main":
-                place += WINDOW
-            elif name not in ("p", "li", "dt", "dd", "tr", "td", "th") and name not in HEADINGS:
-                place += 1
-            element = Element(name, why, place, stack[-1] if stack else None)
+            place += WINDOW if why == "main" else 0 if quiet else 1
+            element = Element(name, why, place, n_tags, stack[-1] if stack else None)
+            open_at.setdefault(name, []).append(len(stack))
             stack.append(element)
             if why:
                 marked.append(element)
-        else:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].name == name:
-                    for x in stack[i + 1 :]:
-                        close(x, False)
-                    close(stack[i], True)
-                    if stack[i].why == "main":
-                        place += WINDOW
-                    elif name not in ("p", "li", "dt", "dd", "tr", "td", "th") and name not in HEADINGS:
-                        place += 1
-                    del stack[i:]
-                    break
+            if why == "main":
+                above = element.parent
+                while above is not None and not above.holds_main:
+                    above.holds_main = True
+                    above = above.parent
+        elif open_at.get(name):
+            at = open_at[name][-1]
+            why = stack[at].why
+            close(at)
+            place += WINDOW if why == "main" else 0 if quiet else 1
     flush()
-    for x in stack:
-        close(x, x.why == "main")
+    close(0)
     return lines, marked
 
 
-def surges(lines: list[Line], surge: int) -> list[Line]:
-    """The lines from each surge to its dive; none if none surges."""
-    sums, high = [], 0
-    total = 0
-    for place, _, weight, _ in lines:
+def window_sums(lines: list[Line]) -> list[int]:
+    """For each line the weights of ``WINDOW`` places from it on."""
+    sums, high, total = [], 0, 0
+    for place, _, weight, *_ in lines:
         while high < len(lines) and lines[high][0] < place + WINDOW:
             total += lines[high][2]
             high += 1
         sums.append(total)
         total -= weight
-    kept: list[Line] = []
+    return sums
+
+
+def surges(lines: list[Line], surge: int) -> list[list[Line]]:
+    """The runs of lines from each surge to its dive; none if none surges."""
+    sums = window_sums(lines)
+    runs: list[list[Line]] = []
     i = done = 0
     while i < len(lines):
         if sums[i] < surge:
@@ -235,7 +248,7 @@ def surges(lines: list[Line], surge: int) -> list[Line]:
             i += 1
         first = last = i
         while first > done:
-            place, _, weight, heading = lines[first - 1]
+            place, _, weight, heading = lines[first - 1][:4]
             if lines[first][0] - place > (WINDOW if heading else 1 if weight else 0):
                 break
             first -= 1
@@ -244,9 +257,9 @@ def surges(lines: list[Line], surge: int) -> list[Line]:
             if lines[i][2]:
                 last = i
             i += 1
-        kept += lines[first : last + 1]
+        runs.append(lines[first : last + 1])
         i = done = last + 1
-    return kept
+    return runs
 
 
 def heaviest_run(lines: list[Line]) -> list[Line]:
@@ -256,7 +269,11 @@ def heaviest_run(lines: list[Line]) -> list[Line]:
         if not runs or line[0] - runs[-1][-1][0] > WINDOW:
             runs.append([])
         runs[-1].append(line)
-    return max(runs, key=lambda run: sum(x[2] for x in run), default=[])
+    return max(runs, key=weight_of, default=[])
+
+
+def weight_of(run: list[Line]) -> int:
+    return sum(x[2] for x in run)
 
 
 def main_text(page: str | None) -> str:
@@ -267,81 +284,72 @@ def main_text(page: str | None) -> str:
     if not lines:
         return ""
     at = [x[0] for x in lines]
-    mains = [e for e in marked if e.why == "main"]
-
-    def inside(e: Element, kinds: tuple[str, ...]) -> bool:
-        while (e := e.parent) is not None:
-            if e.why in kinds:
-                return True
-        return False
-
-    holds_main = {id(p) for m in mains for p in ancestors(m)}
     gone, own_headers = [], []
     for e in marked:
-        if e.why == "main" or e.why != "comment" and id(e) in holds_main:  # as where a form goes round the whole page
-            continue
-        if e.why == "header" and inside(e, ("main",)):
-            own_headers.append(e)
+        if e.why == "main" or e.why != "comment" and e.holds_main:  # as where a form goes round the whole page
             continue
-        gone.append(e)
+        (own_headers if e.why == "header" and e.in_main else gone).append(e)
 
     def held(e: Element) -> range:
         return range(bisect_right(at, e.first - 1), bisect_right(at, e.last))
 
     def skipped(elements: list[Element]) -> list[bool]:
-        skip = [False] * len(lines)
+        edges = [0] * (len(lines) + 1)
         for e in elements:
-            for i in held(e):
-                skip[i] = True
-        for e in own_headers:
-            # An article's own header keeps its first line, the title, and loses bylines and the like.
-            for i in held(e)[1:]:
-                skip[i] = True
-        return skip
-
-    skip = skipped(gone)
-
-    def of(e: Element) -> list[Line]:
-        return [lines[i] for i in held(e) if not skip[i]]
-
-    candidates = [e for e in mains if not inside(e, ("comment",))]
-    if candidates:
-        # The heaviest; an article inside of a main that holds most of its weight is the closer bound.
-        weight = {id(e): sum(x[2] for x in of(e)) for e in candidates}
-        best = max(candidates, key=lambda e: (weight[id(e)], -e.first))
-        inner = [e for e in candidates if e is not best and any(p is best for p in ancestors(e)) and 2 * weight[id(e)] > weight[id(best)]]
-        best = min([best, *inner], key=lambda e: (weight[id(e)], e.first)) if inner else best
-        if own := of(best):
-            return "\n\n".join(x[1] for x in own)
-
-    def left(elements: list[Element]) -> list[Line]:
+            own = held(e)
+            edges[own.start] += 1
+            edges[max(own.start, own.stop)] -= 1
+        for e in own_headers:  # an article's own header keeps its first line, the title, and loses bylines and the like
+            own = held(e)[1:]
+            edges[own.start] += 1
+            edges[max(own.start, own.stop)] -= 1
+        return [depth > 0 for depth in accumulate(edges[:-1])]
+
+    def sums(skip: list[bool]) -> list[int]:
+        return [0, *accumulate(0 if s else x[2] for x, s in zip(lines, skip, strict=True))]
+
+    def of(e: Element, total: list[int]) -> int:
+        own = held(e)
+        return total[max(own.start, own.stop)] - total[own.start]
+
+    def left(elements: list[Element], weighted: list[Line]) -> list[Line]:
         # Places that what was skipped took, its bounds too, are closed up: an advert is no dive of the text around it.
-        out, closed_up, past, ranges = [], 0, -1, sorted((e.first, e.last) for e in elements)
-        for line, s in zip(lines, skipped(elements), strict=True):
-            while ranges and ranges[0][1] < line[0]:
-                first, last = ranges.pop(0)
+        out, closed_up, past, ranges, r = [], 0, -1, sorted((e.first, e.last) for e in elements), 0
+        for line, s in zip(weighted, skipped(elements), strict=True):
+            while r < len(ranges) and ranges[r][1] < line[0]:
+                first, last = ranges[r]
                 if last > past:
                     closed_up += last - max(first, past + 1) + 1 + (2 if first > past else 0)
                     past = last
+                r += 1
             if not s:
                 out.append((line[0] - closed_up, *line[1:]))
         return out
 
+    skip = skipped(gone)
+    total, seen = sums(skip), [0, *accumulate(not s for s in skip)]
+    mains = [e for e in marked if e.why == "main" and not e.in_comment and of(e, seen)]
+    if mains:
+        # The heaviest; an article inside of a main that holds most of its weight is the closer bound.
+        best = max(mains, key=lambda e: (of(e, total), -e.begin))
+        inner = [e for e in mains if best.begin < e.begin and e.end <= best.end and 2 * of(e, total) > of(best, total)]
+        best = min([best, *inner], key=lambda e: (of(e, total), e.begin))
+        own = held(best)
+        weighted = [(place, text, weight + SURGE * (i in own), heading, i in own) for i, (place, text, weight, heading) in enumerate(lines)]
+        runs = surges([x for x, s in zip(weighted, skip, strict=True) if not s], SURGE)
+        return "\n\n".join(x[1] for run in runs for x in run if x[4])
+
     # Hidden text and comments are no part of a page's weight.
-    unseen = skipped([e for e in gone if e.why in ("hidden", "comment")])
-    shown = [0, *accumulate(0 if u else x[2] for x, u in zip(lines, unseen, strict=True))]
-    most = {id(e) for e in gone if e.why in ("tag", "name") and 2 * (shown[held(e).stop] - shown[held(e).start]) > shown[-1]}
-    narrow = [e for e in gone if not (id(e) in most and e.name == "form")]
-    kept = surges(left(narrow), SURGE)
-    if not kept:
-        narrow = [e for e in gone if not (id(e) in most and (e.name == "form" or e.why == "name"))]
-        kept = surges(left(narrow), SURGE) or heaviest_run(left(narrow))
-    return "\n\n".join(x[1] for x in kept)
-
-
-def ancestors(e: Element) -> Iterator[Element]:
-    while (e := e.parent) is not None:
-        yield e
+    shown = sums(skipped([e for e in gone if e.why in ("hidden", "comment")]))
+    most = {id(e) for e in gone if e.why in ("tag", "name") and 2 * of(e, shown) > shown[-1]}
+    for kinds in ((), ("name",)):
+        narrow = [e for e in gone if not (id(e) in most and (e.name == "form" or e.why in kinds))]
+        body = left(narrow, lines)
+        runs = surges(body, max(SURGE, max(window_sums(body), default=0) // FAR_LIGHTER))
+        if runs:
+            break
+    runs = runs or [heaviest_run(body)]
+    return "\n\n".join(x[1] for run in runs for x in run)
 
 
 def extract_main_text(pages: DataFrame, column: str = "html") -> DataFrame:

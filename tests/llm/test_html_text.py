@@ -1,6 +1,8 @@
 import re
+import time
 
 import pytest
+from imgframe.llm import html_text
 from imgframe.llm.html_text import extract_main_text, main_text
 from imgframe.llm.queries import op1_html_text
 
@@ -86,6 +88,37 @@ def test_short_articles_that_are_marked_are_whole():
     assert main_text(f"<p>{LONG}</p><article><p>a</p><ul>{links}</ul><p>b</p></article>") == "\n\n".join("a" + "x" * 5 + "b")
 
 
+def without_marks(page):
+    """The page with no tag, role, class or id that says what is what, but for its own menus and footers."""
+    page = re.sub(r"<(/?)(?:article|main)\b[^>]*>", r"<\1div>", page)
+    return re.sub(r"\s(?:class|id|role|aria-\w+)=(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", "", page)
+
+
+def test_line_blocks_alone(spark, monkeypatch):
+    """Without marks and names surge and dive find the same text; without surge and dive adverts come through.
+
+    An advert of a line stays beside articles of a few lines, as nothing but its name says what it is.
+    """
+    pages = [r.html for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()]
+    with_marks = [main_text(p) for p in pages]
+    alone = [main_text(without_marks(p)) for p in pages]
+    same = [a == b for a, b in zip(alone, with_marks, strict=True)]
+    assert sum(same) >= 0.9 * len(pages)
+    assert all(s for s, text in zip(same, with_marks, strict=True) if len(text) > 2000)
+    monkeypatch.setattr(html_text, "surges", lambda lines, surge: [lines])
+    assert not any(main_text(without_marks(p)) == a for p, a in zip(pages, with_marks, strict=True))
+
+
+@pytest.mark.parametrize("tag", ["article", "div", "section class=ad", "li", "p", "td", "form", "header", "main id=x", "ul><li"])
+def test_deep_nesting_takes_no_time(tag):
+    """50,000 open elements, with end tags that match none of them, in under a second each; the text is still found."""
+    for page in (f"<{tag}>" * 50_000 + f"<p>{LONG}</p>", (f"<{tag}>" + "x </i></div></nav>") * 50_000, f"<{tag}><p>{LONG}</p>" + f"<{tag}></{tag.split()[0]}>" * 50_000):
+        began = time.perf_counter()
+        main_text(page)
+        assert time.perf_counter() - began < 3  # about 0.5 on an idle machine
+    assert (LONG in main_text(f"<{tag}>" * 500 + f"<p>{LONG}</p>")) == (tag != "header")
+
+
 def test_frames(spark):
     rows = [(1, None, "own", "x"), (1, None, "own", "x"), (2, "", "own", "x"), (None, "<p>" + "word " * 200_000, "own", "x")]
     out = extract_main_text(spark.createDataFrame(rows, "page_id long, html string, text string, other string"))
