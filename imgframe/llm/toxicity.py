@@ -10,6 +10,7 @@ of its score is penalised, so a neutral mention of a group moves no score.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -48,18 +49,42 @@ def features_of(words: set[str]) -> set[str]:
     return words | {f"{w[:n]}-" for w in words for n in BEGINNINGS if len(w) > n}
 
 
+#: The kind of each identity term and its place in it.
+PLACES = {term: (kind, i) for kind in IDENTITY_TERMS for i, term in enumerate(kind)}
+SENTENCE_END = re.compile(r"[.!?\n]+")
+
+
 def swapped(words: set[str], shift: int) -> set[str]:
     """The words with each identity term replaced by the ``shift``-th next one of its kind."""
-    place = {t: (kind, i) for kind in IDENTITY_TERMS for i, t in enumerate(kind)}
-    return {place[w][0][(place[w][1] + shift) % len(place[w][0])] if w in place else w for w in words}
+    return {PLACES[w][0][(PLACES[w][1] + shift) % len(PLACES[w][0])] if w in PLACES else w for w in words}
+
+
+def counterfactuals(text: str | None) -> tuple[list[tuple[set[str], set[str]]], set[str], set[str]]:
+    """(pairs of sentences, as words, with one group and another in its place; words that the text gains and loses by them).
+
+    One pair for each sentence that names a group. Where none does, one for the longest sentence with a term put in;
+    which kind and terms, the text's checksum says. An empty text is one empty sentence.
+    """
+    text = text or ""
+    seed = zlib.crc32(text.encode("utf-8", "surrogatepass"))
+    shift = 1 + seed % 3
+    named = [own for own in map(words_of, SENTENCE_END.split(text)) if not own.isdisjoint(PLACES)] if not words_of(text).isdisjoint(PLACES) else []
+    if named:
+        words = words_of(text)
+        return [(own, swapped(own, shift)) for own in named], swapped(words, shift) - words, words - swapped(words, shift)
+    kind = IDENTITY_TERMS[seed // 3 % len(IDENTITY_TERMS)]
+    at = seed // 1024 % len(kind)
+    own = words_of(max(SENTENCE_END.split(text), key=len))
+    return [(own | {kind[at]}, own | {kind[(at + shift) % len(kind)]})], {kind[at]}, set()
 
 
 @dataclass
 class ToxicityModel:
-    """Weights by feature, and a bias."""
+    """Weights by feature, and a bias; on how many counterfactual pairs it was fitted."""
 
     weights: dict[str, float]
     bias: float
+    pairs: int = 0
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         get = self.weights.get
@@ -99,7 +124,7 @@ def fit_toxicity(rows: DataFrame, n_features: int = 4_000, least: int = 5, l2: f
     """A model from labelled rows (text, toxic 0 or 1), of which there must be a bounded number.
 
     Texts stay on the executors; the chosen features of each reach the driver. n_features: so many features at most,
-    each in ``least`` texts. fairness: the weight of the squared score change under swapped identity terms. Rows
+    each in ``least`` texts, besides the identity terms. fairness: the weight of the squared score change under swapped identity terms. Rows
     whose label is null are left out. Without both labels the model is the smoothed share of toxic rows.
     """
     rows = materialize(rows.where("toxic IS NOT NULL").select(F.col("text").cast("string").alias("text"), F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic")), "toxicity-rows")
@@ -107,59 +132,84 @@ def fit_toxicity(rows: DataFrame, n_features: int = 4_000, least: int = 5, l2: f
     if not names:
         n, t = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
         return ToxicityModel({}, float(np.log((t + 1) / (n - t + 1))))
+    names += sorted(features_of(set(PLACES)) - set(names))
     place = {f: i for i, f in enumerate(names)}
-    groups = frozenset(t for kind in IDENTITY_TERMS for t in kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = lambda features: sorted(place[f] for f in features if f in place)
         for batch in steps(batches, "text"):
-            own, other = [], []
-            for k, text in enumerate(batch.column("text").to_pylist()):
+            own, gained, lost, more, less = [], [], [], [], []
+            for text in batch.column("text").to_pylist():
                 words = words_of(text)
-                own.append(sorted(place[f] for f in features_of(words) if f in place))
-                other.append(sorted(place[f] for f in features_of(swapped(words, 1 + k % 3)) if f in place) if words & groups else None)
-            kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(own, kind), pa.array(other, kind)], ["toxic", "own", "other"])
-
-    data = rows.mapInArrow(run, "toxic int, own array<int>, other array<int>").toArrow()
+                features = features_of(words)
+                pairs, plus, minus = counterfactuals(text)
+                changed = features_of(words - minus | plus)
+                own.append(numbers(features))
+                gained.append(numbers(changed - features))
+                lost.append(numbers(features - changed))
+                sides = [(features_of(a), features_of(b)) for a, b in pairs]
+                more.append([numbers(b - a) for a, b in sides])
+                less.append([numbers(a - b) for a, b in sides])
+            flat = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), *(pa.array(x, flat) for x in (own, gained, lost)), *(pa.array(x, pa.list_(flat)) for x in (more, less))], ["toxic", "own", "gained", "lost", "more", "less"])
+
+    data = rows.mapInArrow(run, "toxic int, own array<int>, gained array<int>, lost array<int>, more array<array<int>>, less array<array<int>>").toArrow()
     y = data.column("toxic").to_numpy().astype(float)
-    own, other = (data.column(c).to_pylist() for c in ("own", "other"))
-    w, b = fit_weights(own, other, y, len(names), l2, fairness, rounds)
-    return ToxicityModel({f: float(x) for f, x in zip(names, w, strict=True) if abs(x) > 1e-4}, float(b))
+    own, gained, lost, more, less = (data.column(c).to_pylist() for c in ("own", "gained", "lost", "more", "less"))
+    pairs = [pair for a, b in zip(more, less, strict=True) for pair in zip(a, b, strict=True)]
+    w, b = fit_weights(own, list(zip(gained, lost, strict=True)), pairs, y, len(names), l2, fairness, rounds)
+    return ToxicityModel({f: float(x) for f, x in zip(names, w, strict=True) if abs(x) > 1e-4}, float(b), len(pairs))
+
+
+Change = tuple[list[int], list[int]]  # features gained and lost
 
 
-def fit_weights(own: list[list[int]], other: list[list[int] | None], y: np.ndarray, n_features: int, l2: float, fairness: float, rounds: int) -> tuple[np.ndarray, float]:
-    """Minimises mean log loss + l2 |w|^2 / 2n + fairness * mean squared change of the linear score, by accelerated gradient steps."""
+def _signed(changes: list[Change]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the change, feature, 1 or -1) of all."""
+    rows = np.repeat(np.arange(len(changes)), [len(a) + len(b) for a, b in changes]).astype(np.int64)
+    features = np.fromiter((i for a, b in changes for i in (*a, *b)), np.int64)
+    signs = np.fromiter((s for a, b in changes for s in (*[1.0] * len(a), *[-1.0] * len(b))), float)
+    return rows, features, signs
+
+
+def objective(own: list[list[int]], variants: list[Change], pairs: list[Change], y: np.ndarray, n_features: int, l2: float, fairness: float):
+    """A function of (weights, bias) that gives the loss and its gradients, with steps that suit each weight.
+
+    The loss: the mean log loss of texts and of their variants, + l2 |w|^2 / 2n + fairness * mean squared change of
+    the linear score over pairs.
+    """
     n = len(y)
     col = np.fromiter((i for x in own for i in x), np.int64)
     row = np.repeat(np.arange(n), [len(x) for x in own])
-    pairs = [(set(a), set(b)) for a, b in zip(own, other, strict=True) if b is not None]
-    moved = [(k, i, s) for k, (a, b) in enumerate(pairs) for i, s in [*((i, 1.0) for i in a - b), *((i, -1.0) for i in b - a)]]
-    mrow, mcol, msign = (np.array([m[j] for m in moved]) for j in range(3)) if moved else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-    # Steps are scaled by each weight's curvature, with a guess of how features go together; too long ones are taken back.
-    width = max(1.0, np.bincount(row, minlength=n).max(initial=1) ** 0.5)
-    curve = np.bincount(col, minlength=n_features) / (4 * n) * width + l2 / n
-    if len(pairs):
-        curve += 2 * fairness * np.bincount(mcol.astype(int), minlength=n_features) / len(pairs) * width
-
-    def linear(v: np.ndarray, c: float) -> tuple[np.ndarray, np.ndarray]:
-        return np.bincount(row, v[col], n) + c, np.bincount(mrow, msign * v[mcol], len(pairs)) if len(pairs) else np.zeros(0)
-
-    def loss(v: np.ndarray, c: float) -> float:
-        z, change = linear(v, c)
-        return float(np.mean(np.logaddexp(0, z) - y * z) + l2 * (v @ v) / (2 * n) + (fairness * np.mean(change**2) if len(pairs) else 0))
+    (vrow, vcol, vsign), (prow, pcol, psign) = _signed(variants), _signed(pairs)
+    share = fairness / max(1, len(pairs))
+    width = max(1.0, np.bincount(row, minlength=n).max(initial=1) ** 0.5)  # a guess of how features go together
+    curve = (np.bincount(col, minlength=n_features) / (4 * n) + np.bincount(vcol, minlength=n_features) / (8 * n) + 2 * share * np.bincount(pcol, minlength=n_features)) * width + l2 / n
 
+    def at(v: np.ndarray, c: float) -> tuple[float, np.ndarray, float]:
+        z = np.bincount(row, v[col], n) + c
+        variant = z + np.bincount(vrow, vsign * v[vcol], n)
+        change = np.bincount(prow, psign * v[pcol], len(pairs))
+        loss = float((np.logaddexp(0, z) + np.logaddexp(0, variant) - y * (z + variant)).sum() / (2 * n) + l2 * (v @ v) / (2 * n) + share * (change**2).sum())
+        wrong, off = (((1 / (1 + np.exp(-np.clip(s, -500, 500)))) - y) / (2 * n) for s in (z, variant))
+        slope = np.bincount(col, (wrong + off)[row], n_features) + np.bincount(vcol, vsign * off[vrow], n_features) + l2 * v / n + 2 * share * np.bincount(pcol, psign * change[prow], n_features)
+        return loss, slope, float((wrong + off).sum())
+
+    return at, curve, 0.25 * width
+
+
+def fit_weights(own: list[list[int]], variants: list[Change], pairs: list[Change], y: np.ndarray, n_features: int, l2: float, fairness: float, rounds: int) -> tuple[np.ndarray, float]:
+    """Minimises ``objective`` by accelerated gradient steps, scaled by each weight's curvature; steps that raise the loss are taken back."""
+    n = len(y)
+    at, curve, curve_b = objective(own, variants, pairs, y, n_features, l2, fairness)
     w, b = np.zeros(n_features), float(np.log((y.sum() + 1) / (n - y.sum() + 1)))
-    last, lastb, step, scale, reached = w, b, 0, 1.0, loss(w, b)
+    last, lastb, step, scale, reached = w, b, 0, 1.0, at(w, b)[0]
     for _ in range(rounds):
         pull = step / (step + 3)
         v, c = w + pull * (w - last), b + pull * (b - lastb)
-        z, change = linear(v, c)
-        error = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) / n
-        grad = np.bincount(col, error[row], n_features) + l2 * v / n
-        if len(pairs):
-            grad += 2 * fairness / len(pairs) * np.bincount(mcol, msign * change[mrow], n_features)
-        nextw, nextb = v - grad / (curve * scale), c - error.sum() / (0.25 * width * scale)
-        now = loss(nextw, nextb)
+        _, slope, slope_b = at(v, c)
+        nextw, nextb = v - slope / (curve * scale), c - slope_b / (curve_b * scale)
+        now = at(nextw, nextb)[0]
         if now > reached:  # begin again from here, without momentum; and if it had none, with shorter steps
             last, lastb, scale, step = w, b, scale * (1 if step else 2), 0
             continue

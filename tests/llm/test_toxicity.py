@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 from imgframe.llm.queries import op9_toxicity
-from imgframe.llm.toxicity import fit_on_documents, fit_toxicity, score_toxicity
+from imgframe.llm.toxicity import PLACES, counterfactuals, fit_on_documents, fit_toxicity, fit_weights, objective, score_toxicity, words_of
 
 from tests.conftest import DATA
 
@@ -50,3 +50,45 @@ def test_cases(spark):
     empty = fit_on_documents(docs.limit(0), labels.limit(0))
     assert score_toxicity(docs.limit(0), empty).count() == 0
     assert empty.scores(["x"])[0] == pytest.approx(0.5)
+
+
+def test_counterfactuals_in_the_registered_fit(spark):
+    """Every labelled document gives pairs, though none names a group; the penalty moves the weights of terms."""
+    docs, labels = (spark.read.parquet(f"{SF01}/{n}.parquet") for n in ("documents", "labels"))
+    fair, unfair = (fit_on_documents(docs, labels, sample_rows=1_500, fairness=f) for f in (1.0, 0.0))
+    assert fair.pairs == unfair.pairs >= 1_500
+    terms = [f"she met a {t} today" for t in PLACES]
+    spread = lambda model: np.ptp(model.scores(terms))
+    assert 0 < spread(fair) < spread(unfair) / 2
+
+
+def test_counterfactual_sentences():
+    pairs, plus, minus = counterfactuals("A muslim came. It rained! Two jews, one muslim")
+    assert len(pairs) == 2 and all(len(a) == len(b) and a != b and (a ^ b) <= set(PLACES) for a, b in pairs)
+    assert minus == {"muslim", "jews"} and len(plus) == 2
+    (a, b), = counterfactuals("It rained. The sun was not seen there")[0]
+    assert a - b and b - a and (a ^ b) <= set(PLACES) and a & b == words_of("The sun was not seen there")
+    assert counterfactuals(None) == counterfactuals("") and len(counterfactuals("")[0]) == 1
+
+
+@pytest.mark.parametrize("fairness", [0.0, 0.5, 20.0])
+def test_the_optimiser_against_newton_steps(fairness):
+    """On small problems the weights are those that Newton's method on the definition gives."""
+    rng = np.random.default_rng(2)
+    n, m = 80, 12
+    x = (rng.random((n, m)) < 0.3).astype(float)
+    y = (rng.random(n) < 1 / (1 + np.exp(-(x @ rng.normal(size=m))))).astype(float)
+    change = lambda: ([int(i) for i in rng.choice(m // 2, 2, replace=False)], [int(i) for i in m // 2 + rng.choice(m // 2, 1)])
+    variants, pairs = [change() for _ in range(n)], [change() for _ in range(n)]
+    dense = lambda changes: np.array([[(i in a) * 1.0 - (i in b) for i in range(m)] for a, b in changes])
+    both, d = np.hstack([np.vstack([x, x + dense(variants)]), np.ones((2 * n, 1))]), np.hstack([dense(pairs), np.zeros((n, 1))])
+    ridge = np.diag([1.0] * m + [0.0]) / n
+    theta = np.zeros(m + 1)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-both @ theta))
+        slope = both.T @ (p - np.tile(y, 2)) / (2 * n) + ridge @ theta + 2 * fairness / n * d.T @ (d @ theta)
+        theta -= np.linalg.solve((both.T * (p * (1 - p))) @ both / (2 * n) + ridge + 2 * fairness / n * d.T @ d, slope)
+    own = [[int(i) for i in np.flatnonzero(r)] for r in x]
+    w, b = fit_weights(own, variants, pairs, y, m, 1.0, fairness, 5_000)
+    assert np.allclose([*w, b], theta, atol=1e-3)
+    assert objective(own, variants, pairs, y, m, 1.0, fairness)[0](w, b)[0] == pytest.approx(objective(own, variants, pairs, y, m, 1.0, fairness)[0](theta[:-1], theta[-1])[0], abs=1e-7)
