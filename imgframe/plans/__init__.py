@@ -1,6 +1,6 @@
 """Registered queries, with the SQL they are held against."""
 
-from . import attributes, codecs, imaging, lookups, messages, temporal
+from . import attributes, codecs, imaging, lookups, messages, temporal, updates
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "attributes", "codecs", "imaging", "lookups", "messages", "temporal"]
+__all__ = ["ORACLE_SQL", "QUERIES", "attributes", "codecs", "imaging", "lookups", "messages", "temporal", "updates"]

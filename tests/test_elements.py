@@ -2,6 +2,7 @@
 
 import pytest
 from imgframe.operators import elements as E
+from imgframe.operators import meta as M
 
 
 @pytest.mark.parametrize("flip", [False, True])
@@ -17,3 +18,64 @@ def test_upsert_keeps_the_last(spark, flip):
     out = E.upsert(old, new, ["n"])
     assert out.columns and set(out.columns) == {"instance", "path", "tag", "vr", "values"}
     assert sorted((r.instance, r.path, r["values"][0]) for r in out.collect()) == [(1, "a", "last"), (1, "b", "last"), (2, "a", "only")]
+
+
+NESTED = [(1, "(0040,A730)", 0x0040A730, "SQ", []), (1, "(0040,A730)[0].(0008,0100)", 0x00080100, "SH", ["a"]), (1, "(0010,0010)", 0x00100010, "PN", ["x"]), (1, "(0028,0010)", 0x00280010, "US", ["5"]), (2, "(0010,0010)", 0x00100010, "PN", [])]
+
+
+def after(spark, *ops, strict=False, rows=NESTED):
+    out = E.apply(spark.createDataFrame(rows, E.ELEMENTS), [E.Operation(*op[:3], **(op[3] if len(op) > 3 else {})) for op in ops], strict)
+    return sorted((r.instance, r.path, r.vr, "\\".join(r["values"])) for r in out.collect())
+
+
+BEFORE = sorted((i, p, vr, "\\".join(v)) for i, p, _, vr, v in NESTED)
+
+
+def test_nested_changes(spark):
+    """Sequences and the next item are made; an item further on is not; what a removed sequence held goes too, and can come back."""
+    made = after(spark, ("set", "(0040,A730)[1].(0040,A168)[0].(0008,0100)", "c", {"vr": "SH"}))
+    assert set(made) - set(BEFORE) == {(i, p, vr, v) for i, n in ((1, 1),) for p, vr, v in ((f"(0040,A730)[{n}].(0040,A168)", "SQ", ""), (f"(0040,A730)[{n}].(0040,A168)[0].(0008,0100)", "SH", "c"))}
+    assert set(BEFORE) <= set(made)  # instance 2 has no item 0, so no item 1
+    assert after(spark, ("set", "(0040,A730)[5].(0008,0100)", "c"), ("replace", "(0040,A730)[1].(0008,0100)", "c"), ("empty", "(0099,0001)"), ("truncate", "(0099,0001)", 1)) == BEFORE
+    again = after(spark, ("remove", "(0040,A730)"), ("set_if_missing", "(0040,A730)[0].(0008,0104)", "m", {"vr": "LO"}), ("push", "(0040,A730)[0].(0008,0104)", "n"))
+    nested = [r for r in again if r[1].startswith("(0040")]
+    assert nested == [(i, p, vr, v) for i in (1, 2) for p, vr, v in (("(0040,A730)", "SQ", ""), ("(0040,A730)[0].(0008,0104)", "LO", "m\\n"))]
+    assert after(spark) == BEFORE and after(spark, ("remove", "(0010,0010)"), rows=[]) == []
+
+
+def test_strict_changes(spark):
+    for bad in (("set", "(0040,A730)[5].(0008,0100)", "c"), ("set", "(0010,0010)[0].(0008,0100)", "c"), ("push", "(0028,0010)", "text"), ("push", "(0040,A730)", 1, {"kind": "u16"})):
+        assert after(spark, bad, rows=NESTED[:4]) == BEFORE[:4]
+        with pytest.raises(Exception, match="no sequence or item|not a value of"):
+            after(spark, bad, strict=True, rows=NESTED[:4])
+    with pytest.raises(E.OperationError):
+        E.Operation("rename", "(0010,0010)")
+
+
+def test_one_scan_for_any_number_of_changes(spark, tmp_path):
+    path = f"file://{tmp_path}/elements"
+    spark.createDataFrame(NESTED, E.ELEMENTS).write.parquet(path)
+    ops = [E.Operation("set", f"(0010,00{n:02X})", "x", "LO") for n in range(12)]
+    plan = E.apply(spark.read.parquet(path), ops)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1
+
+
+def test_early_stop_reaches_the_scan(spark, tmp_path):
+    path = f"file://{tmp_path}/elements"
+    spark.createDataFrame(NESTED, E.ELEMENTS).write.parquet(path)
+    stopped = E.read_until(spark.read.parquet(path), 0x0040A730)
+    assert "PushedFilters: [IsNotNull(path), LessThan(path,(0040,A730))]" in stopped._jdf.queryExecution().executedPlan().toString()
+    assert {r.path for r in stopped.collect()} == {"(0010,0010)", "(0028,0010)"}
+    assert E.read_until(spark.read.parquet(path), 0x0040A730, inclusive=True).count() == len(NESTED)
+
+
+@pytest.mark.parametrize("op", [("remove", "(0002,0010)"), ("empty", "(0002,0003)"), ("push", "(0002,0013)", "x"), ("set", "(0002,0099)", "x"), ("set", "(0002,0010)[0].(0002,0010)", "x")])
+def test_meta_errors(spark, op):
+    with pytest.raises(M.MetaError):
+        M.apply(spark.range(0), [E.Operation(*op)])
+
+
+def test_meta_needs_a_syntax(spark):
+    row = spark.createDataFrame([("", None, None, " \0")], "media_storage_sop_class_uid string, media_storage_sop_instance_uid string, implementation_class_uid string, transfer_syntax string")
+    with pytest.raises(Exception, match="no transfer syntax"):
+        M.with_defaults(row, E.F.lit("c"), E.F.lit("i"), "1").collect()
