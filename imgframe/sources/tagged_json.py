@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
+import base64
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tags
+from ..operators.elements import ELEMENTS, none
+from .codec import BYTES, PIXEL_DATA, VRS, element_batch
 
-NUMERIC = ("FL", "FD", "SL", "SS", "UL", "US")
+INTEGERS = ("SL", "SS", "UL", "US", "SV", "UV")
+FLOATS = ("FL", "FD")
 #: Whole numbers beyond this are written as text.
 LARGEST = 2**31 - 1
-ENTRY = "map<string,struct<vr:string,Value:array<variant>,InlineBinary:string,BulkDataURI:string>>"
+
+
+class JsonError(ValueError):
+    """The text is no tagged JSON."""
 
 
 def _quoted(text: Column) -> Column:
@@ -19,36 +30,135 @@ def _quoted(text: Column) -> Column:
     return F.concat(F.lit('"'), F.regexp_replace(escaped, "\r", r"\\r"), F.lit('"'))
 
 
-def encode_value(value: Column, vr: Column) -> Column:
-    """One value: a number where its representation is numeric and it is small enough, a name object, or a string."""
-    number = value.try_cast("double")
-    name = F.concat(F.lit('{"Alphabetic":'), _quoted(value), F.lit("}"))
-    return F.when(vr.isin(*NUMERIC) & number.isNotNull() & (F.abs(number) <= LARGEST), value).when(vr == "PN", name).otherwise(_quoted(value))
-
+def _name(value: Column) -> Column:
+    """A name object of the groups that are there."""
+    groups = F.split(value, "=")
+    each = F.array(*[F.concat(F.lit(f'"{g}":'), _quoted(F.get(groups, F.lit(i)))) for i, g in enumerate(GROUPS)])
+    some = F.filter(each, lambda x, i: x.isNotNull() & ((F.get(groups, i) != "") | (i == 0) & (F.size(groups) == 1)))
+    return F.concat(F.lit("{"), F.array_join(some, ","), F.lit("}"))
 
-def encode_element(vr: Column, values: Column) -> Column:
-    """``{"vr":…,"Value":[…]}``; only vr for an empty value."""
-    items = F.array_join(F.transform(values, lambda v: encode_value(v, vr)), ",")
-    head = F.concat(F.lit('{"vr":"'), vr, F.lit('"'))
-    return F.when(F.size(values) == 0, F.concat(head, F.lit("}"))).otherwise(F.concat(head, F.lit(',"Value":['), items, F.lit("]}")))
 
+def encode_value(value: Column, vr: Column) -> Column:
+    """One value: a number where its representation is numeric, a name object, or a string.
 
-def to_json(elements: DataFrame) -> DataFrame:
-    """(instance, json): the root elements of each instance in the order of their tags. An instance's elements meet in one row."""
-    root = elements.where(~F.col("path").contains("."))
-    entry = F.struct(tags.tag_key(F.col("tag")).alias("k"), encode_element(F.col("vr"), F.col("values")).alias("v"))
-    entries = F.transform(F.array_sort(F.collect_list(entry)), lambda e: F.concat(F.lit('"'), e.k, F.lit('":'), e.v))
-    return root.groupBy("instance").agg(F.concat(F.lit("{"), F.array_join(entries, ","), F.lit("}")).alias("json"))
+    Whole numbers beyond 32 bits, and what is not finite, are strings; a tag is its eight digits.
+    """
+    number = value.try_cast("double")
+    finite = number.isNotNull() & ~F.isnan(number) & (F.abs(number) < float("inf"))
+    lost = F.when(F.isnan(number), '"NaN"').when(number > 0, '"inf"').otherwise('"-inf"')
+    whole = F.when(finite & (F.abs(number) <= LARGEST), value).otherwise(_quoted(value))
+    real = F.when(finite, value).when(number.isNotNull(), lost).otherwise(_quoted(value))
+    return F.when(vr.isin(*INTEGERS), whole).when(vr.isin(*FLOATS), real).when(vr == "PN", _name(value)).when(vr == "AT", _quoted(F.regexp_replace(value, "[(),]", ""))).otherwise(_quoted(value))
 
 
-def from_json(rows: DataFrame, instance: str = "instance", column: str = "json") -> DataFrame:
-    """Elements of tagged JSON: numbers as text, names with their groups joined by =, unknown or missing vr as UN. Bulk data is left out."""
-    parsed = rows.select(F.col(instance).alias("instance"), F.explode(F.from_json(column, ENTRY)).alias("k", "e")).where("e.BulkDataURI IS NULL")
-    name = lambda v: F.regexp_replace(F.concat_ws("=", *[F.coalesce(F.try_variant_get(v, f"$.{g}", "string"), F.lit("")) for g in ("Alphabetic", "Ideographic", "Phonetic")]), "=+$", "")
-    value = lambda v: F.when(F.col("e.vr") == "PN", name(v)).otherwise(F.coalesce(F.try_variant_get(v, "$", "string"), F.lit("")))
-    values = F.when(F.col("e.InlineBinary").isNotNull(), F.array("e.InlineBinary")).otherwise(F.coalesce(F.transform("e.Value", value), F.array().cast("array<string>")))
-    tag = tags.parse_tag(F.col("k"))
-    return parsed.select("instance", tags.format_tag(tag).alias("path"), tag.alias("tag"), F.coalesce("e.vr", F.lit("UN")).alias("vr"), values.alias("values")).where("tag IS NOT NULL")
+def encode_element(vr: Column, values: Column, items: Column | None = None) -> Column:
+    """``{"vr":…,"Value":[…]}``, ``{"vr":…,"InlineBinary":…}`` of bytes; only vr for an empty value. items: the objects of a sequence."""
+    head = F.concat(F.lit('{"vr":"'), vr, F.lit('"'))
+    inline = F.concat(head, F.lit(',"InlineBinary":"'), F.base64(F.unhex(F.array_join(values, ""))), F.lit('"}'))
+    listed = lambda texts: F.concat(head, F.lit(',"Value":['), texts, F.lit("]}"))
+    plain = F.when(F.size(values) == 0, F.concat(head, F.lit("}"))).when(vr.isin(*sorted(BYTES)), inline).otherwise(listed(F.array_join(F.transform(values, lambda v: encode_value(v, vr)), ",")))
+    return plain if items is None else F.when(items.isNotNull(), listed(items)).otherwise(plain)
+
+
+def to_json(elements: DataFrame, depth: int | None = None) -> DataFrame:
+    """(instance, json): the elements of each instance in the order of their tags, those of items within their sequences.
+
+    From the deepest level up, an item's elements meet in one row, then a sequence's items, then an instance's
+    elements. ``depth``: how many sequences lie within each other, if it is known; else it is looked up. Encapsulated
+    pixel data is left out; an item without elements is an empty object.
+    """
+    place = F.size(F.split("path", r"\.")) - 1
+    if depth is None:
+        depth = elements.agg(F.max(place)).first()[0] or 0
+    rows = elements.where(~((F.col("tag") == PIXEL_DATA) & (F.size("values") > 1)))
+    nested = None
+    for level in range(depth, -1, -1):
+        here = rows.where(place == level).select("instance", "path", "vr", "values") if depth else rows.select("instance", "path", "vr", "values")
+        if nested is not None:
+            here = here.join(nested, ["instance", "path"], "full").withColumns({"vr": F.coalesce("vr", F.lit("SQ")), "values": F.coalesce("values", none())})
+        items = F.col("items") if nested is not None else None
+        step = F.element_at(F.split("path", r"\."), -1)
+        entry = F.struct(F.regexp_replace(step, "[(),]", "").alias("k"), encode_element(F.col("vr"), F.col("values"), items).alias("v"))
+        entries = F.transform(F.array_sort(F.collect_list(entry)), lambda e: F.concat(F.lit('"'), e.k, F.lit('":'), e.v))
+        text = F.concat(F.lit("{"), F.array_join(entries, ","), F.lit("}")).alias("json")
+        if not level:
+            return here.groupBy("instance").agg(text)
+        item = F.regexp_extract("path", r"^(.*)\.[^.]*$", 1)
+        objects = here.withColumn("item", item).groupBy("instance", "item").agg(text)
+        number = F.regexp_extract("item", r"\[(\d+)\]$", 1).cast("int")
+        sequence = objects.select("instance", F.regexp_replace("item", r"\[\d+\]$", "").alias("path"), number.alias("n"), "json")
+        held = sequence.groupBy("instance", "path").agg(F.map_from_entries(F.collect_list(F.struct("n", "json"))).alias("o"), F.max("n").alias("last"))
+        nested = held.select("instance", "path", F.array_join(F.transform(F.sequence(F.lit(0), "last"), lambda n: F.coalesce(F.try_element_at("o", n), F.lit("{}"))), ",").alias("items"))
+
+
+#: The groups of a name, and the fields of an element.
+GROUPS = ("Alphabetic", "Ideographic", "Phonetic")
+FIELDS = frozenset(("vr", "Value", "InlineBinary", "BulkDataURI"))
+
+
+def _text(value: object, vr: str) -> str:
+    """One JSON value as an element's text."""
+    if value is None:
+        return ""
+    if isinstance(value, dict):
+        return "=".join(value.get(g) or "" for g in GROUPS).rstrip("=")
+    if isinstance(value, float) and vr not in FLOATS and value.is_integer():
+        return str(int(value))
+    if vr == "AT" and isinstance(value, str) and len(value) == 8:
+        return f"({value[:4]},{value[4:]})".upper()
+    return value if isinstance(value, str) else repr(value)
+
+
+def read_object(held: dict, prefix: str = "", strict: bool = False) -> Iterator[tuple[str, int, str, list[str], str | None]]:
+    """(path, tag, vr, values, link) of an object's elements and of those in its items.
+
+    A representation that is missing or unknown is UN. With ``strict`` what no element has is an error: another field,
+    no representation, or values of UN.
+    """
+    for key, element in held.items():
+        if len(key) != 8 or not isinstance(element, dict):
+            raise JsonError(f"{key!r} is no element")
+        tag = int(key, 16)
+        path = f"{prefix}({key[:4]},{key[4:]})".upper() if not prefix else f"{prefix}({key[:4].upper()},{key[4:].upper()})"
+        vr = element.get("vr")
+        if strict and (set(element) - FIELDS or vr is None or vr == "UN" and "Value" in element):
+            raise JsonError(f"{path} has a field too many, no vr, or values of UN")
+        vr = vr if vr in VRS else "UN"
+        values = element.get("Value") or []
+        if vr == "SQ":
+            yield path, tag, vr, [], None
+            for n, item in enumerate(values):
+                yield from read_object(item or {}, f"{path}[{n}].", strict)
+        elif "InlineBinary" in element:
+            yield path, tag, vr, [base64.b64decode(element["InlineBinary"]).hex()], None
+        else:
+            yield path, tag, vr, [_text(v, vr) for v in values], element.get("BulkDataURI")
+
+
+def from_json(rows: DataFrame, instance: str = "instance", column: str = "json", strict: bool = False, links: bool = False) -> DataFrame:
+    """Elements of tagged JSON, nested ones too: numbers as text, names with their groups joined by =, bytes as hex.
+
+    An element that only links to bulk data has no values; ``links`` gives these as (instance, path, link) instead.
+    Text that is no tagged JSON gives one row with a NULL path, or with ``strict`` is an error.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    out += [(key, *e) for e in read_object(json.loads(text) if text else {}, strict=strict)]
+                except (ValueError, AttributeError, TypeError) as e:
+                    if strict:
+                        raise
+                    out.append((key, None, None, None, None, None))
+            if links:
+                linked = [r for r in out if r[5] is not None]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in linked], k) for i, k in ((0, pa.int64()), (1, pa.string()), (5, pa.string()))], ["instance", "path", "link"])
+            else:
+                yield element_batch([r[:5] for r in out])
+
+    return rows.select(F.col(instance).cast("long"), F.col(column)).mapInArrow(run, "instance long, path string, link string" if links else ELEMENTS)
 
 
 def dump_line(tag: Column, alias: Column, vr: Column, values: Column, width: int = 80) -> Column:
