@@ -1,6 +1,6 @@
 """Registered queries, with the SQL they are held against."""
 
-from . import attributes, codecs, forms, imaging, lookups, messages, temporal, updates
+from . import attributes, codecs, forms, imaging, lookups, messages, protocol, temporal, updates
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "attributes", "codecs", "forms", "imaging", "lookups", "messages", "temporal", "updates"]
+__all__ = ["ORACLE_SQL", "QUERIES", "attributes", "codecs", "forms", "imaging", "lookups", "messages", "protocol", "temporal", "updates"]
