@@ -22,3 +22,11 @@ def format_name(parts: Column) -> Column:
 def display_name(parts: Column) -> Column:
     """Prefix, given, middle, family and suffix, joined by spaces."""
     return F.concat_ws(" ", *[parts[p] for p in ("prefix", "given", "middle", "family", "suffix")])
+
+
+def make_name(**parts: Column) -> Column:
+    """A name of the parts that are given."""
+    unknown = set(parts) - set(PARTS)
+    if unknown:
+        raise ValueError(f"a name has no {sorted(unknown)}")
+    return F.struct(*[F.nullif(parts[p], F.lit("")).alias(p) if p in parts else F.lit(None).cast("string").alias(p) for p in PARTS])

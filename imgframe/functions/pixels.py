@@ -90,3 +90,24 @@ def widen(x: Column) -> Column:
 def expand_bits(byte: Column) -> Column:
     """array<int> of eight samples 0 or 255, the lowest bit first."""
     return F.array(*[F.shiftright(byte, i).bitwiseAND(1) * 255 for i in range(8)])
+
+
+def lut_descriptor(values: Column, entries: Column) -> Column:
+    """struct<n, first, bits> of a table's descriptor; NULL unless it has three values, entries, 16 bits at most, and as many ``entries`` of data as it says."""
+    n, first, bits = (F.get(values, F.lit(i)).cast("int") for i in range(3))
+    good = (F.size(values) == 3) & (n > 0) & bits.between(0, 16) & (entries == n)
+    return F.when(good, F.struct(n.alias("n"), first.alias("first"), bits.alias("bits")))
+
+
+#: Kinds of images.
+INTERPRETATIONS = ("MONOCHROME1", "MONOCHROME2", "PALETTE COLOR", "RGB", "YBR_FULL", "YBR_FULL_422", "YBR_PARTIAL_420", "YBR_ICT", "YBR_RCT", "XYB")
+
+
+def interpretation(text: Column) -> Column:
+    """The kind of an image, padding ignored; NULL for one that is not known."""
+    kind = F.regexp_replace(text, r"[ \x00]+$", "")
+    return F.when(kind.isin(*INTERPRETATIONS), kind)
+
+
+def is_monochrome(text: Column) -> Column:
+    return F.coalesce(interpretation(text).isin("MONOCHROME1", "MONOCHROME2"), F.lit(False))

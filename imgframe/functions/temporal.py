@@ -7,6 +7,8 @@ are NULL. A time of day is a LONG of microseconds, so that second 60 survives. W
 from __future__ import annotations
 
 import datetime
+from collections.abc import Callable
+
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -115,6 +117,54 @@ def partial_datetime(text: Column) -> Column:
     return let(let(split, parsed), checked)
 
 
+def multi(text: Column, parse: Callable[[Column], Column]) -> Column:
+    """Array of ``parse`` of each backslash-separated value; NULL if any can't be parsed. An empty text has no values."""
+    parsed = F.transform(F.filter(F.split(_trim(text), r"\\"), lambda v: text != ""), parse)
+    return let(parsed, lambda v: F.when(F.forall(v, lambda x: x.isNotNull()), v))
+
+
+def make_date(y: Column, m: Column | None = None, d: Column | None = None) -> Column:
+    """A partial date of its components; NULL if one is out of range, or a day has no month."""
+    none = F.lit(None).cast("int")
+    m, d = none if m is None else m, none if d is None else d
+    good = y.between(0, 9999) & F.coalesce(m.between(1, 12), F.lit(True)) & F.coalesce(d.between(1, 31), F.lit(True)) & (m.isNotNull() | d.isNull())
+    return F.when(good, F.struct(y.alias("y"), m.alias("m"), d.alias("d"))).cast(DATE)
+
+
+def make_time(h: Column, mi: Column | None = None, s: Column | None = None, frac: Column | None = None, prec: int | None = None) -> Column:
+    """A partial time of its components; ``prec``: digits of the fraction. NULL if one is out of range, or one is given without the coarser."""
+    none = F.lit(None).cast("int")
+    mi, s, frac = (none if c is None else c for c in (mi, s, frac))
+    good = h.between(0, 23) & F.coalesce(mi.between(0, 59), F.lit(True)) & F.coalesce(s.between(0, 60), F.lit(True)) & (mi.isNotNull() | s.isNull()) & (s.isNotNull() | frac.isNull())
+    if prec is not None:
+        good = good & F.coalesce(frac.between(0, 10**prec - 1), F.lit(True))
+    return F.when(good, F.struct(h.alias("h"), mi.alias("mi"), s.alias("s"), frac.alias("frac"), F.when(frac.isNotNull(), F.lit(prec)).alias("prec"))).cast(TIME)
+
+
+def _two(c: Column) -> Column:
+    return F.lpad(c.cast("string"), 2, "0")
+
+
+def show_date(p: Column) -> Column:
+    """YYYY[-MM[-DD]]."""
+    part = lambda c: F.coalesce(F.concat(F.lit("-"), _two(c)), F.lit(""))
+    return F.concat(F.lpad(p.y.cast("string"), 4, "0"), part(p.m), part(p.d))
+
+
+def show_time(p: Column) -> Column:
+    """HH[:MM[:SS[.F]]]; a fraction of zero is one digit."""
+    part = lambda c: F.coalesce(F.concat(F.lit(":"), _two(c)), F.lit(""))
+    digits = F.when(p.frac == 0, "0").otherwise(F.lpad(p.frac.cast("string"), F.coalesce(p.prec, F.lit(1)), F.lit("0")))
+    return F.concat(_two(p.h), part(p.mi), part(p.s), F.coalesce(F.concat(F.lit("."), digits), F.lit("")))
+
+
+def show_datetime(p: Column) -> Column:
+    """The date, the time and the offset ±HH:MM, as far as they are given."""
+    minutes = F.abs(p.offset_min)
+    offset = F.concat(F.when(p.offset_min < 0, " -").otherwise(" +"), _two(F.floor(minutes / 60)), F.lit(":"), _two(minutes % 60))
+    return F.concat(show_date(p.date), F.coalesce(F.concat(F.lit(" "), show_time(p.time)), F.lit("")), F.coalesce(offset, F.lit("")))
+
+
 def _instant(date: Column, micros: Column, offset: Column, local_min: int) -> Column:
     """TIMESTAMP_NTZ in UTC of a local date and time of day."""
     day = F.unix_date(date).cast("long") * DAY_US
@@ -208,7 +258,7 @@ def day_within(value: Column, bounds: tuple | None) -> Column:
         return F.lit(False)
     lo, hi = bounds
     midnight = lambda day: F.lit(datetime.datetime.combine(day, datetime.time())).cast("timestamp_ntz")
-    return (value >= midnight(lo) if lo is not None else F.lit(True)) & (value < midnight(hi + datetime.timedelta(days=1)) if hi is not None else F.lit(True)) & value.isNotNull()
+    return (value >= midnight(lo) if lo is not None else F.lit(True)) & (value < midnight(hi + datetime.timedelta(days=1)) if hi is not None and hi < datetime.date.max else F.lit(True)) & value.isNotNull()
 
 
 def in_range(value: Column, bounds: Column) -> Column:

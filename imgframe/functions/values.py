@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 PADDING = r"[ \x00]+$"
 ENDS = r"^[\s\x00]+|[\s\x00]+$"
 #: Bytes of one value of each binary kind.
@@ -47,6 +49,70 @@ def to_float(text: Column) -> Column:
     return F.when(first.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), first.try_cast("double"))
 
 
+#: The range of each kind of whole number.
+RANGES = {"u8": (0, 2**8 - 1), "i16": (-(2**15), 2**15 - 1), "u16": (0, 2**16 - 1), "i32": (-(2**31), 2**31 - 1), "u32": (0, 2**32 - 1), "i64": (-(2**63), 2**63 - 1)}
+
+
+def to_narrow_int(text: Column, kind: str) -> Column:
+    """BIGINT of the first value; NULL if it is no whole number of the ``kind``'s range."""
+    low, high = RANGES[kind]
+    return let(to_int(text), lambda n: F.when(n.between(low, high), n))
+
+
+def to_float32(text: Column) -> Column:
+    """FLOAT of the first value; NULL if it is no number."""
+    return to_float(text).cast("float")
+
+
+def _all(values: Column, one) -> Column:
+    """The array with ``one`` applied to each value; NULL if any gives NULL."""
+    return let(F.transform(values, one), lambda v: F.when(F.forall(v, lambda x: x.isNotNull()), v))
+
+
+def to_multi_int(text: Column, kind: str = "i64") -> Column:
+    """array<bigint> of all values of a text; NULL if any is none of the ``kind``. An empty text has no values."""
+    split = F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, r"\\"))
+    return _all(split, lambda v: to_narrow_int(v, kind))
+
+
+def to_multi_float(text: Column) -> Column:
+    """array<double> of all values of a text; NULL if any is no number."""
+    split = F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, r"\\"))
+    return _all(split, to_float)
+
+
+def text_bytes(values: Column) -> Column:
+    """Bytes of the joined text, without padding."""
+    return F.encode(to_raw_str(values), "UTF-8")
+
+
+def number_bytes(values: Column, width: int) -> Column:
+    """Bytes of whole numbers of ``width`` bytes each, the lowest first."""
+    digits = lambda v: F.substring(F.lpad(F.hex(v.cast("long")), 16, "0"), 17 - 2 * width, 2 * width)
+    turned = lambda h: F.concat(*[F.substring(h, 2 * i + 1, 2) for i in reversed(range(width))])
+    return F.unhex(F.array_join(F.transform(values, lambda v: turned(digits(v))), ""))
+
+
+def strict(values: Column, held: Column, wanted: str) -> Column:
+    """The values if they are held as the kind that is wanted, without any conversion; else NULL."""
+    return F.when(held == wanted, values)
+
+
+def extend_as(values: Column, held: Column, kind: str, *more: Column) -> Column:
+    """array<string> of values held as text, int or float, with ``more`` of a ``kind`` (text, int or float) at the end.
+
+    Text takes numbers as text; whole numbers take the whole part of others; text onto numbers, and anything onto
+    other kinds, gives NULL.
+    """
+    added = F.array(*more)
+    text = F.transform(added, lambda v: v.cast("string"))
+    whole = F.transform(added, lambda v: F.when(v < 0, F.ceil(v)).otherwise(F.floor(v)).cast("string")) if kind == "float" else text
+    real = F.transform(added, lambda v: v.cast("double").cast("string")) if kind != "text" else text
+    if kind == "text":
+        return F.when(held == "text", F.concat(values, text))
+    return F.when(held == "text", F.concat(values, text)).when(held == "int", F.concat(values, whole)).when(held == "float", F.concat(values, real))
+
+
 def values_equal(a: Column, b: Column) -> Column:
     """Equality of two array<string> values: without padding."""
     return to_str(a) == to_str(b)

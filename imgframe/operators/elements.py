@@ -264,3 +264,11 @@ ANONYMOUS = (
 
 def anonymize(elements: DataFrame) -> DataFrame:
     return apply(elements, ANONYMOUS)
+
+
+#: Declares UTF-8; text is held as such anyway, and so written from then on.
+TO_UTF8 = (Operation("set", "(0008,0005)", "ISO_IR 192", "CS"),)
+
+
+def convert_to_utf8(elements: DataFrame) -> DataFrame:
+    return apply(elements, TO_UTF8)

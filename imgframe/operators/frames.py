@@ -21,6 +21,26 @@ def offset_table(fragments: DataFrame, key: str, order: str, length: Column) ->
     return fragments.withColumn("offset", F.coalesce(F.sum(even(length) + ITEM_HEADER).over(before), F.lit(0)).cast("long"))
 
 
+def fragment_totals(fragments: DataFrame, keys: list[str], length: Column) -> DataFrame:
+    """(keys, n_fragments, total_bytes, encapsulated_bytes): bytes of data, and with a header for each fragment and its padding."""
+    return fragments.groupBy(*keys).agg(F.count("*").alias("n_fragments"), F.sum(length).cast("long").alias("total_bytes"), F.sum(even(length) + ITEM_HEADER).cast("long").alias("encapsulated_bytes"))
+
+
+def cut_fragments(frames: DataFrame, data: str, size: int = 0) -> DataFrame:
+    """``frames`` with fragment (from 0) and data cut to pieces of ``size`` bytes, an odd size being one more; 0 is the whole frame.
+
+    The last piece is filled with zeros to the full size, a whole frame to an even length.
+    """
+    size += size % 2
+    n = F.octet_length(data)
+    width = F.lit(size) if size else n + n % 2
+    pieces = F.greatest(F.ceil(n / width), F.lit(1)).cast("int") if size else F.lit(1)
+    rows = frames.withColumns({"_n": pieces, "_w": F.greatest(width, F.lit(0))}).withColumn("fragment", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    piece = F.substring(F.col(data), F.col("fragment") * F.col("_w") + 1, F.col("_w"))
+    padded = F.unhex(F.rpad(F.hex(piece), F.col("_w") * 2, F.lit("0")))
+    return rows.withColumn(data, F.when(F.col("_w") == 0, piece).otherwise(padded)).drop("_n", "_w")
+
+
 def frames_of_fragments(fragments: DataFrame, starts: DataFrame, key: str) -> DataFrame:
     """Fragments (key, offset, ...) with the frame whose start is the last at or before their offset.
 
@@ -39,7 +59,9 @@ def lut(spark: SparkSession, bits: int, signed: bool, function) -> DataFrame:
 
 
 def apply_lut(rows: DataFrame, table: DataFrame, sample: str, bits: int) -> DataFrame:
-    """``rows`` with value from a table of at most 2^16 entries, which is broadcast."""
+    """``rows`` with value from a table of 2^bits entries, which is broadcast; bits may be 16 at most."""
+    if bits > 16:
+        raise ValueError(f"a table of 2^{bits} entries is no look-up table")
     entry = pixels.lut_index(F.col(sample), bits).cast("long")
     return rows.withColumn("entry", entry).join(F.broadcast(table), "entry").drop("entry")
 

@@ -15,6 +15,9 @@ INTEGER_VRS = {"SS": (-(2**15), 2**15 - 1), "US": (0, 2**16 - 1), "SL": (-(2**31
 REFUSED_VRS = frozenset("AT OB OD OF OL OV OW UN SQ".split())
 
 
+RANGES = {"DA": (temporal.date_range, temporal.day_within), "TM": (temporal.time_range, temporal.within), "DT": (temporal.datetime_range, temporal.within)}
+
+
 class QueryError(ValueError):
     """A term can't be turned into a predicate."""
 
@@ -61,17 +64,16 @@ def predicate(column: Column, vr: str, value: str) -> Column:
     """Whether a column matches a query value.
 
     Dates, times and date-times (DA, TM, DT) match ranges with a dash, or the whole of a partial value. Dates are
-    DATE or timestamps, times microseconds of the day. Text matches ``*`` and ``?`` and lists with a backslash.
+    DATE or timestamps, times microseconds of the day; what is no range is an error. Text matches ``*`` and ``?`` and lists with a backslash.
     """
     if value == "":
         return F.lit(True)
-    text = F.lit(value if "-" in value else f"{value}-{value}")
-    if vr == "DA":
-        return temporal.day_within(column, temporal.fixed_bounds(temporal.date_range(text)))
-    if vr == "TM":
-        return temporal.within(column, temporal.fixed_bounds(temporal.time_range(text)))
-    if vr == "DT":
-        return temporal.within(column, temporal.fixed_bounds(temporal.datetime_range(text)))
+    if vr in RANGES:
+        parse, test = RANGES[vr]
+        bounds = temporal.fixed_bounds(parse(F.lit(value if "-" in value else f"{value}-{value}")))
+        if bounds is None:
+            raise QueryError(f"{value!r} is no range of {vr}")
+        return test(column, bounds)
     if vr in TEXT_VRS or vr == "LO":
         options = value.split("\\")
         plain = [v for v in options if not re.search(r"[*?]", v) or vr == "UI"]
