@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from .binding import let
 
 TAG_TEXT = r"^(\([0-9A-Fa-f]{4},[0-9A-Fa-f]{4}\)|[0-9A-Fa-f]{4},[0-9A-Fa-f]{4}|[0-9A-Fa-f]{8})$"
-STEP = r"^([^\[\]]+)(?:\[(\d+)\])?$"
+INDEX = r"^\[[0-9]{1,9}\]$"
 
 
 def parse_tag(text: Column) -> Column:
     """LONG of ``(GGGG,EEEE)``, ``GGGG,EEEE`` or ``GGGGEEEE``, hex digits in any case."""
-    return F.when(text.rlike(TAG_TEXT), F.conv(F.regexp_replace(text, "[(),]", ""), 16, 10).cast("long"))
+    return F.when(text.rlike(TAG_TEXT), F.conv(F.translate(text, "(),", ""), 16, 10).cast("long"))
 
 
 def tag_key(tag: Column) -> Column:
@@ -25,8 +25,8 @@ def tag_key(tag: Column) -> Column:
 
 def format_tag(tag: Column) -> Column:
     """``(GGGG,EEEE)``, upper case."""
-    key = tag_key(tag)
-    return F.concat(F.lit("("), F.substring(key, 1, 4), F.lit(","), F.substring(key, 5, 4), F.lit(")"))
+    half = lambda n: F.lpad(F.hex(n), 4, "0")
+    return F.concat(F.lit("("), half(group_of(tag)), F.lit(","), half(element_of(tag)), F.lit(")"))
 
 
 def group_of(tag: Column) -> Column:
@@ -65,9 +65,16 @@ def parse_selector(text: Column, aliases: Mapping[str, int]) -> Column:
 
     NULL if any step is not valid.
     """
-    step = lambda s: F.struct(tag_of(F.nullif(F.regexp_extract(s, STEP, 1), F.lit("")), aliases).alias("tag"), F.coalesce(F.nullif(F.regexp_extract(s, STEP, 2), F.lit("")).cast("int"), F.lit(0)).alias("item"))
-    parsed = F.transform(F.split(text, r"\."), step)
-    return let(parsed, lambda p: F.when(F.forall(p, lambda x: x.tag.isNotNull()) & ~text.endswith("]"), p))
+    def parts(s: Column) -> Column:
+        name = F.substring_index(s, "[", 1)
+        return F.struct(name.alias("key"), F.substring(s, F.length(name) + 1, F.length(s)).alias("rest"))
+
+    def step(p: Column) -> Column:
+        item = F.when(p.rest == "", 0).when(p.rest.rlike(INDEX), F.substring(p.rest, F.lit(2), F.length(p.rest) - 2).cast("int"))
+        return F.struct(tag_of(p["key"], aliases).alias("tag"), item.alias("item"))
+
+    parsed = F.transform(F.transform(F.split(text, r"\."), parts), step)
+    return let(parsed, lambda p: F.when(F.forall(p, lambda x: x.tag.isNotNull() & x.item.isNotNull()) & ~text.endswith("]"), p))
 
 
 def format_selector(steps: Column) -> Column:

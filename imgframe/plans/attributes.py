@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import person, tags, values
+from ..functions import address, person, tags, values
 from .registry import query, table
 
 TAG = "p_partkey * 7919 % 4294967296"
@@ -62,11 +62,11 @@ def pn_format(spark, sf_dir):
     return _names(spark, sf_dir).select("c_custkey", person.format_name(F.col("p")).alias("text"), person.display_name(F.col("p")).alias("shown"))
 
 
-WORDS_SQL = "string_split(replace(substr(text, 1, 60), chr(10), ' '), ' ')"
+WORDS_SQL = "string_split(replace(text, chr(10), ' '), ' ')"
 
 
 def _words(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.split(F.regexp_replace(F.substring("text", 1, 60), "\n", " "), " ").alias("w"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.split(F.translate("text", "\n", " "), " ").alias("w"))
 
 
 @query(f"""SELECT doc_id, array_to_string(list_transform({WORDS_SQL}, lambda w: rtrim(w, ' ')), chr(92)) AS joined, len(string_split(array_to_string({WORDS_SQL}, chr(92)), chr(92))) AS n FROM documents""")
@@ -75,18 +75,11 @@ def value_to_str(spark, sf_dir):
     return _words(spark, sf_dir).select("doc_id", values.to_str(w).alias("joined"), F.size(values.to_multi_str(F.col("w"))).cast("long").alias("n"))
 
 
-WHOLE_WORDS_SQL = "string_split(replace(text, chr(10), ' '), ' ')"
-
-
-def _whole_words(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.split(F.translate("text", "\n", " "), " ").alias("w"))
-
-
-@query(f"""SELECT doc_id, array_to_string({WHOLE_WORDS_SQL}, chr(92)) AS joined, len(string_split(array_to_string({WHOLE_WORDS_SQL}, chr(92)), chr(92))) AS n FROM documents""")
+@query(f"""SELECT doc_id, array_to_string({WORDS_SQL}, chr(92)) AS joined, len(string_split(array_to_string({WORDS_SQL}, chr(92)), chr(92))) AS n FROM documents""")
 def value_to_str_whole(spark, sf_dir):
     """``value_to_str`` over whole texts."""
     w = F.transform("w", lambda x: F.concat(x, F.lit("  \u0000")))
-    return _whole_words(spark, sf_dir).select("doc_id", values.to_str(w).alias("joined"), F.size(values.to_multi_str(F.col("w"))).cast("long").alias("n"))
+    return _words(spark, sf_dir).select("doc_id", values.to_str(w).alias("joined"), F.size(values.to_multi_str(F.col("w"))).cast("long").alias("n"))
 
 
 @query("SELECT p_partkey, p_brand, p_partkey % 3 <> 2 AS same FROM part")
@@ -127,10 +120,10 @@ def value_bytelen(spark, sf_dir):
     return _words(spark, sf_dir).select("doc_id", values.multiplicity(F.col("w")).alias("vm"), values.text_byte_length(F.col("w")).alias("n_bytes"))
 
 
-@query(f"""SELECT doc_id, CAST(len({WHOLE_WORDS_SQL}) AS BIGINT) AS vm, CAST((strlen(array_to_string({WHOLE_WORDS_SQL}, chr(92))) + 1) // 2 * 2 AS BIGINT) AS n_bytes FROM documents""")
+@query(f"""SELECT doc_id, CAST(len({WORDS_SQL}) AS BIGINT) AS vm, CAST((strlen(array_to_string({WORDS_SQL}, chr(92))) + 1) // 2 * 2 AS BIGINT) AS n_bytes FROM documents""")
 def value_bytelen_whole(spark, sf_dir):
     """``value_bytelen`` over whole texts."""
-    return _whole_words(spark, sf_dir).select("doc_id", values.multiplicity(F.col("w")).alias("vm"), values.text_byte_length(F.col("w")).alias("n_bytes"))
+    return _words(spark, sf_dir).select("doc_id", values.multiplicity(F.col("w")).alias("vm"), values.text_byte_length(F.col("w")).alias("n_bytes"))
 
 
 @query("SELECT vec_id, CAST(len(embedding) AS BIGINT) AS vm, CAST(len(embedding) * 4 AS BIGINT) AS n_bytes, 16 AS n_first, len(embedding) + 2 AS n_more FROM embeddings")
@@ -149,6 +142,4 @@ def value_truncate_extend(spark, sf_dir):
 def address_parse(spark, sf_dir):
     """Padding of identifiers goes; ``TITLE@host:port`` is taken apart."""
     rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("1.2.840."), "s_suppkey", F.lit("\u0000 ")).alias("u"), F.concat(F.lit("AE"), "s_suppkey", F.lit("@host"), "s_nationkey", F.lit(":11112")).alias("a"))
-    host = F.substring_index("a", "@", -1)
-    title = F.when(F.col("a").contains("@"), F.substring_index("a", "@", 1))
-    return rows.select("s_suppkey", values.trim_padding(F.col("u")).alias("uid"), title.alias("title"), F.substring_index(host, ":", 1).alias("host"), F.substring_index(host, ":", -1).try_cast("int").alias("port"))
+    return rows.select("s_suppkey", values.trim_padding(F.col("u")).alias("uid"), address.parse(F.col("a")).alias("p")).select("s_suppkey", "uid", "p.*")

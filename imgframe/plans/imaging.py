@@ -79,9 +79,9 @@ def ybr_to_rgb(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", red.alias("red"), green.alias("green"), blue.alias("blue"))
 
 
-@query("SELECT vec_id, list_transform(range(0, 63), lambda i: embedding[(i % 3) * 21 + i // 3 + 1]) AS x FROM embeddings")
+@query("SELECT vec_id, list_transform(range(0, 64), lambda i: embedding[(i % 4) * 16 + i // 4 + 1]) AS x FROM embeddings")
 def planar_interleave(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", P.interleave(F.slice("embedding", 1, 63), 3).alias("x"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", P.interleave(F.col("embedding"), 4).alias("x"))
 
 
 @query("SELECT vec_id, f AS frame, embedding[f * 16 + 1 : f * 16 + 16] AS x FROM embeddings, range(4) r(f)")

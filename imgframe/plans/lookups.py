@@ -81,8 +81,10 @@ def term_query_combined(spark, sf_dir):
 @query("""SELECT c_custkey, count(DISTINCT o_orderkey) AS studies, count(DISTINCT (l_orderkey, l_suppkey)) AS series, count(l_orderkey) AS instances
 FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE c_mktsegment = 'MACHINERY' GROUP BY c_custkey""")
 def query_retrieve_level(spark, sf_dir):
-    """Patients with the numbers of their studies, series and instances: series and instances roll up by study before the join."""
+    """Patients with the numbers of their studies, series and instances: patients first, then their studies, then instances of these."""
     patients = select_where(table(spark, sf_dir, "customer"), ["Modality=MACHINERY"], CUSTOMER).select("c_custkey")
-    series = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.countDistinct("l_suppkey").alias("n_series"), F.count("*").alias("n_instances"))
-    studies = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(series, F.col("o_orderkey") == F.col("l_orderkey"))
-    return patients.join(studies, F.col("c_custkey") == F.col("o_custkey")).groupBy("c_custkey").agg(F.count("*").alias("studies"), F.sum("n_series").alias("series"), F.sum("n_instances").alias("instances"))
+    studies = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(patients, F.col("c_custkey") == F.col("o_custkey"), "left_semi")
+    instances = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").join(studies, F.col("l_orderkey") == F.col("o_orderkey"))
+    series = instances.groupBy("o_custkey", "l_orderkey", "l_suppkey").agg(F.count("*").alias("n"))
+    by_study = series.groupBy("o_custkey", "l_orderkey").agg(F.count("*").alias("n_series"), F.sum("n").alias("n_instances"))
+    return by_study.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("studies"), F.sum("n_series").alias("series"), F.sum("n_instances").alias("instances"))

@@ -47,11 +47,14 @@ def anonymize(spark, sf_dir):
     return E.wide(out, {"name": "(0010,0010)", "modality": "(0008,0060)", "physician": "(0008,0090)", "removed": "(0012,0062)"})
 
 
-@query("SELECT event_id % 50 AS instance, '(0010,0010)' AS path, CASE WHEN max(event_id) % 50 < 25 THEN 'new' ELSE 'old' END AS text FROM events GROUP BY event_id % 50")
+@query("""SELECT event_id AS instance, '(0010,0010)' AS path, event_type || CASE WHEN event_id % 2 = 0 THEN ' new' ELSE ' old' END AS text FROM events UNION ALL SELECT event_id, '(0008,0060)', printf('%.2f', value) FROM events
+UNION ALL SELECT event_id, '(0020,0013)', CAST(user_id AS VARCHAR) FROM events WHERE event_id % 2 = 0""")
 def upsert_extend(spark, sf_dir):
-    ids = table(spark, sf_dir, "events").select((F.col("event_id") % 50).alias("instance")).distinct()
-    rows = lambda df, text: df.select("instance", F.lit("(0010,0010)").alias("path"), F.lit(0x00100010).cast("long").alias("tag"), F.lit("PN").alias("vr"), F.array(F.lit(text)).alias("values"))
-    return _texts(E.upsert(rows(ids, "old"), rows(ids.where("instance < 25"), "new"))).drop("vr")
+    """Each event is an instance; every second one is extended with elements, of which one takes another's place."""
+    events = table(spark, sf_dir, "events").withColumns({"old": F.concat("event_type", F.lit(" old")), "new": F.concat("event_type", F.lit(" new")), "v": F.format_string("%.2f", "value")})
+    old = E.elements_of(events, "event_id", {"old": (0x00100010, "PN"), "v": (0x00080060, "CS")})
+    new = E.elements_of(events.where("event_id % 2 = 0"), "event_id", {"new": (0x00100010, "PN"), "user_id": (0x00200013, "IS")})
+    return _texts(E.upsert(old, new)).drop("vr")
 
 
 @query("""SELECT user_id AS instance, path, 'DS' AS vr, printf('%.2f', value) AS text

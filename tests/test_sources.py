@@ -106,3 +106,72 @@ def test_stream(spark, tmp_path):
     run = messages.reassemble_stream(stream).writeStream.format("memory").queryName("messages").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     run.awaitTermination()
     assert {(r.association, r.message, bytes(r.data)) for r in spark.table("messages").collect()} == {(1, 0, b"ab"), (2, 0, b"x")}
+
+
+def test_tokens_of_bytes():
+    """Sequences of known and unknown lengths, an item mark at the root, and bytes that run over."""
+    known = bytes.fromhex("1800 1160 5351 0000 26000000 feff00e0 0e000000 1800 1260 5553 0200 0100 6b00 0000 feff00e0 08000000 1800 1460 5553 0000".replace(" ", ""))
+    known = bytes.fromhex("18001160 53510000 22000000 feff00e0 0a000000 18001260 5553 0200 0100 feff00e0 08000000 18001460 5553 0000".replace(" ", ""))
+    kinds = [(t[0], t[1]) for t in codec.Reader(known + bytes.fromhex("feff0de0 00000000".replace(" ", ""))).tokens()]
+    assert kinds == [("sequence", "(0018,6011)"), ("item", "(0018,6011)[0]"), ("element", "(0018,6011)[0].(0018,6012)"), ("item_end", "(0018,6011)[0]"), ("item", "(0018,6011)[1]"), ("element", "(0018,6011)[1].(0018,6014)"), ("item_end", "(0018,6011)[1]"), ("sequence_end", "(0018,6011)")]
+    unknown = codec.encode(NESTED)
+    assert [t[0] for t in codec.Reader(unknown).tokens()].count("item") == 3
+    with pytest.raises(codec.DecodeError):
+        list(codec.decode(bytes.fromhex("10001000504e ff00 41".replace(" ", ""))))
+
+
+def test_big_endian_bytes():
+    data = codec.encode([("(0028,0010)", 0x00280010, "US", ["258"]), ("(7FE0,0010)", 0x7FE00010, "OW", ["0102"])], big=True)
+    assert data == bytes.fromhex("0028 0010 5553 0002 0102 7fe0 0010 4f57 0000 00000002 0201".replace(" ", ""))
+    assert [e[3] for e in codec.decode(data, big=True)] == [["258"], ["0102"]]
+
+
+def test_declared_sets():
+    """Text is written in the declared set and read back; what the set lacks is an error; plain types are never in it."""
+    for name, text in (("ISO_IR 100", "Müller"), ("ISO_IR 144", "Люк"), ("ISO_IR 192", "Люк"), ("GB18030", "王"), ("ISO_IR 13", "ﾔﾏﾀﾞ")):
+        rows = [("(0008,0005)", 0x00080005, "CS", [name]), ("(0010,0010)", 0x00100010, "PN", [text])]
+        assert list(codec.decode(codec.encode(rows))) == rows
+    with pytest.raises(codec.EncodeError):
+        codec.encode([("(0008,0005)", 0x00080005, "CS", ["ISO_IR 100"]), ("(0010,0010)", 0x00100010, "PN", ["王"])])
+    with pytest.raises(codec.EncodeError):
+        codec.encode([("(0028,0010)", 0x00280010, "US", ["70000"])])
+    latin = codec.encode([("(0008,0005)", 0x00080005, "CS", ["ISO_IR 100"])]) + b"\x08\x00\x16\x00AE\x02\x00\xe4\xf6"
+    assert [list(codec.decode(latin, any_vr=v))[-1][3] for v in (False, True)] == [["��"], ["äö"]]
+
+
+def test_preambles():
+    body = codec.encode(NESTED[:2])
+    for policy, data in (("auto", b"x" * 128 + b"DICM" + body), ("auto", body), ("never", body), ("never", b"DICM" + body), ("always", b"x" * 128 + body)):
+        assert [e[0] for e in codec.decode(data, preamble=policy)] == [n[0] for n in NESTED[:2]]
+
+
+def test_items_in_order():
+    """More than ten items keep their order, and empty items their places, whatever the order of rows."""
+    rows = [("(0040,A730)", 0x0040A730, "SQ", [])] + [(f"(0040,A730)[{i}].(0008,0100)", 0x00080100, "SH", [str(i)]) for i in range(12) if i != 3]
+    assert list(codec.decode(codec.encode(rows[::-1]))) == rows
+
+
+def test_meta_errors():
+    good = codec.write_file(NESTED[:2])
+    assert codec.read_meta(good)["transfer_syntax"] == codec.EXPLICIT
+    assert codec.read_meta(good)["information_version"] == "0001"
+    for bad, why in ((b"", "magic"), (good[:132] + codec.encode(NESTED[:2]), "length"), (good[:132] + bytes.fromhex("0200000055 4c040000000000"), "syntax")):
+        with pytest.raises(codec.DecodeError, match=why):
+            codec.read_meta(bad)
+
+
+def test_json_without_loss(spark):
+    """Nested items, an empty one between others, names in groups, bytes, tags and links; and what is no element."""
+    rows = [(1, *n) for n in NESTED] + [(1, "(0040,A730)[3].(0008,0100)", 0x00080100, "SH", ["d"]), (1, "(0028,0009)", 0x00280009, "AT", ["(0018,1063)"]), (1, "(0010,1001)", 0x00101001, "PN", ["a=b=c", "=i"])]
+    text = tagged_json.to_json(spark.createDataFrame(rows, ELEMENTS))
+    back = tagged_json.from_json(text).collect()
+    assert sorted((r.path, r.vr, tuple(r["values"])) for r in back) == sorted((r[1], r[3], tuple(r[4])) for r in rows)
+    frame = lambda *texts: spark.createDataFrame(list(enumerate(texts)), "instance long, json string")
+    linked = frame('{"7FE00010":{"vr":"OW","BulkDataURI":"file:x"}}')
+    assert [(r.path, r.link) for r in tagged_json.from_json(linked, links=True).collect()] == [("(7FE0,0010)", "file:x")]
+    assert [(r.path, r["values"]) for r in tagged_json.from_json(linked).collect()] == [("(7FE0,0010)", [])]
+    odd = frame("no json", None, '{"00100010":{"Value":["x"]}}', '{"name":{"vr":"PN"}}', '{"00280010":{"vr":"DS","Value":[1.0,2.5,null,"3"]}}')
+    assert sorted((r.instance, r.path or "", r.vr or "", tuple(r["values"] or ())) for r in tagged_json.from_json(odd).collect()) == [(0, "", "", ()), (2, "(0010,0010)", "UN", ("x",)), (3, "", "", ()), (4, "(0028,0010)", "DS", ("1", "2.5", "", "3"))]
+    for bad in ('{"00100010":{"Value":["x"]}}', '{"00100010":{"vr":"UN","Value":["x"]}}', '{"00100010":{"vr":"PN","x":1}}'):
+        with pytest.raises(Exception, match="JsonError"):
+            tagged_json.from_json(frame(bad), strict=True).collect()
