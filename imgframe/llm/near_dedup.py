@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_words, materialize, steps
+from .common import Scratch, ascii_words, materialize, steps
 
 BANDS, ROWS = 48, 5
 BINS = BANDS * ROWS
@@ -145,7 +145,8 @@ def components(links: DataFrame) -> DataFrame:
     Alternates large-star and small-star steps, each a grouping and a join, until the edges stay the same.
     """
     edge = lambda u, v: F.struct(F.greatest(u, v).alias("u"), F.least(u, v).alias("v"))
-    edges = materialize(links.where("a <> b").select(edge(F.col("a"), F.col("b")).alias("e")).select("e.*").distinct(), "component-edges")
+    rounds = Scratch(links.sparkSession)
+    edges = rounds.keep(links.where("a <> b").select(edge(F.col("a"), F.col("b")).alias("e")).select("e.*").distinct(), "component-edges")
     mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first())
     seen = mark(edges)
     while seen[0]:
@@ -154,7 +155,10 @@ def components(links: DataFrame) -> DataFrame:
         edges = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
         edges = edges.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u > v").distinct()
-        edges = materialize(edges, "component-edges")
+        last = rounds
+        rounds = Scratch(links.sparkSession)
+        edges = rounds.keep(edges, "component-edges")
+        last.clear()
         now = mark(edges)
         if now == seen:
             break
@@ -177,14 +181,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = docs.where("doc_id IS NOT NULL")
     sketch = materialize(sketches(known, k), "near-sketches")
-    classes, members, sets = candidates(sketch, known, k)
+    scratch = Scratch(docs.sparkSession)
+    classes, members, sets = candidates(sketch, known, k, scratch)
 
     stars = members.where("fp <> centre").select(F.col("centre").alias("a"), F.col("fp").alias("b")).distinct()
     linked = components(confirmed(stars, sets, percent))
-    found = materialize(linked, "near-components")
-    more, _ = remaining_links(members, found, sets, percent)
+    found = scratch.keep(linked, "near-components")
+    more, _ = remaining_links(members, found, sets, percent, scratch)
     final = classes.join(components(more), classes.fp == F.col("node"), "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
     final = materialize(final, "near-final")
+    scratch.clear()
     least = final.groupBy("component").agg(F.min("rep").alias("component_id"))
     out = sketch.join(final.join(least, "component").select("fp", "component_id"), "fp")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
@@ -197,17 +203,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return out.unionByName(docs.where("doc_id IS NULL").mapInArrow(lone, "doc_id long, n_shingles long, component_id long, kept boolean"))
 
 
-def candidates(sketch: DataFrame, known: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def candidates(sketch: DataFrame, known: DataFrame, k: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Classes (fp, rep) of equal sets; members (fp, bucket, centre) of buckets that hold several; the whole sets of these."""
-    classes = materialize(sketch.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "near-classes")
-    nodes = materialize(classes.select("fp", "rep", F.explode("bands").alias("bucket")), "near-buckets")
+    classes = scratch.keep(sketch.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "near-classes")
+    nodes = scratch.keep(classes.select("fp", "rep", F.explode("bands").alias("bucket")), "near-buckets")
     centres = nodes.groupBy("bucket").agg(F.min(F.struct("rep", "fp")).alias("centre"), F.max(F.struct("rep", "fp")).alias("last")).where("centre < last").select("bucket", F.col("centre.fp").alias("centre"))
-    members = materialize(nodes.join(centres, "bucket").drop("rep"), "near-members")
+    members = scratch.keep(nodes.join(centres, "bucket").drop("rep"), "near-members")
     held = classes.join(members.select("fp").distinct(), "fp", "left_semi").select("fp", F.col("rep").alias("doc_id"))
     sets = full_sets(known.join(held.select("doc_id").distinct(), "doc_id", "left_semi"), k).join(held.select("fp"), "fp", "left_semi")
     if sketch.groupBy("fp", "doc_id").count().where("count > 1").limit(1).count():  # rows that repeat both doc_id and text
         sets = sets.groupBy("fp").agg(*[F.first(c).alias(c) for c in ("n", "shingles", "flips")])
-    return classes, members, materialize(sets, "near-sets")
+    return classes, members, scratch.keep(sets, "near-sets")
 
 
 def differing_bits(a: Column, b: Column) -> Column:
@@ -217,29 +223,29 @@ def differing_bits(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(fold(a), fold(b), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
-def open_classes(members: DataFrame, found: DataFrame) -> DataFrame:
+def open_classes(members: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
     """(fp, part): the classes in buckets that hold several components; part is struct<size, component> of its own."""
     rows = members.select("bucket", "fp").join(found.withColumnRenamed("node", "fp"), "fp", "left").select("bucket", "fp", F.coalesce("component", "fp").alias("component"))
     several = rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    still_open = materialize(rows.join(several, "bucket").select("fp", "component").distinct(), "near-open")
+    still_open = scratch.keep(rows.join(several, "bucket").select("fp", "component").distinct(), "near-open")
     sizes = still_open.groupBy("component").agg(F.count("*").alias("size"))
-    return materialize(still_open.join(sizes, "component").select("fp", F.struct("size", "component").alias("part")), "near-parts")
+    return scratch.keep(still_open.join(sizes, "component").select("fp", F.struct("size", "component").alias("part")), "near-parts")
 
 
-def prefixes(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def prefixes(sets: DataFrame, classes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(fp, n, x, place, df, flips): the shingles of each of the open ``classes`` that may be the first shared with a set over the threshold.
 
     A set's shingles are put in order from rare to common among these sets. Two sets that reach the threshold share
     one of the first ``n - percent / 100 * n + 1`` shingles of each.
     """
-    shingles = materialize(sets.join(classes.select("fp"), "fp", "left_semi").select("fp", "n", F.explode("shingles").alias("x")), "near-open-shingles")
+    shingles = scratch.keep(sets.join(classes.select("fp"), "fp", "left_semi").select("fp", "n", F.explode("shingles").alias("x")), "near-open-shingles")
     counts = shingles.groupBy("x").agg(F.count("*").alias("df"))
     place = F.row_number().over(Window.partitionBy("fp").orderBy("df", "x")) - 1
     placed = shingles.join(counts, "x").withColumn("place", place).where((F.col("df") > 1) & (F.col("n") - F.col("place") >= F.ceil(F.col("n") * percent / 100)))
-    return materialize(placed.join(sets.select("fp", "flips"), "fp"), "near-prefixes")
+    return scratch.keep(placed.join(sets.select("fp", "flips"), "fp"), "near-prefixes")
 
 
-def open_pairs(placed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def open_pairs(placed: DataFrame, classes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(a, b): pairs of ``classes`` in different components that may still reach the threshold, from ``prefixes``.
 
     At the first shingle that two sets share, what is left of either must hold the rest of the intersection that the
@@ -250,7 +256,7 @@ def open_pairs(placed: DataFrame, classes: DataFrame, percent: int) -> DataFrame
     rows = placed.join(classes, "fp")
     largest = rows.groupBy("x").agg(F.max("part").alias("largest"), F.min("part").alias("least")).where("least < largest").drop("least")
     rows = rows.join(largest, "x").withColumn("blocks", F.ceil(F.col("df") / BLOCK_ROWS).cast("int"))
-    rows = materialize(rows.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")), "near-placed")
+    rows = scratch.keep(rows.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")), "near-placed")
     each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     a, b = (rows.select("x", "largest", F.col("block").alias(own), each.alias(other), *(F.col(c).alias(f"{c}_{s}") for c in ("fp", "n", "part", "place", "flips"))) for s, own, other in (("a", "i", "j"), ("b", "j", "i")))
     left = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
@@ -260,17 +266,17 @@ def open_pairs(placed: DataFrame, classes: DataFrame, percent: int) -> DataFrame
     return pairs.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
 
 
-def remaining_links(members: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def remaining_links(members: DataFrame, found: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) that stars leave open, and all pairs that were written to find them.
 
     First each class is tried with one of those that it may be linked with; that joins most of what is to be joined.
     Then all pairs that may still be linked across components are tried.
     """
-    classes = open_classes(members, found)
-    placed = prefixes(sets, classes, percent)
+    classes = open_classes(members, found, scratch)
+    placed = prefixes(sets, classes, percent, scratch)
     links = found.select(F.col("component").alias("a"), F.col("node").alias("b"))
-    first = materialize(open_pairs(placed, classes, percent).groupBy("a").agg(F.min("b").alias("b")), "near-first")
-    links = materialize(links.unionByName(confirmed(first, sets, percent)), "near-links")
-    classes = open_classes(members, materialize(components(links), "near-components"))
-    rest = materialize(open_pairs(placed, classes, percent).distinct(), "near-rest")
+    first = scratch.keep(open_pairs(placed, classes, percent, scratch).groupBy("a").agg(F.min("b").alias("b")), "near-first")
+    links = scratch.keep(links.unionByName(confirmed(first, sets, percent)), "near-links")
+    classes = open_classes(members, scratch.keep(components(links), "near-components"), scratch)
+    rest = scratch.keep(open_pairs(placed, classes, percent, scratch).distinct(), "near-rest")
     return links.unionByName(confirmed(rest, sets, percent)), first.unionByName(rest)

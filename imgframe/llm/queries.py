@@ -165,9 +165,10 @@ def strength_sql(name: str, level: str, above: str, parent: str) -> str:
 OP7_SQL = rf"""
 WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                   regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
-o AS (SELECT host, CAST(coalesce(quality = 0, false) OR coalesce(toxic = 1, false) AS INTEGER) AS bad FROM u JOIN labels ON doc_id = page_id WHERE quality IS NOT NULL OR toxic IS NOT NULL),
+n AS (SELECT DISTINCT page_id, host, TRY_CAST(nullif(regexp_extract(path, '^/[^/]+/([0-9]{{1,18}})(?:\.[A-Za-z]+)?/?$', 1), '') AS BIGINT) AS doc FROM u WHERE page_id IS NOT NULL),
+o AS (SELECT host, CAST(coalesce(quality = 0, false) OR coalesce(toxic = 1, false) AS INTEGER) AS bad FROM n JOIN labels ON doc_id = doc WHERE quality IS NOT NULL OR toxic IS NOT NULL),
 h0 AS (SELECT DISTINCT host, string_split(regexp_replace(host, ':\d*$', ''), '.') AS w FROM u),
-h1 AS (SELECT host, CASE WHEN array_to_string(w[-2:], '.') IN {TWO_LABEL_SUFFIXES} THEN 2 ELSE 1 END AS c, w FROM h0),
+h1 AS (SELECT host, CASE WHEN regexp_full_match(array_to_string(w, '.'), '\d+(\.\d+){{3}}') THEN 4 WHEN array_to_string(w[-2:], '.') IN {TWO_LABEL_SUFFIXES} THEN 2 ELSE 1 END AS c, w FROM h0),
 h2 AS (SELECT host, array_to_string(w[-c:], '.') AS suffix, array_to_string(w[-(c + 1):], '.') AS domain FROM h1),
 h AS (SELECT h2.host, suffix, domain, CAST(count(bad) AS DOUBLE) AS n, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS k FROM h2 LEFT JOIN o USING (host) GROUP BY ALL),
 t AS (SELECT 0 AS one, sum(n) AS n, sum(k) AS k FROM h),

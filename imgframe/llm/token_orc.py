@@ -80,7 +80,7 @@ class WordEncoder:
         """(ids of all words, number of ids of each)."""
         flat = self._joined(self.letters, words, " ")
         lengths = np.diff(np.flatnonzero(self.ends[flat]), prepend=-1)
-        assert len(lengths) == len(words)
+        self._check(lengths, words)
         return flat, lengths
 
     def _of_any(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -90,9 +90,14 @@ class WordEncoder:
         flat = self._joined(self.whole, [f"{w} {self.MARK}" for w in words], " ")
         marks = flat == self.mark
         lengths = np.diff(np.flatnonzero(marks), prepend=-1) - 1
-        assert len(lengths) == len(words)
+        self._check(lengths, words)
         return flat[~marks], lengths
 
+    @staticmethod
+    def _check(lengths: np.ndarray, words: list[str]) -> None:
+        if len(lengths) != len(words):
+            raise ValueError("this tokenizer does not encode words apart from each other")
+
     @staticmethod
     def _joined(tokenizer, words: list[str], by: str) -> np.ndarray:
         groups = [by.join(words[i : i + 2000]) for i in range(0, len(words), 2000)]

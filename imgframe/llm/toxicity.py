@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, steps
+from .common import Scratch, steps
 
 WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (4, 5, 6, 7)
@@ -127,10 +127,12 @@ def fit_toxicity(rows: DataFrame, n_features: int = 4_000, least: int = 5, l2: f
     each in ``least`` texts, besides the identity terms. fairness: the weight of the squared score change under swapped identity terms. Rows
     whose label is null are left out. Without both labels the model is the smoothed share of toxic rows.
     """
-    rows = materialize(rows.where("toxic IS NOT NULL").select(F.col("text").cast("string").alias("text"), F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic")), "toxicity-rows")
+    scratch = Scratch(rows.sparkSession)
+    rows = scratch.keep(rows.where("toxic IS NOT NULL").select(F.col("text").cast("string").alias("text"), F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic")), "toxicity-rows")
     names = choose_features(rows, n_features, least)
     if not names:
         n, t = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+        scratch.clear()
         return ToxicityModel({}, float(np.log((t + 1) / (n - t + 1))))
     names += sorted(features_of(set(PLACES)) - set(names))
     place = {f: i for i, f in enumerate(names)}
@@ -154,6 +156,7 @@ def fit_toxicity(rows: DataFrame, n_features: int = 4_000, least: int = 5, l2: f
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), *(pa.array(x, flat) for x in (own, gained, lost)), *(pa.array(x, pa.list_(flat)) for x in (more, less))], ["toxic", "own", "gained", "lost", "more", "less"])
 
     data = rows.mapInArrow(run, "toxic int, own array<int>, gained array<int>, lost array<int>, more array<array<int>>, less array<array<int>>").toArrow()
+    scratch.clear()
     y = data.column("toxic").to_numpy().astype(float)
     own, gained, lost, more, less = (data.column(c).to_pylist() for c in ("own", "gained", "lost", "more", "less"))
     pairs = [pair for a, b in zip(more, less, strict=True) for pair in zip(a, b, strict=True)]

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .decontaminate import ascii_lower
 
-#: Suffixes of two labels under which names are registered; any other suffix is the last label.
+#: Suffixes under which names are registered, if no other list is given; any other suffix is the last label.
 TWO_LABEL_SUFFIXES = ("ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "com.tw", "gov.uk", "net.au", "ne.jp", "or.jp", "org.au", "org.uk")
 
 #: Hosts up to which all are broadcast (under 300 bytes each). Beyond, only those with over 1 / HOT_PARTS of all pages: fewer than HOT_PARTS hosts.
@@ -42,12 +42,24 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def with_levels(hosts: DataFrame) -> DataFrame:
-    """``hosts`` with suffix and domain (suffix and one label more) of column host, ports left out."""
-    labels = F.split(F.regexp_replace("host", r":\d*$", ""), r"\.")
+def with_levels(hosts: DataFrame, suffixes: Sequence[str] = TWO_LABEL_SUFFIXES) -> DataFrame:
+    """``hosts`` with suffix and domain (suffix and one label more) of column host, ports left out.
+
+    The suffix is the longest of ``suffixes`` that fits, else the last label. A number is no name: it stands apart,
+    with itself as domain and suffix.
+    """
+    name = F.regexp_replace("host", r":\d*$", "")
+    labels = F.split(name, r"\.")
     last = lambda n: F.array_join(F.slice(labels, F.greatest(F.size(labels) - n + 1, F.lit(1)), n), ".")
-    two = last(2).isin(*TWO_LABEL_SUFFIXES)
-    return hosts.withColumn("suffix", F.when(two, last(2)).otherwise(last(1))).withColumn("domain", F.when(two, last(3)).otherwise(last(2)))
+    number = name.rlike(r"^\d+(\.\d+){3}$|^\[.*\]$")
+    suffix, domain = last(1), last(2)
+    by_size: dict[int, list[str]] = {}
+    for s in suffixes:
+        by_size.setdefault(s.count(".") + 1, []).append(s)
+    for n in sorted(by_size):
+        fits = last(n).isin(*by_size[n])
+        suffix, domain = F.when(fits, last(n)).otherwise(suffix), F.when(fits, last(n + 1)).otherwise(domain)
+    return hosts.withColumn("suffix", F.when(number, name).otherwise(suffix)).withColumn("domain", F.when(number, name).otherwise(domain))
 
 
 def strength(level: DataFrame, above: DataFrame, parent: str) -> float:
@@ -62,11 +74,11 @@ def strength(level: DataFrame, above: DataFrame, parent: str) -> float:
     return min(STRONGEST, max(WEAKEST, got.scale / got.over - 1))
 
 
-def reputations(hosts: DataFrame, outcomes: DataFrame, z: float = 1.645) -> DataFrame:
+def reputations(hosts: DataFrame, outcomes: DataFrame, z: float = 1.645, suffixes: Sequence[str] = TWO_LABEL_SUFFIXES) -> DataFrame:
     """(host, n, k, mean, bound) of distinct ``hosts`` from ``outcomes`` (host, bad 0 or 1): posterior mean and its lower bound, ``z`` deviations down."""
     own = outcomes.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("k"))
     counts = hosts.select("host").join(own, "host", "left").na.fill(0, ["n", "k"])
-    counts = materialize(with_levels(counts), "host-counts")
+    counts = materialize(with_levels(counts, suffixes), "host-counts")
     total = counts.select(F.lit(0).alias("all"), "n", "k").groupBy("all").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     sums = lambda *by: counts.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes, domains = sums("suffix").withColumn("all", F.lit(0)), sums("suffix", "domain")
@@ -91,12 +103,13 @@ def rules_by_host(hosts: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return found.groupBy("host").agg(F.sort_array(F.collect_set(rule)).alias("rules"))
 
 
-def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule], threshold: float = 0.5, z: float = 1.645) -> DataFrame:
+def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule], threshold: float = 0.5, z: float = 1.645, suffixes: Sequence[str] = TWO_LABEL_SUFFIXES) -> DataFrame:
     """For each row of ``pages``: page_id, host, path, rule, verdict, bound.
 
     ``outcomes``: rows (page_id, bad 0 or 1), for any of the pages. ``rules``: (verdict, host, path); a rule fits
     its host and all subdomains where the url's path starts with the rule's, and the longest that fits wins. Where
     none does, the verdict is block if the lower bound of the host's posterior is over ``threshold``, else allow.
+    ``suffixes``: those under which names are registered, besides single labels; give the whole public list in use.
 
     Defined cases: a null url or one without ``://`` has an empty host and path and is judged as the host ``""``;
     outcomes without page_id or bad are left out, several of a page each count; hosts without outcomes have the
@@ -105,7 +118,7 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule], thr
     rows = materialize(pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")), "url-hosts")
     known = outcomes.where("page_id IS NOT NULL AND bad IS NOT NULL").select("page_id", "bad")
     sizes = materialize(rows.groupBy("host").agg(F.count("*").alias("n_pages")), "url-host-sizes")
-    counted = reputations(sizes, rows.select("page_id", "host").join(known, "page_id").select("host", "bad"), z)
+    counted = reputations(sizes, rows.select("page_id", "host").join(known, "page_id").select("host", "bad"), z, suffixes)
     hosts = sizes.join(counted.select("host", "bound"), "host", "left").join(rules_by_host(sizes, rules), "host", "left")
     hosts = materialize(hosts, "url-host-table")
     seen = hosts.agg(F.count("*").alias("n_hosts"), F.sum("n_pages").alias("n_pages")).first()

@@ -96,9 +96,10 @@ def test_a_family_under_the_threshold(spark):
         rows = family(n, n)
         docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
         sketch = N.sketches(docs, 3).cache()
-        _, members, sets = N.candidates(sketch, docs, 3)
+        scratch = N.Scratch(spark)
+        _, members, sets = N.candidates(sketch, docs, 3, scratch)
         found = components(N.confirmed(members.where("fp <> centre").select(N.F.col("centre").alias("a"), N.F.col("fp").alias("b")).distinct(), sets, 85)).cache()
-        written[n] = N.remaining_links(members, found, sets, 85)[1].count()
+        written[n] = N.remaining_links(members, found, sets, 85, scratch)[1].count()
         if n < 1200:
             assert got(near_duplicates(docs, 3, 85)) == plain(rows, 3, 85)
     assert all(pairs < 2 * n for n, pairs in written.items()), written
@@ -114,3 +115,14 @@ def test_bits_bound_the_difference(spark, n, m):
     differ = row.select(N.differing_bits(N.F.col("a"), N.F.col("b"))).first()[0]
     assert 0 < differ <= len(set(a.tolist()) ^ set(b.tolist()))
     assert row.select(N.differing_bits(N.F.col("a"), N.F.col("a"))).first()[0] == 0
+
+
+def test_what_is_written_on_the_way_goes(spark):
+    from pathlib import Path
+
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(folder.iterdir()) if folder.exists() else set()
+    out = near_duplicates(spark.createDataFrame([(i, f"a b c d e f g {i % 7} h i j k l m n o p") for i in range(50)], "doc_id long, text string"), 3, 60)
+    assert out.count() == 50
+    left = {p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before}
+    assert left <= {"near-sketches", "near-final", "component-edges"}

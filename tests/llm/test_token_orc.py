@@ -50,3 +50,28 @@ def test_lookup_and_repeats(spark, tmp_path):
 
 def test_no_rows(spark):
     assert encode_to_orc(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_files(spark, tmp_path):
+    """Stripes with row indexes, Bloom filters on doc_id and run lengths; a lookup reads few rows of many."""
+    rows = spark.range(0, 60_000, 1, 1).selectExpr("id AS doc_id", "concat('some words of document ', id) AS text")
+    write_tokens(rows, f"file://{tmp_path}/t", PATH)
+    files = sorted(str(f) for f in (tmp_path / "t").glob("*.orc"))
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    n, blooms, kinds = 0, 0, set()
+    for f in files:
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(f"file://{f}"), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        assert reader.getRowIndexStride() > 0
+        n += reader.getNumberOfRows()
+        inner = reader.rows()
+        for stripe in reader.getStripes():
+            footer = inner.readStripeFooter(stripe)
+            blooms += sum(s.getKind().toString() == "BLOOM_FILTER_UTF8" and s.getColumn() == 1 for s in footer.getStreamsList())
+            kinds |= {c.getKind().toString() for c in footer.getColumnsList()}
+        inner.close()
+    assert n == 60_000 and blooms >= len(files) and "DIRECT_V2" in kinds
+    found = lookup_tokens(spark, f"file://{tmp_path}/t", [77, 31_000])
+    assert "PushedFilters: [In(doc_id, [31000,77])]" in found._jdf.queryExecution().executedPlan().toString() or "In(doc_id, [77,31000])" in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.doc_id for r in found.collect()) == [77, 31_000]
+    scan = found._jdf.queryExecution().executedPlan().collectLeaves().head()
+    assert scan.metrics().apply("numOutputRows").value() < 60_000 / 2

@@ -1,7 +1,7 @@
 import math
 
 from imgframe.llm.queries import op7_urls
-from imgframe.llm.url_reputation import judge_urls, page_outcomes
+from imgframe.llm.url_reputation import judge_urls, page_outcomes, with_levels
 
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "spam.org", ""))
 
@@ -72,3 +72,17 @@ def test_labels_that_differ_by_host_block_it(spark, tmp_path):
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     verdicts = {(r.host, r.verdict) for r in op7_urls(spark, str(tmp_path)).collect()}
     assert verdicts == {("www.bad.net", "block"), *((f"www.good{i}.net", "allow") for i in range(1, 5))}
+
+
+def test_levels(spark):
+    """Suffixes of the caller's list, the longest that fits; numbers stand apart from each other and from names."""
+    hosts = {"a.b.co.uk": ("co.uk", "b.co.uk"), "co.uk": ("co.uk", "co.uk"), "x.y.z.city.kawasaki.jp": ("city.kawasaki.jp", "z.city.kawasaki.jp"), "a.com:80": ("com", "a.com"), "": ("", ""), "192.168.0.1": ("192.168.0.1",) * 2, "10.1.0.1:8080": ("10.1.0.1",) * 2, "[::1]": ("[::1]",) * 2}
+    frame = spark.createDataFrame([(h,) for h in hosts], "host string")
+    got = with_levels(frame, ["co.uk", "jp", "kawasaki.jp", "city.kawasaki.jp"]).collect()
+    assert {r.host: (r.suffix, r.domain) for r in got} == hosts
+
+
+def test_numeric_hosts_share_no_prior(spark):
+    pages = [(i, f"http://10.0.0.{1 + i % 2}/") for i in range(80)] + [(100 + i, f"http://www.good{i % 9}.net/") for i in range(200)]
+    got = judged(spark, pages, [(i, 1) for i in range(0, 80, 2)] + [(100 + i, 0) for i in range(200)])
+    assert {(r.host, r.verdict) for r in got.values() if r.host[0] == "1"} == {("10.0.0.1", "block"), ("10.0.0.2", "allow")}
