@@ -1,4 +1,9 @@
-"""A corpus pipeline of five stages over ``documents``: each works on all rows that the one before it kept."""
+"""A corpus pipeline of five stages over ``documents``: each works on all rows that the one before it kept.
+
+All stages take nulls in any column: a null text counts as empty, and stays so until line dedup makes it an empty one;
+rows without doc_id are judged by their texts as others are, but for near duplicates, where they stay. Empty tables
+give empty tables; columns beside those of ``documents`` are not passed on.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from imgframe.llm.common import shared_folder
+from imgframe.llm.common import delete, shared_folder
 from imgframe.llm.decontaminate import decontaminate
 from imgframe.llm.line_dedup import dedup_lines
 from imgframe.llm.near_dedup import near_duplicates
@@ -24,8 +29,14 @@ ORACLE_SQL = None
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score under 0.5, by a classifier that learns from ``labels``."""
+    """Documents with a toxicity score under 0.5, by a classifier that learns from ``labels``.
+
+    Each row is judged by its own text, also where doc_ids repeat or are missing; an empty text scores as the model's
+    bias. Without labels of both kinds nothing is learnt, and no document goes.
+    """
     model = fit_on_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    if not model.weights:
+        return docs.select(*COLUMNS)
     return score_toxicity(docs.select(*COLUMNS), model).where("predicted = 0").select(*COLUMNS)
 
 
@@ -45,14 +56,18 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of ten words of any ``benchmark`` item."""
-    docs = docs.select(*COLUMNS)
-    hit = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("n_hit > 0").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*COLUMNS)
+    """Documents that hold no window of ten words of any ``benchmark`` item.
+
+    A row goes if its own text holds one, whatever its doc_id; the texts of such rows are known by their digests.
+    """
+    docs = docs.select(*COLUMNS).withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256))
+    texts = docs.select(F.col("digest").alias("doc_id"), "text")
+    hit = decontaminate(texts, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("n_hit > 0").select(F.col("doc_id").alias("digest")).distinct()
+    return docs.join(hit, "digest", "left_anti").select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with the piece ids of their texts, their number, and whether decoding gives the text back."""
+    """All documents with the piece ids of their texts, their number, and whether decoding gives the text back; repeated rows are encoded each."""
     return encode_pieces(docs.select(*COLUMNS), PIECES, verify=True).select("doc_id", "lang", "source", "n_chars", "n_pieces", "ids", "exact")
 
 
@@ -66,10 +81,16 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to ``documents``; each stage's result is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages applied to ``documents``; each stage's result is written to the shared folder and read again.
+
+    A result is deleted when the next one has been written; the last one stays, as it is returned.
+    """
+    docs, folder, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for k, (_, stage) in enumerate(STAGES):
-        path = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}/{k}"
+        path = f"{folder}/{k}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last:
+            delete(spark, last)
+        last = path
     return docs
