@@ -62,5 +62,24 @@ def test_run(spark):
     n = spark.read.parquet(f"{DATA}/documents.parquet").count()
     assert 0.5 * n < out.count() < n and out.where("NOT exact").count() == 0
     empty = spark.createDataFrame([], SCHEMA)
-    for _, stage in P.STAGES[1:]:
+    for _, stage in P.STAGES:
         assert stage(spark, empty, str(DATA)).count() == 0
+
+
+def test_rows_without_ids_and_repeated_ids(spark):
+    """Each row is judged by its own text: contaminated ones go without doc_id too, and take no other of their doc_id along."""
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").first().text
+    rows = [(None, item, None, None, None), (None, "clean", None, None, None), (5, item, "en", "s", 1), (5, "also clean", "en", "s", 1), (6, None, None, None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("digest", P.F.lit("clash"))
+    clean = P.remove_contaminated(spark, docs, str(DATA))
+    assert clean.columns == list(P.COLUMNS)
+    assert sorted((r.doc_id or 0, r.text or "") for r in clean.collect()) == [(0, "clean"), (5, "also clean"), (6, "")]
+    for _, stage in P.STAGES[:3]:
+        assert stage(spark, docs, str(DATA)).count() in (4, 5)
+    assert P.encode(spark, docs, str(DATA)).count() == 5
+
+
+def test_the_table_runs_without_labels_of_its_documents(spark):
+    """With no document labelled, no row goes by toxicity."""
+    docs = spark.createDataFrame([(10**9, "a text", "en", "s", 6)], SCHEMA)
+    assert P.remove_toxic(spark, docs, str(DATA)).count() == 1
