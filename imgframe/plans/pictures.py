@@ -86,3 +86,22 @@ def functional_groups(spark, sf_dir):
     elements = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("instance"), F.explode(each).alias("e")).select("instance", "e.*")
     images = elements.groupBy("instance").agg(F.lit(2).alias("n_frames"))
     return I.frame_attributes(elements, images).select("instance", "frame", "slope", "function", "center")
+
+
+@query(f"""SELECT vec_id AS instance, CAST(f AS BIGINT) AS frame, {SAMPLES} AS v FROM embeddings, range(4) r(f)""")
+def transcode_round_trip(spark, sf_dir):
+    """Native frames to run lengths, to deflated ones, and decoded again."""
+    packed = I.transcode(_image(spark, sf_dir), codec.EXPLICIT, "1.2.840.10008.1.2.5")
+    small = I.transcode(packed, "1.2.840.10008.1.2.5", "1.2.840.10008.1.2.8.1")
+    return I.decode_frames(small, "1.2.840.10008.1.2.8.1").select("instance", "frame", F.col("values").alias("v"))
+
+
+@query("""SELECT vec_id AS instance, list_transform(embedding[1:16], lambda x: floor((x::DOUBLE + 1) * 100)) AS v, CAST(NULL AS VARCHAR) AS slope, '8' AS bits FROM embeddings""")
+def image_import(spark, sf_dir):
+    """A portable image in place of the data set's own; what described the old one alone is gone."""
+    old = _image(spark, sf_dir, _row("(0028,1053)", "DS", F.lit("2")))
+    byte = lambda v: F.lpad(F.hex(F.floor((v.cast("double") + 1) * 100).cast("long")), 2, "0")
+    files = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("instance"), F.concat(F.encode(F.lit("P5\n4 4\n255\n"), "UTF-8"), F.unhex(F.array_join(F.transform(F.slice("embedding", 1, 16), byte), ""))).alias("file"))
+    new = I.insert_images(old, files, "file")
+    found = E.wide(new, {"slope": "(0028,1053)", "bits": "(0028,0101)"})
+    return I.decode_frames(new, codec.EXPLICIT).join(found, "instance").select("instance", F.col("values").alias("v"), "slope", "bits")

@@ -10,6 +10,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator, Mapping
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -363,6 +364,48 @@ def pixel_fragments(rows: DataFrame, instance: str, column: str, explicit: bool
     return found.select("instance", number.cast("int").alias("fragment"), F.col("value").alias("data"))
 
 
+@dataclass(frozen=True)
+class ReadOptions:
+    """How data sets are read; each method gives new options with one of them changed.
+
+    until and up_to: nothing is read from the first root tag that is not less than, or is greater than, theirs; both
+    may be set. The rest: see ``Reader`` and ``decode``.
+    """
+
+    until: int | None = None
+    up_to: int | None = None
+    odd: str = "accept"
+    preamble: str = "auto"
+    any_vr: bool = False
+    vrs: Mapping[int, str] = field(default_factory=lambda: KNOWN_VRS)
+
+    def __post_init__(self):
+        if self.odd not in ("accept", "next_even", "fail") or self.preamble not in ("auto", "always", "never"):
+            raise ValueError(f"no such option: {self}")
+
+    def read_until(self, tag: int) -> ReadOptions:
+        return replace(self, until=tag)
+
+    def read_to(self, tag: int) -> ReadOptions:
+        return replace(self, up_to=tag)
+
+    def read_all(self) -> ReadOptions:
+        return replace(self, until=None, up_to=None)
+
+    def with_dictionary(self, entries: Mapping[int, str]) -> ReadOptions:
+        """With representations by tag beside those known, for the implicit form."""
+        return replace(self, vrs={**self.vrs, **entries})
+
+    def arguments(self) -> dict:
+        ends = [t for t in (self.until, None if self.up_to is None else self.up_to + 1) if t is not None]
+        return {"until": min(ends, default=None), "odd": self.odd, "preamble": self.preamble, "any_vr": self.any_vr, "vrs": self.vrs}
+
+
+def open_files(spark: SparkSession, path: str, options: ReadOptions = ReadOptions()) -> DataFrame:
+    """``read_files`` with ``ReadOptions``."""
+    return read_files(spark, path, **options.arguments())
+
+
 def read_files(spark: SparkSession, path: str, until: int | None = None, odd: str = "accept", **options) -> DataFrame:
     """(file, path, tag, vr, values) of all files under a folder, in any form; a file that is no data set has one row with a NULL path.
 

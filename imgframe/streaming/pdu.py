@@ -9,9 +9,11 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.negotiation import MAX_PDU
 
@@ -224,3 +226,42 @@ def too_long(data: Column, peer_max: Column) -> Column:
     """Whether a written message is longer than its peer takes; 0 says no limit but our own."""
     limit = F.when(peer_max == 0, MAX_PDU).otherwise(peer_max)
     return F.octet_length(data) - HEADER > limit
+
+
+class Wire(StatefulProcessor):
+    """Bytes of one connection as they come: messages go out when they are whole, the rest is held."""
+
+    def __init__(self, max_length: int | None):
+        self.max_length = max_length
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("held", "data binary, n long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows)).sort_values("seq")
+        data, n = self.held.get() if self.held.exists() else (b"", 0)
+        data = bytes(data) + b"".join(bytes(d) for d in frame["data"])
+        out, at = [], 0
+        while len(data) - at >= HEADER:
+            length = struct.unpack_from(">I", data, at + 2)[0]
+            if self.max_length is not None and length > self.max_length:
+                out.append((key[0], n, True, data[at:]))
+                n, at = n + 1, len(data)
+                break
+            if len(data) - at - HEADER < length:
+                break
+            out.append((key[0], n, False, data[at : at + HEADER + length]))
+            n, at = n + 1, at + HEADER + length
+        self.held.update((data[at:], n))
+        yield pd.DataFrame(out, columns=["connection", "place", "too_long", "data"])
+
+    def close(self) -> None:
+        pass
+
+
+def wire_stream(chunks: DataFrame, max_length: int | None = None) -> DataFrame:
+    """(connection, place, too_long, data) of a stream (connection, seq, data): the bytes of one whole message a row, for ``parse``.
+
+    A message that is longer than ``max_length`` says so and ends what is held.
+    """
+    return chunks.groupBy("connection").transformWithStateInPandas(Wire(max_length), "connection long, place long, too_long boolean, data binary", "Append", "None")

@@ -91,3 +91,20 @@ def test_cutting(spark, size, pieces):
     out = cut_fragments(spark.createDataFrame([(1, FRAME), (2, b"")], "i int, d binary"), "d", size).orderBy("i", "fragment").collect()
     assert [bytes(r.d).hex() for r in out if r.i == 1] == pieces
     assert [bytes(r.d).hex() for r in out if r.i == 2] == ["00" * (size + size % 2)]
+
+
+def test_transcoding_and_import(spark):
+    rows = rows_of(1, [(FRAME + FRAME[::-1]).hex()], n_frames=2) + rows_of(2, ["00"])
+    frame = spark.createDataFrame(rows, ELEMENTS)
+    there = I.transcode(frame, codec.EXPLICIT, RLE)
+    held = {(r.instance, r.path): r["values"] for r in there.collect()}
+    assert len(held[1, "(7FE0,0010)"]) == 3 and held[2, "(7FE0,0010)"] == ["00"]
+    assert int.from_bytes(bytes.fromhex(held[1, "(7FE0,0010)"][0])[4:], "little") == 8 + len(held[1, "(7FE0,0010)"][1]) // 2
+    back = {(r.instance, r.path): r["values"] for r in I.transcode(there, RLE, codec.EXPLICIT).collect()}
+    assert back[1, "(7FE0,0010)"] == [(FRAME + FRAME[::-1]).hex()]
+    with pytest.raises(I.ImageError):
+        I.transcode(frame, codec.EXPLICIT, "1.2.840.10008.1.2.4.50")
+    files = spark.createDataFrame([(1, b"P6\n# c\n2 1\n255\n" + b"\1\2\3\4\5\6"), (2, b"P5 2 1 9999 \0"), (3, None)], "instance long, file binary")
+    new = I.insert_images(frame, files, "file")
+    assert values(spark, [tuple(r) for r in new.where("instance = 1").collect()], kind="image") == {(1, 0): [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]}
+    assert new.where("instance = 2").count() == len(rows_of(2, ["00"]))

@@ -120,6 +120,19 @@ def test_store_stream(spark, stream):
     assert [(r.association, r.sop_class, r.sop_instance, r.message_id, bytes(r.data), r.status) for r in spark.table("stored").collect()] == [(1, "1.2", "1.3", 5, b"abcd", 0)]
 
 
+def test_wire_stream(spark, stream):
+    """Chunks cut anywhere give whole messages; one that is too long says so."""
+    data = pdu.write_message(VALUES) + pdu.write_message({"kind": "release_rq"})
+    schema = "connection long, seq long, data binary"
+    batches = [[(1, 0, data[:3]), (2, 0, b"\4\0\0\1\0\0x")], [(1, 1, data[3:25])], [(1, 2, data[25:]), (1, 3, data[:7])]]
+    _, query = stream(schema, batches, lambda f: pdu.wire_stream(f, 100), "wire", availableNow=True)
+    query.awaitTermination()
+    rows = sorted((r.connection, r.place, r.too_long, bytes(r.data)) for r in spark.table("wire").collect())
+    assert rows == [(1, 0, False, data[:20]), (1, 1, False, data[20:]), (2, 0, True, b"\4\0\0\1\0\0x")]
+    parsed = pdu.parse(spark.table("wire").where("NOT too_long"), "connection", "data").collect()
+    assert {r.kind for r in parsed} == {"p_data", "release_rq"}
+
+
 def test_a_message_that_never_ends(spark, stream):
     """It is given up after its time, and comes out as it is; its state goes."""
     schema = "association long, seq long, data binary, is_last boolean"

@@ -175,3 +175,23 @@ def test_json_without_loss(spark):
     for bad in ('{"00100010":{"Value":["x"]}}', '{"00100010":{"vr":"UN","Value":["x"]}}', '{"00100010":{"vr":"PN","x":1}}'):
         with pytest.raises(Exception, match="JsonError"):
             tagged_json.from_json(frame(bad), strict=True).collect()
+
+
+def test_read_options(spark, tmp_path):
+    (tmp_path / "a").write_bytes(codec.write_file(NESTED, syntax=codec.BIG))
+    paths = lambda o: [r.path for r in codec.open_files(spark, f"file://{tmp_path}", o).orderBy("path").collect() if r.path > "(0003"]
+    options = codec.ReadOptions()
+    assert paths(options.read_until(0x00280010)) == ["(0008,0060)", "(0010,0010)"]
+    assert paths(options.read_to(0x00280010)) == ["(0008,0060)", "(0010,0010)", "(0028,0010)"]
+    assert paths(options.read_to(0x00280010).read_until(0x00100010)) == ["(0008,0060)"]
+    assert len(paths(options.read_until(0x00280010).read_all())) == len(NESTED)
+    assert options.with_dictionary({0x00990001: "LO"}).vrs[0x00990001] == "LO"
+    with pytest.raises(ValueError):
+        codec.ReadOptions(odd="maybe")
+
+
+def test_query_lines(spark):
+    from imgframe.operators.matching import parse_query_lines
+
+    lines = spark.createDataFrame([("# no",), ("  # no",), ("",), ("  ",), (" a=b ",), ("c=#",)], "value string")
+    assert [r.value for r in parse_query_lines(lines).collect()] == [" a=b ", "c=#"]
