@@ -15,10 +15,34 @@ def even(n: Column) -> Column:
     return n + n % 2
 
 
-def offset_table(fragments: DataFrame, key: str, order: str, length: Column) -> DataFrame:
-    """``fragments`` with offset: bytes of all fragments of the key before this one, headers and padding included; a running sum."""
-    before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return fragments.withColumn("offset", F.coalesce(F.sum(even(length) + ITEM_HEADER).over(before), F.lit(0)).cast("long"))
+#: Rows from which a running sum is worked out in parts of about so many.
+PART_ROWS = 1_000_000
+
+
+def offset_table(fragments: DataFrame, key: str, order: str, length: Column, part_rows: int = PART_ROWS) -> DataFrame:
+    """``fragments`` with offset: bytes of all fragments of the key before this one, headers and padding included; a running sum.
+
+    A key with many fragments does not go to one task: fragments are cut into parts by the value of ``order``, each
+    part is summed by itself, and begins at the sum of those before it. Where ``order`` is no number there is one part.
+    """
+    size = even(length) + ITEM_HEADER
+    if fragments.schema[order].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        return fragments.withColumn("offset", _sum_before(size, Window.partitionBy(key).orderBy(order)))
+    ends = fragments.agg(F.count("*").alias("n"), F.min(order).alias("low"), F.max(order).alias("high")).first()
+    parts = -(-ends.n // part_rows)
+    if parts <= 1:
+        return fragments.withColumn("offset", _sum_before(size, Window.partitionBy(key).orderBy(order)))
+    width = max(1, -(-(ends.high - ends.low + 1) // parts))
+    rows = fragments.withColumn("_part", F.floor((F.coalesce(order, F.lit(ends.low)) - F.lit(ends.low)) / width).cast("long"))
+    totals = rows.groupBy(key, "_part").agg(F.sum(size).alias("_size")).withColumn("_before", _sum_before(F.col("_size"), Window.partitionBy(key).orderBy("_part"))).drop("_size")
+    own = _sum_before(size, Window.partitionBy(key, "_part").orderBy(order))
+    rows = rows.withColumn("_own", own)
+    joined = rows.join(totals.withColumnRenamed(key, "_key").withColumnRenamed("_part", "_of"), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_of")))
+    return joined.withColumn("offset", F.col("_own") + F.col("_before")).drop("_part", "_own", "_before", "_key", "_of")
+
+
+def _sum_before(value: Column, window) -> Column:
+    return F.coalesce(F.sum(value).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
 
 
 def fragment_totals(fragments: DataFrame, keys: list[str], length: Column) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from imgframe.functions import pixels
 from imgframe.operators import images as I
 from imgframe.operators.elements import ELEMENTS, tag_at
-from imgframe.operators.frames import cut_fragments
+from imgframe.operators.frames import cut_fragments, offset_table
 from imgframe.sources import codec
 
 RLE, DEFLATED_FRAMES = "1.2.840.10008.1.2.5", "1.2.840.10008.1.2.8.1"
@@ -108,3 +108,18 @@ def test_transcoding_and_import(spark):
     new = I.insert_images(frame, files, "file")
     assert values(spark, [tuple(r) for r in new.where("instance = 1").collect()], kind="image") == {(1, 0): [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]}
     assert new.where("instance = 2").count() == len(rows_of(2, ["00"]))
+
+
+@pytest.mark.parametrize("part_rows", [1, 7, 1000])
+def test_offsets_in_parts(spark, part_rows):
+    """A running sum in parts is the one in a piece, for a key with most rows, gaps in the order, and a NULL key."""
+    rows = [(None if i % 11 == 0 else i % 3 // 2, i * 37 % 101 * 10 + i % 5, i % 50) for i in range(97)]
+    frame = spark.createDataFrame(rows, "k int, at long, n long")
+    got = sorted((r.k is None, r.k, r.at, r.offset) for r in offset_table(frame, "k", "at", frame.n, part_rows).collect())
+    expected = []
+    for k in (0, 1, None):
+        total = 0
+        for _, at, n in sorted(r for r in rows if r[0] == k):
+            expected.append((k is None, k, at, total))
+            total += n + n % 2 + 8
+    assert sorted(got, key=str) == sorted(expected, key=str)
