@@ -139,7 +139,6 @@ UIDS = (
     ("1.2.840.10008.1.1", "Verification", "Verification SOP Class", "sop_class"),
     ("1.2.840.10008.1.20.1", "StorageCommitmentPushModel", "Storage Commitment Push Model SOP Class", "sop_class"),
     ("1.2.840.10008.1.3.10", "MediaStorageDirectoryStorage", "Media Storage Directory Storage", "sop_class"),
-    ("1.2.840.10008.3.1.1.1", "DICOMApplicationContext", "DICOM Application Context Name", "application_context"),
     ("1.2.840.10008.5.1.4.1.1.1", "ComputedRadiographyImageStorage", "Computed Radiography Image Storage", "sop_class"),
     ("1.2.840.10008.5.1.4.1.1.1.1", "DigitalXRayImageStorageForPresentation", "Digital X-Ray Image Storage - For Presentation", "sop_class"),
     ("1.2.840.10008.5.1.4.1.1.1.2", "DigitalMammographyXRayImageStorageForPresentation", "Digital Mammography X-Ray Image Storage - For Presentation", "sop_class"),
