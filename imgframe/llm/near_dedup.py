@@ -133,7 +133,7 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets have 100 * intersection >= percent * union."""
-    side = lambda c: sets.select(F.col("fp").alias(c), F.col("n").alias(f"n_{c}"), F.col("shingles").alias(f"s_{c}"))
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("shingles").alias(f"s_{c}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
     shared = F.size(F.array_intersect("s_a", "s_b")).cast("long")
     return both.select("a", "b", "n_a", "n_b", shared.alias("shared")).where(F.col("shared") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent).select("a", "b")
@@ -184,11 +184,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     scratch = Scratch(docs.sparkSession)
     classes, members, sets = candidates(sketch, known, k, scratch)
 
-    stars = members.where("fp <> centre").select(F.col("centre").alias("a"), F.col("fp").alias("b")).distinct()
+    stars = members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     linked = components(confirmed(stars, sets, percent))
     found = scratch.keep(linked, "near-components")
     more, _ = remaining_links(members, found, sets, percent, scratch)
-    final = classes.join(components(more), classes.fp == F.col("node"), "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
+    final = classes.select("fp", "node", "rep").join(components(more), "node", "left").select("fp", "rep", F.coalesce("component", "node").alias("component"))
     final = materialize(final, "near-final")
     scratch.clear()
     least = final.groupBy("component").agg(F.min("rep").alias("component_id"))
@@ -204,15 +204,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 
 def candidates(sketch: DataFrame, known: DataFrame, k: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Classes (fp, rep) of equal sets; members (fp, bucket, centre) of buckets that hold several; the whole sets of these."""
-    classes = scratch.keep(sketch.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "near-classes")
-    nodes = scratch.keep(classes.select("fp", "rep", F.explode("bands").alias("bucket")), "near-buckets")
-    centres = nodes.groupBy("bucket").agg(F.min(F.struct("rep", "fp")).alias("centre"), F.max(F.struct("rep", "fp")).alias("last")).where("centre < last").select("bucket", F.col("centre.fp").alias("centre"))
-    members = scratch.keep(nodes.join(centres, "bucket").drop("rep"), "near-members")
-    held = classes.join(members.select("fp").distinct(), "fp", "left_semi").select("fp", F.col("rep").alias("doc_id"))
-    sets = full_sets(known.join(held.select("doc_id").distinct(), "doc_id", "left_semi"), k).join(held.select("fp"), "fp", "left_semi")
+    """Classes (node, fp, rep) of equal sets; members (node, bucket, centre) of buckets that hold several; the whole sets (node, …) of these.
+
+    A class gets its number as it is written, once.
+    """
+    classes = sketch.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id())
+    classes = scratch.keep(classes, "near-classes")
+    nodes = scratch.keep(classes.select("node", F.explode("bands").alias("bucket")), "near-buckets")
+    centres = nodes.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre < last").drop("last")
+    members = scratch.keep(nodes.join(centres, "bucket"), "near-members")
+    held = classes.join(members.select("node").distinct(), "node", "left_semi").select("fp", "node", F.col("rep").alias("doc_id"))
+    sets = full_sets(known.join(held.select("doc_id").distinct(), "doc_id", "left_semi"), k).join(held.select("fp", "node"), "fp").select("node", "n", "shingles", "flips")
     if sketch.groupBy("fp", "doc_id").count().where("count > 1").limit(1).count():  # rows that repeat both doc_id and text
-        sets = sets.groupBy("fp").agg(*[F.first(c).alias(c) for c in ("n", "shingles", "flips")])
+        sets = sets.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "shingles", "flips")])
     return classes, members, scratch.keep(sets, "near-sets")
 
 
@@ -224,25 +228,25 @@ def differing_bits(a: Column, b: Column) -> Column:
 
 
 def open_classes(members: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
-    """(fp, part): the classes in buckets that hold several components; part is struct<size, component> of its own."""
-    rows = members.select("bucket", "fp").join(found.withColumnRenamed("node", "fp"), "fp", "left").select("bucket", "fp", F.coalesce("component", "fp").alias("component"))
+    """(node, part): the classes in buckets that hold several components; part is struct<size, component> of its own."""
+    rows = members.select("bucket", "node").join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
     several = rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    still_open = scratch.keep(rows.join(several, "bucket").select("fp", "component").distinct(), "near-open")
+    still_open = scratch.keep(rows.join(several, "bucket").select("node", "component").distinct(), "near-open")
     sizes = still_open.groupBy("component").agg(F.count("*").alias("size"))
-    return scratch.keep(still_open.join(sizes, "component").select("fp", F.struct("size", "component").alias("part")), "near-parts")
+    return scratch.keep(still_open.join(sizes, "component").select("node", F.struct("size", "component").alias("part")), "near-parts")
 
 
 def prefixes(sets: DataFrame, classes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """(fp, n, x, place, df, flips): the shingles of each of the open ``classes`` that may be the first shared with a set over the threshold.
+    """(node, n, x, place, df, flips): the shingles of each of the open ``classes`` that may be the first shared with a set over the threshold.
 
     A set's shingles are put in order from rare to common among these sets. Two sets that reach the threshold share
     one of the first ``n - percent / 100 * n + 1`` shingles of each.
     """
-    shingles = scratch.keep(sets.join(classes.select("fp"), "fp", "left_semi").select("fp", "n", F.explode("shingles").alias("x")), "near-open-shingles")
+    shingles = scratch.keep(sets.join(classes.select("node"), "node", "left_semi").select("node", "n", F.explode("shingles").alias("x")), "near-open-shingles")
     counts = shingles.groupBy("x").agg(F.count("*").alias("df"))
-    place = F.row_number().over(Window.partitionBy("fp").orderBy("df", "x")) - 1
+    place = F.row_number().over(Window.partitionBy("node").orderBy("df", "x")) - 1
     placed = shingles.join(counts, "x").withColumn("place", place).where((F.col("df") > 1) & (F.col("n") - F.col("place") >= F.ceil(F.col("n") * percent / 100)))
-    return scratch.keep(placed.join(sets.select("fp", "flips"), "fp"), "near-prefixes")
+    return scratch.keep(placed.join(sets.select("node", "flips"), "node"), "near-prefixes")
 
 
 def open_pairs(placed: DataFrame, classes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
@@ -253,17 +257,17 @@ def open_pairs(placed: DataFrame, classes: DataFrame, percent: int, scratch: Scr
     is common, the members of its largest component are joined with those of others only, and rows are dealt to
     blocks, each of which meets each once.
     """
-    rows = placed.join(classes, "fp")
+    rows = placed.join(classes, "node")
     largest = rows.groupBy("x").agg(F.max("part").alias("largest"), F.min("part").alias("least")).where("least < largest").drop("least")
     rows = rows.join(largest, "x").withColumn("blocks", F.ceil(F.col("df") / BLOCK_ROWS).cast("int"))
-    rows = scratch.keep(rows.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")), "near-placed")
+    rows = scratch.keep(rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "near-placed")
     each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    a, b = (rows.select("x", "largest", F.col("block").alias(own), each.alias(other), *(F.col(c).alias(f"{c}_{s}") for c in ("fp", "n", "part", "place", "flips"))) for s, own, other in (("a", "i", "j"), ("b", "j", "i")))
+    a, b = (rows.select("x", "largest", F.col("block").alias(own), each.alias(other), *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "part", "place", "flips"))) for s, own, other in (("a", "i", "j"), ("b", "j", "i")))
     left = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
     both = F.col("n_a") + F.col("n_b")
     fits = (left * (100 + percent) >= both * percent) & (differing_bits(F.col("flips_a"), F.col("flips_b")) * (100 + percent) <= both * (100 - percent))
     pairs = a.where(F.col("part_a") != F.col("largest")).drop("largest").join(b.drop("largest"), ["x", "i", "j"]).where((F.col("part_a") < F.col("part_b")) & fits)
-    return pairs.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
+    return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
 def remaining_links(members: DataFrame, found: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
