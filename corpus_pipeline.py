@@ -58,9 +58,9 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of ten words of any ``benchmark`` item.
 
-    A row goes if its own text holds one, whatever its doc_id; the texts of such rows are known by their digests.
+    A row goes if its own text holds one, whatever its doc_id; such rows are known by digests of doc_id and text.
     """
-    docs = docs.select(*COLUMNS).withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256))
+    docs = docs.select(*COLUMNS).withColumn("digest", F.sha2(F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"), 256))
     texts = docs.select(F.col("digest").alias("doc_id"), "text")
     hit = decontaminate(texts, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("n_hit > 0").select(F.col("doc_id").alias("digest")).distinct()
     return docs.join(hit, "digest", "left_anti").select(*COLUMNS)
