@@ -82,6 +82,35 @@ def lut(spark: SparkSession, bits: int, signed: bool, function) -> DataFrame:
     return spark.range(1 << bits).select(F.col("id").alias("entry"), function(pixels.stored_value(F.col("id"), bits, signed).cast("double")).cast("int").alias("value"))
 
 
+def wide_bits(bits: int) -> int:
+    """The power of two of bits, 8 at least, that holds so many."""
+    return 8 if bits <= 8 else 16 if bits <= 16 else 32
+
+
+def make_lut(spark: SparkSession, bits: int, signed: bool = False, rescale: tuple[float, float] = (1.0, 0.0), window: tuple[float, float, str] | None = None, table: tuple[int, list[int], int] | None = None, depth: int | None = None) -> DataFrame:
+    """(entry, value) for samples of ``bits``: rescaled by (slope, intercept), then through a window or a table, if one is given.
+
+    window: (center, width, function), onto 0 to 2^depth - 1; depth is that of ``wide_bits`` unless it is given as 8 or
+    16. table: (first sample, entries, bits of an entry), shifted up to the depth.
+    """
+    if window and table:
+        raise ValueError("a window or a table, not both")
+    depth = wide_bits(bits) if depth is None else depth
+    top = float(2**depth - 1)
+    windows = {"LINEAR": pixels.window_linear, "LINEAR_EXACT": pixels.window_linear_exact, "SIGMOID": pixels.window_sigmoid}
+
+    def value(x: Column) -> Column:
+        x = pixels.rescale(x, *rescale)
+        if window:
+            return windows[window[2]](x, F.lit(float(window[1])), F.lit(float(window[0])), top)
+        if table:
+            first, entries, entry_bits = table
+            return pixels.explicit_lut(x, first, F.array(*map(F.lit, entries)), depth - entry_bits)
+        return x
+
+    return lut(spark, bits, signed, value)
+
+
 def apply_lut(rows: DataFrame, table: DataFrame, sample: str, bits: int) -> DataFrame:
     """``rows`` with value from a table of 2^bits entries, which is broadcast; bits may be 16 at most."""
     if bits > 16:

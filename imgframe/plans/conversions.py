@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import person, pixels, temporal, values
 from ..operators import elements as E
 from ..operators import frames as R
+from ..operators import meta as M
 from .registry import query, table
 
 SL = "chr(92)"
@@ -92,3 +93,26 @@ def lut_descriptor(spark, sf_dir):
     found = pixels.lut_descriptor(given, F.when(n % 3 == 2, n + 1).otherwise(n))
     kind = F.element_at(F.array(*map(F.lit, ("MONOCHROME1", "RGB ", "MONOCHROME2", "OTHER"))), (k % 4 + 1).cast("int"))
     return table(spark, sf_dir, "part").select("p_partkey", found.alias("d"), pixels.is_monochrome(kind).alias("monochrome"), pixels.interpretation(kind).alias("known")).select("p_partkey", "d.*", "monochrome", "known")
+
+
+@query("""WITH e AS (SELECT i AS entry, CASE WHEN i >= 128 THEN i - 256 ELSE i END AS x, i AS u FROM range(256) r(i))
+SELECT 'rescale' AS kind, entry, CAST(x * 2 - 5 AS INTEGER) AS value FROM e UNION ALL SELECT 'window', entry, CAST(trunc(CASE WHEN u <= 49.5::DOUBLE - 49.5::DOUBLE THEN 0 WHEN u > 49.5::DOUBLE + 49.5::DOUBLE THEN 65535 ELSE ((u - 49.5::DOUBLE) / 99::DOUBLE + 0.5::DOUBLE) * 65535::DOUBLE END) AS INTEGER) FROM e
+UNION ALL SELECT 'table', entry, CAST(least(greatest(u - 10, 0), 31) * 4 * 2 AS INTEGER) FROM e""")
+def lut_kinds(spark, sf_dir):
+    """Tables of a rescale alone, of a window to 16 bits, and of a table of 7-bit entries."""
+    kinds = {"rescale": R.make_lut(spark, 8, True, (2.0, -5.0)), "window": R.make_lut(spark, 8, window=(50, 100, "LINEAR"), depth=16), "table": R.make_lut(spark, 8, table=(10, [4 * i for i in range(32)], 7))}
+    first, *rest = [t.select(F.lit(k).alias("kind"), "entry", "value") for k, t in kinds.items()]
+    for t in rest:
+        first = first.unionByName(t)
+    return first
+
+
+@query("""SELECT s_suppkey AS instance, 'meta' AS part, '1.2.840.10008.1.2.1' AS value FROM supplier UNION ALL SELECT s_suppkey, 'data', s_name FROM supplier""")
+def attribute_routing(spark, sf_dir):
+    """Attributes of group 0002 come from the meta table, others from the data set."""
+    rows = table(spark, sf_dir, "supplier")
+    none = F.lit(None).cast("string")
+    meta = rows.select(F.col("s_suppkey").alias("instance"), *[(F.lit("1.2.840.10008.1.2.1") if c == "transfer_syntax" else none).alias(c) for c in M.COLUMNS.values()])
+    elements = E.elements_of(rows, "s_suppkey", {"s_name": (0x00100010, "PN")})
+    found = lambda tag, part: M.attribute(elements, meta, tag).select("instance", F.lit(part).alias("part"), F.get("values", F.lit(0)).alias("value"))
+    return found(0x00020010, "meta").unionByName(found(0x00100010, "data")).unionByName(found(0x00020013, "meta"))
