@@ -14,6 +14,7 @@ from .html_text import extract_main_text
 from .line_dedup import dedup_lines
 from .near_dedup import near_duplicates
 from .piece_viterbi import piece_digests
+from .suffix_dedup import remove_repeated_bytes
 from .token_orc import encode_to_orc, token_digests
 from .toxicity import fit_on_documents, held_out, score_toxicity
 from .url_reputation import STRONGEST, TWO_LABEL_SUFFIXES, WEAKEST, judge_urls, page_outcomes
@@ -83,6 +84,11 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeated_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"), length=50)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_decontaminate": op2_decontaminate,
@@ -94,6 +100,7 @@ QUERIES = {
     "op8_pieces": op8_pieces,
     "op9_toxicity": op9_toxicity,
     "op10_near_dedup": op10_near_dedup,
+    "op11_suffix_dedup": op11_suffix_dedup,
 }
 
 WORDS_SQL = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -133,6 +140,19 @@ r AS (SELECT doc_id AS node, doc_id AS reached FROM d UNION SELECT e.b, r.reache
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, m AS component_id, doc_id = m AS kept
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT node AS doc_id, min(reached) AS m FROM r GROUP BY node) USING (doc_id)"""
 
+# A byte is two digits of h; a window of 50 bytes starts at each byte i; far is the last removed window's start up to a byte.
+OP11_SQL = """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS g FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS i FROM h)),
+m AS (SELECT g, min(doc_id) AS least FROM w GROUP BY g HAVING min(doc_id) < max(doc_id)),
+f AS (SELECT doc_id, i FROM w JOIN m USING (g) WHERE least < doc_id),
+b AS (SELECT doc_id, i, substr(h, 2 * i + 1, 2) AS d FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2)) AS i FROM h)),
+c AS (SELECT b.doc_id, b.i, d, coalesce(max(f.i) OVER (PARTITION BY b.doc_id ORDER BY b.i) > b.i - 50, false) AS gone FROM b LEFT JOIN f USING (doc_id, i)),
+r AS (SELECT doc_id, i, d, gone, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS first FROM c)
+SELECT h.doc_id, count(i) AS n_bytes, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE first) AS n_spans,
+       sha256(unhex(coalesce(string_agg(d, '' ORDER BY i) FILTER (WHERE NOT gone), ''))) AS kept_sha256
+FROM h LEFT JOIN r USING (doc_id) GROUP BY h.doc_id"""
+
 SPECIAL_SQL = "'" + "|".join([r"\\", *(re.sub(r"([][|/<>])", r"\\\1", c) for c in sorted(CONTROL_STRINGS, key=len, reverse=True))]) + "'"
 ESCAPED_SQL = f"(length({{0}}) + len(regexp_extract_all({{0}}, {SPECIAL_SQL})))"
 
@@ -186,4 +206,4 @@ f AS (SELECT page_id, host, path, first(rule_host || rule_path ORDER BY length(r
 SELECT page_id, host, path, rule, coalesce(own, CASE WHEN a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
 FROM u LEFT JOIN f USING (page_id, host, path) JOIN p USING (host)"""
 
-ORACLE_SQL = {"op2_decontaminate": OP2_SQL, "op3_chat": OP3_SQL, "op5_vptree": OP5_SQL, "op6_line_dedup": OP6_SQL, "op7_urls": OP7_SQL, "op10_near_dedup": OP10_SQL}
+ORACLE_SQL = {"op2_decontaminate": OP2_SQL, "op3_chat": OP3_SQL, "op5_vptree": OP5_SQL, "op6_line_dedup": OP6_SQL, "op7_urls": OP7_SQL, "op10_near_dedup": OP10_SQL, "op11_suffix_dedup": OP11_SQL}
