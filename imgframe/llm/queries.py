@@ -13,12 +13,14 @@ from .decontaminate import decontaminate
 from .html_text import extract_main_text
 from .line_dedup import dedup_lines
 from .near_dedup import near_duplicates
+from .periodic_runs import periodic_runs, repeated_tail
 from .piece_viterbi import piece_digests
 from .suffix_dedup import remove_repeated_bytes
 from .token_orc import encode_to_orc, token_digests
 from .toxicity import fit_on_documents, held_out, score_toxicity
 from .url_reputation import STRONGEST, TWO_LABEL_SUFFIXES, WEAKEST, judge_urls, page_outcomes
 from .vptree import nearest
+from .whitening import whitened_components
 
 #: Files of public tokenizers; each query takes another path as a parameter.
 TOKENIZER, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -89,6 +91,29 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", repeated_tail(F.col("text"), number).alias("text"))
+    out = periodic_runs(docs)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    out = out.withColumn("best", best).withColumn("lines", F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string"))))
+    return out.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("lines", lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitened_components(table(spark, sf_dir, "embeddings"), F.col("embedding"), components=8, scale=1024, offset=100_000)
+    return rows.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_decontaminate": op2_decontaminate,
@@ -101,6 +126,8 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_near_dedup": op10_near_dedup,
     "op11_suffix_dedup": op11_suffix_dedup,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_whitening": op13_whitening,
 }
 
 WORDS_SQL = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -153,6 +180,26 @@ SELECT h.doc_id, count(i) AS n_bytes, count(*) FILTER (WHERE gone) AS n_removed,
        sha256(unhex(coalesce(string_agg(d, '' ORDER BY i) FILTER (WHERE NOT gone), ''))) AS kept_sha256
 FROM h LEFT JOIN r USING (doc_id) GROUP BY h.doc_id"""
 
+# A run of 12 or more words and two periods or more repeats six words at the distance of its period. Such pairs, one
+# after the other, make up stretches; of several periods of one stretch the smallest counts. t is the table of crc32.
+OP12_SQL = r"""
+WITH tab AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+             xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                             lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM documents, tab),
+e AS (SELECT r, doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS one, (h // 10) % greatest(len(w), 1) AS a, 3 + (h // 10) % 8 AS k FROM d),
+x AS (SELECT r, n, i, w[1 + CASE WHEN one AND i >= a THEN a + (i - a) % (1 + (n - a) // k) ELSE i END] AS x FROM (SELECT *, unnest(range(n)) AS i FROM e)),
+g AS (SELECT r, n, i, md5_number(concat_ws(' ', x, lead(x, 1) OVER o, lead(x, 2) OVER o, lead(x, 3) OVER o, lead(x, 4) OVER o, lead(x, 5) OVER o)) AS g FROM x WINDOW o AS (PARTITION BY r ORDER BY i)),
+q AS (SELECT a.r, a.i, b.i - a.i AS q FROM g a JOIN g b ON a.r = b.r AND a.g = b.g AND a.i < b.i AND b.i <= b.n - 6 AND 2 * (b.i - a.i) <= a.n),
+s AS (SELECT r, q, min(i) AS start, max(i) - min(i) + 6 + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM q) GROUP BY r, q, island),
+u AS (SELECT r, start, length, min(q) AS period FROM s WHERE length >= greatest(12, 2 * q) GROUP BY r, start, length),
+b AS (SELECT r, count(*) AS n_runs, first(struct_pack(start, length, period) ORDER BY length DESC, start, period) AS best, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM u GROUP BY r),
+gone AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM u),
+c AS (SELECT r, string_agg(x, ' ' ORDER BY i) AS kept FROM x ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length, best.period AS period, 1000 * best.length // best.period AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN b USING (r) LEFT JOIN c USING (r)"""
+
 SPECIAL_SQL = "'" + "|".join([r"\\", *(re.sub(r"([][|/<>])", r"\\\1", c) for c in sorted(CONTROL_STRINGS, key=len, reverse=True))]) + "'"
 ESCAPED_SQL = f"(length({{0}}) + len(regexp_extract_all({{0}}, {SPECIAL_SQL})))"
 
@@ -206,4 +253,4 @@ f AS (SELECT page_id, host, path, first(rule_host || rule_path ORDER BY length(r
 SELECT page_id, host, path, rule, coalesce(own, CASE WHEN a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
 FROM u LEFT JOIN f USING (page_id, host, path) JOIN p USING (host)"""
 
-ORACLE_SQL = {"op2_decontaminate": OP2_SQL, "op3_chat": OP3_SQL, "op5_vptree": OP5_SQL, "op6_line_dedup": OP6_SQL, "op7_urls": OP7_SQL, "op10_near_dedup": OP10_SQL, "op11_suffix_dedup": OP11_SQL}
+ORACLE_SQL = {"op2_decontaminate": OP2_SQL, "op3_chat": OP3_SQL, "op5_vptree": OP5_SQL, "op6_line_dedup": OP6_SQL, "op7_urls": OP7_SQL, "op10_near_dedup": OP10_SQL, "op11_suffix_dedup": OP11_SQL, "op12_periodic_runs": OP12_SQL}
