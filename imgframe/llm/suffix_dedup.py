@@ -19,11 +19,14 @@ and a part that have something in common (never more than there are runs of wind
 from __future__ import annotations
 
 import hashlib
+import itertools
 import uuid
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +38,7 @@ BLOCK_BYTES, CHUNK_BYTES = 4 << 20, 1 << 20
 #: Bytes of the whole corpus for each part of hashes, and for each bucket of blocks and part of windows.
 PART_BYTES = 16 << 20
 #: Symbols that one transform works on, if no single hash has more.
-TRANSFORM_SYMBOLS = 1 << 20
+TRANSFORM_SYMBOLS = 1 << 18
 #: Documents that have a hash in common before its windows are dealt one by one.
 HOT_DOCUMENTS = 10_000
 
@@ -143,8 +146,8 @@ def common_prefix_starts(symbols: np.ndarray, order: np.ndarray, length: int) ->
     return np.flatnonzero(known[:n])
 
 
-def least_owners(texts: list[bytes], owners: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each window of each text, the least owner of a text that holds it."""
+def least_owners(texts: list[bytes], owners: np.ndarray, length: int) -> np.ndarray:
+    """For each window of each text, one text after the other, the least owner of a text that holds it."""
     sizes = np.array([len(t) + 1 for t in texts])
     ends = np.cumsum(sizes)
     symbols = np.frombuffer(b"\0".join([*texts, b""]), np.uint8).astype(np.uint16) + 1
@@ -154,13 +157,27 @@ def least_owners(texts: list[bytes], owners: np.ndarray, length: int) -> list[np
     least = np.minimum.reduceat(np.repeat(owners, sizes)[order], starts)
     out = np.empty(len(order), np.int64)
     out[order] = np.repeat(least, np.diff(np.append(starts, len(order))))
-    return [out[e - s : e - length] for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
+    whole = removed_bytes(len(out), ends - length, length)  # the suffixes too short for a window
+    return out[~whole]
 
 
 def _packed(values: np.ndarray, kind: str) -> bytes:
     return np.ascontiguousarray(values.astype(kind)).tobytes()
 
 
+def _zipped(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def _unzipped(value: pa.BinaryScalar) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(value.as_py())
+
+
+def _slices(begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """``counts`` consecutive numbers from each of ``begins``."""
+    return np.repeat(begins - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+
+
 def _write_blocks(docs: DataFrame, buckets: int) -> DataFrame:
     """(block, doc_id, text as bytes), written as a table bucketed by block and read back."""
 
@@ -216,7 +233,7 @@ def _shared_hashes(hashes: DataFrame, hot_documents: int) -> DataFrame:
 
 
 def _snippets(blocks: DataFrame, shared: DataFrame, length: int, parts: int, deals: int) -> DataFrame:
-    """For each block and deal, its distinct strings of shared windows with their keys and least owners (texts, sizes, keys, owners); and with deal -1, where they stand in each document.
+    """For each block and deal, its distinct strings of shared windows with their least owners and a byte that equal windows have alike (texts, sizes, keys, owners); and with deal -1, where they stand in each document.
 
     A row of a deal has its strings in one order, to which ``_answers`` keeps.
     """
@@ -239,41 +256,40 @@ _SNIPPET_TYPES = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(),
 
 
 def _block_snippets(texts: pa.Table, shared: np.ndarray, hot: np.ndarray, length: int, parts: int, deals: int) -> list[tuple]:
-    block, found, owners, keys, where = texts.column("block")[0].as_py(), {}, [], [], []
-    for row, (doc, text) in enumerate(_in_order(texts)):
+    block, found = texts.column("block")[0].as_py(), defaultdict(itertools.count().__next__)
+    owners, keys, where = [], [], []
+    for row, (doc, text) in enumerate(_in_order(texts)):  # by doc_id, so that the first owner is the least
         if doc is None:
             continue
         key, start, count = window_runs(text, length)
         key = (key // np.uint64(parts) & np.uint64(0xFFFFFFFF)) * np.uint64(parts) + key % np.uint64(parts)
         at = np.minimum(np.searchsorted(shared, key), len(shared) - 1)
         held = shared[at] == key
-        single = hot[at[held]]
-        pieces = zip(key[held].tolist(), start[held].tolist(), count[held].tolist(), single.tolist(), strict=True)
-        for k, s, c, alone in pieces:
-            for first, n in ((s + i, 1) for i in range(c)) if alone else ((s, c),):
-                string = text[first : first + n + length - 1]
-                own = int.from_bytes(hashlib.blake2b(string, digest_size=8).digest(), "little") if alone else k
-                i = found.setdefault(string, len(found))
-                if i == len(owners):
-                    owners.append(doc)
-                    keys.append(own)
-                elif doc < owners[i]:
-                    owners[i] = doc
-                where.append((row, first, i))
+        key, start, count, single = key[held], start[held], count[held], hot[at[held]]
+        if single.any():
+            alone = _slices(start[single], count[single])
+            own = np.array([int.from_bytes(hashlib.blake2b(text[i : i + length], digest_size=8).digest(), "little") for i in alone.tolist()], np.uint64)
+            key, start, count = np.concatenate([key[~single], own]), np.concatenate([start[~single], alone]), np.concatenate([count[~single], np.ones(len(alone), np.int64)])
+        known = len(found)
+        ids = np.array([found[text[a:b]] for a, b in zip(start.tolist(), (start + count + (length - 1)).tolist(), strict=True)], np.int64)
+        if len(found) > known:
+            new, first = np.unique(ids, return_index=True)
+            keys.append(key[first[new >= known]])
+            owners.append(np.full(len(found) - known, doc))
+        where.append(np.stack([np.full(len(ids), row), start, ids]))
     if not found:
         return []
-    strings, owners, keys = list(found), np.array(owners, np.int64), np.array(keys, np.uint64)
-    deal = (_mixed(keys) % np.uint64(deals)).astype(np.int64)
+    strings, owners, keys, where = list(found), np.concatenate(owners), _mixed(np.concatenate(keys)), np.concatenate(where, axis=1)
+    deal = (keys % np.uint64(deals)).astype(np.int64)
     order = np.argsort(deal, kind="stable")
     place = np.empty(len(order), np.int64)  # of each string in all deals, one after the other
     place[order] = np.arange(len(order))
+    where[2] = place[where[2]]
     rows = []
     for g in np.split(order, np.flatnonzero(np.diff(deal[order])) + 1):
         own = [strings[i] for i in g.tolist()]
-        rows.append((block, int(deal[g[0]]), b"".join(own), _packed(np.array([len(s) for s in own]), "<u4"), _packed(keys[g], "<u8"), _packed(owners[g], "<i8"), None))
-    where = np.array(where, np.int64)
-    places = np.stack([where[:, 0], where[:, 1], place[where[:, 2]]])
-    return [*rows, (block, -1, None, None, None, None, _packed(places, "<i8"))]
+        rows.append((block, int(deal[g[0]]), _zipped(b"".join(own)), _packed(np.array([len(s) for s in own]), "<u4"), _packed(_mixed(keys[g]), "u1"), _zipped(_packed(owners[g], "<i8")), None))
+    return [*rows, (block, -1, None, None, None, None, _zipped(_packed(where, "<i8")))]
 
 
 def _in_order(texts: pa.Table) -> list[tuple[int | None, bytes]]:
@@ -289,32 +305,26 @@ def _answers(snippets: DataFrame, length: int, symbols: int) -> DataFrame:
     """
 
     def run(rows: pa.Table) -> pa.Table:
-        found, owners, keys, own = {}, [], [], []
-        for texts, sizes, key, owner in zip(*(rows.column(c) for c in ("texts", "sizes", "keys", "owners")), strict=True):
-            data, end, mine = texts.as_py(), np.cumsum(np.frombuffer(sizes.as_py(), "<u4")).tolist(), []
-            for s, e, k, o in zip([0, *end[:-1]], end, np.frombuffer(key.as_py(), "<u8").tolist(), np.frombuffer(owner.as_py(), "<i8").tolist(), strict=True):
-                i = found.setdefault(data[s:e], len(found))
-                if i == len(owners):
-                    owners.append(o)
-                    keys.append(k)
-                elif o < owners[i]:
-                    owners[i] = o
-                mine.append(i)
-            own.append(mine)
-        strings, owners = list(found), np.array(owners, np.int64)
-        groups = -(-sum(map(len, strings)) // symbols)
-        group, least = _mixed(_mixed(np.array(keys, np.uint64))) % np.uint64(groups), [None] * len(strings)
-        for g in range(groups):
-            members = np.flatnonzero(group == g).tolist()
-            if members:
-                for i, x in zip(members, least_owners([strings[i] for i in members], owners[members], length), strict=True):
-                    least[i] = x
-        out = []
+        found, own = defaultdict(itertools.count().__next__), []
+        for texts, sizes in zip(rows.column("texts"), rows.column("sizes"), strict=True):
+            data, end = _unzipped(texts), np.cumsum(np.frombuffer(sizes.as_py(), "<u4")).tolist()
+            own.append(np.array([found[data[a:b]] for a, b in zip([0, *end[:-1]], end, strict=True)]))
+        strings, ids = list(found), np.concatenate(own)
+        owners, keys = np.full(len(strings), np.iinfo(np.int64).max), np.empty(len(strings), np.uint8)
+        np.minimum.at(owners, ids, np.concatenate([np.frombuffer(_unzipped(o), "<i8") for o in rows.column("owners")]))
+        keys[ids] = np.concatenate([np.frombuffer(k.as_py(), "u1") for k in rows.column("keys")])
+        counts = np.array([len(t) for t in strings]) - (length - 1)
+        group = keys % min(256, -(-int(counts.sum() + length * len(counts)) // symbols))
+        order = np.argsort(group, kind="stable")
+        least, begins = [], np.empty(len(order), np.int64)
+        begins[order] = np.cumsum(counts[order]) - counts[order]
+        for g in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+            least.append(least_owners([strings[i] for i in g.tolist()], owners[g], length))
+        least, out = np.concatenate(least), []
         for mine in own:
-            values = np.concatenate([least[i] for i in mine])
+            values = least[_slices(begins[mine], counts[mine])]
             first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
-            sizes = np.array([len(least[i]) for i in mine])
-            out.append((_packed(values[first], "<i8"), _packed(np.diff(np.append(first, len(values))), "<u4"), _packed(sizes, "<u4")))
+            out.append((_zipped(_packed(values[first], "<i8")), _zipped(_packed(np.diff(np.append(first, len(values))), "<u4")), _zipped(_packed(counts[mine], "<u4"))))
         return pa.table([rows.column("block"), rows.column("deal"), *(pa.array(c, pa.binary()) for c in zip(*out, strict=True))], ["block", "deal", "least", "repeats", "sizes"])
 
     dealt = snippets.where("deal >= 0").select("block", "deal", "texts", "sizes", "keys", "owners")
@@ -333,16 +343,15 @@ def _marked(texts: pa.Table, answers: pa.Table, length: int) -> list[np.ndarray]
     row, at = np.zeros(0, np.int64), np.zeros(0, np.int64)
     by_deal = sorted((d, i) for i, d in enumerate(answers.column("deal").to_pylist()))
     if by_deal:
-        column = lambda c, i, kind: np.frombuffer(answers.column(c)[i].as_py(), kind)
+        column = lambda c, i, kind: np.frombuffer(_unzipped(answers.column(c)[i]), kind)
         rows, first, string = column("places", by_deal[0][1], "<i8").reshape(3, -1)
         least = np.concatenate([np.repeat(column("least", i, "<i8"), column("repeats", i, "<u4")) for _, i in by_deal[1:]])
         sizes = np.concatenate([column("sizes", i, "<u4") for _, i in by_deal[1:]]).astype(np.int64)
         count, begin = sizes[string], (np.cumsum(sizes) - sizes)[string]
-        inside = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-        row, at = np.repeat(rows, count), np.repeat(first, count) + inside
-        gone = least[np.repeat(begin, count) + inside] < np.array([d or 0 for d, _ in docs], np.int64)[row]
+        row, at = np.repeat(rows, count), _slices(first, count)
+        gone = least[_slices(begin, count)] < np.array([d or 0 for d, _ in docs], np.int64)[row]
         row, at = row[gone], at[gone]
-    edges = np.searchsorted(row, np.arange(len(docs) + 1))
+    edges = np.searchsorted(row, np.arange(len(docs) + 1))  # rows are in order
     return [removed_bytes(len(t), at[a:b], length) for (_, t), a, b in zip(docs, edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
 
 
