@@ -19,7 +19,7 @@ def _hex16(values):
     return F.array_join(F.transform(values, lambda v: F.lower(F.concat(F.substring(low(v), 3, 2), F.substring(low(v), 1, 2)))), "")
 
 
-def _image(spark, sf_dir, *more, frames=4, bits=12):
+def _image(spark, sf_dir, *more, frames=4, bits=12, tables=None):
     """Each vector is an image of four frames of 4 x 4 samples of 12 bits, encoded and decoded again as a whole file."""
     samples = F.transform("embedding", lambda x: F.floor((x.cast("double") + 1) * 1000).cast("long"))
     each = F.array(
@@ -34,6 +34,7 @@ def _image(spark, sf_dir, *more, frames=4, bits=12):
         _row("(7FE0,0010)", "OW", _hex16(samples)),
         *more,
     )
+    each = each if tables is None else F.concat(each, tables)
     elements = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("instance"), F.explode(each).alias("e")).select("instance", "e.*")
     files = codec.encode_datasets(elements, syntax=codec.EXPLICIT)
     return codec.decode_datasets(files, "instance", "data", None)
@@ -61,6 +62,29 @@ def image_mono(spark, sf_dir):
     return I.decode_frames(_image(spark, sf_dir, *more), codec.EXPLICIT, "image").select("instance", "frame", F.col("values").alias("v"))
 
 
+VOI_SQL = f"""WITH s AS (SELECT vec_id, f, list_transform({SAMPLES}, lambda v: 2 * v - 100) AS s FROM embeddings, range(4) r(f)),
+t AS (SELECT vec_id, f, list_transform(s, lambda w: CASE WHEN vec_id % 4 < 2 THEN ((CAST(least(greatest(w - 800, 0), 255) AS INTEGER) * 16 + CASE WHEN vec_id % 4 = 1 THEN f ELSE 0 END) % 4096) * 16
+  WHEN w <= 899.5::DOUBLE - 99.5::DOUBLE THEN 0 WHEN w > 899.5::DOUBLE + 99.5::DOUBLE THEN 65535 ELSE trunc(((w - 899.5::DOUBLE) / 199::DOUBLE + 0.5::DOUBLE) * 65535::DOUBLE) END) AS s FROM s)
+SELECT vec_id AS instance, CAST(f AS BIGINT) AS frame, list_transform(s, lambda x: CAST(CASE WHEN vec_id % 2 = 0 THEN x ELSE 65535 - x END AS DOUBLE)) AS v FROM t"""
+
+
+@query(VOI_SQL)
+def image_voi_tables(spark, sf_dir):
+    """Images through a table of the data set, one for all frames or one for each, and through the window where there is none."""
+    k = F.col("vec_id") % 4
+    entries = lambda f: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.lower(F.concat(F.substring(F.lpad(F.hex((i * 16 + f) % 4096), 4, "0"), 3, 2), F.substring(F.lpad(F.hex((i * 16 + f) % 4096), 4, "0"), 1, 2)))), "")
+    none = F.array().cast(E.ENTRIES)
+
+    def item(at, f):
+        return F.array(_row(f"{at}[0].(0028,3002)", "US", F.lit(256), F.lit(800), F.lit(12)), _row(f"{at}[0].(0028,3006)", "OW", entries(f)))
+
+    shared = F.concat(F.array(_row("(0028,3010)", "SQ")), item("(0028,3010)", 0))
+    own = F.concat(F.array(_row("(5200,9230)", "SQ")), *[F.concat(F.array(_row(f"(5200,9230)[{f}].(0028,9132)", "SQ"), _row(f"(5200,9230)[{f}].(0028,9132)[0].(0028,3010)", "SQ")), item(f"(5200,9230)[{f}].(0028,9132)[0].(0028,3010)", f)) for f in range(4)])
+    more = [_row("(0028,1050)", "DS", F.lit("900")), _row("(0028,1051)", "DS", F.lit("200")), _row("(0028,1052)", "DS", F.lit("-100")), _row("(0028,1053)", "DS", F.lit("2"))]
+    elements = _image(spark, sf_dir, *more, tables=F.when(k == 0, shared).when(k == 1, own).otherwise(none))
+    return I.decode_frames(elements, codec.EXPLICIT, "image", I.Options(interpretation="invert")).select("instance", "frame", F.col("values").alias("v"))
+
+
 @query("""WITH s AS (SELECT vec_id, f, list_transform(embedding[f * 12 + 1 : f * 12 + 12], lambda x: floor((x::DOUBLE + 1) * 100)) AS s FROM embeddings, range(2) r(f))
 SELECT vec_id AS instance, CAST(f AS BIGINT) AS frame, 'P6' || chr(10) || '2 2' || chr(10) || '255' || chr(10) AS head, list_transform(range(12), lambda i: s[CASE WHEN vec_id % 2 = 0 THEN i ELSE i % 3 * 4 + i // 3 END + 1]) AS v FROM s""")
 def image_colour(spark, sf_dir):

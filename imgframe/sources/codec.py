@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field, replace
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import tags
@@ -29,6 +30,8 @@ VRS = LONG_VRS | frozenset("AE AS AT CS DA DS DT FD FL IS LO LT PN SH SL SS ST T
 NUMBERS = {"US": "H", "SS": "h", "UL": "I", "SL": "i", "UV": "Q", "SV": "q", "FL": "f", "FD": "d"}
 BYTES = frozenset("OB OD OF OL OV OW UN".split())
 MAGIC = b"DICM"
+#: What decoded elements may hold before they are passed on.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 20_000
 PIXEL_DATA, CHARSET, TRANSFER_SYNTAX = 0x7FE00010, 0x00080005, 0x00020010
 IMPLICIT, EXPLICIT, BIG, DEFLATED = "1.2.840.10008.1.2", "1.2.840.10008.1.2.1", "1.2.840.10008.1.2.2", "1.2.840.10008.1.2.1.99"
 
@@ -91,16 +94,24 @@ def _bytes(vr: str, values: list[str], charset: str = "utf_8", order: str = "<")
 Token = tuple[str, str, int, str, int, int, int]
 
 
+class Bytes(Protocol):
+    """Bytes, or what gives them by slices."""
+
+    def __len__(self) -> int: ...
+    def __getitem__(self, part: slice) -> bytes: ...
+
+
 class Reader:
     """Reads one data set's headers.
 
     explicit: None finds out: after magic, a meta table in explicit form says the form of the rest, which may be big
     endian or deflated; without, the first element shows it. odd: what to do about odd lengths: accept, next_even or
     fail. preamble: always or never skips 128 bytes, auto where magic follows them. vrs: representations by tag, for
-    the implicit form. until: the first root tag from which on nothing is read.
+    the implicit form. until: the first root tag from which on nothing is read. data: bytes, or what has a length and
+    gives bytes by slices, of which only headers and what says the form are taken.
     """
 
-    def __init__(self, data: bytes, explicit: bool | None = True, until: int | None = None, odd: str = "accept", preamble: str = "auto", vrs: Mapping[int, str] = KNOWN_VRS, big: bool = False):
+    def __init__(self, data: Bytes, explicit: bool | None = True, until: int | None = None, odd: str = "accept", preamble: str = "auto", vrs: Mapping[int, str] = KNOWN_VRS, big: bool = False):
         self.data, self.until, self.odd, self.vrs = data, until, odd, vrs
         at = 128 if preamble == "always" or preamble == "auto" and data[128:132] == MAGIC else 0
         self.at = at + 4 if data[at : at + 4] == MAGIC else at
@@ -111,18 +122,20 @@ class Reader:
 
     def header(self, at: int) -> tuple[int, str, int, int]:
         """(tag, vr, length, where the value begins)."""
-        data, order = self.data, self.order
-        if at + 8 > len(data):
+        head, order = self.data[at : at + 12], self.order
+        if len(head) < 8:
             raise DecodeError(f"cut off at {at}")
-        group, element = struct.unpack_from(f"{order}HH", data, at)
+        group, element = struct.unpack_from(f"{order}HH", head)
         tag = group << 16 | element
         if group == 0xFFFE or not self.explicit:
-            return tag, "" if group == 0xFFFE else self.vrs.get(tag, "UN"), struct.unpack_from(f"{order}I", data, at + 4)[0], at + 8
-        vr = data[at + 4 : at + 6].decode("ascii", "replace")
+            return tag, "" if group == 0xFFFE else self.vrs.get(tag, "UN"), struct.unpack_from(f"{order}I", head, 4)[0], at + 8
+        vr = head[4:6].decode("ascii", "replace")
         vr = vr if vr in VRS else "UN"
         if vr in LONG_VRS:
-            return tag, vr, struct.unpack_from(f"{order}I", data, at + 8)[0], at + 12
-        return tag, vr, struct.unpack_from(f"{order}H", data, at + 6)[0], at + 8
+            if len(head) < 12:
+                raise DecodeError(f"cut off at {at}")
+            return tag, vr, struct.unpack_from(f"{order}I", head, 8)[0], at + 12
+        return tag, vr, struct.unpack_from(f"{order}H", head, 6)[0], at + 8
 
     def tokens(self) -> Iterator[Token]:
         yield from self._elements(self.at, len(self.data), "")
@@ -308,18 +321,39 @@ def decode_datasets(rows: DataFrame, instance: str, column: str, explicit: bool
     """Elements of the data sets in a binary column. Bytes that are no data set give one row with a NULL path."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Held(element_batch)
         for batch in batches:
-            out: list[tuple] = []
-            for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for i in range(batch.num_rows):
+                key = batch.column(0)[i].as_py()
+                data = batch.column(1)[i].as_py() or b""
                 try:
-                    out += [(key, *e) for e in decode(data or b"", explicit, until, odd, **options)]
+                    found = [(key, *e) for e in decode(data, explicit, until, odd, **options)]
                 except (DecodeError, struct.error, zlib.error):
-                    out.append((key, None, None, None, None))
-            yield element_batch(out)
+                    found = [(key, None, None, None, None)]
+                yield from held.add(found, 2 * len(data))
+        yield from held.rest()
 
     return rows.select(F.col(instance).cast("long"), F.col(column)).mapInArrow(run, ELEMENTS)
 
 
+class _Held:
+    """Rows that are held until they are worth a batch: a bounded number of them, and bytes beside those of one data set."""
+
+    def __init__(self, batch: Callable[[list[tuple]], pa.RecordBatch]):
+        self.batch, self.out, self.size = batch, [], 0
+
+    def add(self, rows: list[tuple], size: int) -> Iterator[pa.RecordBatch]:
+        self.out += rows
+        self.size += size
+        if self.size >= BATCH_BYTES or len(self.out) >= BATCH_ROWS:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.out:
+            yield self.batch(self.out)
+        self.out, self.size = [], 0
+
+
 def element_batch(rows: list[tuple], first: str = "instance", kind: pa.DataType = pa.int64()) -> pa.RecordBatch:
     """(key, path, tag, vr, values) as a batch; values go as one flat array with offsets."""
     keys, paths, names, vrs, values = zip(*rows, strict=True) if rows else [()] * 5
@@ -329,6 +363,9 @@ def element_batch(rows: list[tuple], first: str = "instance", kind: pa.DataType
     return pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(paths, pa.string()), pa.array(names, pa.int64()), pa.array(vrs, pa.string()), lists], [first, "path", "tag", "vr", "values"])
 
 
+TOKENS = "instance long, place int, kind string, path string, tag long, vr string, length long, value binary"
+
+
 def token_rows(rows: DataFrame, instance: str, column: str, explicit: bool | None = True, values: bool = True, **options) -> DataFrame:
     """(instance, place, kind, path, tag, vr, length, value) of each data set in a binary column, in the order of its bytes.
 
@@ -336,32 +373,53 @@ def token_rows(rows: DataFrame, instance: str, column: str, explicit: bool | Non
     are no data set end in a row of the kind ``error``.
     """
 
+    def tokens(key: int, data: bytes) -> Iterator[tuple]:
+        place, reader = 0, Reader(data, explicit, **options)
+        try:
+            for place, (kind, path, tag, vr, length, start, end) in enumerate(reader.tokens(), 1):
+                yield key, place - 1, kind, path, tag, vr, length, reader.data[start:end] if values and kind in ("element", "offset_table", "fragment") else None
+        except (DecodeError, struct.error, zlib.error):
+            yield key, place, "error", None, None, None, None, None
+
+    kinds = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary())
+    return _by_data_set(rows, instance, column, tokens, kinds, TOKENS)
+
+
+def _by_data_set(rows: DataFrame, instance: str, column: str, each: Callable[[int, bytes], Iterator[tuple]], kinds: tuple[pa.DataType, ...], schema: str) -> DataFrame:
+    """What ``each`` gives for each data set in a binary column; values, which are last, are held in bounded batches."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Held(lambda out: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names))
         for batch in batches:
-            out: list[tuple] = []
-            for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                place, reader = 0, Reader(data or b"", explicit, **options)
-                try:
-                    for place, (kind, path, tag, vr, length, start, end) in enumerate(reader.tokens(), 1):
-                        out.append((key, place - 1, kind, path, tag, vr, length, reader.data[start:end] if values and kind in ("element", "offset_table", "fragment") else None))
-                except (DecodeError, struct.error, zlib.error):
-                    out.append((key, place, "error", None, None, None, None, None))
-            columns = zip(*out, strict=True) if out else [()] * 8
-            kinds = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["instance", "place", "kind", "path", "tag", "vr", "length", "value"])
+            for i in range(batch.num_rows):
+                for row in each(batch.column(0)[i].as_py(), batch.column(1)[i].as_py() or b""):
+                    yield from held.add([row], len(row[-1] or b""))
+        yield from held.rest()
 
-    return rows.select(F.col(instance).cast("long"), F.col(column)).mapInArrow(run, "instance long, place int, kind string, path string, tag long, vr string, length long, value binary")
+    return rows.select(F.col(instance).cast("long"), F.col(column)).mapInArrow(run, schema)
 
 
 def pixel_fragments(rows: DataFrame, instance: str, column: str, explicit: bool | None = True, **options) -> DataFrame:
     """(instance, fragment, data): one row for each fragment of pixel data, from 0; native pixel data is one fragment.
 
-    The offset table of encapsulated pixel data is fragment -1; native data has none.
+    The offset table of encapsulated pixel data is fragment -1; native data has none. Fragments are numbered as they are
+    read; bytes that are no data set have what comes before the error.
     """
-    found = token_rows(rows, instance, column, explicit, **options).where(F.col("kind").isin("offset_table", "fragment") | (F.col("kind") == "element") & (F.col("path") == "(7FE0,0010)"))
-    first = F.min("place").over(Window.partitionBy("instance"))
-    number = F.when(F.col("kind") == "element", 0).when(F.col("kind") == "offset_table", -1).otherwise(F.col("place") - first - 1)
-    return found.select("instance", number.cast("int").alias("fragment"), F.col("value").alias("data"))
+
+    def fragments(key: int, data: bytes) -> Iterator[tuple]:
+        reader, number = Reader(data, explicit, **options), -1
+        try:
+            for kind, path, _, _, _, start, end in reader.tokens():
+                if kind == "element" and path == "(7FE0,0010)":
+                    yield key, 0, reader.data[start:end]
+                elif kind in ("offset_table", "fragment"):
+                    yield key, number, reader.data[start:end]
+                    number += 1
+        except (DecodeError, struct.error, zlib.error):
+            return
+
+    return _by_data_set(rows, instance, column, fragments, (pa.int64(), pa.int32(), pa.binary()), "instance long, fragment int, data binary")
 
 
 @dataclass(frozen=True)
@@ -523,25 +581,26 @@ def write_files(elements: DataFrame, folder: str, syntax: str = EXPLICIT) -> Non
 
 
 def pack_bits(data: bytes) -> bytes:
-    """Run-length encoding of one segment, padded to an even length."""
+    """Run-length encoding of one segment, padded to an even length: runs of three or more, and what is between them."""
     values = np.frombuffer(data, np.uint8)
-    out, literal = bytearray(), bytearray()
-    edges = np.flatnonzero(np.diff(values)) + 1
-    for run in np.split(values, edges) if len(values) else []:
-        n, v = len(run), int(run[0])
-        if n < 3:
-            literal += bytes([v]) * n
-            continue
-        for i in range(0, len(literal), 128):
-            out += bytes([len(literal[i : i + 128]) - 1]) + literal[i : i + 128]
-        literal.clear()
-        while n > 1:
-            take = min(n, 128)
-            out += bytes([257 - take, v])
-            n -= take
-        literal += bytes([v]) * n
-    for i in range(0, len(literal), 128):
-        out += bytes([len(literal[i : i + 128]) - 1]) + literal[i : i + 128]
+    starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+    lengths = np.diff(np.append(starts, len(values)))
+    out, at = bytearray(), 0
+
+    def literal(end: int) -> None:
+        for i in range(at, end, 128):
+            part = data[i : min(i + 128, end)]
+            out.extend(bytes([len(part) - 1]) + part)
+
+    for start, n in zip(starts[lengths > 2].tolist(), lengths[lengths > 2].tolist(), strict=True):
+        literal(start)
+        left = n
+        while left > 1:
+            take = min(left, 128)
+            out.extend(bytes([257 - take, data[start]]))
+            left -= take
+        at = start + n - left  # a last one alone goes with what follows
+    literal(len(data))
     return bytes(out) + b"\0" * (len(out) % 2)
 
 

@@ -63,6 +63,89 @@ def test_signs_and_options(spark):
             I.Options(**bad)
 
 
+def test_options_of_grey_images(spark):
+    """Identity is the rescale alone, none the samples as they are; a window of the options stands before the data set's."""
+    low = np.array([0, 1, -1, 2047, -2048, 100], "<i2")
+    data = {"allocated": 16, "stored": 12, "signed": 1, "(0028,1053)": ["2"], "(0028,1052)": ["5000"], "(0028,1050)": ["100"], "(0028,1051)": ["50"]}
+    image = rows_of(1, [low.tobytes().hex()], **data)
+    assert values(spark, image, kind="image", voi="identity") == {(1, 0): (low * 2.0 + 5000).tolist()}
+    assert values(spark, image, kind="image", modality="none") == {(1, 0): (low.astype(int) + 32768.0).tolist()}
+    assert values(spark, image, kind="image", modality="none", depth="8") == {(1, 0): ((low.astype(int) + 32768) >> 8).astype(float).tolist()}
+    assert "values from" in values(spark, image, kind="image", voi="identity", modality=(1.0, 0.0))[1, 0]
+    ramp = lambda x, c, w: float(np.trunc(np.clip(((x - (c - 0.5)) / (w - 1) + 0.5) * 65535, 0, 65535)))
+    assert values(spark, image, kind="image", voi=(5100.0, 400.0)) == {(1, 0): [ramp(x * 2 + 5000, 5100, 400) for x in low.tolist()]}
+    exact = values(spark, image, kind="image", voi=(5100.0, 400.0, "LINEAR_EXACT"))[1, 0]
+    assert exact[5] == float(np.trunc((5200 - 5100) / 400 * 65535 + 65535 / 2))
+    assert values(spark, image, voi=(5100.0, 400.0)) == {(1, 0): [ramp(x * 2 + 5000, 5100, 400) for x in low.tolist()]}
+    white = rows_of(1, [FRAME.hex()], interpretation="MONOCHROME1")
+    assert values(spark, white, kind="image", voi="identity", interpretation="keep") == {(1, 0): [float(x) for x in FRAME]}
+    assert values(spark, white, kind="image", voi="identity") == {(1, 0): [255.0 - x for x in FRAME]}
+    for bad in ({"voi": (1.0,)}, {"voi": (1.0, 2.0, "CUBIC")}, {"interpretation": "x"}):
+        with pytest.raises(I.ImageError):
+            I.Options(**bad)
+
+
+def table_rows(at, first, bits, entries, words=False):
+    data = [np.array(entries, "<u2").tobytes().hex()] if words else [str(e) for e in entries]
+    return {f"{at}.(0028,3002)": [str(len(entries)), str(first), str(bits)], f"{at}.(0028,3006)": data}
+
+
+def test_tables_of_data_sets(spark):
+    """The root's tables stand before those of frames, these before shared ones, all before a window; broken ones don't count."""
+    own, shared = "(5200,9230)[{}].(0028,9132)[0].(0028,3010)[0]", "(5200,9229)[0].(0028,9132)[0].(0028,3010)[0]"
+    one, two, three = [1, 2, 3, 4], [10, 20, 30, 40], [5, 6, 7, 8]
+    at = lambda t, shift=0: [float(t[min(max(x - 1, 0), 3)] << shift) for x in FRAME]
+    pixels, window = [(FRAME * 2).hex()], {"(0028,1050)": ["100"], "(0028,1051)": ["50"]}
+    root = table_rows("(0028,3010)[0]", 1, 8, one)
+    frames = table_rows(own.format(0), 1, 8, two, words=True) | table_rows(own.format(1), 1, 6, three)
+    both = table_rows(shared, 1, 8, three)
+    got = values(
+        spark,
+        [
+            *rows_of(1, pixels, n_frames=2, **root, **frames, **both, **window),
+            *rows_of(2, pixels, n_frames=2, **frames, **both, **window),
+            *rows_of(3, pixels, n_frames=2, **both, **window),
+            *rows_of(4, pixels, n_frames=2, **(root | {"(0028,3010)[0].(0028,3002)": ["5", "1", "8"]}), **both),
+            *rows_of(5, pixels, n_frames=2, **root, **table_rows("(0028,3010)[1]", 1, 8, two)),
+            *rows_of(6, pixels, n_frames=2, **table_rows("(0028,3010)[0]", 1, 12, one)),
+            *rows_of(7, [(FRAME * 3).hex()], n_frames=3, **root, **table_rows("(0028,3010)[1]", 1, 8, two)),
+        ],
+        kind="image",
+    )
+    assert got[1, 0] == got[1, 1] == at(one)
+    assert (got[2, 0], got[2, 1]) == (at(two), at(three, 2))
+    assert got[3, 0] == got[3, 1] == got[4, 0] == at(three)
+    assert (got[5, 0], got[5, 1]) == (at(one), at(two))
+    assert "a table of 12 bits" in got[6, 0]
+    assert (got[7, 1], got[7, 2]) == (at(two), "no table of the frame")
+
+
+def test_one_table_for_many_frames():
+    I.composed_table.cache_clear()
+    a = {"samples": 1, "interpretation": "MONOCHROME2", "allocated": 16, "stored": 12, "signed": 0, "slope": 2.0, "intercept": 0.0, "center": None, "width": None, "function": "LINEAR", "n_tables": 1, "first": 0, "bits": 12, "entries": np.arange(4096, dtype="<u2").tobytes()}
+    for k in range(1000):
+        I.image_values(np.full((4, 1), k, np.uint16), dict(a), I.Options())
+    assert I.composed_table.cache_info().misses == 1
+
+
+def test_frames_in_proportion(spark):
+    """Frames are cut in one pass: also those of many fragments by an offset table, in which frames may be empty."""
+    n = 500
+    pieces = [bytes([k % 256] * (1 + k % 5)) for k in range(2 * n)]
+    sizes = np.array([(len(p) + 1) // 2 * 2 + 8 for p in pieces])
+    starts = (np.cumsum(sizes) - sizes)[::2]
+    rows = rows_of(1, [starts.astype("<u4").tobytes().hex(), *(p.hex() for p in pieces)], n_frames=n)
+    frame = spark.createDataFrame(rows, ELEMENTS)
+    got = {r.frame: bytes(r.data) for r in I.frame_bytes(frame, I.image_attributes(frame)).collect()}
+    assert got == {k: pieces[2 * k] + pieces[2 * k + 1] for k in range(n)}
+
+
+@pytest.mark.parametrize("data", [b"", b"a", b"aa", b"aab", b"aaab", b"abcabc" * 50, b"a" * 127, b"a" * 128, b"a" * 129, b"a" * 257 + b"bc" + b"d" * 3, bytes(range(256)) * 2])
+def test_run_lengths(data):
+    packed = codec.pack_bits(data)
+    assert codec.unpack_bits(packed, len(data)) == data and len(packed) % 2 == 0 and len(packed) <= len(data) + len(data) // 64 + 4
+
+
 def test_colours(spark):
     """Luminance and differences become colours as the column functions say; planes are put together by pixel."""
     ybr = bytes([50, 128, 128, 200, 90, 160])
