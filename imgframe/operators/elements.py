@@ -80,6 +80,16 @@ def tag_at(path: str) -> int:
     return int(last[1:5] + last[6:10], 16)
 
 
+def below(path: Column, sequence: str) -> Column:
+    """Whether a path lies within a sequence: one interval of paths, which a Parquet scan can prune by."""
+    return (path >= f"{sequence}[") & (path < f"{sequence}\\")  # the character after the bracket
+
+
+def scope(path: Column) -> Column:
+    """What a path has before its last step: the item that an element stands in, or nothing at the root."""
+    return F.regexp_extract(path, r"^(.*\.)?[^.]*$", 1)
+
+
 class _State:
     """What is known of one path while operations are folded: columns that are worked out once for each instance."""
 
@@ -102,12 +112,13 @@ def apply(elements: DataFrame, operations: Sequence[Operation], strict: bool = F
     paths = list(dict.fromkeys(p for op in operations for p in (*(s for s, _ in steps_of(op.path)), op.path)))
     if not paths:
         return elements
-    path, own = F.col("path"), Window.partitionBy("instance")
+    path, ordered = F.col("path"), Window.partitionBy("instance").orderBy("path", "tag")
+    own = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # one order for both, so one sort
     rows = elements.select("instance", "path", "tag", "vr", "values")
     found = {f"_s{i}": F.max(F.when(path == p, F.struct("vr", "values"))).over(own) for i, p in enumerate(paths)}
     item = lambda p: F.regexp_extract(F.substring(path, len(p) + 2, 10), r"^(\d+)\]", 1).try_cast("int")
-    counted = {f"_n{i}": F.max(F.when(F.startswith(path, F.lit(p + "[")), item(p) + 1)).over(own) for i, p in enumerate(paths)}
-    first = F.row_number().over(own.orderBy("path", "tag")) == 1
+    counted = {f"_n{i}": F.max(F.when(below(path, p), item(p) + 1)).over(own) for i, p in enumerate(paths)}
+    first = F.row_number().over(ordered) == 1
     rows = rows.withColumns({**found, **counted, "_first": first})
 
     states = {p: _State(p, f"_s{i}", f"_n{i}") for i, p in enumerate(paths)}
@@ -118,7 +129,8 @@ def apply(elements: DataFrame, operations: Sequence[Operation], strict: bool = F
 
     kept = ~path.isin(paths)
     for p in dict.fromkeys(cleared):
-        kept = kept & ~F.startswith(path, F.lit(p + "["))
+        kept = kept & ~below(path, p)
+    kept = F.coalesce(kept, F.lit(True))  # a row without a path says that the data set can't be read
     entry = lambda path, tag, vr, values: F.struct(path.alias("path"), tag.cast("long").alias("tag"), vr.alias("vr"), values.alias("values"))
     made = F.filter(F.array(*[F.when(s.there, entry(F.lit(p), F.lit(tag_at(p)), s.vr, s.values)) for p, s in states.items()]), lambda e: e.isNotNull())
     empty = F.array().cast(ENTRIES)
@@ -223,9 +235,13 @@ def put_private(elements: DataFrame, group: int, creator: str, element: int, vr:
 def upsert(old: DataFrame, new: DataFrame, order: Sequence[str] = ()) -> DataFrame:
     """All elements of both, those of ``new`` in place of the same of ``old``.
 
-    Of several of one instance and path on the same side, the last by the columns ``order`` of both stands; of equal
-    ones, the largest by tag, representation and values.
+    A sequence of ``new`` takes the place of one of ``old`` with all that it holds; items that the new one lacks go. Of
+    several of one instance and path on the same side, the last by the columns ``order`` of both stands; of equal ones,
+    the largest by tag, representation and values.
     """
+    sequences = new.where("vr = 'SQ'").groupBy("instance").agg(F.collect_set("path").alias("_sequences"))
+    within = F.exists("_sequences", lambda s: F.startswith(F.col("path"), F.concat(s, F.lit("["))))
+    old = old.join(sequences, "instance", "left").where(~F.coalesce(within, F.lit(False))).drop("_sequences")
     rows = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
     return latest(rows, ["instance", "path"], ["_new", *order, "tag", "vr", "values"]).drop("_new", *order)
 
@@ -237,11 +253,11 @@ def latest(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFr
 
 
 def private_elements(elements: DataFrame) -> DataFrame:
-    """Private elements with the creator that reserved their block: (…, creator)."""
-    tag = F.col("tag")
-    creators = elements.where(tags.is_private_creator(tag)).select("instance", tags.group_of(tag).alias("_group"), tags.element_of(tag).alias("_block"), F.get("values", F.lit(0)).alias("creator"))
-    private = elements.where(tags.is_private(tag) & (tags.element_of(tag) >= 0x1000)).withColumns({"_group": tags.group_of(tag), "_block": F.shiftright(tags.element_of(tag), 8)})
-    return private.join(creators, ["instance", "_group", "_block"], "left").drop("_group", "_block")
+    """Private elements with the creator that reserved their block in the same data set or item: (…, creator)."""
+    tag, at = F.col("tag"), scope(F.col("path"))
+    creators = elements.where(tags.is_private_creator(tag)).groupBy("instance", at.alias("_scope"), tags.group_of(tag).alias("_group"), tags.element_of(tag).alias("_block")).agg(F.max(F.get("values", F.lit(0))).alias("creator"))
+    private = elements.where(tags.is_private(tag) & (tags.element_of(tag) >= 0x1000)).withColumns({"_scope": at, "_group": tags.group_of(tag), "_block": F.shiftright(tags.element_of(tag), 8)})
+    return private.join(creators, ["instance", "_scope", "_group", "_block"], "left").drop("_scope", "_group", "_block")
 
 
 def read_until(elements: DataFrame, tag: int, inclusive: bool = False) -> DataFrame:

@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import temporal, values
+from .dictionary import SEED
+from .elements import scope, steps_of, tag_at
 
 TEXT_VRS = frozenset("AE AS CS DS IS LO LT PN SH ST UC UI UR UT".split())
 INTEGER_VRS = {"SS": (-(2**15), 2**15 - 1), "US": (0, 2**16 - 1), "SL": (-(2**31), 2**31 - 1), "UL": (0, 2**32 - 1), "SV": (-(2**63), 2**63 - 1), "UV": (0, 2**64 - 1)}
@@ -101,3 +103,126 @@ def select_where(rows: DataFrame, terms: list[str], schema: dict[str, tuple[str,
         if term.value != "":
             out = out.where(predicate(F.col(column), vr, term.value))
     return out
+
+
+def canonical_path(text: str, aliases: dict[str, int]) -> str:
+    """``key[i].key`` of tags or aliases as a path; a sequence without an index is its first item."""
+    steps = []
+    for step in text.split("."):
+        found = re.fullmatch(r"([^\[\]]+?)(?:\[(\d{1,9})\])?", step.strip())
+        digits = found and re.fullmatch(r"\(?([0-9A-Fa-f]{4}),?([0-9A-Fa-f]{4})\)?", found[1])
+        tag = int(digits[1] + digits[2], 16) if digits else aliases.get(found[1]) if found else None
+        if tag is None:
+            raise QueryError(f"no path: {text!r}")
+        steps.append((f"({tag >> 16:04X},{tag & 0xFFFF:04X})", found[2]))
+    if steps[-1][1] is not None:
+        raise QueryError(f"{text!r} ends in an item")
+    return ".".join([*(f"{t}[{i or 0}]" for t, i in steps[:-1]), steps[-1][0]])
+
+
+def build_identifier(terms: list[str], entries=SEED) -> list[tuple[str, int, str, list[str]]]:
+    """The elements (path, tag, vr, values) of a query: its terms, with the sequences and items that lead to nested ones.
+
+    Representations are those of the dictionary ``entries``, or LO. An item may be the next one of its sequence at most;
+    of terms with the same path the last counts. Values that their representation can't have are a ``QueryError``.
+    """
+    aliases, kinds = {alias: tag for tag, _, alias, _ in entries}, {tag: vr for tag, _, _, vr in entries}
+    found: dict[str, tuple] = {}
+    items: dict[str, int] = {}
+    for term in map(Term.parse, terms):
+        path = canonical_path(term.key, aliases)
+        for sequence, item in steps_of(path):
+            if item > items.get(sequence, 0):
+                raise QueryError(f"{path}: {sequence} has no item {item} yet")
+            items[sequence] = max(items.get(sequence, 0), item + 1)
+            found[sequence] = (sequence, tag_at(sequence), "SQ", [])
+        tag = tag_at(path)
+        vr = kinds.get(tag, "LO")
+        vr = vr if vr in TEXT_VRS | REFUSED_VRS or vr in INTEGER_VRS or vr in ("FL", "FD") or vr in RANGES else "LO"
+        if term.value != "":
+            literal(term.value, vr)
+        found[path] = (path, tag, vr, [term.value] if term.value != "" else [])
+    return sorted(found.values())
+
+
+def value_matches(held: Column, vr: str, value: str) -> Column:
+    """Whether one of an element's values, as texts, matches a query value."""
+    typed = {"DA": temporal.exact_date, "TM": lambda v: temporal.let(temporal.partial_time(v), temporal.time_earliest), "DT": lambda v: temporal.let(temporal.partial_datetime(v), temporal.datetime_earliest)}
+    number = (lambda v: v.try_cast("double")) if vr in ("FL", "FD") else (lambda v: v.try_cast("decimal(38,0)")) if vr in INTEGER_VRS else None
+    convert = typed.get(vr) or number or (lambda v: v)
+    return F.coalesce(F.exists(held, lambda v: predicate(convert(v), vr, value)), F.lit(False))
+
+
+def match_in_items(elements: DataFrame, identifier: list[tuple[str, int, str, list[str]]]) -> DataFrame:
+    """(instance): the instances whose elements match an identifier, nested keys within items.
+
+    All keys of one item of the identifier, those in its own sequences among them, must be met by the elements of one
+    item of the instance, whichever it is; an element without a value matches everything. Only elements of the keys'
+    tags are looked at. They are dealt by instance once, and from the innermost items up each level tells the next one
+    which items hold all that is asked for, as bits: a window for each level within that one deal, and no joins.
+    """
+    keys = [(path, tag, vr, values[0]) for path, tag, vr, values in identifier if vr != "SQ" and values]
+    if not keys:
+        return elements.select("instance").distinct()
+    nodes = sorted({f"{s}[{i}]." for path, *_ in keys for s, i in steps_of(path)}, key=lambda n: -n.count("."))
+    bits = {name: 1 << i for i, name in enumerate([*(path for path, *_ in keys), *nodes])}
+    if len(bits) > 63:
+        raise QueryError(f"{len(bits)} keys and items are too many")
+    parent = lambda name: re.sub(r"[^.]*$", "", name.rstrip("."))
+    needs = {node: sum(b for name, b in bits.items() if parent(name) == node) for node in ["", *nodes]}
+    general = F.regexp_replace("path", r"\[\d+\]", "[]")
+    mask = lambda tests: sum((F.when(test, F.lit(bit)).otherwise(F.lit(0)) for test, bit in tests), F.lit(0)).cast("long")
+    met = mask([((general == re.sub(r"\[\d+\]", "[]", path)) & value_matches(F.col("values"), vr, value), bits[path]) for path, _, vr, value in keys])
+    rows = elements.where(F.col("tag").isin(*sorted({tag for _, tag, *_ in keys}))).select("instance", scope(F.col("path")).alias("item"), met.alias("bits")).where("bits <> 0").repartition("instance")
+    depth = max(node.count(".") for node in ["", *nodes])
+    item = F.col("item")
+    for d in range(depth, 0, -1):
+        all_bits = F.bit_or("bits").over(Window.partitionBy("instance", "item"))
+        own = F.regexp_replace(item, r"\[\d+\]", "[]")
+        held = mask([((own == re.sub(r"\[\d+\]", "[]", node)) & (all_bits.bitwiseAND(F.lit(needs[node])) == needs[node]), bits[node]) for node in nodes if node.count(".") == d])
+        here = F.size(F.split(item, r"\.")) - 1 == d
+        rows = rows.select("instance", F.when(here, F.regexp_replace(item, r"[^.]*\.$", "")).otherwise(item).alias("item"), F.when(here, held).otherwise(F.col("bits")).alias("bits")).where("bits <> 0")
+    return rows.groupBy("instance").agg(F.bit_or("bits").alias("bits")).where(F.col("bits").bitwiseAND(F.lit(needs[""])) == needs[""]).select("instance")
+
+
+#: How many blocks of days make a block of the next level, and days before the first one.
+BLOCK, EARLIEST = 8, -(1 << 21)
+LEVELS = 7
+
+
+def blocks_of(lo: Column, hi: Column) -> Column:
+    """array<struct<level, block>>: disjoint blocks of days that make up lo to hi; a NULL bound is open. Few for any range."""
+    first = F.greatest(F.coalesce(F.unix_date(lo), F.lit(EARLIEST)) - EARLIEST, F.lit(0)).cast("long")
+    last = F.least(F.coalesce(F.unix_date(hi), F.lit(-EARLIEST - 1)) - EARLIEST, F.lit(-2 * EARLIEST - 1)).cast("long")
+    block = "struct<level:int,block:bigint>"
+    between = lambda a, b, level: F.when(a <= b, F.transform(F.sequence(a, b), lambda n: F.struct(level.alias("level"), n.alias("block")))).otherwise(F.array().cast(f"array<{block}>"))
+
+    def step(s: Column, level: Column) -> Column:
+        up = (F.floor((s["a"] + BLOCK - 1) / BLOCK) * BLOCK).cast("long")
+        down = (F.floor((s["b"] + 1) / BLOCK) * BLOCK - 1).cast("long")
+        whole = (level < LEVELS - 1) & (up <= down)
+        found = F.when(whole, F.concat(between(s["a"], up - 1, level), between(down + 1, s["b"], level))).otherwise(between(s["a"], s["b"], level))
+        return F.struct(F.when(whole, (up / BLOCK).cast("long")).otherwise(F.lit(1).cast("long")).alias("a"), F.when(whole, ((down + 1) / BLOCK - 1).cast("long")).otherwise(F.lit(0).cast("long")).alias("b"), F.concat(s["found"], found).alias("found"))
+
+    start = F.struct(first.alias("a"), last.alias("b"), F.array().cast(f"array<{block}>").alias("found"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS - 1)), start, step, lambda s: s["found"])
+
+
+def match_many(queries: DataFrame, instances: DataFrame, day: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of the rows of ``queries`` (with lo and hi, dates) and ``instances`` whose ``day`` is in the range, all in one join.
+
+    A range is cut into blocks of days, of which each day is in one for each level; so both meet by equal blocks, and a
+    pair comes out once. A NULL bound is open; a range with lo after hi, or a NULL day, matches nothing. ``keys`` are
+    columns of both that must be equal where the query's is not NULL. Other columns stay; those of ``queries`` with the
+    names of ``instances`` are to be renamed before.
+    """
+    q = queries.withColumn("_block", F.explode(blocks_of(F.col("lo"), F.col("hi"))))
+    levels = sorted(r[0] for r in q.select("_block.level").distinct().collect())  # a handful at most
+    place = F.unix_date(F.col(day).cast("date")).cast("long") - EARLIEST
+    each = F.array(*[F.struct(F.lit(k).cast("int").alias("level"), F.floor(place / BLOCK**k).cast("long").alias("block")) for k in levels]) if levels else F.array().cast("array<struct<level:int,block:bigint>>")
+    renamed = {k: f"_q_{k}" for k in keys}
+    q = q.withColumnsRenamed(renamed)
+    pairs = instances.where(F.col(day).isNotNull()).withColumn("_block", F.explode(each)).join(q, "_block")
+    for k, name in renamed.items():
+        pairs = pairs.where(F.col(name).isNull() | (F.col(name) == F.col(k)))
+    return pairs.drop("_block", *renamed.values())

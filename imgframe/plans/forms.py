@@ -43,6 +43,14 @@ def json_typed(spark, sf_dir):
     return tagged_json.to_json(M.as_elements(meta).unionByName(elements), depth=0)
 
 
+@query("""SELECT p_partkey AS instance, p_name || chr(CAST(p_partkey % 31 + 1 AS INTEGER)) || chr(34) || chr(92) || chr(12) || chr(27) || 'x' AS text FROM part""")
+def json_controls(spark, sf_dir):
+    """Control characters, quotes and backslashes in values to JSON and back."""
+    held = F.concat(F.col("p_name"), F.char((F.col("p_partkey") % 31 + 1).cast("int")), F.lit('"\\\f\x1bx'))
+    elements = elements_of(table(spark, sf_dir, "part").withColumn("held", held), "p_partkey", {"held": (0x00204000, "LT")})
+    return tagged_json.from_json(tagged_json.to_json(elements, depth=0)).select("instance", F.get("values", F.lit(0)).alias("text"))
+
+
 def _numbers(spark, sf_dir):
     row = lambda tag, vr, *values: F.struct(F.lit(f"({tag >> 16:04X},{tag & 0xFFFF:04X})").alias("path"), F.lit(tag).cast("long").alias("tag"), F.lit(vr).alias("vr"), F.array(*values).cast("array<string>").alias("values"))
     each = [row(0x00100010, "PN", F.col("p_name")), row(0x00280010, "US", F.col("p_size"), F.lit(7)), row(0x00280009, "AT", F.lit("(0018,1063)")), row(0x00286010, "SL", -F.col("p_size")), row(0x00286020, "FD", F.lit(0.25)), row(0x7FE00010, "OW", F.lit("01020304"))]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import dictionary as D
+from ..operators import matching as M
 from ..operators.matching import select_where
 from .registry import query, table
 
@@ -88,3 +89,29 @@ def query_retrieve_level(spark, sf_dir):
     series = instances.groupBy("o_custkey", "l_orderkey", "l_suppkey").agg(F.count("*").alias("n"))
     by_study = series.groupBy("o_custkey", "l_orderkey").agg(F.count("*").alias("n_series"), F.sum("n").alias("n_instances"))
     return by_study.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("studies"), F.sum("n_series").alias("series"), F.sum("n_instances").alias("instances"))
+
+
+@query("""WITH i AS (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING bool_or(l_returnflag = 'R') AND bool_or(CAST(l_suppkey AS VARCHAR) LIKE '1%'))
+SELECT DISTINCT l_orderkey AS instance FROM i WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority LIKE '%H%')""")
+def match_in_items(spark, sf_dir):
+    """Orders with one line that is both returned and of some suppliers, in items and items of items; two lines that do one each don't count (some lines have one number, and so one item)."""
+    lines = table(spark, sf_dir, "lineitem")
+    at = F.concat(F.lit("(0040,A730)["), (F.col("l_linenumber") - 1).cast("string"), F.lit("]."))
+    row = lambda path, tag, vr, *values: F.struct(path.alias("path"), F.lit(tag).cast("long").alias("tag"), F.lit(vr).alias("vr"), F.array(*values).cast("array<string>").alias("values"))
+    each = F.array(row(F.concat(at, F.lit("(0040,A160)")), 0x0040A160, "UT", F.col("l_suppkey")), row(F.concat(at, F.lit("(0040,A168)")), 0x0040A168, "SQ"), row(F.concat(at, F.lit("(0040,A168)[0].(0008,0100)")), 0x00080100, "SH", F.col("l_linestatus")), row(F.concat(at, F.lit("(0040,A168)[1].(0008,0100)")), 0x00080100, "SH", F.col("l_returnflag")))
+    nested = lines.select(F.col("l_orderkey").alias("instance"), F.explode(each).alias("e")).select("instance", "e.*")
+    root = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("instance"), F.lit("(0010,0010)").alias("path"), F.lit(0x00100010).cast("long").alias("tag"), F.lit("PN").alias("vr"), F.array("o_orderpriority").alias("values"))
+    terms = ["PatientName=*H*", "(0040,A730).(0040,A160)=1*", "(0040,A730).(0040,A168).(0008,0100)=R", "Modality="]
+    return M.match_in_items(nested.unionByName(root), M.build_identifier(terms))
+
+
+@query("""WITH q AS (SELECT c_custkey AS query, DATE '1992-01-01' + CAST(c_custkey * 37 % 2500 AS INTEGER) AS lo, CASE WHEN c_custkey % 50 > 0 THEN DATE '1992-01-01' + CAST(c_custkey * 37 % 2500 + c_custkey % 40 AS INTEGER) END AS hi, CASE WHEN c_custkey % 3 = 0 THEN 'F' END AS status FROM customer)
+SELECT query, count(o_orderkey) AS n, min(o_orderkey) AS first, max(o_orderkey) AS last FROM q JOIN orders ON CAST(o_orderdate AS DATE) >= lo AND (hi IS NULL OR CAST(o_orderdate AS DATE) <= hi) AND (status IS NULL OR status = o_orderstatus) GROUP BY query""")
+def match_many(spark, sf_dir):
+    """A range of days for each customer, some open, some with a status, against all orders in one join."""
+    k = F.col("c_custkey")
+    day = lambda n: F.date_add(F.lit("1992-01-01").cast("date"), n.cast("int"))
+    lo = k * 37 % 2500
+    queries = table(spark, sf_dir, "customer").select(k.alias("query"), day(lo).alias("lo"), F.when(k % 50 > 0, day(lo + k % 40)).alias("hi"), F.when(k % 3 == 0, "F").alias("o_orderstatus"))
+    pairs = M.match_many(queries, table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus"), "o_orderdate", ("o_orderstatus",))
+    return pairs.groupBy("query").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"))

@@ -113,3 +113,29 @@ def ops_meta(spark, sf_dir):
     ]
     out = M.apply(meta, ops)
     return out.select("instance", F.col("media_storage_sop_class_uid").alias("sop_class"), F.col("media_storage_sop_instance_uid").alias("sop_instance"), F.col("transfer_syntax"), F.col("implementation_version_name").alias("version"), F.col("source_application_entity_title").alias("source"), F.col("information_group_length").alias("group_length"))
+
+
+@query("""WITH i AS (SELECT o_orderkey AS instance, o_orderstatus AS status, o_orderpriority AS priority, n FROM orders, range(2) r(n) WHERE n < o_orderkey % 3)
+SELECT o_orderkey AS instance, '(0008,0060)' AS path, 'CS' AS vr, o_orderstatus AS text FROM orders UNION ALL SELECT o_orderkey, '(0040,A730)', 'SQ', '' FROM orders
+UNION ALL SELECT o_orderkey, '(0040,A730)[0].(0040,A160)', 'UT', 'new' FROM orders WHERE o_orderkey % 2 = 0
+UNION ALL SELECT instance, '(0040,A730)[' || n || '].(0040,A160)', 'UT', priority FROM i WHERE instance % 2 = 1 UNION ALL SELECT instance, '(0040,A730)[' || n || '].(0040,A168)', 'SQ', '' FROM i WHERE instance % 2 = 1
+UNION ALL SELECT instance, '(0040,A730)[' || n || '].(0040,A168)[0].(0008,0100)', 'SH', CASE WHEN n = 0 THEN 'X' ELSE status || n END FROM i WHERE instance % 2 = 1""")
+def extend_sequences(spark, sf_dir):
+    """A sequence in place of another one leaves none of its items; an element of an item leaves the others."""
+    old = _orders(spark, sf_dir)
+    row = lambda path, vr, *values: F.struct(F.lit(path).alias("path"), F.lit(E.tag_at(path)).cast("long").alias("tag"), F.lit(vr).alias("vr"), F.array(*values).cast("array<string>").alias("values"))
+    whole = F.array(row("(0040,A730)", "SQ"), row("(0040,A730)[0].(0040,A160)", "UT", F.lit("new")))
+    leaf = F.array(row("(0040,A730)[0].(0040,A168)[0].(0008,0100)", "SH", F.lit("X")))
+    k = F.col("o_orderkey")
+    new = table(spark, sf_dir, "orders").select(k.alias("instance"), F.explode(F.when(k % 2 == 0, whole).when(k % 3 > 0, leaf).otherwise(F.array().cast(E.ENTRIES))).alias("e")).select("instance", "e.*")
+    return _texts(E.upsert(old, new))
+
+
+@query("""SELECT s_suppkey AS instance, path, creator FROM (SELECT s_suppkey, '(0009,1001)' AS path, 'ROOT' AS creator FROM supplier UNION ALL SELECT s_suppkey, '(0040,A730)[0].(0009,1001)', 'ITEM' || s_suppkey FROM supplier UNION ALL SELECT s_suppkey, '(0040,A730)[1].(0009,1001)', NULL FROM supplier)""")
+def private_in_items(spark, sf_dir):
+    """The creator of a private element is that of its own item, not the root's or another item's of the same block."""
+    row = lambda path, vr, value: F.struct(F.lit(path).alias("path"), F.lit(E.tag_at(path)).cast("long").alias("tag"), F.lit(vr).alias("vr"), F.array(value).alias("values"))
+    own = F.concat(F.lit("ITEM"), F.col("s_suppkey").cast("string"))
+    each = [row("(0009,0010)", "LO", F.lit("ROOT")), row("(0009,1001)", "LO", F.lit("a")), row("(0040,A730)[0].(0009,0010)", "LO", own), row("(0040,A730)[0].(0009,1001)", "LO", F.lit("b")), row("(0040,A730)[1].(0009,1001)", "LO", F.lit("c"))]
+    elements = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("instance"), F.explode(F.array(*each)).alias("e")).select("instance", "e.*")
+    return E.private_elements(elements).select("instance", "path", "creator")

@@ -25,9 +25,8 @@ class JsonError(ValueError):
 
 
 def _quoted(text: Column) -> Column:
-    """A JSON string; only what JSON must escape is escaped."""
-    escaped = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\\", r"\\\\"), '"', r'\\"'), "\n", r"\\n"), "\t", r"\\t")
-    return F.concat(F.lit('"'), F.regexp_replace(escaped, "\r", r"\\r"), F.lit('"'))
+    """A JSON string; what JSON must escape is escaped, control characters among it. NULL for NULL."""
+    return F.when(text.isNotNull(), F.regexp_replace(F.to_json(F.array(text)), r"^\[|\]$", ""))
 
 
 def _name(value: Column) -> Column:

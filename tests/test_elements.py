@@ -79,3 +79,27 @@ def test_meta_needs_a_syntax(spark):
     row = spark.createDataFrame([("", None, None, " \0")], "media_storage_sop_class_uid string, media_storage_sop_instance_uid string, implementation_class_uid string, transfer_syntax string")
     with pytest.raises(Exception, match="no transfer syntax"):
         M.with_defaults(row, E.F.lit("c"), E.F.lit("i"), "1").collect()
+
+
+def test_a_sequence_replaces_a_sequence(spark):
+    """Items that the new sequence lacks go, at any depth; new elements of an item leave what is beside them."""
+    seq, sub = "(0040,A730)", "(0040,A168)"
+    old = [(1, seq, 1, "SQ", []), (1, f"{seq}[0].(0008,0100)", 1, "SH", ["a"]), (1, f"{seq}[1].(0008,0100)", 1, "SH", ["b"]), (1, f"{seq}[1].{sub}", 1, "SQ", []), (1, f"{seq}[1].{sub}[0].(0008,0100)", 1, "SH", ["c"]), (2, f"{seq}[1].(0008,0100)", 1, "SH", ["d"]), (1, "(0040,A731)", 1, "LO", ["e"])]
+    paths = lambda new: sorted((r.instance, r.path, *r["values"]) for r in E.upsert(spark.createDataFrame(old, E.ELEMENTS), spark.createDataFrame(new, E.ELEMENTS)).collect())
+    assert paths([(1, seq, 1, "SQ", []), (1, f"{seq}[0].(0008,0100)", 1, "SH", ["n"])]) == [(1, seq), (1, f"{seq}[0].(0008,0100)", "n"), (1, "(0040,A731)", "e"), (2, f"{seq}[1].(0008,0100)", "d")]
+    inner = paths([(1, f"{seq}[1].{sub}", 1, "SQ", [])])
+    assert inner == sorted((i, p, *v) for i, p, _, _, v in old if "c" not in v)
+    assert paths([(1, f"{seq}[1].(0008,0100)", 1, "SH", ["n"])]) == sorted((i, p, *(["n"] if v == ["b"] else v)) for i, p, _, _, v in old)
+
+
+def test_private_creators_of_items(spark):
+    item = "(0040,A730)[0]."
+    rows = [(1, "(0009,0010)", "ROOT"), (1, "(0009,1001)", "a"), (1, f"{item}(0009,0010)", "ITEM"), (1, f"{item}(0009,1001)", "b"), (1, "(0040,A730)[1].(0009,1001)", "c"), (2, "(0009,1001)", "d"), (1, f"{item}(0040,A168)[0].(0009,1001)", "e")]
+    frame = spark.createDataFrame([(i, p, E.tag_at(p), "LO", [v]) for i, p, v in rows], E.ELEMENTS)
+    got = sorted((r.instance, r["values"][0], r.creator or "") for r in E.private_elements(frame).collect())
+    assert got == [(1, "a", "ROOT"), (1, "b", "ITEM"), (1, "c", ""), (1, "e", ""), (2, "d", "")]
+
+
+def test_unreadable_data_sets_stay(spark):
+    rows = [*NESTED, (3, None, None, None, None)]
+    assert (3, None, None, None) in [(r.instance, r.path, r.vr, r["values"]) for r in E.apply(spark.createDataFrame(rows, E.ELEMENTS), [E.Operation("remove", "(0010,0010)")]).collect()]

@@ -1,5 +1,6 @@
 """Binary data sets, pixel codecs, JSON and streamed messages: there and back."""
 
+import json
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -195,3 +196,10 @@ def test_query_lines(spark):
 
     lines = spark.createDataFrame([("# no",), ("  # no",), ("",), ("  ",), (" a=b ",), ("c=#",)], "value string")
     assert [r.value for r in parse_query_lines(lines).collect()] == [" a=b ", "c=#"]
+
+
+def test_every_control_character_in_json(spark):
+    rows = [(i, "(0020,4000)", 0x00204000, "LT", [f"a{chr(i)}b"]) for i in range(33)] + [(40, "(0010,0010)", 0x00100010, "PN", ['"q"\\^\x1b=é']), (41, "(0020,4000)", 0x00204000, "LT", ["ü\u2028\U0001f600[]"])]
+    text = tagged_json.to_json(spark.createDataFrame(rows, ELEMENTS), depth=0)
+    assert all(json.loads(r.json) for r in text.collect())
+    assert sorted((r.instance, r.path, r.tag, r.vr, r["values"]) for r in tagged_json.from_json(text).collect()) == rows
