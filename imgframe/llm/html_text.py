@@ -1,17 +1,18 @@
 """Main text of web pages by line-block distribution.
 
-1. Markup is stripped: a page becomes lines, one for each block of text. Elements that never hold the article
-   (scripts, menus, forms, adverts, comments and the like, by tag, role or class) give no line. Where containers
-   begin or end, blank lines are left; the bounds of a marked article leave a whole window of them.
-2. A line weighs as many characters as it has outside links, and ``SURGE`` more within the article that a page marks
-   (``article``, ``main`` or the same by role; of several the heaviest, or a closer one in it). The weights of
-   ``WINDOW`` lines from each line on are summed.
-3. A surge is the first line from which the sum reaches ``SURGE``, without lines of links alone; headings right before
-   it, and short lines with no bound of a container between, belong to it. A dive is the last line before the sum
-   falls to nothing. Text between a surge and its dive is a run and kept whole, short lines too.
-4. Marked lines of the runs are the article; without marks all lines of runs are, and a surge must not be far lighter
-   than the page's heaviest sum, as an advert or a notice is. Other text is dropped, unless nothing surges; then the heaviest run of
-   lines is kept.
+1. Markup is stripped: a page becomes lines, one for each block of text. Where containers begin or end, blank lines are
+   left; the bounds of a marked article leave a whole window of them.
+2. A line weighs as many characters as it has outside links. Where a page marks its article (``article``, ``main`` or
+   the same by role; of several the heaviest, or a closer one in it), lines in it weigh ``MARK`` more, which alone is
+   less than a surge, and all others nothing, as lines of links do elsewhere. Without marks, elements that never hold the article
+   (scripts, menus, forms, adverts, comments and the like, by tag, role or class) give no line; with marks that is so
+   for those within the article. The weights of ``WINDOW`` lines from each line on are summed.
+3. A surge is the first line from which the sum reaches ``SURGE``, without lines of no weight; headings right before it, and short lines with no bound of a container between, belong to it. A
+   dive is the last line before the sum falls to nothing. Text between a surge and its dive is a run and kept whole,
+   short lines too.
+4. The lines of all runs are the article; other text is dropped. So marks say what lines weigh, and surge and dive what
+   is kept. Without marks a surge must not be far lighter than the page's heaviest sum, as an advert or a notice is, and
+   where no sum reaches ``SURGE`` half of the heaviest one does.
 
 A form that holds most of the weight of a page without marks goes round the page and is kept; so is any other
 container that does, if nothing beside it surges. A page is read in one pass, however deep its elements are nested.
@@ -31,6 +32,8 @@ from pyspark.sql import DataFrame
 from .common import steps
 
 WINDOW, SURGE = 3, 80
+#: What a line in a marked article weighs more.
+MARK = 79
 #: So many times lighter than the heaviest sum a surge may be, where no article is marked.
 FAR_LIGHTER = 8
 
@@ -39,6 +42,8 @@ RAW = frozenset("script style textarea title noscript template iframe svg math x
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr output q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr img input".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Elements whose bounds leave no blank line.
+QUIET = HEADINGS | frozenset("p li dt dd tr td th".split())
 #: Start tags that end an open ``p``; and what an open element of the same kind is ended by.
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 ENDS_SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -192,7 +197,7 @@ def page_lines(page: str) -> tuple[list[Line], list[Element]]:
         anchors = 0
         if name in VOID:
             continue
-        quiet = name in ("p", "li", "dt", "dd", "tr", "td", "th") or name in HEADINGS  # leaves no blank line
+        quiet = name in QUIET
         if kind == "<":
             if name in ENDS_P:
                 while stack and stack[-1].name == "p":
@@ -262,18 +267,10 @@ def surges(lines: list[Line], surge: int) -> list[list[Line]]:
     return runs
 
 
-def heaviest_run(lines: list[Line]) -> list[Line]:
-    """The heaviest of the runs of lines between whole windows of places without a line."""
-    runs: list[list[Line]] = []
-    for line in lines:
-        if not runs or line[0] - runs[-1][-1][0] > WINDOW:
-            runs.append([])
-        runs[-1].append(line)
-    return max(runs, key=weight_of, default=[])
-
-
-def weight_of(run: list[Line]) -> int:
-    return sum(x[2] for x in run)
+def unmarked_runs(lines: list[Line]) -> list[list[Line]]:
+    """The runs of lines that surge where no article is marked: to ``SURGE`` and a part of the heaviest sum, or to half of it where none does."""
+    most = max(window_sums(lines), default=0)
+    return surges(lines, max(SURGE, most // FAR_LIGHTER) if most >= SURGE else max(1, (most + 1) // 2))
 
 
 def main_text(page: str | None) -> str:
@@ -314,12 +311,13 @@ def main_text(page: str | None) -> str:
 
     def left(elements: list[Element], weighted: list[Line]) -> list[Line]:
         # Places that what was skipped took, its bounds too, are closed up: an advert is no dive of the text around it.
-        out, closed_up, past, ranges, r = [], 0, -1, sorted((e.first, e.last) for e in elements), 0
+        out, closed_up, past, r = [], 0, -1, 0
+        ranges = sorted((e.first, e.last, 0 if e.name in QUIET else 2) for e in elements)
         for line, s in zip(weighted, skipped(elements), strict=True):
             while r < len(ranges) and ranges[r][1] < line[0]:
-                first, last = ranges[r]
+                first, last, bounds = ranges[r]
                 if last > past:
-                    closed_up += last - max(first, past + 1) + 1 + (2 if first > past else 0)
+                    closed_up += last - max(first, past + 1) + 1 + (bounds if first > past else 0)
                     past = last
                 r += 1
             if not s:
@@ -335,9 +333,9 @@ def main_text(page: str | None) -> str:
         inner = [e for e in mains if best.begin < e.begin and e.end <= best.end and 2 * of(e, total) > of(best, total)]
         best = min([best, *inner], key=lambda e: (of(e, total), e.begin))
         own = held(best)
-        weighted = [(place, text, weight + SURGE * (i in own), heading, i in own) for i, (place, text, weight, heading) in enumerate(lines)]
-        runs = surges([x for x, s in zip(weighted, skip, strict=True) if not s], SURGE)
-        return "\n\n".join(x[1] for run in runs for x in run if x[4])
+        weighted = [(place, text, max(1, weight) + MARK if i in own else 0, heading) for i, (place, text, weight, heading) in enumerate(lines)]
+        runs = surges(left([e for e in gone if best.begin < e.begin and e.end <= best.end], weighted), SURGE)
+        return "\n\n".join(x[1] for run in runs for x in run)
 
     # Hidden text and comments are no part of a page's weight.
     shown = sums(skipped([e for e in gone if e.why in ("hidden", "comment")]))
@@ -345,11 +343,9 @@ def main_text(page: str | None) -> str:
     for kinds in ((), ("name",)):
         narrow = [e for e in gone if not (id(e) in most and (e.name == "form" or e.why in kinds))]
         body = left(narrow, lines)
-        runs = surges(body, max(SURGE, max(window_sums(body), default=0) // FAR_LIGHTER))
-        if runs:
+        if max(window_sums(body), default=0) >= SURGE:
             break
-    runs = runs or [heaviest_run(body)]
-    return "\n\n".join(x[1] for run in runs for x in run)
+    return "\n\n".join(x[1] for run in unmarked_runs(body) for x in run)
 
 
 def extract_main_text(pages: DataFrame, column: str = "html") -> DataFrame:

@@ -109,6 +109,36 @@ def test_line_blocks_alone(spark, monkeypatch):
     assert not any(main_text(without_marks(p)) == a for p, a in zip(pages, with_marks, strict=True))
 
 
+def test_surge_and_dive_decide_the_tables_pages(spark, monkeypatch):
+    """On the pages as they are: all change without surges, or with a surge that nothing reaches; marks are weights and no filter."""
+    pages = [r.html for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()]
+    texts = [main_text(p) for p in pages]
+    with monkeypatch.context() as m:
+        m.setattr(html_text, "surges", lambda lines, surge: [lines])
+        assert all(main_text(p) != t for p, t in zip(pages, texts, strict=True))
+    with monkeypatch.context() as m:
+        m.setattr(html_text, "SURGE", 1_000_000)
+        assert not any(main_text(p) for p in pages)
+    assert html_text.MARK < html_text.SURGE
+    with monkeypatch.context() as m:
+        m.setattr(html_text, "MARK", 0)
+        assert sum(main_text(p) == t for p, t in zip(pages, texts, strict=True)) > 0.9 * len(pages)  # the text's own weight is enough
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        # In a marked article: adverts, menus and forms are no text, and no dive; what is outside weighs nothing.
+        (f"<div class=ad>{LONG}</div><article><p>one</p><div class=ad>{LONG}</div><p>two</p><ul><li>x<li class=promo>buy<li>y</ul></article><div>{LONG}</div>", "one\n\ntwo\n\nx\n\ny"),
+        (f"<p>{LONG}</p><article><p><a>only a link</a></p></article>", "only a link"),
+        (f"<article><div><div><div><p>far</p></div></div></div><div><div><div><p>apart</p></div></div></div></article><p>{LONG}</p>", "far\n\napart"),
+        (f"<main><p>around</p><article><h2>T</h2><p>{LONG}</p></article><p>after</p></main>", f"T\n\n{LONG}"),
+    ],
+)
+def test_marks_are_weights(page, text):
+    assert main_text(page) == text
+
+
 @pytest.mark.parametrize("tag", ["article", "div", "section class=ad", "li", "p", "td", "form", "header", "main id=x", "ul><li"])
 def test_deep_nesting_takes_no_time(tag):
     """50,000 open elements, with end tags that match none of them, in under a second each; the text is still found."""
