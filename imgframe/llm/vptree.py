@@ -32,7 +32,7 @@ LEAF = 256
 SHARD_ROWS = 16_384
 #: Vectors that choose the vantage points of shards, at most; every vector is put in a shard.
 SAMPLE_ROWS = 8_192
-#: Shards whose centres are broadcast, at most (one vector each); beyond, every query goes to every shard of its length.
+#: Shards whose centres are broadcast, at most (one vector each); of more, so many at a time meet the queries in blocks.
 BROADCAST_SHARDS = 50_000
 
 ROUNDING = 16 * np.finfo(float).eps
@@ -175,17 +175,33 @@ def runs(*columns: np.ndarray) -> Iterator[tuple[int, int]]:
     return ((a, b) for a, b in zip(cuts, cuts[1:], strict=False) if b > a)
 
 
-def _split(vectors: np.ndarray, leaf_rows: float, random, nodes: list) -> int:
-    """A tree of vantage points and distances over a sample: (vantage, distance, left, right), or (leaf,)."""
-    place = len(nodes)
-    nodes.append((place,))
-    if len(vectors) > max(leaf_rows, 1):
-        vantage = vectors[random.integers(len(vectors))]
-        far = np.sqrt(((vectors - vantage) ** 2).sum(axis=1))
-        middle = np.median(far)
-        if (far < middle).any():
-            nodes[place] = (vantage, middle, _split(vectors[far < middle], leaf_rows, random, nodes), _split(vectors[far >= middle], leaf_rows, random, nodes))
-    return place
+def _split(vectors: np.ndarray, leaf_rows: float, random) -> list[tuple]:
+    """A tree of vantage points and distances over a sample: nodes (vantage, distance, left, right), or (leaf,).
+
+    A side that would hold under a sixteenth of the rows, as where all are about as far from each other, is not split
+    off: such rows stay one leaf, which is split by id. So the tree's depth is of the order of log n for any rows.
+    """
+    nodes: list[tuple] = [(0,)]
+    stack = [(0, np.arange(len(vectors)))]
+    while stack:
+        place, held = stack.pop()
+        if len(held) <= max(leaf_rows, 1):
+            continue
+        vantage = vectors[held[random.integers(len(held))]]
+        far = np.sqrt(((vectors[held] - vantage) ** 2).sum(axis=1))
+        middle = np.partition(far, len(far) // 2)[len(far) // 2]
+        near = far < middle
+        if 16 * near.sum() < len(held):
+            beyond = far[far > middle]
+            middle = beyond.min() if 16 * len(beyond) >= len(held) else None
+            near = far < middle if middle is not None else near
+        if middle is None:
+            continue
+        left, right = len(nodes), len(nodes) + 1
+        nodes += [(left,), (right,)]
+        nodes[place] = (vantage, middle, left, right)
+        stack += [(left, held[near]), (right, held[~near])]
+    return nodes
 
 
 def deal(rows: DataFrame, shard_rows: int = SHARD_ROWS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -201,7 +217,7 @@ def deal(rows: DataFrame, shard_rows: int = SHARD_ROWS, sample_rows: int = SAMPL
         groups.setdefault((r["length"], int(sizes_of(vector[None])[0])), []).append(vector)
     trees: dict[tuple[int, int], list] = {}
     for key, held in groups.items():
-        _split(scaled(np.array(held))[0], share, np.random.default_rng(key[0]), trees.setdefault(key, []))
+        trees[key] = _split(scaled(np.array(held))[0], share, np.random.default_rng(key[0]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -278,37 +294,80 @@ def search_trees(trees: DataFrame, queries: DataFrame, k: int, factor: float, bl
 
 
 def other_shards(queries: DataFrame, trees: DataFrame, factor: float) -> DataFrame:
-    """``queries`` (own shard, vec_id, vector, floor) once for each other shard of their length that may hold a score of ``floor`` or more."""
-    if trees.count() > BROADCAST_SHARDS:
-        every = trees.select(*[F.col(c).alias(f"to_{c}") for c in SHARD])
-        same = queries.join(every, queries["length"] == every["to_length"]).where(" OR ".join(f"{c} <> to_{c}" for c in SHARD))
-        return same.select(*[F.col(f"to_{c}").alias(c) for c in SHARD], "vec_id", "vector", "floor")
-    by_length: dict[int, list] = {}
-    for r in trees.select(*SHARD, "exponent", "largest", "centre", "radius").collect():
-        by_length.setdefault(r["length"], []).append(r)
-    known = {n: (np.array([[r[c] for c in SHARD] for r in rows]), *(np.array([r[c] for r in rows]) for c in ("exponent", "largest", "centre", "radius"))) for n, rows in by_length.items()}
-    held = queries.sparkSession.sparkContext.broadcast(known)
+    """``queries`` (own shard, vec_id, vector, floor) once for each other shard of their length that may hold a score of ``floor`` or more.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    The bounds of shards are broadcast if they are few. Else they are dealt to chunks, and queries to blocks, and each
+    block of queries streams past each chunk of bounds, which come first in the sort: no key is shared by more.
+    """
+    n = trees.count()
+    bounds, asked = trees.select(*SHARD, *BOUNDS), queries.select(*SHARD, "vec_id", "vector", "floor")
+    if n <= BROADCAST_SHARDS:
+        known = _known(bounds.collect())
+        held = queries.sparkSession.sparkContext.broadcast(known)
+
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield from _to_shards(batch, held.value, factor)
+
+        return asked.mapInArrow(near, ASKED)
+    chunks, blocks = -(-n // max(BROADCAST_SHARDS, 1)), 2 * queries.sparkSession.sparkContext.defaultParallelism
+    every = lambda size: F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
+    left = asked.withColumns({"chunk": every(chunks), "block": F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")}).withColumns({c: F.lit(None).cast(kind) for c, kind in BOUNDS.items()})
+    right = bounds.withColumns({"chunk": F.pmod(F.xxhash64(*SHARD), F.lit(chunks)).cast("int"), "block": every(blocks), "vec_id": F.lit(None).cast("long"), "vector": F.lit(None).cast("array<double>"), "floor": F.lit(None).cast("double")})
+    rows = left.unionByName(right).repartition("chunk", "block").sortWithinPartitions("chunk", "block", F.col("centre").isNull())
+
+    def past(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        known, here = {}, None
         for batch in batches:
-            mine = np.stack([batch.column(c).to_numpy() for c in SHARD], axis=1)
-            floors = batch.column("floor").to_numpy()
-            for length in np.unique(mine[:, 0]):
-                shards, exponent, largest, centre, radius = held.value[int(length)]
-                at = np.flatnonzero(mine[:, 0] == length)
-                own, exponents = scaled(matrix_of(batch.column("vector").take(pa.array(at)), int(length)))
-                norms = np.einsum("ij,ij->i", own, own)
-                for s in range(len(shards)):
-                    margin = ROUNDING * (int(length) + 2) * (np.sqrt(norms) + largest[s])
-                    away = np.sqrt(((own - centre[s, :-1]) ** 2).sum(axis=1) + centre[s, -1] ** 2)
-                    gap = np.maximum(np.maximum(away - radius[s] * (1 + ROUNDING * length), np.abs(np.sqrt(norms) - largest[s])) - 2 * margin, 0)
-                    floor = np.ldexp(floors[at], -(exponents + exponent[s]))
-                    open_ = ((gap * factor) ** 2 <= norms + largest[s] ** 2 - 2 * floor + margin * (np.sqrt(norms) + largest[s])) & (mine[at] != shards[s]).any(axis=1)
-                    out = batch.select(["vec_id", "vector", "floor"]).take(pa.array(at[open_]))
-                    if out.num_rows:
-                        yield pa.RecordBatch.from_arrays([*(pa.array(np.full(out.num_rows, x, np.int32)) for x in shards[s]), *out.columns], [*SHARD, "vec_id", "vector", "floor"])
-
-    return queries.select(*SHARD, "vec_id", "vector", "floor").mapInArrow(run, "length int, size int, leaf int, part int, vec_id long, vector array<double>, floor double")
+            bound = batch.column("centre").is_valid().to_numpy(zero_copy_only=False)
+            for a, b in runs(bound, batch.column("chunk").to_numpy(), batch.column("block").to_numpy()):
+                part, key = batch.slice(a, b - a), (batch.column("chunk")[a].as_py(), batch.column("block")[a].as_py())
+                if key != here:
+                    held, known, here = [], {}, key
+                if bound[a]:
+                    held += part.select([*SHARD, *BOUNDS]).to_pylist()
+                else:
+                    if held:
+                        known, held = _known(held), []
+                    yield from _to_shards(part.select([*SHARD, "vec_id", "vector", "floor"]), known, factor)
+
+    return rows.mapInArrow(past, ASKED)
+
+
+ASKED = "length int, size int, leaf int, part int, vec_id long, vector array<double>, floor double"
+#: What is known of a shard: its tree's exponent and largest norm, and a centre and radius of all its points.
+BOUNDS = {"exponent": "int", "largest": "double", "centre": "array<double>", "radius": "double"}
+
+
+def _known(rows: list) -> dict[int, tuple]:
+    """By length: the shards' keys, and their bounds as arrays."""
+    by_length: dict[int, list] = {}
+    for r in rows:
+        by_length.setdefault(r["length"], []).append(r)
+    return {n: (np.array([[r[c] for c in SHARD] for r in of]), *(np.array([r[c] for r in of]) for c in BOUNDS)) for n, of in by_length.items()}
+
+
+def _to_shards(batch: pa.RecordBatch, known: dict[int, tuple], factor: float) -> Iterator[pa.RecordBatch]:
+    """Of a batch of queries, for each known shard those that it may hold a better one for."""
+    mine = np.stack([batch.column(c).to_numpy() for c in SHARD], axis=1)
+    floors = batch.column("floor").to_numpy()
+    for length in np.unique(mine[:, 0]).tolist():
+        if length not in known:
+            continue
+        shards, exponent, largest, centre, radius = known[length]
+        at = np.flatnonzero(mine[:, 0] == length)
+        own, exponents = scaled(matrix_of(batch.column("vector").take(pa.array(at)), length))
+        norms = np.einsum("ij,ij->i", own, own)
+        for s in range(len(shards)):
+            margin = ROUNDING * (length + 2) * (np.sqrt(norms) + largest[s])
+            away = np.sqrt(((own - centre[s, :-1]) ** 2).sum(axis=1) + centre[s, -1] ** 2)
+            gap = np.maximum(np.maximum(away - radius[s] * (1 + ROUNDING * length), np.abs(np.sqrt(norms) - largest[s])) - 2 * margin, 0)
+            floor = np.ldexp(floors[at], -(exponents + exponent[s]))
+            open_ = ((gap * factor) ** 2 <= norms + largest[s] ** 2 - 2 * floor + margin * (np.sqrt(norms) + largest[s])) & (mine[at] != shards[s]).any(axis=1)
+            out = batch.select(["vec_id", "vector", "floor"]).take(pa.array(at[open_]))
+            if out.num_rows:
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(out.num_rows, x, np.int32)) for x in shards[s]), *out.columns], [*SHARD, "vec_id", "vector", "floor"])
 
 
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20, factor: float = 1.0, shard_rows: int = SHARD_ROWS) -> DataFrame:

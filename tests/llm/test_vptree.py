@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
-from imgframe.llm.vptree import VPTree, build_trees, deal, nearest, other_shards, usable
+from imgframe.llm import vptree
+from imgframe.llm.vptree import VPTree, _split, build_trees, deal, nearest, other_shards, usable
 from pyspark.sql import functions as F
 
 
@@ -110,3 +111,23 @@ def test_pruning_within_and_between_shards(spark):
     queries = dealt.where("vec_id % 40 = 0").withColumn("floor", F.lit(8.0))
     assert dealt.count() == 9600 and trees.count() > 15
     assert other_shards(queries, trees, 1.0).count() < 0.5 * 240 * trees.count()
+
+
+@pytest.mark.parametrize("bounds", [1, 7])
+def test_more_shards_than_are_broadcast(spark, monkeypatch, bounds):
+    """Queries stream past the bounds of a few shards at a time, each in several blocks: the same as brute force."""
+    monkeypatch.setattr(vptree, "BROADCAST_SHARDS", bounds)
+    rng = np.random.default_rng(8)
+    vectors = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(700, 6)) * rng.choice([0.1, 1, 30], size=(700, 1)))] + [(1000 + i, [float(i), 1.0]) for i in range(50)]
+    assert rows_of(nearest(wide_table(spark, vectors), 20, 10, 1.0, 60)) == plain(vectors, 20, 10)
+
+
+def test_all_as_far_from_each_other(spark):
+    """One-hot vectors, copies and a few others: the tree over the sample stays flat, and nothing is lost."""
+    n = 1100
+    hot = np.eye(n)
+    for rows in (hot, np.ones((n, 4)), np.concatenate([np.ones((n, 4)), np.random.default_rng(1).normal(size=(40, 4))])):
+        nodes = _split(rows, 50, np.random.default_rng(1))
+        assert len(nodes) < 200
+    small = [(i, np.eye(60)[i % 60].tolist()) for i in range(600)]
+    assert rows_of(nearest(wide_table(spark, small), 20, 20, 1.0, 40)) == plain(small, 20, 20)
