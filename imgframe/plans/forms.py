@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..operators import dictionary as D
 from ..operators import meta as M
-from ..operators.elements import elements_of, wide
+from ..operators.elements import Operation, elements_of, wide
+from ..operators.store import ElementStore
 from ..sources import codec, tagged_json
+from ..sources.files import new_folder
 from .registry import query, table
 from .updates import _orders, _texts
 
@@ -143,3 +145,12 @@ def decode_wanted(spark, sf_dir):
     elements = elements_of(rows, "o_orderkey", {"o_orderstatus": (0x00080060, "CS"), "o_orderpriority": (0x00100010, "LO"), "long": (0x00104000, "LT")})
     back = codec.decode_datasets(codec.encode_datasets(elements), "instance", "data", until=0x00104000)
     return wide(back, {"status": "(0008,0060)", "priority": "(0010,0010)"})
+
+
+@query(f"""WITH e AS ({ELEMENTS_SQL}) SELECT instance, path, vr, CASE WHEN path = '(0008,0060)' AND o_orderstatus = 'P' THEN 'XX' ELSE text END AS text FROM e JOIN orders ON o_orderkey = instance WHERE NOT (o_orderstatus = 'P' AND starts_with(path, '(0040,A730)'))""")
+def ops_stored(spark, sf_dir):
+    """Operations on the orders in progress, in a stored table of all: their buckets are written anew, and the table is read back."""
+    store = ElementStore.create(_orders(spark, sf_dir), new_folder(spark, "elements"), 16)
+    progress = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("instance"))
+    store.change([Operation("set", "(0008,0060)", "XX"), Operation("remove", "(0040,A730)")], progress)
+    return _texts(store.elements())

@@ -15,7 +15,7 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import tags
@@ -549,7 +549,9 @@ def encode_datasets(elements: DataFrame, explicit: bool = True, big: bool = Fals
     What can't be encoded is an ``EncodeError``.
     """
     form = (syntax != IMPLICIT, syntax == BIG) if syntax else (explicit, big)
-    rows = elements.select("instance", "path", "tag", "vr", "values").repartition("instance").sortWithinPartitions("instance", sort_key(F.col("path")))
+    rows = elements.select("instance", "path", "tag", "vr", "values")
+    # A window and no repartition(): what is dealt by instance already is not dealt again.
+    rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy("instance").orderBy(sort_key(F.col("path")))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, writer = None, None
