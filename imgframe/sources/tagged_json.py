@@ -7,12 +7,12 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tags
-from ..operators.elements import ELEMENTS, none
-from .codec import BYTES, PIXEL_DATA, VRS, element_batch
+from ..operators.elements import ELEMENTS
+from .codec import BYTES, PIXEL_DATA, VRS, element_batch, sort_key
 
 INTEGERS = ("SL", "SS", "UL", "US", "SV", "UV")
 FLOATS = ("FL", "FD")
@@ -50,44 +50,72 @@ def encode_value(value: Column, vr: Column) -> Column:
     return F.when(vr.isin(*INTEGERS), whole).when(vr.isin(*FLOATS), real).when(vr == "PN", _name(value)).when(vr == "AT", _quoted(F.regexp_replace(value, "[(),]", ""))).otherwise(_quoted(value))
 
 
-def encode_element(vr: Column, values: Column, items: Column | None = None) -> Column:
-    """``{"vr":…,"Value":[…]}``, ``{"vr":…,"InlineBinary":…}`` of bytes; only vr for an empty value. items: the objects of a sequence."""
+def encode_element(vr: Column, values: Column) -> Column:
+    """``{"vr":…,"Value":[…]}``, ``{"vr":…,"InlineBinary":…}`` of bytes; only vr for an empty value."""
     head = F.concat(F.lit('{"vr":"'), vr, F.lit('"'))
     inline = F.concat(head, F.lit(',"InlineBinary":"'), F.base64(F.unhex(F.array_join(values, ""))), F.lit('"}'))
-    listed = lambda texts: F.concat(head, F.lit(',"Value":['), texts, F.lit("]}"))
-    plain = F.when(F.size(values) == 0, F.concat(head, F.lit("}"))).when(vr.isin(*sorted(BYTES)), inline).otherwise(listed(F.array_join(F.transform(values, lambda v: encode_value(v, vr)), ",")))
-    return plain if items is None else F.when(items.isNotNull(), listed(items)).otherwise(plain)
+    listed = F.concat(head, F.lit(',"Value":['), F.array_join(F.transform(values, lambda v: encode_value(v, vr)), ","), F.lit("]}"))
+    return F.when(F.size(values) == 0, F.concat(head, F.lit("}"))).when(vr.isin(*sorted(BYTES)), inline).otherwise(listed)
+
+
+def _open(path: Column, is_sequence: Column) -> Column:
+    """The sequences and items that stand open after an element: those of its path, and itself if it is a sequence."""
+    inside = F.regexp_extract_all(path, F.lit(r"(\([0-9A-F,]+\)(?=\[)|\[[0-9]+\])"))
+    return F.when(path.contains("["), inside).otherwise(F.array().cast("array<string>")) if is_sequence is None else F.concat(_open(path, None), F.when(is_sequence, F.array(F.element_at(F.split(path, r"\."), -1))).otherwise(F.array().cast("array<string>")))
+
+
+def _closed(held: Column, kept: Column) -> Column:
+    """The text that closes all that is open but the first ``kept``: items, and sequences with their list if they have one."""
+    ends = F.transform(held, lambda x, i: F.when(x.startswith("["), "}").when(i == F.size(held) - 1, "}").otherwise("]}"))
+    return F.array_join(F.reverse(F.slice(ends, kept + 1, F.greatest(F.size(held) - kept, F.lit(0)))), "")
+
+
+def _opened(wanted: Column, held: Column, kept: Column) -> Column:
+    """The text that opens sequences and items after the first ``kept``; items that have no element are empty objects."""
+    number = lambda x: F.regexp_extract(x, r"([0-9]+)", 1).cast("int")
+
+    def step(x: Column, i: Column) -> Column:
+        before = F.when((i == kept) & (F.size(held) > kept), number(F.get(held, kept)))  # of the item that has just been closed
+        listed = F.when((i == kept) & (F.size(held) == kept), ',"Value":[').otherwise("")  # the first item of an open sequence
+        item = F.when(before.isNotNull(), F.concat(F.repeat(F.lit(",{}"), number(x) - before - 1), F.lit(",{"))).otherwise(F.concat(listed, F.repeat(F.lit("{},"), number(x)), F.lit("{")))
+        sequence = F.concat(F.when(i == kept, ",").otherwise(""), F.lit('"'), F.translate(x, "(),", ""), F.lit('":{"vr":"SQ","Value":['))
+        return F.when(x.startswith("["), item).otherwise(sequence)
+
+    return F.array_join(F.slice(F.transform(wanted, step), kept + 1, F.greatest(F.size(wanted) - kept, F.lit(0))), "")
 
 
 def to_json(elements: DataFrame, depth: int | None = None) -> DataFrame:
     """(instance, json): the elements of each instance in the order of their tags, those of items within their sequences.
 
-    From the deepest level up, an item's elements meet in one row, then a sequence's items, then an instance's
-    elements. ``depth``: how many sequences lie within each other, if it is known; else it is looked up. Encapsulated
-    pixel data is left out; an item without elements is an empty object.
+    Elements are put in the order of their paths, once. Each gives its own text, after what closes and opens between the
+    element before it and itself; these texts joined are the object. ``depth`` 0 says that no sequence has items.
+    Encapsulated pixel data is left out, and rows without a path; an item without elements is an empty object.
     """
-    place = F.size(F.split("path", r"\.")) - 1
-    if depth is None:
-        depth = elements.agg(F.max(place)).first()[0] or 0
-    rows = elements.where(~((F.col("tag") == PIXEL_DATA) & (F.size("values") > 1)))
-    nested = None
-    for level in range(depth, -1, -1):
-        here = rows.where(place == level).select("instance", "path", "vr", "values") if depth else rows.select("instance", "path", "vr", "values")
-        if nested is not None:
-            here = here.join(nested, ["instance", "path"], "full").withColumns({"vr": F.coalesce("vr", F.lit("SQ")), "values": F.coalesce("values", none())})
-        items = F.col("items") if nested is not None else None
-        step = F.element_at(F.split("path", r"\."), -1)
-        entry = F.struct(F.regexp_replace(step, "[(),]", "").alias("k"), encode_element(F.col("vr"), F.col("values"), items).alias("v"))
-        entries = F.transform(F.array_sort(F.collect_list(entry)), lambda e: F.concat(F.lit('"'), e.k, F.lit('":'), e.v))
-        text = F.concat(F.lit("{"), F.array_join(entries, ","), F.lit("}")).alias("json")
-        if not level:
-            return here.groupBy("instance").agg(text)
-        item = F.regexp_extract("path", r"^(.*)\.[^.]*$", 1)
-        objects = here.withColumn("item", item).groupBy("instance", "item").agg(text)
-        number = F.regexp_extract("item", r"\[(\d+)\]$", 1).cast("int")
-        sequence = objects.select("instance", F.regexp_replace("item", r"\[\d+\]$", "").alias("path"), number.alias("n"), "json")
-        held = sequence.groupBy("instance", "path").agg(F.map_from_entries(F.collect_list(F.struct("n", "json"))).alias("o"), F.max("n").alias("last"))
-        nested = held.select("instance", "path", F.array_join(F.transform(F.sequence(F.lit(0), "last"), lambda n: F.coalesce(F.try_element_at("o", n), F.lit("{}"))), ",").alias("items"))
+    rows = elements.where(~((F.col("tag") == PIXEL_DATA) & (F.size("values") > 1)) & F.col("path").isNotNull()).select("instance", "path", "vr", "values")
+    flat, path = depth == 0, F.col("path")
+    ordered = Window.partitionBy("instance").orderBy(path if flat else sort_key(path))
+    key = F.translate(F.element_at(F.split(path, r"\."), -1), "(),", "")
+    whole = F.concat(F.lit('"'), key, F.lit('":'), encode_element(F.col("vr"), F.col("values")))
+    first = F.row_number().over(ordered)
+    if flat:
+        rows = rows.select("instance", first.alias("n"), whole.alias("text"))
+        return rows.groupBy("instance").agg(F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), ","), F.lit("}")).alias("json"))
+    before = F.lag("path").over(ordered)
+    rows = rows.withColumns({"n": first, "before": before, "before_vr": F.lag("vr").over(ordered), "after": F.lead("path").over(ordered)})
+    is_sequence = (F.col("vr") == "SQ") | F.coalesce(F.startswith("after", F.concat(path, F.lit("["))), F.lit(False))
+    was_sequence = (F.col("before_vr") == "SQ") | F.startswith(path, F.concat(F.col("before"), F.lit("[")))
+    nested = path.contains("[") | F.coalesce(F.col("before").contains("[") | was_sequence, F.lit(False))
+    rows = rows.withColumns({"held": F.when(nested & F.col("before").isNotNull(), _open(F.col("before"), was_sequence)).when(nested, F.array().cast("array<string>")), "wanted": F.when(nested, _open(path, None)), "is_sequence": is_sequence})
+    same = F.array_position(F.zip_with("held", "wanted", lambda a, b: F.coalesce(a == b, F.lit(False))), False)
+    rows = rows.withColumn("kept", F.when(same > 0, same - 1).otherwise(F.least(F.size("held"), F.size("wanted"))).cast("int"))
+    between = F.when(~nested, F.when(F.col("n") == 1, "").otherwise(",")).otherwise(
+        F.concat(_closed(F.col("held"), F.col("kept")), F.when(F.col("n") == 1, F.regexp_replace(_opened(F.col("wanted"), F.col("held"), F.col("kept")), "^,", "")).otherwise(_opened(F.col("wanted"), F.col("held"), F.col("kept"))), F.when((F.size("wanted") == F.col("kept")) & (F.col("n") > 1), ",").otherwise(""))
+    )
+    head = F.concat(F.lit('"'), key, F.lit('":{"vr":"'), F.col("vr"), F.lit('"'))
+    last = F.when(F.col("after").isNull(), F.when(is_sequence | path.contains("["), _closed(_open(path, is_sequence), F.lit(0))).otherwise(""))
+    rows = rows.select("instance", "n", F.concat(between, F.when(F.col("is_sequence"), head).otherwise(whole), F.coalesce(last, F.lit(""))).alias("text"))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"])
+    return rows.groupBy("instance").agg(F.concat(F.lit("{"), F.array_join(texts, ""), F.lit("}")).alias("json"))
 
 
 #: The groups of a name, and the fields of an element.

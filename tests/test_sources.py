@@ -1,6 +1,7 @@
 """Binary data sets, pixel codecs, JSON and streamed messages: there and back."""
 
 import json
+import random
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -203,3 +204,28 @@ def test_every_control_character_in_json(spark):
     text = tagged_json.to_json(spark.createDataFrame(rows, ELEMENTS), depth=0)
     assert all(json.loads(r.json) for r in text.collect())
     assert sorted((r.instance, r.path, r.tag, r.vr, r["values"]) for r in tagged_json.from_json(text).collect()) == rows
+
+
+def nested_object(rng, depth=0):
+    """A random tagged object with sequences in sequences, empty items and empty sequences; no empty items at the end."""
+    out = {}
+    for tag in sorted(rng.sample(range(12), rng.randrange(4))):
+        items = [nested_object(rng, depth + 1) for _ in range(rng.choice([0, 1, 2, 12]))] if depth < 3 and rng.random() < 0.5 else None
+        while items and not items[-1]:
+            items.pop()
+        out[f"0010{tag:04X}"] = {"vr": "LO", "Value": [rng.choice(["a", '"', "b\\"])]} if items is None else {"vr": "SQ"} | ({"Value": items} if items else {})
+    return out
+
+
+def test_nested_json_in_any_order_of_rows(spark):
+    """Elements in any order, and sequences of which only items have rows, give the text that the object has."""
+    rng = random.Random(3)
+    objects = [nested_object(rng) for _ in range(300)]
+    rows = []
+    for i, o in enumerate(objects):
+        found = [(i, p, t, vr, v) for p, t, vr, v, _ in tagged_json.read_object(o)]
+        rows += [e for e in found if not (e[3] == "SQ" and any(x[1].startswith(e[1] + "[") for x in found) and rng.random() < 0.3)]
+    rng.shuffle(rows)
+    text = tagged_json.to_json(spark.createDataFrame([*rows, (1000, None, None, None, None)], ELEMENTS))
+    assert {r.instance: r.json for r in text.collect()} == {i: json.dumps(o, separators=(",", ":")) for i, o in enumerate(objects) if o}
+    assert text._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
