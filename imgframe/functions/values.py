@@ -93,6 +93,28 @@ def number_bytes(values: Column, width: int) -> Column:
     return F.unhex(F.array_join(F.transform(values, lambda v: turned(digits(v))), ""))
 
 
+def _float_bits(x: Column, width: int) -> Column:
+    """The bits of a number as a whole number: sign, exponent and fraction, worked out without rounding."""
+    bias, digits = (127, 23) if width == 4 else (1023, 52)
+    size = F.abs(x)
+    guess = F.floor(F.log2(size)).cast("int")
+    power = lambda n: F.pow(F.lit(2.0), n)
+    exponent = F.when(size < power(guess), guess - 1).when(size / 2 >= power(guess), guess + 1).otherwise(guess)
+    small = (size * 2.0 ** ((bias + digits - 1) // 2) * 2.0 ** (bias + digits - 1 - (bias + digits - 1) // 2)).cast("long")
+    normal = let(exponent, lambda e: F.when(e >= 1 - bias, (e + bias).cast("long") * (1 << digits) + ((size / power(e) - 1) * 2.0**digits).cast("long")))
+    most = ((1 << (8 * width - 1 - digits)) - 1) << digits
+    bits = F.when(size == 0, 0).when(size == float("inf"), most).when(size < 2.0 ** (1 - bias), small).otherwise(normal)
+    return F.when(F.isnan(x), most + (1 << (digits - 1))).otherwise(bits + F.when(x.cast("string").startswith("-"), F.lit(1 << (8 * width - 1) if width == 4 else -(1 << 63))).otherwise(0))
+
+
+def float_bytes(values: Column, width: int) -> Column:
+    """Bytes of floating-point numbers of 4 or 8 bytes each, the lowest first; doubles are rounded to 4 bytes first."""
+    if width not in (4, 8):
+        raise ValueError(f"there are no numbers of {width} bytes")
+    exact = (lambda v: v.cast("float").cast("double")) if width == 4 else (lambda v: v.cast("double"))
+    return number_bytes(F.transform(values, lambda v: let(exact(v), lambda x: _float_bits(x, width))), width)
+
+
 def strict(values: Column, held: Column, wanted: str) -> Column:
     """The values if they are held as the kind that is wanted, without any conversion; else NULL."""
     return F.when(held == wanted, values)

@@ -9,24 +9,24 @@ from ..operators.elements import elements_of, wide
 from ..sources import codec, tagged_json
 from .registry import query, table
 
-NATION = {"n_name": (0x00100010, "PN"), "n_nationkey": (0x00200013, "IS"), "n_regionkey": (0x00000900, "US")}
+CUSTOMER = {"c_name": (0x00100010, "PN"), "c_custkey": (0x00200013, "IS"), "c_nationkey": (0x00000900, "US")}
 
 
-def _nation(spark, sf_dir):
-    return elements_of(table(spark, sf_dir, "nation").withColumn("id", F.col("n_nationkey")), "id", NATION)
+def _customers(spark, sf_dir):
+    return elements_of(table(spark, sf_dir, "customer").withColumn("id", F.col("c_custkey")), "id", CUSTOMER)
 
 
-JSON_SQL = """'{"00000900":{"vr":"US","Value":[' || n_regionkey || ']},"00100010":{"vr":"PN","Value":[{"Alphabetic":"' || n_name || '"}]},"00200013":{"vr":"IS","Value":["' || n_nationkey || '"]}}'"""
+JSON_SQL = """'{"00000900":{"vr":"US","Value":[' || c_nationkey || ']},"00100010":{"vr":"PN","Value":[{"Alphabetic":"' || c_name || '"}]},"00200013":{"vr":"IS","Value":["' || c_custkey || '"]}}'"""
 
 
-@query(f"SELECT CAST(n_nationkey AS BIGINT) AS instance, {JSON_SQL} AS json FROM nation")
+@query(f"SELECT c_custkey AS instance, {JSON_SQL} AS json FROM customer")
 def json_encode_tags(spark, sf_dir):
-    return tagged_json.to_json(_nation(spark, sf_dir))
+    return tagged_json.to_json(_customers(spark, sf_dir))
 
 
-@query("SELECT CAST(n_nationkey AS BIGINT) AS instance, n_name AS name, CAST(n_nationkey AS VARCHAR) AS number, CAST(n_regionkey AS VARCHAR) AS status FROM nation")
+@query("SELECT c_custkey AS instance, c_name AS name, CAST(c_custkey AS VARCHAR) AS number, CAST(c_nationkey AS VARCHAR) AS status FROM customer")
 def json_round_trip(spark, sf_dir):
-    back = tagged_json.from_json(tagged_json.to_json(_nation(spark, sf_dir)))
+    back = tagged_json.from_json(tagged_json.to_json(_customers(spark, sf_dir)))
     return wide(back, {"name": "(0010,0010)", "number": "(0020,0013)", "status": "(0000,0900)"})
 
 
@@ -35,9 +35,13 @@ def json_decode_props(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"))
 
 
-@query("SELECT CAST(n_nationkey AS BIGINT) AS instance, '(0010,0010) ' || rpad('PatientName', 24, ' ') || ' PN (1, ' || (strlen(n_name) + 1) // 2 * 2 || ' bytes): \"' || n_name || '\"' AS line FROM nation")
+def _line_sql(head, alias, vr, value):
+    return f"""SELECT c_custkey AS instance, '{head} ' || rpad('{alias}', 24, ' ') || ' {vr} (1, ' || (strlen({value}) + 1) // 2 * 2 || ' bytes): "' || {value} || '"' AS line FROM customer"""
+
+
+@query(" UNION ALL ".join([_line_sql("(0010,0010)", "PatientName", "PN", "c_name"), _line_sql("(0020,0013)", "InstanceNumber", "IS", "c_custkey::VARCHAR"), _line_sql("(0000,0900)", "Status", "US", "c_nationkey::VARCHAR")]))
 def dump_line(spark, sf_dir):
-    found = D.lookup(_nation(spark, sf_dir).where(F.col("path") == "(0010,0010)").withColumnRenamed("vr", "own_vr"), D.dictionary(spark))
+    found = D.lookup(_customers(spark, sf_dir).withColumnRenamed("vr", "own_vr"), D.dictionary(spark))
     return found.select("instance", tagged_json.dump_line(F.col("tag"), F.col("alias"), F.col("own_vr"), F.col("values")).alias("line"))
 
 
@@ -66,8 +70,7 @@ def deflate_round_trip(spark, sf_dir):
     return codec.round_trip(_quantised(spark, sf_dir), "x", "deflate")
 
 
-@query("""SELECT CAST(n_nationkey AS BIGINT) AS instance, place, path FROM nation, (VALUES (0, '(0000,0900)'), (1, '(0010,0010)'), (2, '(0020,0013)')) AS p(place, path)""")
+@query("""SELECT c_custkey AS instance, CAST(place AS INTEGER) AS place, path FROM customer, (VALUES (0, '(0000,0900)'), (1, '(0010,0010)'), (2, '(0020,0013)')) AS p(place, path)""")
 def token_stream(spark, sf_dir):
-    """Elements in the order in which they stand in the encoded data set."""
-    ordered = _nation(spark, sf_dir).groupBy("instance").agg(F.array_sort(F.collect_list("path")).alias("p"))
-    return ordered.select("instance", F.posexplode("p").alias("place", "path"))
+    """Elements in the order in which they stand in the encoded data set, as its headers say."""
+    return codec.token_rows(codec.encode_datasets(_customers(spark, sf_dir)), "instance", "data", values=False).select("instance", "place", "path")

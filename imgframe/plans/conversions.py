@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import person, pixels, temporal, values
 from ..operators import elements as E
 from ..operators import frames as R
+from ..operators import images as I
 from ..operators import meta as M
 from .registry import query, table
 
@@ -95,16 +96,28 @@ def lut_descriptor(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", found.alias("d"), pixels.is_monochrome(kind).alias("monochrome"), pixels.interpretation(kind).alias("known")).select("p_partkey", "d.*", "monochrome", "known")
 
 
-@query("""WITH e AS (SELECT i AS entry, CASE WHEN i >= 128 THEN i - 256 ELSE i END AS x, i AS u FROM range(256) r(i))
-SELECT 'rescale' AS kind, entry, CAST(x * 2 - 5 AS INTEGER) AS value FROM e UNION ALL SELECT 'window', entry, CAST(trunc(CASE WHEN u <= 49.5::DOUBLE - 49.5::DOUBLE THEN 0 WHEN u > 49.5::DOUBLE + 49.5::DOUBLE THEN 65535 ELSE ((u - 49.5::DOUBLE) / 99::DOUBLE + 0.5::DOUBLE) * 65535::DOUBLE END) AS INTEGER) FROM e
-UNION ALL SELECT 'table', entry, CAST(least(greatest(u - 10, 0), 31) * 4 * 2 AS INTEGER) FROM e""")
+@query("""WITH p AS (SELECT p_partkey, p_partkey % 256 AS u, CASE WHEN p_partkey % 256 >= 128 THEN p_partkey % 256 - 256 ELSE p_partkey % 256 END AS x FROM part)
+SELECT p_partkey, CAST(x * 2 - 5 AS INTEGER) AS rescaled, CAST(trunc(CASE WHEN u <= 49.5::DOUBLE - 49.5::DOUBLE THEN 0 WHEN u > 49.5::DOUBLE + 49.5::DOUBLE THEN 65535 ELSE ((u - 49.5::DOUBLE) / 99::DOUBLE + 0.5::DOUBLE) * 65535::DOUBLE END) AS INTEGER) AS windowed,
+CAST(least(greatest(u - 10, 0), 31) * 4 * 2 AS INTEGER) AS looked_up FROM p""")
 def lut_kinds(spark, sf_dir):
-    """Tables of a rescale alone, of a window to 16 bits, and of a table of 7-bit entries."""
-    kinds = {"rescale": R.make_lut(spark, 8, True, (2.0, -5.0)), "window": R.make_lut(spark, 8, window=(50, 100, "LINEAR"), depth=16), "table": R.make_lut(spark, 8, table=(10, [4 * i for i in range(32)], 7))}
-    first, *rest = [t.select(F.lit(k).alias("kind"), "entry", "value") for k, t in kinds.items()]
-    for t in rest:
-        first = first.unionByName(t)
-    return first
+    """Tables of a rescale alone, of a window to 16 bits, and of a table of 7-bit entries, each applied to all parts."""
+    kinds = {"rescaled": R.make_lut(spark, 8, True, (2.0, -5.0)), "windowed": R.make_lut(spark, 8, window=(50, 100, "LINEAR"), depth=16), "looked_up": R.make_lut(spark, 8, table=(10, [4 * i for i in range(32)], 7))}
+    out = table(spark, sf_dir, "part").select("p_partkey")
+    for name, lut in kinds.items():
+        out = R.apply_lut(out, lut, "p_partkey", 8).withColumnRenamed("value", name)
+    return out
+
+
+@query("""WITH p AS (SELECT p_partkey, p_partkey * 7 % 4096 AS v, p_size * 40 AS center, 100 + p_size % 5 * 200 AS width, p_size FROM part)
+SELECT p_partkey, CAST(trunc(CASE WHEN p_size % 2 = 0 THEN least(greatest(2 * v - 100 - 50, 0), 255) * 256 WHEN 2 * v - 100 <= center - 0.5::DOUBLE - (width - 1) / 2::DOUBLE THEN 0 WHEN 2 * v - 100 > center - 0.5::DOUBLE + (width - 1) / 2::DOUBLE THEN 65535
+ELSE ((2 * v - 100 - (center - 0.5::DOUBLE)) / (width - 1)::DOUBLE + 0.5::DOUBLE) * 65535::DOUBLE END) AS INTEGER) AS value FROM p""")
+def lut_composed(spark, sf_dir):
+    """A rescale with a window or a table of each part's own; of many parts with the same, one table is composed."""
+    even = F.col("p_size") % 2 == 0
+    entries = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.concat(F.lpad(F.hex(i), 2, "0"), F.lit("00"))), ""))
+    params = {"bits": F.lit(12), "signed": F.lit(False), "slope": F.lit(2.0), "intercept": F.lit(-100.0), "center": F.when(~even, F.col("p_size") * 40.0), "width": F.when(~even, 100.0 + F.col("p_size") % 5 * 200), "function": F.lit("LINEAR"), "first": F.lit(50), "entry_bits": F.lit(8), "entries": F.when(even, entries)}
+    rows, tables = I.composed_tables(table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") * 7 % 4096).alias("sample"), "p_size").withColumns(params))
+    return rows.join(tables, "table").select("p_partkey", I.table_value(F.col("values"), F.col("sample"), F.col("bits")).alias("value"))
 
 
 @query("""SELECT s_suppkey AS instance, 'meta' AS part, '1.2.840.10008.1.2.1' AS value FROM supplier UNION ALL SELECT s_suppkey, 'data', s_name FROM supplier""")
@@ -116,3 +129,13 @@ def attribute_routing(spark, sf_dir):
     elements = E.elements_of(rows, "s_suppkey", {"s_name": (0x00100010, "PN")})
     found = lambda tag, part: M.attribute(elements, meta, tag).select("instance", F.lit(part).alias("part"), F.get("values", F.lit(0)).alias("value"))
     return found(0x00020010, "meta").unionByName(found(0x00100010, "data")).unionByName(found(0x00020013, "meta"))
+
+
+@query("""WITH v AS (SELECT l_orderkey, l_linenumber, l_partkey, l_discount, l_extendedprice / (l_partkey + 1) AS a, -l_discount AS b FROM lineitem)
+SELECT l_orderkey, l_linenumber, hex(CAST(CAST(CAST(a AS DOUBLE) AS BIT) AS BLOB)) || hex(CAST(CAST(CAST(b AS DOUBLE) AS BIT) AS BLOB)) AS doubles, hex(CAST(CAST(CAST(a AS FLOAT) AS BIT) AS BLOB)) AS single FROM v""")
+def float_value_bytes(spark, sf_dir):
+    """Bytes of floating-point values, shown with the highest byte first."""
+    a, b = F.col("l_extendedprice").cast("double") / (F.col("l_partkey") + 1), -F.col("l_discount").cast("double")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.hex(values.float_bytes(F.array(a, b), 8)).alias("d"), F.hex(values.float_bytes(F.array(a), 4)).alias("s"))
+    turned = lambda h, start, width: F.concat(*[F.substring(h, start + 2 * i, 2) for i in reversed(range(width))])
+    return rows.select("l_orderkey", "l_linenumber", F.concat(turned("d", 1, 8), turned("d", 17, 8)).alias("doubles"), turned("s", 1, 4).alias("single"))

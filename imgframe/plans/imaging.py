@@ -43,9 +43,11 @@ def _lut(spark):
     return R.lut(spark, 8, True, lambda x: P.window_linear(P.rescale(x, 10.0), F.lit(1000.0), F.lit(-100.0), 255.0))
 
 
-@query(LUT_SQL)
+@query(f"WITH t AS ({LUT_SQL}), n AS (SELECT l_partkey & 255 AS entry, count(*) AS n FROM lineitem GROUP BY 1) SELECT t.entry, value, coalesce(n, 0) AS n FROM t LEFT JOIN n ON n.entry = t.entry")
 def lut_build(spark, sf_dir):
-    return _lut(spark)
+    """All entries of a table, and how many samples each of them is for."""
+    used = table(spark, sf_dir, "lineitem").groupBy(P.lut_index(F.col("l_partkey"), 8).cast("long").alias("entry")).agg(F.count("*").alias("n"))
+    return _lut(spark).join(used, "entry", "left").select("entry", "value", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query(f"WITH t AS ({LUT_SQL.replace('-600', '-600')}) SELECT l_orderkey, l_linenumber, value FROM lineitem JOIN t ON entry = l_partkey & 255")

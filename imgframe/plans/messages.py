@@ -126,14 +126,18 @@ def peer_max_pdu(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", N.peer_max_pdu(k % 4 * 60_000).cast("long").alias("n"), refused.alias("refused"))
 
 
-@query(f"""WITH t AS (SELECT * FROM (VALUES {", ".join(map(str, TRANSFER_SYNTAXES))}) AS t(uid, name, codec))
-SELECT a.uid AS source, b.uid AS target, CASE WHEN a.uid = b.uid THEN 'nothing' WHEN a.codec IN ('none', 'dataset') AND b.codec IN ('none', 'dataset') THEN 'header' WHEN a.codec NOT IN ('full', 'read', 'none', 'dataset') THEN 'cannot decode'
-WHEN b.codec IN ('none', 'dataset') THEN 'decode' WHEN b.codec NOT IN ('full', 'write') THEN 'cannot encode' WHEN a.codec IN ('none', 'dataset') THEN 'encode' ELSE 'decode and encode' END AS step FROM t a, t b""")
+@query(f"""WITH t AS (SELECT * FROM (VALUES {", ".join(map(str, TRANSFER_SYNTAXES))}) AS t(uid, name, codec)), u AS (SELECT list(uid ORDER BY uid) AS u FROM t)
+SELECT o_orderkey, a.uid AS source, b.uid AS target, CASE WHEN a.uid = b.uid THEN 'nothing' WHEN a.codec IN ('none', 'dataset') AND b.codec IN ('none', 'dataset') THEN 'header' WHEN a.codec NOT IN ('full', 'read', 'none', 'dataset') THEN 'cannot decode'
+WHEN b.codec IN ('none', 'dataset') THEN 'decode' WHEN b.codec NOT IN ('full', 'write') THEN 'cannot encode' WHEN a.codec IN ('none', 'dataset') THEN 'encode' ELSE 'decode and encode' END AS step
+FROM orders, u JOIN t a ON a.uid = u[o_orderkey % len(u) + 1] JOIN t b ON b.uid = u[o_custkey % len(u) + 1]""")
 def transcode_decision(spark, sf_dir):
-    """Each syntax of the registry with every one that it may be changed to, from a constant array."""
-    targets = F.array(*[F.struct(F.lit(uid).alias("uid"), F.lit(codec).alias("codec")) for uid, _, codec in TRANSFER_SYNTAXES])
-    pairs = transfer_syntaxes(spark).select(F.struct("uid", "codec").alias("a"), F.explode(targets).alias("b"))
-    return pairs.select(F.col("a.uid").alias("source"), F.col("b.uid").alias("target"), N.transcode_step(F.col("a"), F.col("b")).alias("step"))
+    """What it takes to change each order's syntax to that of its customer; the registry has both."""
+    uids = F.array(*[F.lit(uid) for uid in sorted(uid for uid, *_ in TRANSFER_SYNTAXES)])
+    n = len(TRANSFER_SYNTAXES)
+    at = lambda k: F.element_at(uids, (F.col(k) % n + 1).cast("int"))
+    entry = lambda name: F.broadcast(transfer_syntaxes(spark).select(F.col("uid").alias(name), F.struct("uid", "codec").alias(f"{name}_entry")))  # noqa: E731  a fixed registry
+    pairs = table(spark, sf_dir, "orders").select("o_orderkey", at("o_orderkey").alias("source"), at("o_custkey").alias("target")).join(entry("source"), "source").join(entry("target"), "target")
+    return pairs.select("o_orderkey", "source", "target", N.transcode_step(F.col("source_entry"), F.col("target_entry")).alias("step"))
 
 
 @query("""SELECT doc_id, CAST(k AS INTEGER) AS seq, greatest(least(strlen(t) - k * 1012, 1012), 0) AS n, (k + 1) * 1012 >= strlen(t) AS is_last FROM (SELECT doc_id, coalesce(text, '') AS t, unnest(range(0, greatest((strlen(coalesce(text, '')) + 1011) // 1012, 1))) AS k FROM documents)""")

@@ -85,13 +85,13 @@ def image_voi_tables(spark, sf_dir):
     return I.decode_frames(elements, codec.EXPLICIT, "image", I.Options(interpretation="invert")).select("instance", "frame", F.col("values").alias("v"))
 
 
-@query("""WITH s AS (SELECT vec_id, f, list_transform(embedding[f * 12 + 1 : f * 12 + 12], lambda x: floor((x::DOUBLE + 1) * 100)) AS s FROM embeddings, range(2) r(f))
+@query("""WITH s AS (SELECT vec_id, f, list_transform(list_concat(embedding, embedding[1:8])[f * 12 + 1 : f * 12 + 12], lambda x: floor((x::DOUBLE + 1) * 100)) AS s FROM embeddings, range(6) r(f))
 SELECT vec_id AS instance, CAST(f AS BIGINT) AS frame, 'P6' || chr(10) || '2 2' || chr(10) || '255' || chr(10) AS head, list_transform(range(12), lambda i: s[CASE WHEN vec_id % 2 = 0 THEN i ELSE i % 3 * 4 + i // 3 END + 1]) AS v FROM s""")
 def image_colour(spark, sf_dir):
-    """Colour images, by pixel and by plane, in run-length or native form, and as files."""
+    """Colour images of six frames (a vector, and its first components again), by pixel and by plane, and as files."""
     k = F.col("vec_id")
     byte = lambda v: F.lower(F.lpad(F.hex(F.floor((v.cast("double") + 1) * 100).cast("long")), 2, "0"))
-    each = F.array(_row("(0028,0002)", "US", F.lit(3)), _row("(0028,0004)", "CS", F.lit("RGB")), _row("(0028,0006)", "US", k % 2), _row("(0028,0008)", "IS", F.lit(2)), _row("(0028,0010)", "US", F.lit(2)), _row("(0028,0011)", "US", F.lit(2)), _row("(0028,0100)", "US", F.lit(8)), _row("(0028,0101)", "US", F.lit(8)), _row("(0028,0103)", "US", F.lit(0)), _row("(7FE0,0010)", "OB", F.array_join(F.transform(F.slice("embedding", 1, 24), byte), "")))
+    each = F.array(_row("(0028,0002)", "US", F.lit(3)), _row("(0028,0004)", "CS", F.lit("RGB")), _row("(0028,0006)", "US", k % 2), _row("(0028,0008)", "IS", F.lit(6)), _row("(0028,0010)", "US", F.lit(2)), _row("(0028,0011)", "US", F.lit(2)), _row("(0028,0100)", "US", F.lit(8)), _row("(0028,0101)", "US", F.lit(8)), _row("(0028,0103)", "US", F.lit(0)), _row("(7FE0,0010)", "OB", F.array_join(F.transform(F.concat("embedding", F.slice("embedding", 1, 8)), byte), "")))
     elements = table(spark, sf_dir, "embeddings").select(k.alias("instance"), F.explode(each).alias("e")).select("instance", "e.*")
     out = I.decode_frames(elements, codec.EXPLICIT, "image")
     file = I.portable_image(F.col("values"), F.col("rows"), F.col("columns"), F.col("samples"))
@@ -120,12 +120,20 @@ def transcode_round_trip(spark, sf_dir):
     return I.decode_frames(small, "1.2.840.10008.1.2.8.1").select("instance", "frame", F.col("values").alias("v"))
 
 
-@query("""SELECT vec_id AS instance, list_transform(embedding[1:16], lambda x: floor((x::DOUBLE + 1) * 100)) AS v, CAST(NULL AS VARCHAR) AS slope, '8' AS bits FROM embeddings""")
+@query("""SELECT vec_id AS instance, list_transform(embedding, lambda x: floor((x::DOUBLE + 1) * 100)) AS v, CAST(NULL AS VARCHAR) AS slope, '8' AS bits FROM embeddings""")
 def image_import(spark, sf_dir):
     """A portable image in place of the data set's own; what described the old one alone is gone."""
     old = _image(spark, sf_dir, _row("(0028,1053)", "DS", F.lit("2")))
     byte = lambda v: F.lpad(F.hex(F.floor((v.cast("double") + 1) * 100).cast("long")), 2, "0")
-    files = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("instance"), F.concat(F.encode(F.lit("P5\n4 4\n255\n"), "UTF-8"), F.unhex(F.array_join(F.transform(F.slice("embedding", 1, 16), byte), ""))).alias("file"))
+    files = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("instance"), F.concat(F.encode(F.lit("P5\n8 8\n255\n"), "UTF-8"), F.unhex(F.array_join(F.transform("embedding", byte), ""))).alias("file"))
     new = I.insert_images(old, files, "file")
     found = E.wide(new, {"slope": "(0028,1053)", "bits": "(0028,0101)"})
     return I.decode_frames(new, codec.EXPLICIT).join(found, "instance").select("instance", F.col("values").alias("v"), "slope", "bits")
+
+
+@query(f"""WITH s AS (SELECT vec_id, f, {SAMPLES} AS s FROM embeddings, range(4) r(f))
+SELECT vec_id AS instance, CAST(f AS BIGINT) AS frame, hex(encode('P5' || chr(10) || '4 4' || chr(10) || '65535' || chr(10))) || list_aggregate(list_transform(s, lambda v: right('0000' || upper(printf('%x', CAST(CASE WHEN vec_id % 2 = 0 THEN v ELSE 65535 - v END AS BIGINT))), 4)), 'string_agg', '') AS file FROM s""")
+def image_export_deep(spark, sf_dir):
+    """Grey images of 16 bits as files, which have the highest byte first."""
+    out = I.decode_frames(_image(spark, sf_dir), codec.EXPLICIT, "image", I.Options(voi="identity"))
+    return out.select("instance", "frame", F.hex(I.portable_image(F.col("values"), F.col("rows"), F.col("columns"), F.col("samples"), 16)).alias("file"))

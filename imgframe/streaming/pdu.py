@@ -228,31 +228,55 @@ def too_long(data: Column, peer_max: Column) -> Column:
     return F.octet_length(data) - HEADER > limit
 
 
+def whole_messages(data: bytes, max_length: int | None) -> tuple[list[tuple[bool, bytes]], bytes, int]:
+    """The messages that are whole (whether too long, bytes), what is left, and how many bytes the next one takes, as far as is known.
+
+    A message that is too long takes all that there is.
+    """
+    out, at = [], 0
+    while len(data) - at >= HEADER:
+        length = struct.unpack_from(">I", data, at + 2)[0]
+        if max_length is not None and length > max_length:
+            return [*out, (True, data[at:])], b"", HEADER
+        if len(data) - at - HEADER < length:
+            return out, data[at:], HEADER + length
+        out.append((False, data[at : at + HEADER + length]))
+        at += HEADER + length
+    return out, data[at:], HEADER
+
+
 class Wire(StatefulProcessor):
-    """Bytes of one connection as they come: messages go out when they are whole, the rest is held."""
+    """Bytes of one connection as they come: messages go out when they are whole, the rest is held.
+
+    What is held is a list of pieces, beside how many bytes it takes until the next message is whole. So a piece that
+    completes none is put at the list's end, and what came before it is neither read nor written again.
+    """
 
     def __init__(self, max_length: int | None):
         self.max_length = max_length
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("held", "data binary, n long")
+        self.pieces = handle.getListState("pieces", "data binary")
+        self.place = handle.getValueState("place", "n long, held long, needed long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).sort_values("seq")
-        data, n = self.held.get() if self.held.exists() else (b"", 0)
-        data = bytes(data) + b"".join(bytes(d) for d in frame["data"])
-        out, at = [], 0
-        while len(data) - at >= HEADER:
-            length = struct.unpack_from(">I", data, at + 2)[0]
-            if self.max_length is not None and length > self.max_length:
-                out.append((key[0], n, True, data[at:]))
-                n, at = n + 1, len(data)
-                break
-            if len(data) - at - HEADER < length:
-                break
-            out.append((key[0], n, False, data[at : at + HEADER + length]))
-            n, at = n + 1, at + HEADER + length
-        self.held.update((data[at:], n))
+        new = b"".join(bytes(d) for d in frame["data"])
+        n, held, needed = self.place.get() if self.place.exists() else (0, 0, HEADER)
+        out = []
+        if held + len(new) < needed:
+            if new:
+                self.pieces.appendValue((new,))
+            self.place.update((n, held + len(new), needed))
+        else:
+            data = b"".join(bytes(d) for (d,) in self.pieces.get()) + new if held else new
+            found, rest, needed = whole_messages(data, self.max_length)
+            out = [(key[0], n + i, too_long, message) for i, (too_long, message) in enumerate(found)]
+            if rest:
+                self.pieces.put([(rest,)])
+            elif held:
+                self.pieces.clear()
+            self.place.update((n + len(out), len(rest), needed))
         yield pd.DataFrame(out, columns=["connection", "place", "too_long", "data"])
 
     def close(self) -> None:

@@ -1,7 +1,9 @@
 """Column functions against vectors written down by hand."""
 
 import datetime as dt
+import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,3 +116,14 @@ def test_wildcards(spark, X):
     got = [r for (r,) in evaluate(spark, cases, predicate(X, "LO", "a?b"))]
     assert got == [True, True, True, False, None]
     assert [r for (r,) in evaluate(spark, cases, predicate(X, "LO", "a.*"))] == [True, False, False, False, None]
+
+
+def test_bytes_of_floats(spark):
+    """Every kind of number: denormal, largest, not finite, both zeros; and those that are rounded to four bytes."""
+    numbers = [0.0, -0.0, 1.0, -1.5, 0.1, 1e308, 1.7976931348623157e308, 2.2250738585072014e-308, 2.225073858507201e-308, 5e-324, -5e-324, 3.4028234663852886e38, 1e39, 1e-40, 1.401298464324817e-45, 1e-46, float("inf"), float("-inf"), float("nan"), 2.0**-1022, 2.0**1023, 8.0, 1 - 2.0**-53, 1 + 2.0**-52]
+    row = spark.createDataFrame([(numbers,)], "v array<double>").select(values.float_bytes(F.col("v"), 8).alias("d"), values.float_bytes(F.col("v"), 4).alias("s")).first()
+    assert bytes(row.d) == struct.pack(f"<{len(numbers)}d", *numbers)
+    with np.errstate(over="ignore"):
+        assert bytes(row.s) == np.array(numbers).astype("<f4").tobytes()
+    with pytest.raises(ValueError, match="2 bytes"):
+        values.float_bytes(F.col("v"), 2)

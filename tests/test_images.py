@@ -206,3 +206,18 @@ def test_offsets_in_parts(spark, part_rows):
             expected.append((k is None, k, at, total))
             total += n + n % 2 + 8
     assert sorted(got, key=str) == sorted(expected, key=str)
+
+
+def test_tables_composed_by_rows(spark):
+    """Rows with the same parameters share one table; parameters that give none have a problem."""
+    kind = "bits int, signed boolean, slope double, intercept double, center double, width double, function string, first int, entry_bits int, entries binary"
+    window, table = (8, True, 1.0, 0.0, 10.0, 20.0, "LINEAR", None, None, None), (4, False, 1.0, 0.0, None, None, None, 2, 4, bytes([1, 0, 2, 0, 3, 0]))
+    rows = [(1, *window), (2, *window), (3, *table), (4, 0, *window[1:]), (5, 8, True, 1.0, 0.0, *[None] * 6), (6, *[None] * 10), (7, 8, False, 1.0, 0.0, *[None] * 6)]
+    keyed, tables = I.composed_tables(spark.createDataFrame(rows, "id int, " + kind))
+    assert tables.count() == 6
+    got = {r.id: (np.frombuffer(bytes(r["values"]), "<u2").tolist() if r["values"] is not None else None, r.problem) for r in keyed.join(tables, "table").collect()}
+    assert got[1] == got[2] and got[1][0][:2] == [0, 13] and len(got[1][0]) == 256
+    assert got[3][0] == [1, 1, 1, 2, 3, *[3] * 11] and got[7][0] == list(range(256))
+    assert "samples of 0 bits" in got[4][1] and "values from" in got[5][1] and got[6][1]
+    value = keyed.where("id = 7").join(tables, "table").select(I.table_value(F.col("values"), F.lit(300), F.col("bits"))).first()[0]
+    assert value == 300 & 255
