@@ -1,14 +1,15 @@
-"""Protocol messages as bytes: reading them from captured streams and writing them, in Arrow batches.
+"""Protocol messages as bytes: written by column functions, and read from captured streams in Arrow batches.
 
-A message says its own length, and its items theirs, so where one begins depends on all before it; that no column
-function can express. All numbers are big endian.
+A message says its own length, and its items theirs, so in reading, where one begins depends on all before it; that no
+column function can express. All numbers are big endian.
 """
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -156,7 +157,7 @@ def _item(kind: int, data: bytes) -> bytes:
 
 
 def write_message(m: dict) -> bytes:
-    """The bytes of one message from its fields."""
+    """The bytes of one message from its fields, where there is no table of messages: see ``write``."""
     kind = m["kind"]
     if kind == "unknown":
         body, number = m["rest"][1:], m["rest"][0]
@@ -193,33 +194,103 @@ def parse(rows: DataFrame, key: str, data: str, max_length: int | None = None) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, places, out = [], [], []
-            for k, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for place, message in enumerate(read_messages(held or b"", max_length)):
-                    keys.append(k)
-                    places.append(place)
-                    out.append(message)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(places, pa.int32()), *(pa.array([m.get(c) for m in out], t) for c, t in TYPES.items())], [key, "place", *TYPES])
+            by_kind: dict[str, list[tuple[int, int, dict]]] = {}
+            for i in range(batch.num_rows):
+                k, held = batch.column(0)[i].as_py(), batch.column(1)[i].as_py() or b""
+                for place, message in enumerate(read_messages(held, max_length)):
+                    by_kind.setdefault(message["kind"], []).append((k, place, message))
+            for kind, found in by_kind.items():
+                keys, places, messages = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(places, pa.int32()), *_columns(kind, messages)], [key, "place", *TYPES])
 
     return rows.select(F.col(key).cast("long"), F.col(data)).mapInArrow(run, f"`{key}` long, place int, {FIELDS}")
 
 
+def _columns(kind: str, messages: Sequence[dict]) -> list[pa.Array]:
+    """The fields of messages of one kind: those that it lacks are nulls, and data values are flat arrays with offsets."""
+    n = len(messages)
+    held = {c for m in messages for c in m} if kind.startswith("associate") else set(messages[0])
+    out = []
+    for c, t in TYPES.items():
+        if c not in held:
+            out.append(pa.nulls(n, t))
+        elif c == "pdvs":
+            offsets = np.concatenate([[0], np.cumsum([len(m["pdvs"]) for m in messages])]).astype(np.int32)
+            flat = [v for m in messages for v in m["pdvs"]]
+            fields = t.value_type
+            out.append(pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array([v[f.name] for v in flat], f.type) for f in fields], fields=list(fields))))
+        else:
+            out.append(pa.array([m.get(c) for m in messages], t))
+    return out
+
+
 def complete(messages: DataFrame) -> DataFrame:
     """``messages`` with all fields of ``FIELDS``, NULL where they are missing."""
     types = dict(f.split(" ", 1) for f in FIELDS.split(", "))
     return messages.withColumns({c: F.lit(None).cast(t) for c, t in types.items() if c not in messages.columns})
 
 
-def write(messages: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, data): the bytes of each message, from the fields of ``FIELDS`` that it has."""
-    rows = complete(messages).select(*[F.col(k).cast("long").alias(k) for k in keys], *TYPES)
+def _number(n: Column, width: int) -> Column:
+    """Bytes of a whole number, the highest first."""
+    return F.unhex(F.lpad(F.hex(n.cast("long")), 2 * width, "0"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data = [write_message(m) for m in batch.select(list(TYPES)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(data, pa.binary())], [*keys, "data"])
 
-    return rows.mapInArrow(run, ", ".join(f"`{k}` long" for k in keys) + ", data binary")
+def _ascii(text: Column) -> Column:
+    return F.encode(F.coalesce(text, F.lit("")), "US-ASCII")
+
+
+def _joined(pieces: Column) -> Column:
+    """An array of bytes in one; none for NULL."""
+    return F.unhex(F.array_join(F.transform(F.coalesce(pieces, F.array().cast("array<binary>")), F.hex), ""))
+
+
+def _bytes(*values: int) -> Column:
+    return F.lit(bytes(values))
+
+
+def _part(kind: int | Column, data: Column) -> Column:
+    first = _bytes(kind) if isinstance(kind, int) else _number(kind, 1)
+    return F.concat(first, _bytes(0), _number(F.octet_length(data), 2), data)
+
+
+def message_bytes() -> Column:
+    """The bytes of a message from columns with the names of ``FIELDS``, by column functions; an error for a kind that can't be written."""
+    c, zero, nothing = F.col, F.lit(0), F.lit(b"")
+    request = c("kind") == "associate_rq"
+
+    def context(x: Column) -> Column:
+        abstract = F.when(x["abstract_syntax"].isNull(), nothing).otherwise(_part(ABSTRACT, _ascii(x["abstract_syntax"])))
+        head = F.concat(_number(x["id"], 1), _bytes(0), _number(F.coalesce(x["result"], zero), 1), _bytes(0))
+        return _part(F.when(request, PROPOSED).otherwise(ANSWERED), F.concat(head, abstract, _joined(F.transform(x["transfer_syntaxes"], lambda t: _part(TRANSFER, _ascii(t))))))
+
+    named = lambda x, data: F.concat(_number(F.octet_length(_ascii(x["uid"])), 2), _ascii(x["uid"]), data)
+    roles = F.transform("roles", lambda r: _part(ROLE, named(r, F.concat(_number(r["scu"].cast("int"), 1), _number(r["scp"].cast("int"), 1)))))
+    extended = F.transform("extended", lambda e: _part(EXTENDED, named(e, e["data"])))
+    version = F.when(F.coalesce(c("implementation_version"), F.lit("")) == "", nothing).otherwise(_part(IMPLEMENTATION_VERSION, _ascii(c("implementation_version"))))
+    user = F.concat(_part(MAX_LENGTH, _number(F.coalesce("max_length", zero), 4)), _part(IMPLEMENTATION_CLASS, _ascii(c("implementation_class"))), _joined(roles), version, _joined(extended))
+    title = lambda name: _ascii(F.rpad(F.coalesce(c(name), F.lit("")), 16, " "))
+    version_number = F.when(F.coalesce(c("version"), zero) == 0, 1).otherwise(c("version"))
+    association = F.concat(_number(version_number, 2), _bytes(0, 0), title("called"), title("calling"), F.lit(bytes(32)), _part(APPLICATION_CONTEXT, _ascii(c("application_context"))), _joined(F.transform("contexts", context)), _part(USER, user))
+    value = lambda v: F.concat(_number(F.octet_length(v["data"]) + 2, 4), _number(v["context"], 1), _number(v["command"].cast("int") + v["last"].cast("int") * 2, 1), v["data"])
+    bodies = {
+        "associate_rq": association,
+        "associate_ac": association,
+        "associate_rj": F.concat(_bytes(0), *(_number(c(f), 1) for f in ("result", "source", "reason"))),
+        "p_data": _joined(F.transform("pdvs", value)),
+        "abort": F.concat(_bytes(0, 0), _number(c("source"), 1), _number(c("reason"), 1)),
+        "release_rq": _bytes(0, 0, 0, 0),
+        "release_rp": _bytes(0, 0, 0, 0),
+    }
+    whole = lambda first, body: F.concat(first, _bytes(0), _number(F.octet_length(body), 4), body)
+    out = F.when(c("kind") == "unknown", whole(F.substring("rest", 1, 1), F.substring(c("rest"), F.lit(2), F.octet_length("rest"))))
+    for kind, body in bodies.items():
+        out = out.when(c("kind") == kind, whole(_bytes(NUMBERS[kind]), body))
+    return out.otherwise(F.raise_error(F.concat(F.coalesce("kind", F.lit("NULL")), F.lit(" can't be written"))).cast("binary"))
+
+
+def write(messages: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, data): the bytes of each message, from the fields of ``FIELDS`` that it has."""
+    return complete(messages).select(*[F.col(k).cast("long").alias(k) for k in keys], message_bytes().alias("data"))
 
 
 def too_long(data: Column, peer_max: Column) -> Column:

@@ -77,6 +77,27 @@ def test_cut_and_long():
         pdu.write_message({"kind": "error"})
 
 
+def test_written_by_columns(spark):
+    """Column functions give the bytes that one message's fields give, for every kind, with missing fields and long titles."""
+    answer = REQUEST | {"kind": "associate_ac", "called": "a title of more than 16", "roles": None, "implementation_version": None}
+    messages = [VALUES, REQUEST, answer, {"kind": "associate_rq", "contexts": [{"id": 1, "result": None, "abstract_syntax": None, "transfer_syntaxes": None}]}, {"kind": "release_rq"}, {"kind": "release_rp"}, {"kind": "abort", "source": 2, "reason": 1}, {"kind": "associate_rj", "result": 1, "source": 1, "reason": 7}, {"kind": "unknown", "rest": b"\x55xyz"}, {"kind": "p_data", "pdvs": []}]
+    full = [{c: m.get(c) for c in pdu.TYPES} for m in messages]
+    frame = spark.createDataFrame([(i, *m.values()) for i, m in enumerate(full)], "id long, " + pdu.FIELDS)
+    out = pdu.write(frame, ["id"])
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString() and "Arrow" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.id: bytes(r.data) for r in out.collect()} == {i: pdu.write_message(m) for i, m in enumerate(full)}
+    with pytest.raises(Exception, match="can't be written"):
+        pdu.write(spark.createDataFrame([(1, "error")], "id long, kind string"), ["id"]).collect()
+
+
+def test_pieces_of_messages():
+    data = pdu.write_message(VALUES)
+    whole = lambda d, most=None: pdu.whole_messages(d, most)
+    assert whole(b"") == ([], b"", 6) and whole(data[:5]) == ([], data[:5], 6) and whole(data[:6]) == ([], data[:6], len(data))
+    assert whole(data + data[:7]) == ([(False, data)], data[:7], len(data)) and whole(data * 2) == ([(False, data)] * 2, b"", 6)
+    assert whole(data + data, 3) == ([(True, data + data)], b"", 6)
+
+
 def test_registry(spark):
     more = spark.createDataFrame([("1.2.840.10008.1.2.4.50", "JPEG", "read"), ("1.2.840.10008.1.2.5", "RLE", "read"), ("9.9", "new", "stub")], "uid string, name string, codec string")
     held = {r.uid: (r.name, r.codec) for r in D.register(D.transfer_syntaxes(spark), more).collect()}
