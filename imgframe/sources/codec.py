@@ -487,7 +487,7 @@ def read_files(spark: SparkSession, path: str, until: int | None = None, odd: st
 META_FIELDS = "error string, information_version string, " + ", ".join(f"{c} string" for c in meta.COLUMNS.values())
 
 
-def read_meta(data: bytes) -> dict[str, str | None]:
+def read_meta(data: Bytes) -> dict[str, str | None]:
     """The meta table of a file's bytes by column; only its own elements are read, unknown ones are skipped.
 
     A ``DecodeError`` says what is wrong: no magic, no group length first, or no transfer syntax. The version is 0001
@@ -500,7 +500,7 @@ def read_meta(data: bytes) -> dict[str, str | None]:
     tag, _, length, start = reader.header(reader.at)
     if tag != 0x00020000 or length != 4:
         raise DecodeError("no group length")
-    end = start + 4 + struct.unpack_from("<I", data, start)[0]
+    end = start + 4 + struct.unpack("<I", data[start : start + 4])[0]
     found = {tag: data[a:b] for _, _, tag, _, _, a, b in Reader(data[:end], True, preamble="always" if at else "never").tokens()}
     texts = {c: found[t].decode("ascii", "replace").rstrip("\0 ") if t in found else None for t, c in meta.COLUMNS.items()}
     if not texts["transfer_syntax"]:
