@@ -273,7 +273,10 @@ def fold(node: Node) -> Node:
         return node
     parts = [fold(x) if isinstance(x, tuple) else x for x in node[1:]]
     if kind in ("unary", "binary", "item", "list", "filter") and all(x[0] == "constant" for x in parts if isinstance(x, tuple)):
-        return ("constant", expression((kind, *parts))({}))
+        try:
+            return ("constant", expression((kind, *parts))({}))
+        except (TypeError, ValueError, ArithmeticError) as e:
+            raise TemplateError(f"a constant can't be worked out: {e}") from e
     if kind == "out" and parts[0][0] == "constant":
         return ("text", _text(parts[0][1]))
     if kind == "if" and parts[0][0] == "constant":
@@ -292,6 +295,27 @@ def fold(node: Node) -> Node:
 
 # --- closures --------------------------------------------------------------------------------------------------
 
+#: Numbers that a template works out stay below it.
+LARGEST = 1 << 63
+
+
+def _numbers(work: Callable[[Any, Any], Any]) -> Callable[[Any, Any], Any]:
+    """An operator of numbers alone, so that no template formats or repeats a text by it, and of bounded results."""
+
+    def apply(a: Any, b: Any) -> Any:
+        if not (isinstance(a, (int, float)) and isinstance(b, (int, float))):
+            raise TemplateError(f"no numbers: {type(a).__name__} and {type(b).__name__}")
+        try:
+            out = work(a, b)
+        except ArithmeticError as e:
+            raise TemplateError(str(e)) from e
+        if not abs(out) < LARGEST:
+            raise TemplateError("a number is too large")
+        return out
+
+    return apply
+
+
 OPERATORS: dict[str, Callable[[Any, Any], Any]] = {
     "==": lambda a, b: a == b,
     "!=": lambda a, b: a != b,
@@ -301,10 +325,10 @@ OPERATORS: dict[str, Callable[[Any, Any], Any]] = {
     ">=": lambda a, b: a >= b,
     "in": lambda a, b: a in b,
     "+": lambda a, b: a + b,
-    "-": lambda a, b: a - b,
-    "*": lambda a, b: a * b,
-    "/": lambda a, b: a / b,
-    "%": lambda a, b: a % b,
+    "-": _numbers(lambda a, b: a - b),
+    "*": _numbers(lambda a, b: a * b),
+    "/": _numbers(lambda a, b: a / b),
+    "%": _numbers(lambda a, b: a % b),
     "~": lambda a, b: _text(a) + _text(b),
 }
 

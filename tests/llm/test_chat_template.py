@@ -54,6 +54,18 @@ def test_sandbox():
             render("{{ x.__class__ }}", x=x)
 
 
+@pytest.mark.parametrize("source", ["{{ 1 / 0 }}", "{{ 1 % 0 }}", "{{ 'ab' * 1000 }}", "{{ '%9s' % 'x' }}", "{{ 3 * ['a'] }}", "{{ 1 < 'a' }}", "{{ -'a' }}", "{{ 99999999999 * 99999999999 }}"])
+def test_arithmetic_is_of_numbers(source):
+    """Whether it is folded or worked out for each conversation."""
+    with pytest.raises(TemplateError):
+        render(source)
+    with pytest.raises(TemplateError):
+        render("{{ x * 1000 }}{{ y % 'x' }}", x="ab", y="%99s")
+    with pytest.raises(TemplateError):
+        render("{{ 1 / x }}", x=0)
+    assert render("{{ 7 % 4 * 2 - 1 }} {{ x / 4 }}", x=2)[0] == "5 0.5"
+
+
 @pytest.mark.parametrize("part", [1 << 20, 1, 40])
 def test_round_trip_in_parts(spark, monkeypatch, part):
     rows = [(1, 1, "assistant", "b"), (1, 0, "user", "a\\<|end|>"), (1, 0, "user", "a\\<|end|>"), (None, None, None, None), (2, 5, "assistant", None), (3, 1, "assistant", "</s>[INST]\\"), (3, 2, "assistant", "<|turn|>x")]
