@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,8 @@ A_TO_Z, A_TO_Z_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz
 
 #: Bytes of text that one step of a Python task works on; a longer text is a step of its own.
 STEP_BYTES = 4 << 20
+#: Distinct words whose ids a worker remembers; then it forgets all and starts anew. Words of more characters are not kept.
+MEMO_WORDS, MEMO_CHARS = 250_000, 64
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -90,3 +92,23 @@ def ascii_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     kept = np.concatenate([[0], np.cumsum(real)])
     coded = words.filter(pa.array(real)).dictionary_encode()
     return coded.indices.to_numpy(zero_copy_only=False), kept[offsets - offsets[0]], coded.dictionary
+
+
+def joined_ids(ids: list[bytes], codes: np.ndarray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of the words ``codes``, where each word's ids begin and the end); ``ids``: of each distinct word, as bytes."""
+    flat = np.frombuffer(b"".join(ids), kind)
+    lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // flat.itemsize
+    n = lengths[codes]
+    place = np.concatenate([[0], np.cumsum(n)])
+    at = np.repeat((np.cumsum(lengths) - lengths)[codes] - place[:-1], n)
+    at += np.arange(place[-1])
+    return flat[at], place
+
+
+def forget(known: dict[str, bytes], new: Iterable[str]) -> None:
+    """Keeps what a worker remembers of words within its bounds; ``new``: the words that came last."""
+    if len(known) > MEMO_WORDS:
+        known.clear()
+    for word in new:
+        if len(word) > MEMO_CHARS:
+            known.pop(word, None)

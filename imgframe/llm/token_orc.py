@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -21,11 +22,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_words, new_path, steps
+from .common import ascii_words, forget, joined_ids, new_path, steps
 
 END_ID = 1
-#: Bytes of text whose distinct words are encoded together.
-STEP_BYTES = 16 << 20
 
 ORC_OPTIONS = {
     "compression": "zstd",
@@ -40,41 +39,60 @@ ORC_OPTIONS = {
 class WordEncoder:
     """Encodes whole texts by their distinct words, with a BPE file of word ends that lower-cases and drops white space.
 
-    White space separates words wherever it stands, and a letter from sentence marks after it, so the ids of a text
-    are those of its words in order. Distinct words are encoded together: words of ASCII letters, whose ids end with
-    a word end, by the model alone, and all others through the whole tokenizer with ``MARK`` between them.
+    White space separates words wherever it stands, and a letter from marks after it, so the ids of a text are those
+    of its words in order. Distinct words are encoded together and their ids kept for later texts: words of letters
+    alone or marks alone, whose ids end with a word end, by the model alone, and all others through the whole
+    tokenizer with ``MARK`` between them.
     """
 
     MARK = "\x01"
-    BEFORE_SENTENCE_MARKS = (r"([A-Za-z])([,.;:!?]+)(\s|$)", r"\1 \2\3")
+    #: Letters and marks of which words stay whole; the wide ones are tried on the file first. Characters of special tokens and the apostrophe are in neither.
+    WIDE, NARROW = ("A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:;=?@\[-`{}~"), ("A-Za-z", ",.;:!?")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.whole, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.letters.normalizer, self.letters.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+        self.whole = Tokenizer.from_file(path)
+        self.letters = Tokenizer(self.whole.model)  # one model in memory for both
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         suffix = json.loads(self.whole.to_str())["model"]["end_of_word_suffix"]
         vocabulary = self.whole.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         (self.mark,) = self.whole.encode(self.MARK, add_special_tokens=False).ids
+        letters, marks = self.WIDE if self._is_wide() else self.NARROW
+        self.before_marks = (f"([{letters}])([{marks}]+)(\\s|$)", r"\1 \2\3")
+        self.alone = f"^[{letters}]+$|^[{marks}]+$"
+        self.known: dict[str, bytes] = {}
+
+    def _is_wide(self) -> bool:
+        """Whether the file takes words of wide letters and of wide marks as a whole, and parts the two."""
+        letters, marks = (re.findall(f"[{kind}]", "".join(map(chr, range(256)))) for kind in self.WIDE)
+        words = [*(f"a{c}b" for c in letters), *(m + n for m in marks for n in marks)]
+        parted = [(f"a{m}", f"a {m}") for m in marks]
+        ids = lambda tokenizer, texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return ids(self.whole, words) == ids(self.letters, [w.lower() for w in words]) and ids(self.whole, [x for x, _ in parted]) == ids(self.whole, [y for _, y in parted])
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's ids begin and the end)."""
-        texts = pc.replace_substring_regex(pc.fill_null(texts, "").cast(pa.large_string()), *self.BEFORE_SENTENCE_MARKS)
-        codes, ends, words = ascii_words(texts)
-        letters = pc.match_substring_regex(words, "^[A-Za-z]+$").to_numpy(zero_copy_only=False)
-        parts = [self._of_letters(pc.ascii_lower(words.filter(pa.array(letters))).to_pylist()), self._of_any(words.filter(pa.array(~letters)).to_pylist())]
-        lengths = np.zeros(len(words), np.int64)
-        lengths[letters], lengths[~letters] = parts[0][1], parts[1][1]
-        first = np.zeros(len(words), np.int64)
-        first[letters] = np.cumsum(parts[0][1]) - parts[0][1]
-        first[~letters] = len(parts[0][0]) + np.cumsum(parts[1][1]) - parts[1][1]
-        flat = np.concatenate([parts[0][0], parts[1][0]])
-        n = lengths[codes]
-        place = np.concatenate([[0], np.cumsum(n)])
-        return flat[np.repeat(first[codes] - place[:-1], n) + np.arange(place[-1])], place[ends]
+        codes, ends, words = ascii_words(pc.replace_substring_regex(pc.fill_null(texts, "").cast(pa.large_string()), *self.before_marks))
+        flat, place = joined_ids(self._of_words(words), codes, np.uint32)
+        return flat, place[ends]
+
+    def _of_words(self, words: pa.Array) -> list[bytes]:
+        """The ids of each word; those of new words are worked out and kept."""
+        alone = pc.match_substring_regex(words, self.alone)
+        keys = pc.if_else(alone, pc.utf8_lower(words), words).to_numpy(zero_copy_only=False).tolist()
+        new = {w: a for w, a in zip(keys, alone.to_numpy(zero_copy_only=False).tolist(), strict=True) if w not in self.known}
+        for kind, encode in ((True, self._of_letters), (False, self._of_any)):
+            some = [w for w, a in new.items() if a is kind]
+            flat, lengths = encode(some)
+            data, ends = flat.astype(np.uint32).tobytes(), (4 * np.cumsum(lengths)).tolist()
+            self.known.update(zip(some, map(data.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+        out = [self.known[w] for w in keys]
+        forget(self.known, new)
+        return out
 
     def _of_letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words, number of ids of each)."""
@@ -100,8 +118,11 @@ class WordEncoder:
 
     @staticmethod
     def _joined(tokenizer, words: list[str], by: str) -> np.ndarray:
-        groups = [by.join(words[i : i + 2000]) for i in range(0, len(words), 2000)]
-        return np.concatenate([np.zeros(0, np.uint32), *(np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(groups, add_special_tokens=False))])
+        parts = [np.zeros(0, np.uint32)]
+        for i in range(0, len(words), 2000):  # one at a time, as what the library returns is many times the size of the ids
+            (encoding,) = tokenizer.encode_batch_fast([by.join(words[i : i + 2000])], add_special_tokens=False)
+            parts.append(np.array(encoding.ids, np.uint32))
+        return np.concatenate(parts)
 
 
 @functools.cache
@@ -109,6 +130,19 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def token_batches(batches: Iterator[pa.RecordBatch], encode: WordEncoder, file: int, end_id: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, file, local_start, ids) of the (doc_id, text) of one file, a bounded step of text at a time."""
+    start = 0
+    for batch in steps(batches, "text"):
+        flat, place = encode(batch.column("text"))
+        n = np.diff(place) + 1
+        ends = np.cumsum(n)
+        ids = np.insert(flat, place[1:], end_id).astype(np.int32)
+        rows = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.full(len(n), file, np.int32)), pa.array(start + ends - n), rows], ["doc_id", "file", "local_start", "ids"])
+        start += int(ends[-1])
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
     """Writes (doc_id, file, local_start, ids) as ORC under ``path``, in ascending doc_id order over the files.
 
@@ -117,15 +151,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, file, start = word_encoder(tokenizer), TaskContext.get().partitionId(), 0
-        for batch in steps(batches, "text", STEP_BYTES):
-            flat, place = encode(batch.column("text"))
-            n = np.diff(place) + 1
-            ends = np.cumsum(n)
-            ids = np.insert(flat, place[1:], end_id).astype(np.int32)
-            rows = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.full(len(n), file, np.int32)), pa.array(start + ends - n), rows], ["doc_id", "file", "local_start", "ids"])
-            start += int(ends[-1])
+        return token_batches(batches, word_encoder(tokenizer), TaskContext.get().partitionId(), end_id)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     dealt = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))

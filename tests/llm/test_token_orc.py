@@ -1,13 +1,19 @@
+import os
+import subprocess
+import sys
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from imgframe.llm.queries import op4_token_orc
-from imgframe.llm.token_orc import encode_to_orc, lookup_tokens, read_tokens, token_digests, write_tokens
+from imgframe.llm.token_orc import WordEncoder, encode_to_orc, lookup_tokens, read_tokens, token_digests, word_encoder, write_tokens
 from tokenizers import Tokenizer
 
-from tests.conftest import DATA
+from tests.conftest import DATA, REPO
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -75,3 +81,41 @@ def test_files(spark, tmp_path):
     assert sorted(r.doc_id for r in found.collect()) == [77, 31_000]
     scan = found._jdf.queryExecution().executedPlan().collectLeaves().head()
     assert scan.metrics().apply("numOutputRows").value() < 60_000 / 2
+
+
+@settings(max_examples=300, deadline=None)
+@given(texts=st.lists(st.text(alphabet=st.sampled_from("aZsÉßİµÿ×0'$%,.#_`^-<|>\u0301\u0338 \n\u00a0"), max_size=12), max_size=6))
+def test_letters_and_marks(tokenizer, texts):
+    flat, place = word_encoder(PATH)(pa.array([*texts, "É<|endoftext|>$$ <|ENDOFTEXT|> a<|startoftext|>"], pa.string()))
+    assert [flat[a:b].tolist() for a, b in zip(place, place[1:])][: len(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 49407 in flat[place[-2] :] and 49406 in flat[place[-2] :]
+
+
+def test_words_are_encoded_once(monkeypatch):
+    """Of a worker's texts each word of letters, with or without marks after it, goes through the model once; few go through the whole tokenizer."""
+    encode, seen = WordEncoder(PATH), []
+    for name in ("_of_letters", "_of_any"):
+        monkeypatch.setattr(encode, name, lambda words, name=name, own=getattr(encode, name): (seen.extend((name, w) for w in words), own(words))[1])
+    for text in ("Été word$$$ other,%%% word", "word été*** <b> WORD. Été other"):
+        encode(pa.array([text]))
+    assert sorted(seen) == sorted([("_of_any", "<b>"), *(("_of_letters", w) for w in ("été", "word", "other", "$$$", ",%%%", "***", "."))])
+
+
+MEMORY = """
+import resource, sys
+import numpy as np, pyarrow as pa
+from imgframe.llm import token_orc
+rng = np.random.default_rng(1)
+words = np.array(["".join(map(chr, row)) for row in rng.integers(97, 123, (400_000, 6))])
+batch = pa.record_batch({"doc_id": pa.array(range(4000)), "text": pa.array([" ".join(rng.choice(words, 600)) for _ in range(4000)])})
+encode = token_orc.word_encoder(sys.argv[1])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+assert sum(b.num_rows for b in token_orc.token_batches([batch] * 2, encode, 0, 1)) == 8000
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024)
+"""
+
+
+def test_memory_of_a_task():
+    """What encoding takes beside its batch of 17 MB of text."""
+    out = subprocess.run([sys.executable, "-c", MEMORY, PATH], env=os.environ | {"PYTHONPATH": str(REPO)}, capture_output=True, text=True, check=True)
+    assert float(out.stdout) < 200
