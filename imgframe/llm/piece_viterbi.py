@@ -3,7 +3,8 @@
 The automaton reads a text once; at each place it reports, over its output links, every piece that ends there,
 longest first, and each relaxes the best score of that place. A character that no single-character piece covers
 may also be taken as unknown, at the least score of all pieces minus ``UNKNOWN_PENALTY``, and is written as the
-pieces of its UTF-8 bytes. A text is cut first where no piece can cross, and each distinct cut is encoded once.
+pieces of its UTF-8 bytes. Texts are cut first where no piece can cross, and each distinct cut is encoded
+once for many texts.
 
 The scores are those of the model file, read as log-probabilities whatever the model's own algorithm is; so a
 file made for merging gives this method's best segmentation, and not the merges.
@@ -12,19 +13,18 @@ file made for merging gives this method's best segmentation, and not the merges.
 from __future__ import annotations
 
 import functools
-import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import steps
+from .common import forget, joined_ids, steps
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-#: Distinct cuts whose pieces a task remembers; then it forgets all and starts anew. Longer cuts than this many characters are not kept.
-MEMO_CUTS, MEMO_CHARS = 100_000, 64
 
 
 class PieceModel:
@@ -50,13 +50,16 @@ class PieceModel:
         texts = [self.pieces[i] for i in normal]
         if any(SPACE in t.lstrip(SPACE) for t in texts):
             raise ValueError("pieces that go on after a word's end are not supported")
-        alone = "".join(re.escape(c) for c in "\n\t\r" if not any(c in t for t in texts))
-        #: What pieces never cross: a run of spaces with the word after it; a control character that no piece has.
-        self.cut = re.compile(rf"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" + (f"|[{alone}]" if alone else ""))
+        #: Control characters that no piece has.
+        self.alone = [ord(c) for c in "\n\t\r" if not any(c in t for t in texts)]
         byte_of = {i: bytes([b]) for b, i in self.bytes_ids.items()}
         #: The bytes that each id stands for; control pieces stand for none.
         self.spelt = [byte_of[i] if i in byte_of else b"" if model.is_control(i) else self.pieces[i].replace(SPACE, " ").encode() for i in range(size)]
-        self.memo: dict[str, list[int]] = {}
+        self.known = self._anew()
+
+    def _anew(self) -> dict[str, bytes]:
+        """The ids of cuts, spaces as they stand in texts; at first that of a space mark that a text has itself."""
+        return {SPACE: np.array([self.bytes_ids[b] for b in SPACE.encode()], np.int32).tobytes()}
 
     def viterbi(self, text: str) -> list[int]:
         """The piece ids of the best segmentation; of equal ones that whose last piece is longest."""
@@ -86,28 +89,51 @@ class PieceModel:
             n = back[n]
         return ids[::-1]
 
-    def encode(self, text: str | None) -> np.ndarray:
-        """int32 ids of a whole text. A null or empty text has none.
+    def _cuts(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """(cuts of all texts, first cut of each text with the end): what pieces never cross.
+
+        A cut is a run of spaces with the word after it, a control character that no piece has, or a text's own mark.
+        """
+        _, bounds, data = texts.buffers()
+        ends = np.frombuffer(bounds, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        text = np.frombuffer(data or b"", np.uint8)[: ends[-1]]
+        begins = np.zeros(len(text) + 1, bool)
+        begins[ends] = True
+        blank, alone = text == ord(" "), np.isin(text, self.alone)
+        begins[1:-1] |= blank[1:] & ~blank[:-1]
+        begins[:-1] |= alone
+        begins[1:] |= alone
+        first, second, third = SPACE.encode()
+        marks = np.flatnonzero(text == first)
+        marks = marks[(text[marks + 1] == second) & (text[marks + 2] == third)]
+        begins[marks] = begins[marks + 3] = True
+        begins[: ends[0]] = False
+        at = np.flatnonzero(begins)
+        return pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at), data), np.searchsorted(at, ends)
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(int32 ids of all texts, where each text's ids begin and the end). A null or empty text has none.
 
         A space becomes the space mark and one more mark goes before the text. A mark that the text has itself is
         written as bytes, so decoding gives every text back.
         """
-        if not text:
-            return np.zeros(0, np.int32)
-        out: list[int] = []
-        if len(self.memo) > MEMO_CUTS:
-            self.memo.clear()
-        for k, part in enumerate(text.split(SPACE)):
-            if k:
-                out += [self.bytes_ids[b] for b in SPACE.encode()]
-            for cut in self.cut.findall((SPACE if k == 0 else "") + part.replace(" ", SPACE)):
-                ids = self.memo.get(cut)
-                if ids is None:
-                    ids = self.viterbi(cut)
-                    if len(cut) <= MEMO_CHARS:
-                        self.memo[cut] = ids
-                out += ids
-        return np.array(out, np.int32)
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        before = pc.if_else(pc.equal(texts, ""), pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string()))
+        cuts, ends = self._cuts(pc.binary_join_element_wise(before, texts, pa.scalar("", pa.large_string())))
+        coded = cuts.dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = [w for w in words if w not in self.known]
+        for w in new:
+            self.known[w] = array("i", self.viterbi(w.replace(" ", SPACE))).tobytes()
+        ids = [self.known[w] for w in words]
+        flat, place = joined_ids(ids, coded.indices.to_numpy(zero_copy_only=False), np.int32)
+        forget(self.known, new)
+        self.known = self.known or self._anew()
+        return flat, place[ends]
+
+    def encode(self, text: str | None) -> np.ndarray:
+        """int32 ids of a whole text, as ``encode_all`` gives them."""
+        return self.encode_all(pa.array([text], pa.string()))[0]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids of ``encode``; control pieces give nothing."""
@@ -133,11 +159,11 @@ def encode_pieces(docs: DataFrame, model: str, column: str = "text", verify: boo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = piece_model(model)
         for batch in steps(batches, column):
-            texts = batch.column(column).to_pylist()
-            ids = [held.encode(text) for text in texts]
-            new = {"ids": pa.array(ids, pa.list_(pa.int32())), "n_pieces": pa.array(map(len, ids), pa.int64())}
+            flat, place = held.encode_all(batch.column(column))
+            new = {"ids": pa.ListArray.from_arrays(pa.array(place, pa.int32()), pa.array(flat)), "n_pieces": pa.array(np.diff(place))}
             if verify:
-                new["exact"] = pa.array([held.decode(own.tolist()) == (text or "") for own, text in zip(ids, texts, strict=True)])
+                texts = batch.column(column).to_numpy(zero_copy_only=False).tolist()
+                new["exact"] = pa.array([held.decode(flat[a:b].tolist()) == (text or "") for a, b, text in zip(place[:-1].tolist(), place[1:].tolist(), texts, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([*batch.columns, *new.values()], [*batch.schema.names, *new])
 
     return docs.mapInArrow(run, f"{schema}, ids array<int>, n_pieces long" + ", exact boolean" * verify)

@@ -1,9 +1,10 @@
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from imgframe.llm.piece_viterbi import SPACE, decode_pieces, encode_pieces, piece_model
+from imgframe.llm.piece_viterbi import SPACE, PieceModel, decode_pieces, encode_pieces, piece_model
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -62,3 +63,27 @@ def test_frames(spark):
     assert decode_pieces(encode_pieces(spark.createDataFrame([], "text string"), PATH), PATH).count() == 0
     nulls = decode_pieces(spark.createDataFrame([(None,), ([],)], "ids array<int>"), PATH)
     assert sorted(str(r.decoded) for r in nulls.collect()) == ["", "None"]
+
+
+@settings(max_examples=200, deadline=None)
+@given(texts=st.lists(st.none() | st.text(alphabet=st.sampled_from("ab é▂\n\t\r中😀" + SPACE), max_size=12), min_size=1, max_size=6))
+def test_cuts_of_many_texts(model, texts):
+    """Texts encoded together give what one search over each whole text, between its own marks, gives."""
+    flat, place = model.encode_all(pa.array(["left out", *texts], pa.string()).slice(1))
+    whole = [[] if not t else model.viterbi(SPACE + t.split(SPACE)[0].replace(" ", SPACE)) for t in texts]
+    for ids, t in zip(whole, texts, strict=True):
+        for part in (t or "").split(SPACE)[1:]:
+            ids += [model.bytes_ids[b] for b in SPACE.encode()] + model.viterbi(part.replace(" ", SPACE))
+    assert [flat[a:b].tolist() for a, b in zip(place[:-1], place[1:], strict=True)] == whole
+
+
+def test_cuts_are_encoded_once(monkeypatch):
+    """120,000 words and more are searched once by a worker, not once for each step; long ones are not kept."""
+    held, seen = PieceModel(PATH), []
+    monkeypatch.setattr(held, "viterbi", lambda text, own=held.viterbi: (seen.append(text), own(text))[1])
+    text = " ".join(map(str, range(120_000)))
+    first, again = held.encode(text), held.encode(text)
+    assert len(seen) == len(set(seen)) == 120_000 and first.tolist() == again.tolist()
+    assert held.decode(again.tolist()) == text
+    held.encode("x" * 100)
+    assert not any(len(w) > 64 for w in held.known)
