@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -185,27 +186,39 @@ def match_in_items(elements: DataFrame, identifier: list[tuple[str, int, str, li
     return rows.groupBy("instance").agg(F.bit_or("bits").alias("bits")).where(F.col("bits").bitwiseAND(F.lit(needs[""])) == needs[""]).select("instance")
 
 
-#: How many blocks of days make a block of the next level, and days before the first one.
-BLOCK, EARLIEST = 8, -(1 << 21)
-LEVELS = 7
+#: 2^BITS blocks of days make a block of the next level; the first of the days that a date can hold, and the levels that hold them all.
+BITS, EARLIEST = 3, -(1 << 31)
+LEVELS = 11
+
+
+def days_of(lo: Column, hi: Column) -> tuple[Column, Column]:
+    """The first and the last day from lo to hi, counted from the earliest one; a NULL bound is open."""
+    place = lambda day, bound: F.coalesce(F.unix_date(day).cast("long"), F.lit(bound).cast("long")) - F.lit(EARLIEST).cast("long")
+    return place(lo, EARLIEST), place(hi, -EARLIEST - 1)
+
+
+def block_of(day: Column, level: Column) -> Column:
+    """The block of a level that holds a day."""
+    return F.call_function("shiftright", F.unix_date(day.cast("date")).cast("long") - F.lit(EARLIEST).cast("long"), level * BITS)
 
 
 def blocks_of(lo: Column, hi: Column) -> Column:
     """array<struct<level, block>>: disjoint blocks of days that make up lo to hi; a NULL bound is open. Few for any range."""
-    first = F.greatest(F.coalesce(F.unix_date(lo), F.lit(EARLIEST)) - EARLIEST, F.lit(0)).cast("long")
-    last = F.least(F.coalesce(F.unix_date(hi), F.lit(-EARLIEST - 1)) - EARLIEST, F.lit(-2 * EARLIEST - 1)).cast("long")
-    block = "struct<level:int,block:bigint>"
-    between = lambda a, b, level: F.when(a <= b, F.transform(F.sequence(a, b), lambda n: F.struct(level.alias("level"), n.alias("block")))).otherwise(F.array().cast(f"array<{block}>"))
+    first, last = days_of(lo, hi)
+    one = F.lit(1).cast("long")
+
+    def inside(level: Column) -> tuple[Column, Column]:
+        """The first and the last block of a level that is inside of the range; there is none where they are the wrong way round."""
+        return F.call_function("shiftright", first + F.call_function("shiftleft", one, level * BITS) - 1, level * BITS), F.call_function("shiftright", last + 1, level * BITS) - 1
 
-    def step(s: Column, level: Column) -> Column:
-        up = (F.floor((s["a"] + BLOCK - 1) / BLOCK) * BLOCK).cast("long")
-        down = (F.floor((s["b"] + 1) / BLOCK) * BLOCK - 1).cast("long")
-        whole = (level < LEVELS - 1) & (up <= down)
-        found = F.when(whole, F.concat(between(s["a"], up - 1, level), between(down + 1, s["b"], level))).otherwise(between(s["a"], s["b"], level))
-        return F.struct(F.when(whole, (up / BLOCK).cast("long")).otherwise(F.lit(1).cast("long")).alias("a"), F.when(whole, ((down + 1) / BLOCK - 1).cast("long")).otherwise(F.lit(0).cast("long")).alias("b"), F.concat(s["found"], found).alias("found"))
+    def found(level: Column) -> Column:
+        (a, b), (up, down) = inside(level), inside(level + 1)
+        whole, run = up <= down, lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
+        blocks = F.when(whole, F.concat(run(a, F.shiftleft(up, BITS) - 1), run(F.shiftleft(down + 1, BITS), b))).otherwise(run(a, b))
+        return F.transform(blocks, lambda n: F.struct(level.alias("level"), n.alias("block")))
 
-    start = F.struct(first.alias("a"), last.alias("b"), F.array().cast(f"array<{block}>").alias("found"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS - 1)), start, step, lambda s: s["found"])
+    top = F.floor((F.length(F.bin(last - first + 1)) - 1) / BITS).cast("int")  # of a block as long as the range at most
+    return F.when(first <= last, F.flatten(F.transform(F.sequence(F.lit(0), top), found))).otherwise(F.array().cast("array<struct<level:int,block:bigint>>"))
 
 
 def match_many(queries: DataFrame, instances: DataFrame, day: str, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -214,15 +227,40 @@ def match_many(queries: DataFrame, instances: DataFrame, day: str, keys: tuple[s
     A range is cut into blocks of days, of which each day is in one for each level; so both meet by equal blocks, and a
     pair comes out once. A NULL bound is open; a range with lo after hi, or a NULL day, matches nothing. ``keys`` are
     columns of both that must be equal where the query's is not NULL. Other columns stay; those of ``queries`` with the
-    names of ``instances`` are to be renamed before.
+    names of ``instances`` are to be renamed before. Where only totals of the pairs are asked for, see ``match_totals``.
     """
     q = queries.withColumn("_block", F.explode(blocks_of(F.col("lo"), F.col("hi"))))
     levels = sorted(r[0] for r in q.select("_block.level").distinct().collect())  # a handful at most
-    place = F.unix_date(F.col(day).cast("date")).cast("long") - EARLIEST
-    each = F.array(*[F.struct(F.lit(k).cast("int").alias("level"), F.floor(place / BLOCK**k).cast("long").alias("block")) for k in levels]) if levels else F.array().cast("array<struct<level:int,block:bigint>>")
+    each = F.array(*[F.struct(F.lit(k).cast("int").alias("level"), block_of(F.col(day), F.lit(k)).alias("block")) for k in levels]) if levels else F.array().cast("array<struct<level:int,block:bigint>>")
     renamed = {k: f"_q_{k}" for k in keys}
     q = q.withColumnsRenamed(renamed)
     pairs = instances.where(F.col(day).isNotNull()).withColumn("_block", F.explode(each)).join(q, "_block")
     for k, name in renamed.items():
         pairs = pairs.where(F.col(name).isNull() | (F.col(name) == F.col(k)))
     return pairs.drop("_block", *renamed.values())
+
+
+def match_totals(queries: DataFrame, instances: DataFrame, day: str, keys: tuple[str, ...], by: tuple[str, ...], totals: dict[str, tuple[Column, Callable[[str], Column]]]) -> DataFrame:
+    """(by, totals) of the pairs of ``match_many``, grouped by columns of ``queries``, without making the pairs.
+
+    ``totals`` are an aggregate of instances each, and what merges such aggregates of parts (a count and a sum, a minimum
+    and a minimum). Instances are summed up by day and keys, and then by block, once with each choice of keys that some
+    query asks for; each distinct range meets one row for each of its few blocks, however many instances these hold, and
+    queries take the totals of their range. Joins are by sorting: ranges are many more in blocks than Spark would guess.
+    """
+    merged = [merge(name).alias(name) for name, (_, merge) in totals.items()]
+    asked = lambda of: sum((F.when(F.col(f"{of}{k}").isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, k in enumerate(keys)), F.lit(0))
+    at = lambda choice, level, block, held: F.struct(choice.alias("asked"), level.alias("level"), block.alias("block"), *[v.alias(k) for k, v in zip(keys, held, strict=True)]).alias("_at")
+    first, last = days_of(F.col("lo"), F.col("hi"))
+    lengths = queries.select(asked("").alias("asked"), (last - first + 1).alias("days")).where("days > 0")
+    longest = lengths.groupBy("asked").agg(F.max("days")).collect()  # a row for each choice of keys
+    days = instances.where(F.col(day).isNotNull()).groupBy(F.col(day).cast("date").alias("_day"), *keys).agg(*[total.alias(name) for name, (total, _) in totals.items()])
+    levels = [(choice, level) for choice, most in longest or [(0, 1)] for level in range(LEVELS) if most >> level * BITS]
+    places = [at(F.lit(choice), F.lit(level), block_of(F.col("_day"), F.lit(level)), [F.when(F.lit(bool(choice >> i & 1)), F.col(k)) for i, k in enumerate(keys)]) for choice, level in levels]
+    blocks = days.select(F.explode(F.array(*places)).alias("_at"), *totals).groupBy("_at").agg(*merged)
+    ranges = queries.select(F.struct("lo", "hi", *keys).alias("_range")).distinct()
+    cut = ranges.select("_range", F.explode(blocks_of(F.col("_range.lo"), F.col("_range.hi"))).alias("_cut"))
+    cut = cut.select("_range", at(asked("_range."), F.col("_cut.level"), F.col("_cut.block"), [F.col(f"_range.{k}") for k in keys]))
+    found = cut.join(blocks.hint("merge"), "_at").groupBy("_range").agg(*merged)
+    asking = queries.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.struct("lo", "hi", *keys).alias("_range"))
+    return asking.join(found.hint("merge"), "_range").groupBy(*[F.col(f"_by_{c}").alias(c) for c in by]).agg(*merged)
